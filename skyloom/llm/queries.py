@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hash_tree, secrets, token_counts
+from . import exact_dedup, hash_tree, jaccard_join, secrets, token_counts
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard_join.op1,
     "op5_secret_scan": secrets.op5,
     "op6_token_counts": token_counts.op6,
     "op8_hash_tree_sharding": hash_tree.op8,
