@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hash_tree, jaccard_join, secrets, token_counts
+from . import exact_dedup, hash_tree, jaccard_join, language_id, mixing, packing, secrets, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1,
+    "op2_language_id": language_id.op2,
     "op5_secret_scan": secrets.op5,
     "op6_token_counts": token_counts.op6,
+    "op7_retrieval_packing": packing.op7,
     "op8_hash_tree_sharding": hash_tree.op8,
     "op9_exact_dedup": exact_dedup.op9,
+    "op10_mixing": mixing.op10,
 }
 
 ORACLES = {
