@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hash_tree, jaccard_join, language_id, mixing, packing, secrets, token_counts
+from . import chroma_prints, exact_dedup, hash_tree, jaccard_join, language_id, mixing, packing, secrets, token_counts, warc_revisit
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1,
     "op2_language_id": language_id.op2,
+    "op3_warc_revisits": warc_revisit.op3,
+    "op4_chroma_prints": chroma_prints.op4,
     "op5_secret_scan": secrets.op5,
     "op6_token_counts": token_counts.op6,
     "op7_retrieval_packing": packing.op7,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc_revisits": warc_revisit.SQL3,
     "op9_exact_dedup": exact_dedup.SQL9,
 }
