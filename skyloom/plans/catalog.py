@@ -311,7 +311,7 @@ def time_in_area(spark, d):
 _CONFLICTS = f"""{POINTS}, {LEGS}, pr AS (SELECT a.leg_id AS leg_a, b.leg_id AS leg_b, a.from_time AS at_, a.to_time AS au, b.from_time AS bt, b.to_time AS bu, a.from_lon AS ax, a.from_lat AS ay, b.from_lon AS bx, b.from_lat AS by_,
   a.to_lon - a.from_lon AS dx, a.to_lat - a.from_lat AS dy, b.to_lon - b.from_lon AS ex, b.to_lat - b.from_lat AS ey
   FROM legs a JOIN legs b ON a.leg_id < b.leg_id AND a.id <> b.id AND a.from_time <= b.to_time + 600 AND b.from_time <= a.to_time + 600 AND abs(a.from_alt - b.from_alt) <= 1000),
-tu AS (SELECT *, ((bx - ax) * ey - (by_ - ay) * ex) / (dx * ey - dy * ex) AS t, ((bx - ax) * dy - (by_ - ay) * dx) / (dx * ey - dy * ex) AS u FROM pr WHERE dx * ey - dy * ex <> 0),
+tu AS (SELECT *, ((bx - ax) * ey - (by_ - ay) * ex) / (dx * ey - dy * ex) AS t, ((bx - ax) * dy - (by_ - ay) * dx) / (dx * ey - dy * ex) AS u FROM pr WHERE abs(dx * ey - dy * ex) > 1e-9),
 cf AS (SELECT leg_a, leg_b, ax + t * dx AS lon, ay + t * dy AS lat, at_ + t * (au - at_) AS t1, bt + u * (bu - bt) AS t2 FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AND abs(at_ + t * (au - at_) - bt - u * (bu - bt)) <= 600)"""
 
 
