@@ -30,7 +30,7 @@ RANKS = 400
 #: The pipeline rejects documents whose n-grams agree less than so with the nearest profile.
 LEAST_SCORE = 0.2
 
-_BITS = np.uint64(21)
+_BITS, BLANK = np.uint64(21), np.uint64(1)
 
 
 def _letters() -> np.ndarray:
@@ -44,13 +44,13 @@ def ngrams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(codes) and codes.max() > 0xFFFF:
         high = codes > 0xFFFF
         inside[high] = [chr(c).isalpha() for c in codes[high]]
-    # words with one blank (0) before, between and after
-    c = np.zeros(len(codes) + 2, np.uint64)
-    c[1:-1] = np.where(inside, codes, 0)
-    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
+    # words with one blank before, between and after; no letter has the blank's number
+    c = np.full(len(codes) + 2, BLANK, np.uint64)
+    c[1:-1] = np.where(inside, codes, BLANK)
+    c = c[np.concatenate([[True], (c[1:] != BLANK) | (c[:-1] != BLANK)])]
     two = c[:-1] << _BITS | c[1:]
-    three = (two[:-1] << _BITS | c[2:])[c[1:-1] != 0]
-    return np.unique(np.concatenate([c[c != 0], two, three]), return_counts=True)
+    three = (two[:-1] << _BITS | c[2:])[c[1:-1] != BLANK]
+    return np.unique(np.concatenate([c[c != BLANK], two, three]), return_counts=True)
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, n: int = RANKS) -> np.ndarray:
