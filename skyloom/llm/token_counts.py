@@ -76,8 +76,6 @@ class Counter:
 
     def _learn(self, keys: set[str]) -> dict[str, int]:
         """Counts of new pieces. A key without leading white space stands for the piece with its space."""
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
         new = {}
         for batch in batches(list(keys)):
             real = [k if k[:1] == "\n" else " " + k for k in batch]
@@ -86,28 +84,31 @@ class Counter:
         return new
 
     def counts(self, texts: list[str]) -> list[int]:
-        split = [pieces(t) for t in texts]
-        firsts = [p[0] for p in split]
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.clear()
+        memo, split = self.memo, [pieces(t) for t in texts]
         keys = set()
         for p in split:
             keys.update(p[1:])
-        memo = self.memo
-        rare = {}
-        if new := {k for k in keys if k not in memo}:
-            learned = self._learn(new)
-            memo.update((k, n) for k, n in learned.items() if len(k) <= MEMO_CHARS)
-            rare = {k: n for k, n in learned.items() if len(k) > MEMO_CHARS}
-            if missing := keys - memo.keys() - rare.keys():  # the memo was emptied meanwhile
-                learned = self._learn(missing)
-                rare.update(learned)
-        get = memo.__getitem__
+        learned = self._learn(keys.difference(memo))
+        memo.update((k, n) for k, n in learned.items() if len(k) <= MEMO_CHARS)
+        long = {k: n for k, n in learned.items() if len(k) > MEMO_CHARS}
         head = {}
-        for batch in batches(list(set(firsts))):
+        for batch in batches(list({p[0] for p in split})):
             head.update(zip(batch, map(len, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
-        if rare:
-            both = {**rare}
-            return [head[p[0]] + sum(both[k] if k in both else get(k) for k in p[1:]) for p in split]
-        return [head[p[0]] + sum(map(get, p[1:])) for p in split]
+        if long:
+            return [head[p[0]] + sum(long[k] if k in long else memo[k] for k in p[1:]) for p in split]
+        return [head[p[0]] + sum(map(memo.__getitem__, p[1:])) for p in split]
+
+
+_HELD: dict[str, Counter] = {}
+
+
+def held(name: str) -> Counter:
+    """The tokenizer and memo of this worker process, which later tasks use as well."""
+    if name not in _HELD:
+        _HELD[name] = Counter(name)
+    return _HELD[name]
 
 
 def _by_bytes(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
@@ -127,7 +128,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(name)
+        counter = held(name)
         for b in it:
             texts = b.column("text").to_pylist()
             n = [x for i, j in _by_bytes(texts, 4 * BATCH_BYTES) for x in counter.counts(texts[i:j])]
