@@ -36,7 +36,7 @@ STEPS = np.array([-0.35, 0.0, 0.35])
 #: Energy below which a frame is silent.
 SILENCE = 1e-6
 #: An alignment needs so many hits at its offset, so many frames of overlap, and no more than this share of bits.
-LEAST_HITS, LEAST_FRAMES, MOST_ERROR = 2, 16, 0.25
+LEAST_HITS, LEAST_FRAMES, MOST_ERROR = 2, 24, 0.15
 QUERY_EVERY, CUT_NOTES, NOISE = 50, 7, 0.02
 
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -149,7 +149,7 @@ def _frames(classes: DataFrame, name: str) -> DataFrame:
 
 def _classes(found: DataFrame, col: str) -> DataFrame:
     """(c, p): the smallest id of each fingerprint."""
-    return found.filter(F.col(col).isNotNull()).groupBy(F.sha2(col, 256).alias("digest")).agg(F.min("id").alias("c"), F.first(col).alias("p"))
+    return found.filter(F.col(col).isNotNull()).groupBy(F.sha2(col, 256).alias("digest")).agg(F.coalesce(F.min("id"), F.lit(-1)).alias("c"), F.first(col).alias("p"))
 
 
 def align(probes: DataFrame, recordings: DataFrame) -> DataFrame:
