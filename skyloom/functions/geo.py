@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mean earth radius: of the leg and haul formulas, of the speed cleaner, and in metres.
@@ -115,23 +115,26 @@ def chord(p: str = "") -> Column:
     return (unit(F.col(f"{p}to_lat"), F.col(f"{p}to_lon")) - unit(F.col(f"{p}from_lat"), F.col(f"{p}from_lon"))).norm()
 
 
-def projection_fitness(first: bool) -> Column:
-    """How well a leg (from_/to_ columns) follows an edge (efrom_/eto_ columns), in [0, 1]: orientation and overlap."""
+def with_fitness(pairs: DataFrame) -> DataFrame:
+    """Adds ``first`` and ``rest``: how well a leg (from_/to_ columns) follows an edge (efrom_/eto_ columns), in [0, 1].
+
+    Both weigh orientation and overlap, ``first`` for the leg that begins a route. Steps are columns of their own,
+    which the optimizer doesn't merge where they are used more than once, so each is worked out once.
+    """
     f = [F.col(f"{e}_{x}") for e in ("from", "to") for x in ("lat", "lon")]
     e = [F.col(f"e{e}_{x}") for e in ("from", "to") for x in ("lat", "lon")]
-    turn = F.abs(bearing(*f) - bearing(*e))
-    turn = F.least(turn, 360.0 - turn)
-    orientation = F.greatest(F.lit(0.0), 1.0 - turn / 90.0)
     ex, ey = local_xy(e[2], e[3], e[0], e[1])
-    length = F.sqrt(ex * ex + ey * ey)
-    along = []
-    for lat, lon in ((f[0], f[1]), (f[2], f[3])):
-        x, y = local_xy(lat, lon, e[0], e[1])
-        along.append(F.try_divide(x * ex + y * ey, length))
-    covered = F.greatest(F.lit(0.0), F.least(length, F.greatest(*along)) - F.greatest(F.lit(0.0), F.least(*along)))
-    share = F.least(covered / (haversine(*f, radius=R_M) + 1e-6), F.lit(1.0))
-    w = (0.8, 0.2) if first else (0.5, 0.5)
-    return F.when(length == 0, 0.0).otherwise(w[0] * orientation + w[1] * share)
+    px, py = local_xy(f[0], f[1], e[0], e[1])
+    qx, qy = local_xy(f[2], f[3], e[0], e[1])
+    turn = F.abs(bearing(*f) - bearing(*e))
+    df = pairs.withColumns({"_ex": ex, "_ey": ey, "_px": px, "_py": py, "_qx": qx, "_qy": qy, "_turn": turn, "_own": haversine(*f, radius=R_M)})
+    df = df.withColumn("_len", F.sqrt(F.col("_ex") * F.col("_ex") + F.col("_ey") * F.col("_ey")))
+    along = lambda x, y: F.try_divide(F.col(x) * F.col("_ex") + F.col(y) * F.col("_ey"), F.col("_len"))
+    df = df.withColumns({"_s": along("_px", "_py"), "_t": along("_qx", "_qy"), "_orient": F.greatest(F.lit(0.0), 1.0 - F.least(F.col("_turn"), 360.0 - F.col("_turn")) / 90.0)})
+    covered = F.greatest(F.lit(0.0), F.least(F.col("_len"), F.greatest("_s", "_t")) - F.greatest(F.lit(0.0), F.least("_s", "_t")))
+    df = df.withColumn("_share", F.least(covered / (F.col("_own") + 1e-6), F.lit(1.0)))
+    score = lambda w, v: F.when(F.col("_len") == 0, 0.0).otherwise(w * F.col("_orient") + v * F.col("_share"))
+    return df.withColumns({"first": score(0.8, 0.2), "rest": score(0.5, 0.5)}).select(*pairs.columns, "first", "rest")
 
 
 def inside(ring: list[tuple[float, float]], lon: Column, lat: Column) -> Column:

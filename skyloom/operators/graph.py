@@ -54,19 +54,22 @@ def cpm_quality(edges: DataFrame, homes: DataFrame, gamma: float = 0.7) -> DataF
     return size.join(inner, "community", "left").select("community", (F.coalesce("w", F.lit(0.0)) - gamma * F.col("n") * (F.col("n") - 1) / 2.0).alias("quality"))
 
 
-def scored_edges(legs: DataFrame, edges: DataFrame, margin: float = 0.5, least: float = LEAST_FITNESS) -> DataFrame:
-    """(flight, k, leg_id, edge_id, first, rest) of legs (flight, k, ...) and the edges (edge_id, a, b, efrom_/eto_) that reach into the flight's box.
+def scored_edges(legs: DataFrame, edges: DataFrame, margin: float = 0.5, least: float = LEAST_FITNESS, cell: float = 5.0) -> DataFrame:
+    """(flight, k, leg_id, edge_id, a, b, first, rest) of legs (flight, k, ...) and the edges (edge_id, a, b, efrom_/eto_) whose ends both lie in the flight's box.
 
-    The flight's box with its margin is a range condition; the airway graph is a dimension, joined as Catalyst sees fit.
+    A flight looks in the cells that its box with its margin touches, an edge stands in the cell of its start, so
+    the crop is an equi join and finds each edge once.
     """
     box = legs.groupBy("flight").agg(*[f(g(f"from_{c}", f"to_{c}")).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest))])
-    inside = None
+    span = lambda c: F.sequence(F.floor((F.col(f"{c}_lo") - margin) / cell), F.floor((F.col(f"{c}_hi") + margin) / cell))
+    cells = box.select("*", F.explode(span("lon")).alias("cx"), span("lat").alias("_ys")).select("*", F.explode("_ys").alias("cy")).drop("_ys")
+    at = lambda c: F.floor(F.col(f"efrom_{c}") / cell)
+    near = cells.join(edges.withColumns({"cx": at("lon"), "cy": at("lat")}), ["cx", "cy"])
     for e in ("efrom", "eto"):
-        cond = F.col(f"{e}_lat").between(F.col("lat_lo") - margin, F.col("lat_hi") + margin) & F.col(f"{e}_lon").between(F.col("lon_lo") - margin, F.col("lon_hi") + margin)
-        inside = cond if inside is None else inside & cond
-    near = legs.join(box, "flight").join(edges, inside)
-    scored = near.withColumns({"first": geo.projection_fitness(True), "rest": geo.projection_fitness(False)})
-    return scored.filter(F.when(F.col("k") == 0, F.col("first")).otherwise(F.col("rest")) > least).select("flight", "k", "leg_id", "edge_id", "a", "b", "first", "rest")
+        for c in ("lat", "lon"):
+            near = near.filter(F.col(f"{e}_{c}").between(F.col(f"{c}_lo") - margin, F.col(f"{c}_hi") + margin))
+    near = legs.join(near.drop("cx", "cy", *[f"{c}_{n}" for c in ("lat", "lon") for n in ("lo", "hi")]), "flight")
+    return geo.with_fitness(near).filter(F.when(F.col("k") == 0, F.col("first")).otherwise(F.col("rest")) > least).select("flight", "k", "leg_id", "edge_id", "a", "b", "first", "rest")
 
 
 def routes(scored: DataFrame, n_legs: DataFrame, most: int = 5, exact: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -100,6 +100,42 @@ def sample_ids(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> Dat
     return df.select(id_col).distinct().orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(n)
 
 
+def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """``n`` rows by a hash of their keys: the same for the same seed."""
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+
+
+def bernoulli(df: DataFrame, share: float, keys: list[str], seed: int = 42) -> DataFrame:
+    """Each row with a probability, by a hash of its keys."""
+    return df.filter(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each key."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def bag_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the left bag without a match on the right; repeats stay."""
+    return left.join(right.select(*keys).distinct(), keys, "left_anti")
+
+
+def histogram(df: DataFrame, col: str, low: float, high: float, bins: int) -> DataFrame:
+    """Counts of values in [low, high] by even bins, the last one closed."""
+    inside = df.filter(F.col(col).between(low, high))
+    b = F.least(F.floor((F.col(col) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+    return inside.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
+    """Every combination of the given lists, one column each."""
+    out = spark.range(1).select()
+    for name, xs in values.items():
+        out = out.select("*", F.explode(F.array(*[F.lit(x) for x in xs])).alias(name))
+    return out
+
+
 def hour_range(low: int, high: int, step: int = 3600) -> Column:
     """Stamps from low to high, high included even where the steps miss it."""
     return F.array_distinct(F.concat(F.sequence(F.lit(low), F.lit(high), F.lit(step)), F.array(F.lit(high))))

@@ -154,6 +154,22 @@ def tola(points: DataFrame, at_hz: float = 1.0) -> DataFrame:
     return rows.groupBy("id").applyInPandas(run, "id string, kind string, time double, lat double, lon double")
 
 
+def resampled(legs_: DataFrame, step: float) -> DataFrame:
+    """(id, t, lat, lon, alt) at multiples of ``step``, linear between a leg's ends; each instant belongs to the leg that it begins or lies inside."""
+    k = F.sequence(F.ceil(F.col("from_time") / step), F.ceil(F.col("to_time") / step) - 1)
+    rows = legs_.filter(F.ceil(F.col("to_time") / step) > F.ceil(F.col("from_time") / step)).select("*", (F.explode(k)).alias("k"))
+    rows = rows.withColumn("t", F.col("k") * F.lit(float(step))).withColumn("w", (F.col("t") - F.col("from_time")) / (F.col("to_time") - F.col("from_time")))
+    at = lambda c: (F.col(f"from_{c}") + F.col("w") * (F.col(f"to_{c}") - F.col(f"from_{c}"))).alias(c)
+    return rows.select("id", "t", at("lat"), at("lon"), at("alt"))
+
+
+def relative_time(points: DataFrame) -> DataFrame:
+    """Seconds since the flight's first point, and their share of its duration (0 for a flight of one instant)."""
+    w = Window.partitionBy("id")
+    first, last = F.min("t").over(w), F.max("t").over(w)
+    return points.withColumns({"t_rel": F.col("t") - first, "t_share": F.coalesce(F.try_divide(F.col("t") - first, last - first), F.lit(0.0))})
+
+
 def nearest_site(points: DataFrame, sites: DataFrame, keep: list[str]) -> DataFrame:
     """The site (site, site_lat, site_lon, site_no) nearest in degrees to each point; ties to the smaller number. Sites: a bounded dimension."""
     d = F.sqrt(F.pow(F.col("lat") - F.col("site_lat"), 2) + F.pow(F.col("lon") - F.col("site_lon"), 2))

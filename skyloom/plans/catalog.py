@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, scalars
+from ..functions import scalars
 from ..operators import airspace, flows, graph, linkage, occupancy, scenario, stitch, trajectory
-from ..sources import tables
 from . import views
 from .views import LEGS, POINTS, table
 
@@ -319,9 +318,9 @@ def _conflicts(spark, d) -> DataFrame:
     return airspace.conflicts(views.legs(spark, d), cell=2.5, slot_s=3600.0, time_s=600.0)
 
 
-@query("conflict_pairs", f"WITH {_CONFLICTS} SELECT leg_a, leg_b, {_rs('lon', 'lat')}, {_rs('t1', 't2', digits=3)} FROM cf")
+@query("conflict_pairs", f"WITH {_CONFLICTS} SELECT leg_a, leg_b, {_rs('lon', 'lat', digits=9)}, {_rs('t1', 't2', digits=3)} FROM cf")
 def conflict_pairs(spark, d):
-    return _conflicts(spark, d).select("leg_a", "leg_b", *_r("lon", "lat"), *_r("t1", "t2", digits=3))
+    return _conflicts(spark, d).select("leg_a", "leg_b", *_r("lon", "lat", digits=9), *_r("t1", "t2", digits=3))
 
 
 @query("conflict_gaps", f"WITH {_CONFLICTS} SELECT leg_a, leg_b, round(t1 - lag(t1) OVER w, 3) AS since, round({views.haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 4) AS km FROM cf WINDOW w AS (PARTITION BY floor(t1 / 86400) ORDER BY t1, leg_a, leg_b)")
@@ -675,4 +674,45 @@ def sampled_ids(spark, d):
     return stitch.sample_ids(views.points(spark, d), 50)
 
 
-_ = (geo, tables)
+@query("sampled_rows")
+def sampled_rows(spark, d):
+    return stitch.sample_rows(stitch.bernoulli(views.points(spark, d), 0.5, ["event_id"]), 100, ["event_id"])
+
+
+@query("resampled", f"WITH {POINTS}, {LEGS}, g AS (SELECT *, unnest(range(CAST(ceil(from_time / 3600) AS BIGINT), CAST(ceil(to_time / 3600) AS BIGINT))) * 3600e0 AS t FROM legs) SELECT id, t, round(from_lat + (t - from_time) / (to_time - from_time) * (to_lat - from_lat), 6) AS lat, round(from_lon + (t - from_time) / (to_time - from_time) * (to_lon - from_lon), 6) AS lon, round(from_alt + (t - from_time) / (to_time - from_time) * (to_alt - from_alt), 5) AS alt FROM g")
+def resampled(spark, d):
+    return trajectory.resampled(views.legs(spark, d), 3600.0).select("id", "t", *_r("lat", "lon"), *_r("alt", digits=5))
+
+
+@query("relative_time", f"WITH {POINTS} SELECT event_id, round(t - min(t) OVER w, 4) AS t_rel, round((t - min(t) OVER w) / (max(t) OVER w - min(t) OVER w), 7) AS t_share FROM points WINDOW w AS (PARTITION BY id)")
+def relative_time(spark, d):
+    return trajectory.relative_time(views.points(spark, d)).select("event_id", *_r("t_rel", digits=4), *_r("t_share", digits=7))
+
+
+@query("value_histogram", "SELECT CAST(least(floor((value - 0) / 500e0 * 50), 49) AS INT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1")
+def value_histogram(spark, d):
+    return stitch.histogram(table(spark, d, "events"), "value", 0.0, 500.0, 50)
+
+
+@query("longest_legs", f"WITH {POINTS}, {LEGS} SELECT id, leg_id, row_number() OVER (PARTITION BY id ORDER BY to_time - from_time DESC, leg_id) AS rank FROM legs QUALIFY rank <= 3")
+def longest_legs(spark, d):
+    legs = views.legs(spark, d).withColumn("dur", F.col("to_time") - F.col("from_time"))
+    return stitch.top_per_key(legs, ["id"], [F.desc("dur"), "leg_id"], 3).select("id", "leg_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("bag_difference", "SELECT c_nationkey, c_mktsegment FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
+def bag_difference(spark, d):
+    right = table(spark, d, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("c_nationkey"))
+    return stitch.bag_difference(table(spark, d, "customer"), right, ["c_nationkey"]).select("c_nationkey", "c_mktsegment")
+
+
+@query("parameter_grid", "SELECT d AS day, c AS cycle, h AS hour FROM (VALUES ('2024-01-01'), ('2024-01-02')) a(d), (VALUES (0), (6), (12), (18)) b(c), (VALUES (0), (3)) x(h)")
+def parameter_grid(spark, d):
+    return stitch.parameter_grid(spark, day=["2024-01-01", "2024-01-02"], cycle=[0, 6, 12, 18], hour=[0, 3])
+
+
+@query("gamma_parameters", f"WITH {POINTS}, q AS (SELECT event_id, 1 + alt / 4e4 AS lo, 1.2e0 + alt / 3e4 AS hi FROM points) SELECT event_id, round(pow(lo - 0.5e0, 2) / pow(hi - lo, 2), 6) AS shape, round(pow(hi - lo, 2) / (lo - 0.5e0), 6) AS scale FROM q")
+def gamma_parameters(spark, d):
+    low, high = 1.0 + F.col("alt") / 4e4, 1.2 + F.col("alt") / 3e4
+    shape, scale = scalars.gamma_params(low, high, F.lit(0.5))
+    return views.points(spark, d).select("event_id", F.round(shape, 6).alias("shape"), F.round(scale, 6).alias("scale"))

@@ -49,7 +49,7 @@ def test_haversine_and_bearing(spark):
 def test_projection_fitness(spark):
     names = ("from_lat", "from_lon", "to_lat", "to_lon")
     df = spark.createDataFrame([(50.0, 0.0, 50.0, 1.0, 50.0, 0.0, 50.0, 1.0), (50.0, 0.0, 50.0, 1.0, 50.0, 0.0, 50.0, 0.0)], [*names, *(f"e{n}" for n in names)])
-    same, none = [r[0] for r in df.select(geo.projection_fitness(True)).collect()]
+    same, none = [r[0] for r in geo.with_fitness(df).select("first").collect()]
     assert same == pytest.approx(1, abs=1e-3) and none == 0
 
 

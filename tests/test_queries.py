@@ -31,7 +31,7 @@ def rows(names, found):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("nation", "customer", "orders", "lineitem", "events", "embeddings"):
+    for t in ("nation", "customer", "supplier", "orders", "lineitem", "events", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
