@@ -53,16 +53,16 @@ class Wait:
 
 # By (arrival is long haul, departure is long haul).
 WAITS = {
-    (False, False): Wait(1.96, 0.178571, 0.65, 0.8),
+    (False, False): Wait(1.96, 5 / 28, 0.65, 0.8),
     (False, True): Wait(2.56, 0.15625, 1.85, 0.2),
-    (True, False): Wait(4.4567901, 0.1065789, 1.25, 0.4),
+    (True, False): Wait(361 / 81, 81 / 760, 1.25, 0.4),
     (True, True): Wait(4.0, 0.25, 2.25, 0.6),
 }
 
 
 def gamma_params(low: Column, high: Column, loc: Column) -> tuple[Column, Column]:
-    """Shape and scale of a shifted gamma whose middle is at ``low`` and spread reaches ``high``."""
-    mean, dev = low - loc, high - low
+    """Shape and scale of a shifted gamma whose mean is midway between ``low`` and ``high``, each one standard deviation off."""
+    mean, dev = (low + high) / 2 - loc, (high - low) / 2
     return mean * mean / (dev * dev), dev * dev / mean
 
 

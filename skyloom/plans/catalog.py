@@ -711,7 +711,7 @@ def parameter_grid(spark, d):
     return stitch.parameter_grid(spark, day=["2024-01-01", "2024-01-02"], cycle=[0, 6, 12, 18], hour=[0, 3])
 
 
-@query("gamma_parameters", f"WITH {POINTS}, q AS (SELECT event_id, 1 + alt / 4e4 AS lo, 1.2e0 + alt / 3e4 AS hi FROM points) SELECT event_id, round(pow(lo - 0.5e0, 2) / pow(hi - lo, 2), 6) AS shape, round(pow(hi - lo, 2) / (lo - 0.5e0), 6) AS scale FROM q")
+@query("gamma_parameters", f"WITH {POINTS}, q AS (SELECT event_id, 1 + alt / 4e4 AS lo, 1.2e0 + alt / 3e4 AS hi FROM points) SELECT event_id, round(pow((lo + hi) / 2 - 0.5e0, 2) / pow((hi - lo) / 2, 2), 6) AS shape, round(pow((hi - lo) / 2, 2) / ((lo + hi) / 2 - 0.5e0), 6) AS scale FROM q")
 def gamma_parameters(spark, d):
     low, high = 1.0 + F.col("alt") / 4e4, 1.2 + F.col("alt") / 3e4
     shape, scale = scalars.gamma_params(low, high, F.lit(0.5))

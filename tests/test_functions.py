@@ -86,7 +86,8 @@ def test_attenuation(spark):
 
 
 def test_gamma_parameters(spark):
-    shape, scale = one(spark, *scalars.gamma_params(*lit(1.0, 1.25, 0.65)))
+    shape, scale = one(spark, *scalars.gamma_params(*lit(0.75, 1.25, 0.65)))
+    assert shape == pytest.approx(1.96) and scale == pytest.approx(5 / 28)
     assert shape * scale == pytest.approx(0.35) and np.sqrt(shape) * scale == pytest.approx(0.25)
 
 

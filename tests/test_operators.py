@@ -154,7 +154,7 @@ def test_occupancy_and_peak(spark):
 
 def test_pieces_keep_all_the_time(spark):
     rng = np.random.default_rng(1)
-    rows = [(str(i), 100.0 * i, 100.0 * i + 5000, *rng.uniform((35, -5, 35, -5), (65, 35, 65, 35)), 8000.0, 11000.0) for i in range(30)]
+    rows = [(str(i), 100.0 * i, 100.0 * i + 5000, *map(float, rng.uniform((35, -5, 35, -5), (65, 35, 65, 35))), 8000.0, 11000.0) for i in range(30)]
     got = occupancy.pieces(spark.createDataFrame(rows, LEG), occupancy.Grid(cell=1.0)).groupBy("id").agg(F.sum(F.col("t1") - F.col("t0")).alias("s")).collect()
     assert len(got) == 30 and all(r.s == pytest.approx(5000) for r in got)
 
