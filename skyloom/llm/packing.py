@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
-from .word_ids import WordIds
+from . import common, word_ids
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 WINDOW = 4096
@@ -42,7 +41,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     last = np.uint16(end).tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(name)
+        words = word_ids.held(name)
         for b in it:
             # a batch holds few rows at a time as ids: long texts are taken one by one
             ids = [words.ids(t.as_py()) + last for t in b.column("text")]

@@ -13,7 +13,7 @@ import regex
 
 from .token_counts import tokenizer
 
-MEMO_WORDS, MEMO_CHARS = 400_000, 40
+MEMO_WORDS, MEMO_CHARS = 600_000, 40
 
 # Fixed value: the pattern that the vocabulary's pre-tokenizer has.
 RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -54,6 +54,8 @@ class WordIds:
         return found
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._run(word.lower())
         if not PLAIN.fullmatch(word):
             return self._whole(word)
         return b"".join([self._run(r) for r in RUNS.findall(word.lower())])
@@ -70,4 +72,16 @@ class WordIds:
         long = {}
         for w in set(words).difference(memo):
             (memo if len(w) <= MEMO_CHARS else long)[w] = self._word(w)
-        return b"".join(map((memo | long if long else memo).__getitem__, words))
+        if long:
+            return b"".join([long[w] if w in long else memo[w] for w in words])
+        return b"".join(map(memo.__getitem__, words))
+
+
+_HELD: dict[str, WordIds] = {}
+
+
+def held(name: str) -> WordIds:
+    """The tokenizer and memo of this worker process, which later tasks use as well."""
+    if name not in _HELD:
+        _HELD[name] = WordIds(name)
+    return _HELD[name]
