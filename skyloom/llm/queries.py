@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": jaccard_join.SQL1,
     "op3_warc_revisits": warc_revisit.SQL3,
+    "op5_secret_scan": secrets.SQL5,
     "op9_exact_dedup": exact_dedup.SQL9,
 }

@@ -111,3 +111,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.array_sort(F.concat("base", "verdicts"))).alias("spans"),
         number("live"), number("example"),
     )
+
+
+def _found_sql(kind: int, pattern: str, group: int) -> str:
+    """Base matches of one kind as rows (doc_id, repo, owner, start_, kind, end_, from_, value)."""
+    p = pattern.replace("'", "''")
+    values = f"regexp_extract_all(text, '{p}', {group})" if group else "m"
+    size = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, repo, owner, s AS start_, {kind} AS kind, s + length(m[i]) AS end_, s + length(m[i]) - length(v[i]) AS from_, v[i] AS value
+      FROM (SELECT *, {size("p[1:i]")} + {size("m[1:i - 1]")} AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT *, {values} AS v, regexp_split_to_array(text, '{p}') AS p FROM (SELECT *, regexp_extract_all(text, '{p}') AS m FROM t))))"""
+
+
+_NAMES = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+_JOINED = f"array_to_string(list_transform(list_sort({{}}), lambda q: {_NAMES}[q.kind + 1] || ':' || q.s || ':' || q.e), ',')"
+SQL5 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
+base AS ({_found_sql(0, ASSIGN, 2)} WHERE length(v[i]) >= {LEAST_ASSIGNED} UNION ALL {_found_sql(1, ACCESS, 0)} UNION ALL {_found_sql(2, HEX, 0)}),
+own AS (SELECT value, count(DISTINCT owner) AS owners FROM base GROUP BY value),
+judged AS (SELECT DISTINCT doc_id, from_, end_, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN {KINDS.index("example")} WHEN owners = 1 AND length(value) >= {LIVE_LENGTH} AND len(list_distinct(string_split(value, ''))) >= {LIVE_DISTINCT}
+  AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '(?i)example|sample|dummy|placeholder|changeme') THEN {KINDS.index("live")} END AS kind FROM base JOIN own USING (value)),
+b AS (SELECT doc_id, list({{'s': start_, 'kind': kind, 'e': end_}}) AS x, sum((kind = 0)::INT) AS a, sum((kind = 1)::INT) AS c, sum((kind = 2)::INT) AS h FROM base GROUP BY doc_id),
+v AS (SELECT doc_id, list({{'s': from_, 'kind': kind, 'e': end_}}) AS y, sum((kind = 3)::INT) AS l, sum((kind = 4)::INT) AS m FROM judged WHERE kind IS NOT NULL GROUP BY doc_id)
+SELECT t.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce({_JOINED.format("x")}, '')) AS base_sha256,
+  coalesce({_JOINED.format("list_concat(x, coalesce(y, []))")}, '') AS spans, coalesce(l, 0)::BIGINT AS n_live, coalesce(m, 0)::BIGINT AS n_example
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN v USING (doc_id)
+"""
