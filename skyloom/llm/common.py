@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ def drop(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now; it does so when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

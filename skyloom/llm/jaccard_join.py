@@ -38,13 +38,15 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: A shingle in the first places of more sets than this comes last in the order; any set of such shingles gives the same links.
 COMMON = 32
-#: A region joins directly when so many members at most are outside its largest component.
-DIRECT = 64
+#: A region joins directly when its core documents times its members outside the largest component are so many at most.
+DIRECT = 1 << 20
 #: Further pivots a round for other regions, and rounds after which these join directly as well.
 PIVOTS, ROUNDS = 16, 6
 MEMO_WORDS = 400_000
 
-SKETCH = "doc_id long, th long, n long, f1 long, f2 long, first array<long>"
+SKETCH = "doc_id long, th long, n long, f1 long, f2 long, pool array<long>"
+#: Shingles of a pool for each that a document must bring.
+POOL = 1.5
 
 
 class _Words(dict):
@@ -90,10 +92,10 @@ def _sketch_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t or b"", memo) for t in b.column("text").to_pylist()]
         prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
         half = lambda shift: pa.array(np.array([p >> shift & (2**64 - 1) for p in prints], np.uint64).view(np.int64))  # noqa: E731, B023
-        first = [s[: prefix_size(len(s))].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+        first = [s[: int(POOL * prefix_size(len(s)))].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
         at = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32))
         lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), half(64), half(0), lists], ["doc_id", "th", "n", "f1", "f2", "first"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), half(64), half(0), lists], ["doc_id", "th", "n", "f1", "f2", "pool"])
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -140,22 +142,35 @@ def _places(nodes: DataFrame) -> DataFrame:
     return nodes.select("rep", "n", F.posexplode("first").alias("i", "s"))
 
 
+def _needed() -> Column:
+    return F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1
+
+
 def _ordered_places(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(s, rep, n, i) of every node's first shingles, common shingles last in the order."""
-    places = _places(nodes)
-    many = lambda df: df.groupBy("s").count().filter(F.col("count") > COMMON).select("s")
-    hot = common.store(many(places), "common")
-    ids = nodes.select("rep", "id0", "th")
+    """(s, rep, n, i) of every node's first shingles, common shingles last in the order.
+
+    The pool of a node holds more of its first shingles than it must bring, so leaving out the common ones
+    mostly leaves enough; only documents made of common text are read again.
+    """
+    plain = nodes.select("rep", "n", F.slice("pool", F.lit(1), _needed().cast("int")).alias("first"))
+    places = _places(plain)
+    hot = common.store(places.groupBy("s").count().filter(F.col("count") > COMMON).select("s"), "common")
     near = places.join(hot, "s", "left_semi").select("rep").distinct()
-    # the whole sets of documents that hold a common shingle show which others are common
-    whole = _all_shingles(_texts(docs, ids.join(near, "rep", "left_semi")))
-    late = common.store(many(whole).union(hot).distinct(), "common")
-    touched = common.store(ids.join(places.join(late, "s", "left_semi").select("rep").distinct(), "rep", "left_semi"), "touched")
-    held = common.store(_texts(docs, touched), "touched-texts")
-    last = _all_shingles(held).join(late, "s", "left_semi").groupBy("rep").agg(F.collect_list("s").alias("last"))
-    again = _reordered(held.join(last, "rep"))
-    same = nodes.join(touched, "rep", "left_anti").select("rep", "n", "first")
-    return _places(same.unionByName(nodes.select("rep", "n").join(again, "rep")))
+    pools = nodes.join(near, "rep", "left_semi").select("rep", F.explode("pool").alias("s"))
+    late = pools.join(hot, "s", "left_semi").groupBy("rep").agg(F.collect_list("s").alias("late"))
+    changed = nodes.join(late, "rep").select("rep", "id0", "th", "n", "pool", "late", F.array_except("pool", "late").alias("early"))
+    enough = (F.size("early") >= _needed()) | (F.size("pool") == F.col("n"))
+    changed = common.store(changed.withColumn("first", F.when(enough, F.slice(F.concat("early", F.array_intersect("pool", "late")), F.lit(1), _needed().cast("int")))).drop("pool", "late", "early"), "reordered")
+    common.reclaim(docs.sparkSession)
+    poor = changed.filter("first is null").select("rep", "id0", "th")
+    same = plain.join(changed.select("rep"), "rep", "left_anti")
+    out = same.unionByName(changed.filter("first is not null").select("rep", "n", "first"))
+    if not poor.isEmpty():
+        held = common.store(_texts(docs, poor), "poor-texts")
+        last = _all_shingles(held).join(hot, "s", "left_semi").groupBy("rep").agg(F.collect_list("s").alias("last"))
+        again = _reordered(held.join(last, "rep"))
+        out = out.unionByName(changed.select("rep", "n").join(again, "rep"))
+    return _places(out)
 
 
 def _may_link(n: str, m: str, i: str, j: str, percent: int = PERCENT) -> Column:
@@ -165,9 +180,40 @@ def _may_link(n: str, m: str, i: str, j: str, percent: int = PERCENT) -> Column:
     return sizes & ((i + j) * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _measured(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, d, linked) of pairs (a, b), from both whole sets."""
-    pairs = common.store(pairs.distinct(), "pairs")
+def _near_enough(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, near) of pairs: whether their pools allow a link.
+
+    Up to the smaller of two pools' last hashes, both sets are known whole, and what differs there already is a
+    lower bound of their symmetric difference; most unrelated documents that share a passage end here.
+    """
+    side = lambda x: nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pool").alias(f"p{x}"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            near = []
+            for n, m, x, y in zip(*(batch.column(c) for c in ("na", "nb", "pa", "pb")), strict=True):
+                n, m = n.as_py(), m.as_py()
+                x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
+                # a pool that holds its whole set is known to the end
+                ends = [p[-1] for p, size in ((x, n), (y, m)) if len(p) < size]
+                if ends:
+                    last = min(ends)
+                    x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
+                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                near.append(apart * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, near boolean")
+
+
+def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, d, linked) of pairs (a, b), from both whole sets; d is null where the pools already rule a link out."""
+    asked = common.store(pairs.distinct(), "asked")
+    ends = asked.select(F.col("a").alias("rep")).union(asked.select(F.col("b").alias("rep"))).distinct()
+    nodes = common.store(nodes.join(ends, "rep", "left_semi"), "asked-nodes")
+    ids = nodes.select("rep", "id0", "th")
+    tried = common.store(_near_enough(nodes, asked), "pairs")
+    pairs = tried.filter("near").select("a", "b")
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = common.store(_texts(docs, ids.join(needed, "rep", "left_semi")), "pair-texts")
     side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
@@ -196,8 +242,9 @@ def _measured(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["a", "b", "d", "linked"])
 
     found = common.store(joined.mapInArrow(run, "a long, b long, d double, linked boolean"), "measured")
-    common.drop(texts, pairs)
-    return found
+    common.drop(texts)
+    far = tried.filter("not near").select("a", "b", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
+    return found.unionByName(far)
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -209,37 +256,44 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members of regions that hold several components, with the region's size and how many are outside its largest component."""
+    by_label = members.groupBy("s", "label").agg(F.count("*").alias("c"), F.sum(F.col("core").cast("long")).alias("cores"))
+    left = by_label.groupBy("s").agg((F.sum("c") - F.max("c")).alias("out"), F.sum("c").alias("size"), F.sum("cores").alias("cores")).filter("out > 0")
+    return common.store(members.join(left, "s"), "open")
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): links that connect nodes exactly as all links do. nodes: rep, id0, th, n, first."""
-    ids = nodes.select("rep", "id0", "th")
+    """(a, b): links that connect nodes exactly as all links do. nodes: rep, id0, th, n, pool."""
     core = F.col("i") * (100 + PERCENT) <= F.col("n") * (100 - PERCENT)
     places = common.store(_ordered_places(docs, nodes).withColumn("core", core), "places")
-    shared = places.groupBy("s").agg(F.count("*").alias("c"), F.max("core").alias("any")).filter("c > 1 and any").select("s")
-    members = common.store(places.join(shared, "s", "left_semi"), "regions")
-    common.drop(places)
+    common.reclaim(docs.sparkSession)
     # one pivot a region: its first core document
-    pivot = members.groupBy("s").agg(F.min(F.struct((~F.col("core")).alias("late"), "rep", "n", "i")).alias("p")).select("s", F.col("p.rep").alias("p"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
-    with_pivot = members.join(pivot, "s")
-    star = with_pivot.filter("rep <> p").filter(_may_link("n", "pn", "i", "pi"))
-    measured = _measured(docs, ids, star.select(*_pair("rep", "p")))
+    pivot = places.groupBy("s").agg(F.count("*").alias("c"), F.max("core").alias("any"), F.min(F.when(F.col("core"), F.col("rep"))).alias("p")).filter("c > 1 and any").select("s", "p")
+    members = common.store(places.join(pivot, "s"), "regions")
+    common.drop(places)
+    common.reclaim(docs.sparkSession)
+    own = members.filter("rep = p").select("s", F.col("n").alias("pn"), F.col("i").alias("pi"))
+    star = members.filter("rep <> p").join(own, "s").filter(_may_link("n", "pn", "i", "pi"))
+    measured = _measured(docs, nodes, star.select(*_pair("rep", "p")))
+    linked = measured.filter("linked").select("a", "b")
+    known = measured.select("a", "b", "d")
+    now = _labelled(members, linked).withColumns({"a": F.least("rep", "p"), "b": F.greatest("rep", "p")}).join(known, ["a", "b"], "left").drop("a", "b")
+    rest = _open(now)
+    common.drop(members)
+    common.reclaim(docs.sparkSession)
     for level in range(ROUNDS):
-        now = _labelled(with_pivot, measured.filter("linked").select("a", "b"))
-        known = measured.select("a", "b", "d")
-        now = now.withColumn("a", F.least("rep", "p")).withColumn("b", F.greatest("rep", "p")).join(known, ["a", "b"], "left").drop("a", "b")
-        now = common.store(now, "regions")
-        by_label = now.groupBy("s", "label").count()
-        left = by_label.groupBy("s").agg((F.sum("count") - F.max("count")).alias("out"), F.sum("count").alias("size")).filter("out > 0")
-        open_ = common.store(now.join(left, "s"), "open")
-        wide = F.col("out") > DIRECT
-        if level == ROUNDS - 1 or open_.filter(wide).isEmpty():
+        wide = rest.filter(F.col("out") * F.col("cores") > DIRECT)
+        if wide.isEmpty():
             break
         # other pivots, about PIVOTS a region, from all its members
         every = F.ceil(F.col("size") / PIVOTS).cast("long")
-        more = open_.filter(wide).filter(F.pmod(F.xxhash64("rep", F.lit(level)), every) == 0)
-        measured = common.store(measured.unionByName(_measured(docs, ids, _across(more, open_.filter(wide)).join(measured, ["a", "b"], "left_anti"))), "measured")
-    rest = _across(open_.filter("core"), open_).join(measured, ["a", "b"], "left_anti")
-    measured = measured.unionByName(_measured(docs, ids, rest))
-    return measured.filter("linked").select("a", "b")
+        more = wide.filter(F.pmod(F.xxhash64("rep", F.lit(level)), every) == 0)
+        found = _measured(docs, nodes, _across(more, wide).join(known, ["a", "b"], "left_anti"))
+        linked, known = linked.unionByName(found.filter("linked").select("a", "b")), known.unionByName(found.select("a", "b", "d"))
+        rest = _open(_labelled(rest.drop("label", "out", "size", "cores"), linked))
+    found = _measured(docs, nodes, _across(rest.filter("core"), rest).join(known, ["a", "b"], "left_anti"))
+    return linked.unionByName(found.filter("linked").select("a", "b"))
 
 
 def _across(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -256,10 +310,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = common.store(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
     same = ["f1", "f2", "n"]
     groups = common.store(rows.filter("n > 0").groupBy(*same).agg(F.min("row").alias("rep")), "groups")
-    nodes = rows.join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), "th", "n", "first")
+    nodes = rows.join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), "th", "n", "pool")
+    nodes = common.store(nodes, "nodes")
+    slim = common.store(rows.drop("pool"), "rows")
+    common.drop(rows)
+    common.reclaim(docs.sparkSession)
     labels = components(links(docs, nodes))
     named = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("label"))
-    at = rows.drop("first").join(named, same, "left")
+    at = slim.join(named, same, "left")
     at = common.store(at.withColumn("label", F.coalesce("label", "row")), "labelled")
     least = at.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return at.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "label", "row", "th")
@@ -276,3 +334,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.groupBy("label").agg(first).select(F.coalesce("w.doc_id", F.lit(-(2**63))).alias("_id"), F.col("w.th").alias("_th"))
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64(common.text_of("text")))
     return keyed.join(kept, ["_id", "_th"], "left_semi").select(*docs.columns)
+
+
+SQL1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n_shingles FROM s),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n_shingles + b.n_shingles - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
+SELECT n.doc_id, n_shingles, min(seen) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL
+"""

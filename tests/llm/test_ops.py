@@ -112,7 +112,9 @@ def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_components(empty).collect() == []
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("local", [0, 100])
+def test_components_of_chains(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     edges = [(k, k + 1) for k in range(30)] + [(100, 101)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.label for r in got} == {k: 0 for k in range(31)} | {100: 100, 101: 100}
