@@ -275,6 +275,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     common.reclaim(docs.sparkSession)
     own = members.filter("rep = p").select("s", F.col("n").alias("pn"), F.col("i").alias("pi"))
     star = members.filter("rep <> p").join(own, "s").filter(_may_link("n", "pn", "i", "pi"))
+    # a document's regions mostly agree on their pivot: one measurement each; what is still apart meets below
+    star = star.groupBy("rep").agg(F.min("p").alias("p"))
     measured = _measured(docs, nodes, star.select(*_pair("rep", "p")))
     linked = measured.filter("linked").select("a", "b")
     known = measured.select("a", "b", "d")
