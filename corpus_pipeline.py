@@ -14,7 +14,7 @@ from skyloom.llm import common, exact_dedup, jaccard_join, language_id, mixing,
 STAGES = [
     ("language_id", language_id.stage),
     ("exact_dedup", exact_dedup.stage),
-    ("ngram_jaccard", jaccard_join.stage),
+    ("ngram_jaccard", jaccard_join.pipeline_stage),
     ("mixing", mixing.stage),
     ("packing", packing.stage),
 ]

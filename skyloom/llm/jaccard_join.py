@@ -36,6 +36,8 @@ from . import common
 from .components import components
 
 WORDS, PERCENT = 4, 85
+#: What the near-duplicate stage of a pipeline asks; the constants above bind op1 alone.
+STAGE_WORDS, STAGE_PERCENT = 5, 80
 #: A shingle in the first places of more sets than this comes last in the order; any set of such shingles gives the same links.
 COMMON = 32
 #: A region joins directly when its core documents times its members outside the largest component are so many at most.
@@ -86,13 +88,13 @@ def prefix_size(n: np.ndarray | int, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _sketch_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_batches(it: Iterator[pa.RecordBatch], k: int = WORDS, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     memo = _Words()
     for b in it:
-        sets = [shingles(t or b"", memo) for t in b.column("text").to_pylist()]
+        sets = [shingles(t or b"", memo, k) for t in b.column("text").to_pylist()]
         prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
         half = lambda shift: pa.array(np.array([p >> shift & (2**64 - 1) for p in prints], np.uint64).view(np.int64))  # noqa: E731, B023
-        first = [s[: int(POOL * prefix_size(len(s)))].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+        first = [s[: int(POOL * prefix_size(len(s), percent))].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
         at = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32))
         lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), half(64), half(0), lists], ["doc_id", "th", "n", "f1", "f2", "pool"])
@@ -109,20 +111,20 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return src.join(nodes, ["id0", "th"]).groupBy("id0", "th", "rep").agg(F.first("text").alias("text")).select("rep", "text")
 
 
-def _all_shingles(texts: DataFrame) -> DataFrame:
+def _all_shingles(texts: DataFrame, k: int) -> DataFrame:
     """(rep, s): every shingle of the texts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         for b in it:
             for rep, t in zip(b.column("rep").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = shingles(t, memo).view(np.int64)
+                s = shingles(t, memo, k).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep)), pa.array(s)], ["rep", "s"])
 
     return texts.mapInArrow(run, "rep long, s long")
 
 
-def _reordered(texts: DataFrame) -> DataFrame:
+def _reordered(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(rep, first) of texts (rep, text, last): the first shingles when those in ``last`` come last."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +132,9 @@ def _reordered(texts: DataFrame) -> DataFrame:
         for b in it:
             out = []
             for t, last in zip(b.column("text").to_pylist(), b.column("last").to_pylist(), strict=True):
-                s = shingles(t, memo)
+                s = shingles(t, memo, k)
                 late = np.isin(s, np.array(last, np.int64).view(np.uint64))
-                out.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s))].view(np.int64))
+                out.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s), percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(out, pa.list_(pa.int64()))], ["rep", "first"])
 
     return texts.mapInArrow(run, "rep long, first array<long>")
@@ -142,45 +144,45 @@ def _places(nodes: DataFrame) -> DataFrame:
     return nodes.select("rep", "n", F.posexplode("first").alias("i", "s"))
 
 
-def _needed() -> Column:
-    return F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1
+def _needed(percent: int) -> Column:
+    return F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
 
 
-def _ordered_places(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _ordered_places(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """(s, rep, n, i) of every node's first shingles, common shingles last in the order.
 
     The pool of a node holds more of its first shingles than it must bring, so leaving out the common ones
     mostly leaves enough; only documents made of common text are read again.
     """
-    plain = nodes.select("rep", "n", F.slice("pool", F.lit(1), _needed().cast("int")).alias("first"))
+    plain = nodes.select("rep", "n", F.slice("pool", F.lit(1), _needed(percent).cast("int")).alias("first"))
     places = _places(plain)
     hot = common.store(places.groupBy("s").count().filter(F.col("count") > COMMON).select("s"), "common")
     near = places.join(hot, "s", "left_semi").select("rep").distinct()
     pools = nodes.join(near, "rep", "left_semi").select("rep", F.explode("pool").alias("s"))
     late = pools.join(hot, "s", "left_semi").groupBy("rep").agg(F.collect_list("s").alias("late"))
     changed = nodes.join(late, "rep").select("rep", "id0", "th", "n", "pool", "late", F.array_except("pool", "late").alias("early"))
-    enough = (F.size("early") >= _needed()) | (F.size("pool") == F.col("n"))
-    changed = common.store(changed.withColumn("first", F.when(enough, F.slice(F.concat("early", F.array_intersect("pool", "late")), F.lit(1), _needed().cast("int")))).drop("pool", "late", "early"), "reordered")
+    enough = (F.size("early") >= _needed(percent)) | (F.size("pool") == F.col("n"))
+    changed = common.store(changed.withColumn("first", F.when(enough, F.slice(F.concat("early", F.array_intersect("pool", "late")), F.lit(1), _needed(percent).cast("int")))).drop("pool", "late", "early"), "reordered")
     common.reclaim(docs.sparkSession)
     poor = changed.filter("first is null").select("rep", "id0", "th")
     same = plain.join(changed.select("rep"), "rep", "left_anti")
     out = same.unionByName(changed.filter("first is not null").select("rep", "n", "first"))
     if not poor.isEmpty():
         held = common.store(_texts(docs, poor), "poor-texts")
-        last = _all_shingles(held).join(hot, "s", "left_semi").groupBy("rep").agg(F.collect_list("s").alias("last"))
-        again = _reordered(held.join(last, "rep"))
+        last = _all_shingles(held, k).join(hot, "s", "left_semi").groupBy("rep").agg(F.collect_list("s").alias("last"))
+        again = _reordered(held.join(last, "rep"), k, percent)
         out = out.unionByName(changed.select("rep", "n").join(again, "rep"))
     return _places(out)
 
 
-def _may_link(n: str, m: str, i: str, j: str, percent: int = PERCENT) -> Column:
+def _may_link(n: str, m: str, i: str, j: str, percent: int) -> Column:
     """Sizes and places allow a link."""
     n, m, i, j = (F.col(x) for x in (n, m, i, j))
     sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     return sizes & ((i + j) * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _near_enough(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _near_enough(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, near) of pairs: whether their pools allow a link.
 
     Up to the smaller of two pools' last hashes, both sets are known whole, and what differs there already is a
@@ -200,19 +202,19 @@ def _near_enough(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     last = min(ends)
                     x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
                 apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
-                near.append(apart * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
+                near.append(apart * (100 + percent) <= (n + m) * (100 - percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, near boolean")
 
 
-def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, d, linked) of pairs (a, b), from both whole sets; d is null where the pools already rule a link out."""
     asked = common.store(pairs.distinct(), "asked")
     ends = asked.select(F.col("a").alias("rep")).union(asked.select(F.col("b").alias("rep"))).distinct()
     nodes = common.store(nodes.join(ends, "rep", "left_semi"), "asked-nodes")
     ids = nodes.select("rep", "id0", "th")
-    tried = common.store(_near_enough(nodes, asked), "pairs")
+    tried = common.store(_near_enough(nodes, asked, percent), "pairs")
     pairs = tried.filter("near").select("a", "b")
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = common.store(_texts(docs, ids.join(needed, "rep", "left_semi")), "pair-texts")
@@ -226,7 +228,7 @@ def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             if rep not in sets:
                 if len(sets) >= 64:
                     sets.pop(next(iter(sets)))
-                sets[rep] = shingles(text, memo)
+                sets[rep] = shingles(text, memo, k)
             return sets[rep]
 
         for b in it:
@@ -238,7 +240,7 @@ def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 x = sets[i] if i in sets else of(i, ta[r].as_py())
                 y = sets[j] if j in sets else of(j, tb[r].as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append((i, j, 1 - both / (len(x) + len(y) - both), 100 * both >= PERCENT * (len(x) + len(y) - both)))
+                out.append((i, j, 1 - both / (len(x) + len(y) - both), 100 * both >= percent * (len(x) + len(y) - both)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["a", "b", "d", "linked"])
 
     found = common.store(joined.mapInArrow(run, "a long, b long, d double, linked boolean"), "measured")
@@ -263,10 +265,10 @@ def _open(members: DataFrame) -> DataFrame:
     return common.store(members.join(left, "s"), "open")
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that connect nodes exactly as all links do. nodes: rep, id0, th, n, pool."""
-    core = F.col("i") * (100 + PERCENT) <= F.col("n") * (100 - PERCENT)
-    places = common.store(_ordered_places(docs, nodes).withColumn("core", core), "places")
+    core = F.col("i") * (100 + percent) <= F.col("n") * (100 - percent)
+    places = common.store(_ordered_places(docs, nodes, k, percent).withColumn("core", core), "places")
     common.reclaim(docs.sparkSession)
     # one pivot a region: its first core document
     pivot = places.groupBy("s").agg(F.count("*").alias("c"), F.max("core").alias("any"), F.min(F.when(F.col("core"), F.col("rep"))).alias("p")).filter("c > 1 and any").select("s", "p")
@@ -274,10 +276,10 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     common.drop(places)
     common.reclaim(docs.sparkSession)
     own = members.filter("rep = p").select("s", F.col("n").alias("pn"), F.col("i").alias("pi"))
-    star = members.filter("rep <> p").join(own, "s").filter(_may_link("n", "pn", "i", "pi"))
+    star = members.filter("rep <> p").join(own, "s").filter(_may_link("n", "pn", "i", "pi", percent))
     # a document's regions mostly agree on their pivot: one measurement each; what is still apart meets below
     star = star.groupBy("rep").agg(F.min("p").alias("p"))
-    measured = _measured(docs, nodes, star.select(*_pair("rep", "p")))
+    measured = _measured(docs, nodes, star.select(*_pair("rep", "p")), k, percent)
     linked = measured.filter("linked").select("a", "b")
     known = measured.select("a", "b", "d")
     now = _labelled(members, linked).withColumns({"a": F.least("rep", "p"), "b": F.greatest("rep", "p")}).join(known, ["a", "b"], "left").drop("a", "b")
@@ -291,24 +293,27 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         # other pivots, about PIVOTS a region, from all its members
         every = F.ceil(F.col("size") / PIVOTS).cast("long")
         more = wide.filter(F.pmod(F.xxhash64("rep", F.lit(level)), every) == 0)
-        found = _measured(docs, nodes, _across(more, wide).join(known, ["a", "b"], "left_anti"))
+        found = _measured(docs, nodes, _across(more, wide, percent).join(known, ["a", "b"], "left_anti"), k, percent)
         linked, known = linked.unionByName(found.filter("linked").select("a", "b")), known.unionByName(found.select("a", "b", "d"))
         rest = _open(_labelled(rest.drop("label", "out", "size", "cores"), linked))
-    found = _measured(docs, nodes, _across(rest.filter("core"), rest).join(known, ["a", "b"], "left_anti"))
+    found = _measured(docs, nodes, _across(rest.filter("core"), rest, percent).join(known, ["a", "b"], "left_anti"), k, percent)
     return linked.unionByName(found.filter("linked").select("a", "b"))
 
 
-def _across(left: DataFrame, right: DataFrame) -> DataFrame:
+def _across(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs of a region's members that may link, are in different components, and lie near enough by their pivot's distances."""
     x = left.select("s", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"), F.col("label").alias("xl"), F.col("d").alias("xd"))
     y = right.select("s", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("label").alias("yl"), F.col("d").alias("yd"))
-    window = F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-    return x.join(y, "s").filter("xl <> yl").filter(_may_link("xn", "yn", "xi", "yi")).filter(window).select(*_pair("x", "y")).distinct()
+    window = F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    return x.join(y, "s").filter("xl <> yl").filter(_may_link("xn", "yn", "xi", "yi", percent)).filter(window).select(*_pair("x", "y")).distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, and label: the component's first row, row: the row's number, th: a hash of its text."""
-    sketches = _source(docs).mapInArrow(_sketch_batches, SKETCH)
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, and label: the component's first row, row: the row's number, th: a hash of its text.
+
+    Documents link where their k-word shingles have a Jaccard similarity of ``percent`` hundredths or more.
+    """
+    sketches = _source(docs).mapInArrow(lambda it: _sketch_batches(it, k, percent), SKETCH)
     rows = common.store(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
     same = ["f1", "f2", "n"]
     groups = common.store(rows.filter("n > 0").groupBy(*same).agg(F.min("row").alias("rep")), "groups")
@@ -317,7 +322,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     slim = common.store(rows.drop("pool"), "rows")
     common.drop(rows)
     common.reclaim(docs.sparkSession)
-    labels = components(links(docs, nodes))
+    labels = components(links(docs, nodes, k, percent))
     named = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("label"))
     at = slim.join(named, same, "left")
     at = common.store(at.withColumn("label", F.coalesce("label", "row")), "labelled")
@@ -329,15 +334,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component stays: the one with the smallest id (of repeated rows, the first)."""
-    found = common.store(jaccard_components(docs), "near")
+    found = common.store(jaccard_components(docs, k, percent), "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "th")).alias("w")
     kept = found.groupBy("label").agg(first).select(F.coalesce("w.doc_id", F.lit(-(2**63))).alias("_id"), F.col("w.th").alias("_th"))
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64(common.text_of("text")))
     return keyed.join(kept, ["_id", "_th"], "left_semi").select(*docs.columns)
 
 
+def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return stage(spark, docs, sf_dir, STAGE_WORDS, STAGE_PERCENT)
+
+
 SQL1 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),

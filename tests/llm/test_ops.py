@@ -108,6 +108,23 @@ def test_jaccard_stage_keeps_one_of_each(spark, docs, rows):
     assert {r.doc_id for r in kept.collect()} == want | {None} and kept.columns == docs.columns
 
 
+def test_pipeline_near_dedup_asks_for_five_words_at_four_fifths(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    # ten scattered changes in 460 words: 406/506 = 0.802 on five words; eleven more in the third text take it below
+    words = [f"w{i}" for i in range(460)]
+    near = [f"n{i}" if i % 46 == 20 else w for i, w in enumerate(words)]
+    far = [f"f{i}" if i % 22 == 11 else w for i, w in enumerate(words)]
+    data = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(456)} for _, t in data]
+    alike = lambda x, y: len(x & y) / len(x | y)
+    assert alike(grams[0], grams[1]) >= 0.8 > max(alike(grams[0], grams[2]), alike(grams[1], grams[2]))
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
+    # op1's own contract stays at four words and 0.85
+    got = jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {1, 2, 3}
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_components(empty).collect() == []
 
