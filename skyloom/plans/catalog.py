@@ -499,6 +499,21 @@ def seg_similarity(spark, d):
     return s.select(F.col("a_leg_id").alias("a"), F.col("b_leg_id").alias("b"), *_r("overlap", "separation", "similarity"))
 
 
+#: The legs that start in one hour, across flights, as the hour's file of segments.
+_HOUR_SIMS = _similarity_sql(f"{POINTS}, {LEGS}, hourly AS (SELECT *, CAST(floor(from_time / 3600) AS BIGINT) AS hour FROM legs), pairs AS (SELECT a.hour, a.leg_id AS a, b.leg_id AS b, {', '.join(f'{p}.{e}_{c} AS {p}_{e}_{c}' for p in 'ab' for e in ('from', 'to') for c in ('lat', 'lon'))} FROM hourly a JOIN hourly b ON a.hour = b.hour AND a.leg_id < b.leg_id)")
+
+
+def _sims(spark, d) -> DataFrame:
+    hour = F.floor(F.col("from_time") / 3600).cast("long").alias("grp")
+    s = flows.similarity(views.legs(spark, d).select("*", hour), group=["grp"])
+    return s.select("grp", F.col("a_leg_id").alias("a"), F.col("b_leg_id").alias("b"), "overlap", "separation", "similarity")
+
+
+@query("flow_similarity", f"WITH {_HOUR_SIMS} SELECT a, b, round(overlap, 6) AS overlap, round(separation, 6) AS separation, round(similarity, 6) AS similarity FROM sims")
+def flow_similarity(spark, d):
+    return _sims(spark, d).select("a", "b", *_r("overlap", "separation", "similarity"))
+
+
 _PARTS = ", ".join(f"({j}, {y1}e0, {x1}e0, {y2}e0, {x2}e0)" for j, ((x1, y1), (x2, y2)) in enumerate(zip(LINE, LINE[1:], strict=False)))
 
 
@@ -518,7 +533,7 @@ def eps_neighbours(spark, d):
     return flows.long_enough(flows.near_polyline(views.legs(spark, d), LINE, 3.0), 5.0).select("leg_id", "id")
 
 
-def _sims(spark, d) -> DataFrame:
+def _flight_sims(spark, d) -> DataFrame:
     s = flows.similarity(views.legs(spark, d), group=["id"])
     return s.select(F.col("id").cast("long").alias("grp"), F.col("a_leg_id").alias("a"), F.col("b_leg_id").alias("b"), "similarity")
 
@@ -539,23 +554,34 @@ def dbscan(spark, d):
     return flows.dbscan(e, 0.02, 4, 2)
 
 
-def _weighted(spark, d) -> DataFrame:
-    return _sims(spark, d).filter(F.col("similarity") > 0.5).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("similarity").alias("w"))
+def _weighted(sims: DataFrame) -> DataFrame:
+    return sims.filter(F.col("similarity") > 0.5).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("similarity").alias("w"))
 
 
 @query("communities")
 def communities(spark, d):
-    return graph.communities(_weighted(spark, d), 0.5)
+    return graph.communities(_weighted(_sims(spark, d)), 0.5)
 
 
 @query("cpm_quality", f"WITH {_SIMS}, e AS (SELECT a AS u, b AS v, similarity AS w FROM sims WHERE similarity > 0.5), n AS (SELECT leg_id AS node, id % 40 AS community FROM legs), i AS (SELECT x.community, sum(w) AS w FROM e JOIN n x ON x.node = u JOIN n y ON y.node = v WHERE x.community = y.community GROUP BY 1) SELECT n.community, round(coalesce(any_value(i.w), 0) - 0.7e0 * count(*) * (count(*) - 1) / 2e0, 4) AS quality FROM n LEFT JOIN i ON i.community = n.community GROUP BY n.community")
 def cpm_quality(spark, d):
     homes = views.legs(spark, d).select(F.col("leg_id").alias("node"), (F.col("id") % 40).alias("community"))
-    return graph.cpm_quality(_weighted(spark, d), homes, 0.7).select("community", *_r("quality", digits=4))
+    return graph.cpm_quality(_weighted(_flight_sims(spark, d)), homes, 0.7).select("community", *_r("quality", digits=4))
+
+
+@query("flow_quality", f"WITH {_HOUR_SIMS}, e AS (SELECT a AS u, b AS v, similarity AS w FROM sims WHERE similarity > 0.5), n AS (SELECT leg_id AS node, hour AS community FROM hourly), i AS (SELECT x.community, sum(w) AS w FROM e JOIN n x ON x.node = u JOIN n y ON y.node = v WHERE x.community = y.community GROUP BY 1) SELECT n.community, round(coalesce(any_value(i.w), 0) - 0.7e0 * count(*) * (count(*) - 1) / 2e0, 4) AS quality FROM n LEFT JOIN i ON i.community = n.community GROUP BY n.community")
+def flow_quality(spark, d):
+    homes = views.legs(spark, d).select(F.col("leg_id").alias("node"), F.floor(F.col("from_time") / 3600).cast("long").alias("community"))
+    return graph.cpm_quality(_weighted(_sims(spark, d)), homes, 0.7).select("community", *_r("quality", digits=4))
 
 
 @query("components", f"WITH RECURSIVE {_SIMS}, e AS (SELECT a, b FROM sims WHERE similarity > 0.6 UNION SELECT b, a FROM sims WHERE similarity > 0.6), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS label FROM r GROUP BY node")
 def components(spark, d):
+    return graph.components(_flight_sims(spark, d).filter(F.col("similarity") > 0.6).select("a", "b"))
+
+
+@query("flow_components", f"WITH RECURSIVE {_HOUR_SIMS}, e AS (SELECT a, b FROM sims WHERE similarity > 0.6 UNION SELECT b, a FROM sims WHERE similarity > 0.6), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS label FROM r GROUP BY node")
+def flow_components(spark, d):
     return graph.components(_sims(spark, d).filter(F.col("similarity") > 0.6).select("a", "b"))
 
 
