@@ -150,10 +150,11 @@ def spectral(sims: DataFrame, dims: int = 2) -> DataFrame:
     return sims.groupBy("grp").applyInPandas(run, "grp long, node long, coords array<double>")
 
 
-def dbscan(points: DataFrame, eps: float, least: int, dims: int) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, least: int, dims: int, group: list[str] | None = None) -> DataFrame:
     """(id, cluster) of points (id, x: array): density clusters, -1 for noise, each named by its smallest core id; a border point goes to its smallest neighbouring core's cluster.
 
     Neighbours meet in grid cells of width eps over the first two coordinates; clusters are components of the core links.
+    With ``group``, only points of one group are neighbours; ids are unique across groups.
     """
     from .graph import components
 
@@ -162,9 +163,10 @@ def dbscan(points: DataFrame, eps: float, least: int, dims: int) -> DataFrame:
     own = points.withColumn("_c", at)
     steps = [[i] for i in (-1, 0, 1)] if d == 1 else [[i, j] for i in (-1, 0, 1) for j in (-1, 0, 1)]
     around = F.array(*[F.array(*[F.get("_c", F.lit(k)) + s for k, s in enumerate(st)]) for st in steps])
-    near = own.select(F.col("id").alias("p"), F.col("x").alias("px"), F.explode(around).alias("_c"))
+    by = group or []
+    near = own.select(*by, F.col("id").alias("p"), F.col("x").alias("px"), F.explode(around).alias("_c"))
     dist = F.sqrt(F.aggregate(F.zip_with("px", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    pairs = near.join(own, "_c").filter(dist <= eps).select("p", F.col("id").alias("q"))
+    pairs = near.join(own, [*by, "_c"]).filter(dist <= eps).select("p", F.col("id").alias("q"))
     core = pairs.groupBy("p").count().filter(F.col("count") >= least).select("p")
     out = pairs.join(core, "p").select("p", "q")
     links = out.join(core.select(F.col("p").alias("q")), "q", "left_semi")

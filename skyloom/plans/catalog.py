@@ -89,6 +89,13 @@ def gap_consecutive(spark, d):
     return stitch.consecutive_only(early, DAY).select("id", F.size("files").cast("long").alias("n"))
 
 
+@query("gap_consecutive_all", f"WITH {POINTS}, files AS (SELECT DISTINCT id, CAST(floor(t / 172800) AS BIGINT) * 172800 AS f FROM points), g AS (SELECT id, f, f - lag(f) OVER (PARTITION BY id ORDER BY f) AS gap FROM files) SELECT id, count(*) AS n FROM g GROUP BY id HAVING coalesce(bool_and(gap = 172800), true)")
+def gap_consecutive_all(spark, d):
+    # the whole catalogue; files of two days, as nearly every id misses some single day
+    cat = stitch.catalogue(views.points(spark, d), (F.floor(F.col("t") / (2 * DAY)) * (2 * DAY)).cast("long"))
+    return stitch.consecutive_only(cat, 2 * DAY).select("id", F.size("files").cast("long").alias("n"))
+
+
 @query("gap_truncate", f"WITH {_CAT}, g AS (SELECT id, f, coalesce(f - lag(f) OVER w > 86400, false) AS brk FROM days WINDOW w AS (PARTITION BY id ORDER BY f)), s AS (SELECT id, f, sum(brk::INT) OVER (PARTITION BY id ORDER BY f) AS k FROM g) SELECT id, count(*) AS n, max(f) AS last FROM s WHERE k = 0 GROUP BY id HAVING count(*) >= 2")
 def gap_truncate(spark, d):
     return stitch.truncated(_catalogue(spark, d), DAY, 2).select("id", F.size("files").cast("long").alias("n"), F.array_max("files").alias("last"))
@@ -550,8 +557,9 @@ def spectral(spark, d):
 
 @query("dbscan")
 def dbscan(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double")).alias("x"))
-    return flows.dbscan(e, 0.02, 4, 2)
+    # the spectral coordinates of each hour's legs, as in the reference; two legs alone have one
+    e = flows.spectral(_sims(spark, d)).select("grp", F.col("node").alias("id"), F.slice(F.concat("coords", F.array(F.lit(0.0))), 1, 2).alias("x"))
+    return flows.dbscan(e, 0.02, 4, 2, group=["grp"])
 
 
 def _weighted(sims: DataFrame) -> DataFrame:

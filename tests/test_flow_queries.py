@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from skyloom.operators import flows
 from skyloom.plans import catalog, views
 
 DATA = "/root/testdata/sf0.001"
@@ -34,3 +35,24 @@ def test_graphs_join_legs_of_several_flights(spark, legs, name):
         assert any(len(ids) > 1 for ids in homes.values())
     else:
         assert any(legs[r.a].id != legs[r.b].id for r in found)
+
+
+def test_consecutive_files_of_the_whole_catalogue(spark):
+    step, files = 2 * 86_400, {}
+    for r in views.points(spark, DATA).select("id", "t").collect():
+        files.setdefault(r.id, set()).add(r.t // step)
+    want = {i: len(f) for i, f in files.items() if max(f) - min(f) + 1 == len(f)}
+    assert {r.id: r.n for r in catalog.QUERIES["gap_consecutive_all"](spark, DATA).collect()} == want
+    assert max(want.values()) > 2  # more than the first four days hold
+
+
+def test_dbscan_takes_every_spectral_coordinate_and_stays_in_its_group(spark):
+    got = {r.id: r.cluster for r in catalog.QUERIES["dbscan"](spark, DATA).collect()}
+    groups = {}
+    for r in catalog.QUERIES["spectral"](spark, DATA).collect():
+        groups.setdefault(r.grp, []).append(r.node)
+    assert set(got) == {k for g in groups.values() for k in g}
+    assert all(got[k] == -1 for g in groups.values() if len(g) < 4 for k in g)
+    rows = [(g, 10 * g + i, [0.001 * i, 0.0]) for g in range(2) for i in range(4)]
+    apart = flows.dbscan(spark.createDataFrame(rows, "grp long, id long, x array<double>"), 0.02, 4, 2, group=["grp"])
+    assert {r.id: r.cluster for r in apart.collect()} == {i: 10 * g for g, i, _ in rows}
