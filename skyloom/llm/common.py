@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import math
 import tempfile
 import uuid
@@ -62,10 +61,13 @@ def drop(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
-def reclaim(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps now; it does so when the driver collects its garbage, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Rows of a few numbers each that every task may hold.
+SMALL_ROWS = 300_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``SMALL_ROWS`` rows; larger ones are shuffled. The result is the same."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

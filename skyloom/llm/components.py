@@ -1,49 +1,17 @@
 """Connected components of an edge list by alternating large and small stars.
 
-An edge list of at most ``LOCAL_EDGES`` is joined by union-find in one task. Of a larger one, every round rewires
-edges to smaller neighbours by grouping and joining, so no node's neighbours meet in one task and the rounds
-grow with the logarithm of the component size, not with its diameter.
+Every round rewires edges to smaller neighbours by grouping and joining, so no node's neighbours meet in one task and
+the rounds grow with the logarithm of the component size, not with its diameter. Each round is written, the last one's edges go.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
-#: Edges that one task may hold: 16 bytes each as they come, and a few hundred in a dictionary.
-LOCAL_EDGES = 500_000
-
-
-def _joined(edges: DataFrame) -> DataFrame:
-    """(node, label) by union-find in one task."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for b in it:
-            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
-                root.setdefault(u, u)
-                root.setdefault(v, v)
-                a, c = find(u), find(v)
-                root[max(a, c)] = min(a, c)
-        nodes = sorted(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "label"])
-
-    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, label long")
-
-
 def _signature(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -65,8 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
     first = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = common.store(first, "edges")
     seen = _signature(now)
-    if seen[0] <= LOCAL_EDGES:
-        return common.store(_joined(now), "labels")
     while seen[0]:
         after = common.store(_small(_large(now)), "edges")
         common.drop(now)

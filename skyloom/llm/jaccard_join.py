@@ -3,23 +3,30 @@
 Sets are a document's distinct word shingles, as 64-bit hashes. Under the symmetric difference D, a metric,
 two sets of sizes a and b have Jaccard similarity t or more exactly when D <= (1-t)/(1+t) * (a+b).
 
-Documents of a corpus lie at distance 1 from nearly every other, so pivots taken from the corpus would send
-nearly all of them to every region. The first level therefore takes single shingles as pivots, in one total
-order. A set's nearest pivots are its first shingles. If s is the first shingle that two sets share, at
-places i and j (from 0), then i + j <= D: by the triangle inequality a document is home in the regions of
-its first (1-t)/(1+t)*a + 1 shingles (core) and is replicated, as a boundary document, to those up to
-(1-t)*a + 1; two boundary documents never need to meet. Shingles that many documents hold come last in the
-order, so common lines and passages make no region.
-
-Inside a region the join recurses with documents as pivots: members are measured against the pivot, those
-within the radius are linked to it (and to each other's component at once, so a group of n near copies
-costs n measurements, not n*n), and what remains joins only across components and only where the
-triangle inequality |d(x,p) - d(y,p)| <= 1-t allows a link; regions with many documents outside the pivot's
-component get further pivots first. Equal sets are one node from the start. Each pair is decided by the two
-whole sets, so no link is lost; shingles of a pair could only be confused by equal 64-bit hashes.
+Documents of a corpus lie at Jaccard distance 1 from nearly every other, so pivots drawn from the corpus would send
+nearly all of them to every region. The first level therefore takes the empty set and single shingles as pivots. The
+distance to the empty set is a set's size and gives the size window. A set's nearest shingles are its own, taken in
+one total order; D(x, {s}) bounds what two sets that meet at s can still share: if s is the first shingle that
+both hold, at places i and j (from 0), then D >= a + b - 2 * min(a - i, b - j). So a document is home in the regions of its
+first (1-t)/(1+t)*a + 1 shingles (core) and is replicated, as a boundary document, to those up to (1-t)*a + 1;
+two boundary documents never need to meet. The order puts rare shingles first, so that text which many documents
+share makes a region only for documents that consist of it; any order gives the same links.
+
+Inside a region the join recurses with documents as pivots, the most central first (those whose place in the region
+is least for their size). Members are measured against a pivot where the windows allow a link; linked ones fall into its
+component, and members of one component need no further pivot among themselves, so a group of n near copies costs n
+measurements, not n*n. Distances to the region's first pivot give the next rounds their triangle windows
+|D(x,p) - D(y,p)| <= (1-t)/(1+t) * (a+b). Each round takes STEP times as many pivots as the last; a region ends when it is
+one component or all of its core documents were pivots, so the rounds grow with the logarithm of a region's size and no pair is
+left out. Equal sets are one node from the start. Each pair is decided by the two whole sets, so no link is lost;
+shingles of a pair could only be confused by equal 64-bit hashes.
+
+A pair's sets meet in one task with its pivot: the pivot's set travels once for each million shingles of its partners,
+and a hub with more partners is dealt to several tasks.
 
 Nulls: a null or wordless text has an empty set and links with nothing. A null doc_id is a document; its
-component_id is the smallest non-null id of the component, else null. Repeated rows link with each other.
+component_id is the smallest non-null id of the component, else null. Repeated rows link with each other. An empty
+table gives an empty result. Extra columns of any name are not read, and the stage returns them as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,17 +45,20 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: What the near-duplicate stage of a pipeline asks; the constants above bind op1 alone.
 STAGE_WORDS, STAGE_PERCENT = 5, 80
-#: A shingle in the first places of more sets than this comes last in the order; any set of such shingles gives the same links.
-COMMON = 32
-#: A region joins directly when its core documents times its members outside the largest component are so many at most.
-DIRECT = 1 << 20
-#: Further pivots a round for other regions, and rounds after which these join directly as well.
-PIVOTS, ROUNDS = 16, 6
+#: A shingle that more sets than this bring to the front counts as common; levels of commonness are LEVEL times apart. Any order gives the same links.
+COMMON, LEVEL = 32, 4
+#: Places of the table of common shingles for each of them, and at most; a place that two shingles share only makes one more of them common.
+TABLE_ROOM, TABLE_MOST = 64, 1 << 24
+#: Each round has so many times the pivots of the last.
+STEP = 8
+#: Shingles of the partners that one task compares with a pivot at a time.
+HUB_SHINGLES = 1 << 20
 MEMO_WORDS = 400_000
 
 SKETCH = "doc_id long, th long, n long, f1 long, f2 long, pool array<long>"
 #: Shingles of a pool for each that a document must bring.
 POOL = 1.5
+NO_ID = -(2**63)
 
 
 class _Words(dict):
@@ -105,207 +115,218 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rep, text) of nodes (rep, id0, th)."""
-    src = _source(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), "th", "text")
-    return src.join(nodes, ["id0", "th"]).groupBy("id0", "th", "rep").agg(F.first("text").alias("text")).select("rep", "text")
-
-
-def _all_shingles(texts: DataFrame, k: int) -> DataFrame:
-    """(rep, s): every shingle of the texts."""
+def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """(rep, set) of rows (rep, id0, th): whole sets as sorted little-endian hashes. Repeated rows may give a set again from another task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
+        memo, done = _Words(), set()
         for b in it:
-            for rep, t in zip(b.column("rep").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = shingles(t, memo, k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep)), pa.array(s)], ["rep", "s"])
+            reps, sets = [], []
+            for rep, t in zip(b.column("rep").to_pylist(), b.column("text"), strict=True):
+                if rep not in done:
+                    done.add(rep)
+                    reps.append(rep)
+                    sets.append(shingles(t.as_py(), memo, k).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "set"])
 
-    return texts.mapInArrow(run, "rep long, s long")
+    src = _source(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), "th", "text")
+    return src.join(common.small(needed), ["id0", "th"]).select("rep", "text").mapInArrow(run, "rep long, set binary")
 
 
-def _reordered(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(rep, first) of texts (rep, text, last): the first shingles when those in ``last`` come last."""
+def _exploded(sets: DataFrame) -> DataFrame:
+    """(s): every shingle of the sets."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
         for b in it:
-            out = []
-            for t, last in zip(b.column("text").to_pylist(), b.column("last").to_pylist(), strict=True):
-                s = shingles(t, memo, k)
-                late = np.isin(s, np.array(last, np.int64).view(np.uint64))
-                out.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s), percent)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(out, pa.list_(pa.int64()))], ["rep", "first"])
+            for x in b.column("set"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), "<i8"))], ["s"])
 
-    return texts.mapInArrow(run, "rep long, first array<long>")
+    return sets.select("set").mapInArrow(run, "s long")
 
 
-def _places(nodes: DataFrame) -> DataFrame:
-    return nodes.select("rep", "n", F.posexplode("first").alias("i", "s"))
+def _common(shingles: DataFrame) -> DataFrame:
+    return shingles.groupBy("s").agg(F.count("*").alias("c")).filter(F.col("c") > COMMON)
 
 
-def _needed(percent: int) -> Column:
-    return F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+def _levels(hot: DataFrame) -> np.ndarray:
+    """How common shingles are, by their low bits: 0 is rare. Its size is bounded; shingles that share a place share its level."""
+    n = hot.count()
+    size = min(TABLE_MOST, 1 << max(6, (TABLE_ROOM * n).bit_length()))
+    level = (1 + F.floor(F.log(F.col("c") / COMMON) / float(np.log(LEVEL)))).cast("int")
+    rows = hot.groupBy(F.col("s").bitwiseAND(F.lit(size - 1)).cast("int").alias("at")).agg(F.max(level).alias("level")).toPandas()
+    table = np.zeros(size, np.uint8)
+    table[rows["at"].to_numpy(np.int64)] = rows["level"].to_numpy(np.uint8)
+    return table
 
 
-def _ordered_places(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(s, rep, n, i) of every node's first shingles, common shingles last in the order.
-
-    The pool of a node holds more of its first shingles than it must bring, so leaving out the common ones
-    mostly leaves enough; only documents made of common text are read again.
-    """
-    plain = nodes.select("rep", "n", F.slice("pool", F.lit(1), _needed(percent).cast("int")).alias("first"))
-    places = _places(plain)
-    hot = common.store(places.groupBy("s").count().filter(F.col("count") > COMMON).select("s"), "common")
-    near = places.join(hot, "s", "left_semi").select("rep").distinct()
-    pools = nodes.join(near, "rep", "left_semi").select("rep", F.explode("pool").alias("s"))
-    late = pools.join(hot, "s", "left_semi").groupBy("rep").agg(F.collect_list("s").alias("late"))
-    changed = nodes.join(late, "rep").select("rep", "id0", "th", "n", "pool", "late", F.array_except("pool", "late").alias("early"))
-    enough = (F.size("early") >= _needed(percent)) | (F.size("pool") == F.col("n"))
-    changed = common.store(changed.withColumn("first", F.when(enough, F.slice(F.concat("early", F.array_intersect("pool", "late")), F.lit(1), _needed(percent).cast("int")))).drop("pool", "late", "early"), "reordered")
-    common.reclaim(docs.sparkSession)
-    poor = changed.filter("first is null").select("rep", "id0", "th")
-    same = plain.join(changed.select("rep"), "rep", "left_anti")
-    out = same.unionByName(changed.filter("first is not null").select("rep", "n", "first"))
-    if not poor.isEmpty():
-        held = common.store(_texts(docs, poor), "poor-texts")
-        last = _all_shingles(held, k).join(hot, "s", "left_semi").groupBy("rep").agg(F.collect_list("s").alias("last"))
-        again = _reordered(held.join(last, "rep"), k, percent)
-        out = out.unionByName(changed.select("rep", "n").join(again, "rep"))
-    return _places(out)
+def _ordered(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Sorted hashes in the total order: by level, then by hash."""
+    return values[np.argsort(levels, kind="stable")]
 
 
-def _may_link(n: str, m: str, i: str, j: str, percent: int) -> Column:
-    """Sizes and places allow a link."""
-    n, m, i, j = (F.col(x) for x in (n, m, i, j))
-    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    return sizes & ((i + j) * (100 + percent) <= (n + m) * (100 - percent))
+def _first(nodes: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
+    """(rep, id0, th, n, first): a node's first shingles in the order; null where its pool holds too few of them to tell."""
+    held, mask = nodes.sparkSession.sparkContext.broadcast(table), np.int64(len(table) - 1)
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            pools = b.column("pool")
+            ends, values = pools.offsets.to_numpy(), pools.values.to_numpy(zero_copy_only=False)
+            levels = held.value[values & mask]
+            out = []
+            for k, n in enumerate(b.column("n").to_pylist()):
+                at, need = slice(ends[k], ends[k + 1]), prefix_size(n, percent)
+                v, lev = values[at], levels[at]
+                if lev[:need].any():
+                    rare = v[lev == 0]
+                    v = rare if len(rare) >= need else _ordered(v, lev) if len(v) == n else None
+                out.append(None if v is None else v[:need])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "id0", "th", "n")), pa.array(out, pa.list_(pa.int64()))], ["rep", "id0", "th", "n", "first"])
 
-def _near_enough(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, near) of pairs: whether their pools allow a link.
+    return nodes.mapInArrow(run, "rep long, id0 long, th long, n long, first array<long>")
 
-    Up to the smaller of two pools' last hashes, both sets are known whole, and what differs there already is a
-    lower bound of their symmetric difference; most unrelated documents that share a passage end here.
-    """
-    side = lambda x: nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pool").alias(f"p{x}"))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            near = []
-            for n, m, x, y in zip(*(batch.column(c) for c in ("na", "nb", "pa", "pb")), strict=True):
-                n, m = n.as_py(), m.as_py()
-                x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
-                # a pool that holds its whole set is known to the end
-                ends = [p[-1] for p, size in ((x, n), (y, m)) if len(p) < size]
-                if ends:
-                    last = min(ends)
-                    x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
-                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
-                near.append(apart * (100 + percent) <= (n + m) * (100 - percent))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, near boolean")
-
-
-def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, d, linked) of pairs (a, b), from both whole sets; d is null where the pools already rule a link out."""
-    asked = common.store(pairs.distinct(), "asked")
-    ends = asked.select(F.col("a").alias("rep")).union(asked.select(F.col("b").alias("rep"))).distinct()
-    nodes = common.store(nodes.join(ends, "rep", "left_semi"), "asked-nodes")
-    ids = nodes.select("rep", "id0", "th")
-    tried = common.store(_near_enough(nodes, asked, percent), "pairs")
-    pairs = tried.filter("near").select("a", "b")
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = common.store(_texts(docs, ids.join(needed, "rep", "left_semi")), "pair-texts")
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+def _first_of_sets(sets: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
+    """(rep, n, first) from whole sets."""
+    held, mask = sets.sparkSession.sparkContext.broadcast(table), np.int64(len(table) - 1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sets = _Words(), {}
+        for b in it:
+            sizes, out = [], []
+            for x in b.column("set"):
+                v = np.frombuffer(x.as_py(), "<i8")
+                sizes.append(len(v))
+                out.append(_ordered(v, held.value[v & mask])[: prefix_size(len(v), percent)])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["rep", "n", "first"])
 
-        def of(rep: int, text: bytes) -> np.ndarray:
-            if rep not in sets:
-                if len(sets) >= 64:
-                    sets.pop(next(iter(sets)))
-                sets[rep] = shingles(text, memo, k)
-            return sets[rep]
+    return sets.mapInArrow(run, "rep long, n long, first array<long>").dropDuplicates(["rep"])
 
-        for b in it:
-            # columns are taken row by row: a batch may hold one long text many times
-            out = []
-            ca, cb, ta, tb = (b.column(x) for x in ("a", "b", "ta", "tb"))
-            for r in range(b.num_rows):
-                i, j = ca[r].as_py(), cb[r].as_py()
-                x = sets[i] if i in sets else of(i, ta[r].as_py())
-                y = sets[j] if j in sets else of(j, tb[r].as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append((i, j, 1 - both / (len(x) + len(y) - both), 100 * both >= percent * (len(x) + len(y) - both)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["a", "b", "d", "linked"])
 
-    found = common.store(joined.mapInArrow(run, "a long, b long, d double, linked boolean"), "measured")
-    common.drop(texts)
-    far = tried.filter("not near").select("a", "b", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
-    return found.unionByName(far)
+def _places(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """((s, rep, id0, th, n, i) of every node's first shingles, whole sets that were read for it).
 
+    The pool of a node holds more of its lowest hashes than it must bring, so leaving out the common ones mostly
+    leaves enough; only documents made of common text are read again, and what is common among them comes last as well.
+    """
+    need = (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int")
+    hot = common.store(_common(nodes.select(F.explode(F.slice("pool", F.lit(1), need)).alias("s"))), "common")
+    table = _levels(hot)
+    sets: list[DataFrame] = []
+    poor = common.store(_first(nodes, table, percent).filter("first is null").select("rep", "id0", "th"), "poor")
+    if not poor.isEmpty():
+        sets.append(common.store(_sets(docs, poor, k), "poor-sets"))
+        hot = common.store(hot.unionByName(_common(_exploded(sets[0]))).groupBy("s").agg(F.max("c").alias("c")), "common")
+        table = _levels(hot)
+    first = common.store(_first(nodes, table, percent), "first")
+    again = first.filter("first is null").select("rep", "id0", "th")
+    fresh = common.store(again.join(poor.select("rep"), "rep", "left_anti"), "poor")
+    if not fresh.isEmpty():
+        sets.append(common.store(_sets(docs, fresh, k), "poor-sets"))
+    out = first.filter("first is not null")
+    if sets:
+        held = sets[0] if len(sets) == 1 else sets[0].unionByName(sets[1])
+        read = common.store(_first_of_sets(held.join(common.small(again.select("rep")), "rep", "left_semi"), table, percent), "first")
+        out = out.unionByName(again.join(read, "rep").select("rep", "id0", "th", "n", "first"))
+    return out.select("rep", "id0", "th", "n", F.posexplode("first").alias("i", "s")), sets
+
+
+def _may_link(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
+    """Sizes and places allow a link of sets that first meet at places i and j."""
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return sizes & (F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent)
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
+def _regions(places: DataFrame, percent: int) -> DataFrame:
+    """Members (s, rep, id0, th, n, i, core) of the regions where two documents meet, one of them at home."""
+    placed = places.withColumn("core", F.col("i") * (100 + percent) <= F.col("n") * (100 - percent))
+    shared = placed.groupBy("s").agg(F.count("*").alias("c"), F.max("core").alias("home")).filter("c > 1 and home").select("s")
+    return placed.join(shared, "s", "left_semi")
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links)
-    return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
+def _measured(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, la, lb, sum, both) of pairs (a, b, p, la, lb, sum, size): how many shingles both whole sets share; p is the end that is the pivot, size the other's."""
+    spokes = pairs.withColumn("x", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    parts = spokes.groupBy("p").agg(F.ceil(F.sum("size") / HUB_SHINGLES).cast("int").alias("parts"))
+    spokes = spokes.join(parts, "p").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    spokes = common.store(spokes.select("p", "part", "x"), "spokes")
+    hubs = held.join(common.small(spokes.select(F.col("p").alias("rep"), "part").distinct()), "rep").select(F.col("rep").alias("p"), "part", F.lit(None).cast("long").alias("x"), "set")
+    ends = held.join(common.small(spokes.withColumnRenamed("x", "rep")), "rep").select("p", "part", F.col("rep").alias("x"), "set")
+    stream = hubs.unionByName(ends).repartition("p", "part").sortWithinPartitions("p", "part", F.col("x").asc_nulls_first())
 
-def _open(members: DataFrame) -> DataFrame:
-    """Members of regions that hold several components, with the region's size and how many are outside its largest component."""
-    by_label = members.groupBy("s", "label").agg(F.count("*").alias("c"), F.sum(F.col("core").cast("long")).alias("cores"))
-    left = by_label.groupBy("s").agg((F.sum("c") - F.max("c")).alias("out"), F.sum("c").alias("size"), F.sum("cores").alias("cores")).filter("out > 0")
-    return common.store(members.join(left, "s"), "open")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
+        for b in it:
+            out = []
+            for r, (p, x) in enumerate(zip(b.column("p").to_pylist(), b.column("x").to_pylist(), strict=True)):
+                own = np.frombuffer(b.column("set")[r].as_py(), "<u8")
+                if x is None:
+                    hub = own
+                else:
+                    out.append((p, x, len(np.intersect1d(hub, own, assume_unique=True))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 3)], ["p", "x", "both"])
+
+    found = stream.mapInArrow(run, "p long, x long, both long").select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"), "both").distinct()
+    return pairs.select("a", "b", "la", "lb", "sum").join(found, ["a", "b"])
+
+
+def _pairs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """(a, b, p, la, lb, size, sum): pivots and members of their regions that may link and are in different components."""
+    c = F.col
+    p = pivots.select("s", c("rep").alias("p"), c("n").alias("pn"), c("i").alias("pi"), c("label").alias("pl"), c("d").alias("pd"))
+    near = F.abs(c("d") - c("pd")) * (100 + percent) <= (c("n") + c("pn")) * (100 - percent)
+    met = members.filter("not done").join(p, "s").filter((c("label") != c("pl")) & _may_link(c("n"), c("pn"), c("i"), c("pi"), percent) & F.coalesce(near, F.lit(True)))
+    own = c("rep") < c("p")
+    met = met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"), "p", F.when(own, c("label")).otherwise(c("pl")).alias("la"), F.when(own, c("pl")).otherwise(c("label")).alias("lb"), c("n").alias("size"), (c("n") + c("pn")).alias("sum"))
+    one = F.min(F.struct("p", "size")).alias("o")
+    return met.groupBy("a", "b", "la", "lb", "sum").agg(one).select("a", "b", "la", "lb", "sum", "o.p", "o.size")
 
 
 def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that connect nodes exactly as all links do. nodes: rep, id0, th, n, pool."""
-    core = F.col("i") * (100 + percent) <= F.col("n") * (100 - percent)
-    places = common.store(_ordered_places(docs, nodes, k, percent).withColumn("core", core), "places")
-    common.reclaim(docs.sparkSession)
-    # one pivot a region: its first core document
-    pivot = places.groupBy("s").agg(F.count("*").alias("c"), F.max("core").alias("any"), F.min(F.when(F.col("core"), F.col("rep"))).alias("p")).filter("c > 1 and any").select("s", "p")
-    members = common.store(places.join(pivot, "s"), "regions")
-    common.drop(places)
-    common.reclaim(docs.sparkSession)
-    own = members.filter("rep = p").select("s", F.col("n").alias("pn"), F.col("i").alias("pi"))
-    star = members.filter("rep <> p").join(own, "s").filter(_may_link("n", "pn", "i", "pi", percent))
-    # a document's regions mostly agree on their pivot: one measurement each; what is still apart meets below
-    star = star.groupBy("rep").agg(F.min("p").alias("p"))
-    measured = _measured(docs, nodes, star.select(*_pair("rep", "p")), k, percent)
-    linked = measured.filter("linked").select("a", "b")
-    known = measured.select("a", "b", "d")
-    now = _labelled(members, linked).withColumns({"a": F.least("rep", "p"), "b": F.greatest("rep", "p")}).join(known, ["a", "b"], "left").drop("a", "b")
-    rest = _open(now)
-    common.drop(members)
-    common.reclaim(docs.sparkSession)
-    for level in range(ROUNDS):
-        wide = rest.filter(F.col("out") * F.col("cores") > DIRECT)
-        if wide.isEmpty():
+    places, sets = _places(docs, nodes, k, percent)
+    regions = common.store(_regions(places, percent), "regions")
+    reps = regions.select("rep", "id0", "th").distinct()
+    for s in sets:
+        reps = reps.join(common.small(s.select("rep").distinct()), "rep", "left_anti")
+    sets.append(common.store(_sets(docs, common.store(reps, "ends"), k), "sets"))
+    held = sets[0]
+    for s in sets[1:]:
+        held = held.unionByName(s)
+    turn = F.struct((F.col("i") / F.col("n")).alias("c"), "rep")
+    members = regions.select("s", "rep", "n", "i", "core", turn.alias("turn"), F.col("rep").alias("label"), F.lit(None).cast("long").alias("d"), F.lit(False).alias("done"))
+    linked, known, step = [], [], 1
+    while True:
+        ready = F.col("core") & ~F.col("done")
+        top = Window.partitionBy("s").orderBy("turn")
+        pivots = common.store(members.filter(ready).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= step).drop("r"), "pivots")
+        if pivots.isEmpty():
             break
-        # other pivots, about PIVOTS a region, from all its members
-        every = F.ceil(F.col("size") / PIVOTS).cast("long")
-        more = wide.filter(F.pmod(F.xxhash64("rep", F.lit(level)), every) == 0)
-        found = _measured(docs, nodes, _across(more, wide, percent).join(known, ["a", "b"], "left_anti"), k, percent)
-        linked, known = linked.unionByName(found.filter("linked").select("a", "b")), known.unionByName(found.select("a", "b", "d"))
-        rest = _open(_labelled(rest.drop("label", "out", "size", "cores"), linked))
-    found = _measured(docs, nodes, _across(rest.filter("core"), rest, percent).join(known, ["a", "b"], "left_anti"), k, percent)
-    return linked.unionByName(found.filter("linked").select("a", "b"))
-
-
-def _across(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a region's members that may link, are in different components, and lie near enough by their pivot's distances."""
-    x = left.select("s", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"), F.col("label").alias("xl"), F.col("d").alias("xd"))
-    y = right.select("s", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("label").alias("yl"), F.col("d").alias("yd"))
-    window = F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    return x.join(y, "s").filter("xl <> yl").filter(_may_link("xn", "yn", "xi", "yi", percent)).filter(window).select(*_pair("x", "y")).distinct()
+        pairs = _pairs(members, pivots, percent)
+        for seen in known:
+            pairs = pairs.join(common.small(seen.select("a", "b")), ["a", "b"], "left_anti")
+        pairs = common.store(pairs, "pairs")
+        found = common.store(_measured(held, pairs), "measured")
+        known.append(found)
+        good = found.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent)
+        last = pivots.groupBy("s").agg(F.max("turn").alias("last"), F.min_by("rep", "turn").alias("first"))
+        members = members.join(last, "s", "left").withColumn("done", F.col("done") | F.coalesce(F.col("turn") <= F.col("last"), F.lit(False)))
+        if step == 1:
+            ends = [F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b")]
+            away = found.select("a", "b", (F.col("sum") - 2 * F.col("both")).alias("away"))
+            members = members.select("*", *ends).join(common.small(away), ["a", "b"], "left").withColumn("d", F.when(F.col("rep") == F.col("first"), F.lit(0)).otherwise(F.col("away"))).drop("a", "b", "away")
+        members = members.drop("last", "first")
+        if not good.isEmpty():
+            linked.append(good.select("a", "b"))
+            now = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            members = members.join(common.small(now.select(F.col("node").alias("label"), F.col("label").alias("now"))), "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+        members = common.store(members, "members")
+        still = members.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(ready).alias("ready")).filter("x < y and ready").select("s")
+        members = common.store(members.join(still, "s", "left_semi"), "members")
+        step *= STEP
+    out = regions.sparkSession.createDataFrame([], "a long, b long")
+    for x in linked:
+        out = out.unionByName(x)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -317,11 +338,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     rows = common.store(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
     same = ["f1", "f2", "n"]
     groups = common.store(rows.filter("n > 0").groupBy(*same).agg(F.min("row").alias("rep")), "groups")
-    nodes = rows.join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), "th", "n", "pool")
+    nodes = rows.join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), "th", "n", "pool")
     nodes = common.store(nodes, "nodes")
     slim = common.store(rows.drop("pool"), "rows")
     common.drop(rows)
-    common.reclaim(docs.sparkSession)
     labels = components(links(docs, nodes, k, percent))
     named = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("label"))
     at = slim.join(named, same, "left")
@@ -335,12 +355,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component stays: the one with the smallest id (of repeated rows, the first)."""
+    """One document of each component stays: the one with the smallest id (of repeated rows, one). All columns stay as they are."""
     found = common.store(jaccard_components(docs, k, percent), "near")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "th")).alias("w")
-    kept = found.groupBy("label").agg(first).select(F.coalesce("w.doc_id", F.lit(-(2**63))).alias("_id"), F.col("w.th").alias("_th"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64(common.text_of("text")))
-    return keyed.join(kept, ["_id", "_th"], "left_semi").select(*docs.columns)
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays")
+    judged = found.join(found.groupBy("label").agg(first), "label").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), "th", (F.col("row") == F.col("stays")).alias("kept"))
+    keys = common.store(judged.groupBy("id0", "th").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept")).filter("kept < rows"), "gone")
+    keyed = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id0"), F.xxhash64(common.text_of("text")).alias("th"))
+    others = keyed.join(common.small(keys.select("id0", "th")), ["id0", "th"], "left_anti").select("d.*")
+    repeated = keyed.join(common.small(keys.filter("kept > 0").select("id0", "th")), ["id0", "th"], "left_semi").groupBy("id0", "th").agg(F.first("d").alias("d"))
+    return others.unionByName(repeated.select("d.*"))
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.llm import chroma_prints, components, exact_dedup, hash_tree, jaccard_join, language_id, mixing, packing, secrets, token_counts, warc_revisit, word_ids
+from skyloom.llm import chroma_prints, common, components, exact_dedup, hash_tree, jaccard_join, language_id, mixing, packing, secrets, token_counts, warc_revisit, word_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, label string"
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards brew dark tea under old bridges near quiet towns of stone".split()
@@ -82,11 +82,13 @@ def test_jaccard_join(spark, docs, rows):
     assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(2, None)]
 
 
-def test_jaccard_join_of_many_near_copies_and_a_common_passage(spark, monkeypatch):
-    # small bounds, so that common shingles, poor pools and further pivots all happen
+@pytest.mark.parametrize("small", [0, 300_000])
+def test_jaccard_join_of_many_near_copies_and_a_common_passage(spark, monkeypatch, small):
+    # small bounds, so that common shingles, poor pools, further rounds and hubs in several parts all happen
     monkeypatch.setattr(jaccard_join, "COMMON", 4)
-    monkeypatch.setattr(jaccard_join, "DIRECT", 8)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "STEP", 2)
+    monkeypatch.setattr(jaccard_join, "HUB_SHINGLES", 200)
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
     rng = random.Random(3)
     say = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
     line, seed = say(12), say(60)
@@ -108,6 +110,15 @@ def test_jaccard_stage_keeps_one_of_each(spark, docs, rows):
     assert {r.doc_id for r in kept.collect()} == want | {None} and kept.columns == docs.columns
 
 
+def test_jaccard_stage_leaves_columns_of_any_name_and_one_of_repeated_rows(spark):
+    names = ["doc_id", "text", "id0", "th", "d", "row", "rep", "label", "_id"]
+    data = [(1, "a b c d e f", 7, 8, "x", 9, 10, 11, "userkey1"), (1, "a b c d e f", 7, 8, "x", 9, 10, 11, "userkey1"), (2, "a b c d e f", 0, 0, "y", 0, 0, 0, "userkey2"), (3, None, 1, 1, "z", 1, 1, 1, None), (3, None, 1, 1, "z", 1, 1, 1, None), (None, "p q r s t u", 2, 2, "w", 2, 2, 2, "none")]
+    docs = spark.createDataFrame(data, "doc_id int, text string, id0 int, th int, d string, row int, rep int, label int, _id string")
+    kept = jaccard_join.stage(spark, docs, "")
+    assert kept.columns == names
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([data[0], data[3], data[4], data[5]], key=str)  # rows without words link with nothing
+
+
 def test_pipeline_near_dedup_asks_for_five_words_at_four_fifths(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     # ten scattered changes in 460 words: 406/506 = 0.802 on five words; eleven more in the third text take it below
@@ -129,9 +140,7 @@ def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_components(empty).collect() == []
 
 
-@pytest.mark.parametrize("local", [0, 100])
-def test_components_of_chains(spark, monkeypatch, local):
-    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.label for r in got} == {k: 0 for k in range(31)} | {100: 100, 101: 100}
