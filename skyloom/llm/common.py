@@ -84,6 +84,25 @@ def buckets(rows: int, per_bucket: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_bucket))
 
 
+#: Stands for a null id in keys.
+NO_ID = -(2**63)
+
+
+def kept_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that stay, with all their columns whatever their names.
+
+    judged: (doc_id, th, kept) for every row, th being xxhash64 of the text. Rows are found by id and text, so what
+    moves is the keys of the rows that go; of rows with the same id and text as many stay as are kept, at most one if not all.
+    """
+    own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias("id0")
+    counts = judged.groupBy(own("doc_id"), "th").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"))
+    keys = store(counts.filter("kept < rows"), "gone")
+    keyed = docs.select(F.struct(*docs.columns).alias("d"), own("doc_id"), F.xxhash64(text_of("text")).alias("th"))
+    others = keyed.join(small(keys.select("id0", "th")), ["id0", "th"], "left_anti").select("d.*")
+    repeated = keyed.join(small(keys.filter("kept > 0").select("id0", "th")), ["id0", "th"], "left_semi").groupBy("id0", "th").agg(F.first("d").alias("d"))
+    return others.unionByName(repeated.select("d.*"))
+
+
 def uniform(*cols: Column | str) -> Column:
     """A draw in (0, 1) that depends on the columns only."""
     return ((F.shiftrightunsigned(F.xxhash64(*cols), 11)).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)

@@ -3,11 +3,13 @@
 The history's distinct digests are dealt to shards of bounded size. Each shard becomes one index row: the
 bit levels of a minimal perfect hash, and slots that hold the full digest, the winner's locator and its
 count. New digests are grouped first (a hot text becomes one row before anything moves), looked up in
-their shard's index and compared byte by byte with the slot; members join the historical group,
-nonmembers form groups of their own.
+their shard's index and compared byte by byte with the slot; members join the slot's group,
+nonmembers form groups of their own, and slots that nothing hit are the groups of the history alone. So the index
+gives all groups; rows then take the winner of a group of several, rows of a text of its own are their own winners.
 
 Nulls: a null text counts as empty; a null doc_id sorts after all others. Repeated rows (same id and text)
-are told apart by a row number, so exactly one row of a group stays. An empty table gives an empty result.
+are told apart by a row number, so exactly one row of a group stays. An empty table gives an empty result. Extra columns of any
+name aren't read, and the stage returns them as they are.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ SHARD_ROWS = 8192
 GAMMA = 1.5
 LEVELS = 40
 
-INDEX_SCHEMA = "shard int, n long, sizes string, bits binary, digests binary, ids binary, rows binary, counts binary"
-LOOKED_SCHEMA = "digest binary, member boolean, doc_id long, row long, n long"
+INDEX_SCHEMA = "shard int, n long, sizes string, bits binary, digests binary, ids binary, nulls binary, rows binary, counts binary"
+GROUPS_SCHEMA = "digest binary, keep_id long, keep_row long, group_size long, known boolean"
 
 
 def normalised(text: Column) -> Column:
@@ -36,12 +38,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
-    """(doc_id, row, digest): SHA-256 of the normalised UTF-8 text; row numbers the input rows."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, row, digest, ...): SHA-256 of the normalised UTF-8 text; row numbers the input rows."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        (F.monotonically_increasing_id() if row is None else row).alias("row"),
+        F.monotonically_increasing_id().alias("row"),
         F.unhex(F.sha2(normalised(common.text_of(text_col)).cast("binary"), 256)).alias("digest"),
+        *extra,
     )
 
 
@@ -115,9 +118,10 @@ def _index_row(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     d = _matrix(pdf["digest"])
     sizes, bits, slot = build(d)
     order = np.argsort(slot)
-    ids = pdf["doc_id"].astype("Int64").fillna(np.iinfo(np.int64).max).to_numpy("<i8")
-    packed = [x[order].astype("<i8").tobytes() for x in (ids, pdf["row"].to_numpy(), pdf["n"].to_numpy())]
-    return pd.DataFrame([[key[0], len(d), json.dumps(sizes), np.packbits(bits).tobytes(), d[order].tobytes(), *packed]], columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
+    none = pdf["doc_id"].isna().to_numpy()
+    ids = pdf["doc_id"].astype("Int64").fillna(0).to_numpy("<i8")
+    ids, rows, counts = (x[order].astype("<i8").tobytes() for x in (ids, pdf["row"].to_numpy(), pdf["n"].to_numpy()))
+    return pd.DataFrame([[key[0], len(d), json.dumps(sizes), np.packbits(bits).tobytes(), d[order].tobytes(), ids, none[order].tobytes(), rows, counts]], columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
 
 
 def _shard(shards: int) -> Column:
@@ -131,44 +135,51 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
 
 
 def _look(key: tuple, index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    out = new[["digest"]].assign(member=False, doc_id=pd.array([pd.NA] * len(new), "Int64"), row=0, n=0)
-    if len(index) and len(new):
+    """All groups of a shard: its slots, with what hits them, and the new digests that are no members."""
+    digests, none = _matrix(new["digest"]), new["doc_id"].isna().to_numpy()
+    ids, rows, counts = new["doc_id"].astype("Int64").fillna(0).to_numpy("i8"), new["row"].to_numpy("i8"), new["n"].to_numpy("i8")
+    known = np.zeros(len(new), bool)
+    if len(index):
         x = index.iloc[0]
         sizes = json.loads(x["sizes"])
         bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=sum(sizes)).astype(bool)
         slots = np.frombuffer(x["digests"], np.uint8).reshape(-1, 32)
-        at = find(sizes, bits, slots, _matrix(new["digest"]))
-        ids, rows, counts = (np.frombuffer(x[c], "<i8")[np.maximum(at, 0)] for c in ("ids", "rows", "counts"))
-        none = (at < 0) | (ids == np.iinfo(np.int64).max)
-        out["member"], out["doc_id"] = at >= 0, pd.array(np.where(none, 0, ids), "Int64")
-        out.loc[none, "doc_id"] = pd.NA
-        out["row"], out["n"] = np.where(at >= 0, rows, 0), np.where(at >= 0, counts, 0)
-    return out
+        old = {c: np.frombuffer(x[c], "<i8").copy() for c in ("ids", "rows", "counts")}
+        old_none = np.frombuffer(x["nulls"], bool).copy()
+        at = find(sizes, bits, slots, digests)
+        hit, slot = np.flatnonzero(at >= 0), at[at >= 0]
+        old["counts"][slot] += counts[hit]
+        # the smaller id wins, null last, then the smaller row
+        a, b = (none[hit], old_none[slot]), (ids[hit], old["ids"][slot])
+        first = (~a[0] & a[1]) | ((a[0] == a[1]) & ((b[0] < b[1]) | ((b[0] == b[1]) & (rows[hit] < old["rows"][slot]))))
+        old["ids"][slot[first]], old["rows"][slot[first]], old_none[slot[first]] = ids[hit[first]], rows[hit[first]], none[hit[first]]
+        left = at < 0
+        digests, none = np.concatenate([slots, digests[left]]), np.concatenate([old_none, none[left]])
+        ids, rows, counts = (np.concatenate([o, x[left]]) for o, x in ((old["ids"], ids), (old["rows"], rows), (old["counts"], counts)))
+        known = np.concatenate([np.ones(len(slots), bool), known[left]])
+    keep = pd.array(ids, "Int64")
+    keep[none] = pd.NA
+    return pd.DataFrame({"digest": [d.tobytes() for d in digests], "keep_id": keep, "keep_row": rows, "group_size": counts, "known": known})
 
 
 def look_up(index: DataFrame, new: DataFrame, shards: int) -> DataFrame:
-    """For rows (digest, ...) with distinct digests: is it a member, and its winner and count in the history."""
-    left, right = index.groupBy("shard"), new.select("digest").withColumn("shard", _shard(shards)).groupBy("shard")
-    return left.cogroup(right).applyInPandas(_look, LOOKED_SCHEMA)
+    """All groups (digest, keep_id, keep_row, group_size, known) of an index and rows (digest, doc_id, row, n) with distinct digests; known: the history has it."""
+    left, right = index.groupBy("shard"), new.withColumn("shard", _shard(shards)).groupBy("shard")
+    return left.cogroup(right).applyInPandas(_look, GROUPS_SCHEMA)
 
 
 def exact_dedup(history: DataFrame, new: DataFrame, total: int | None = None) -> DataFrame:
-    """Rows (doc_id, row, digest, keep_id, keep_row, group_size, kept) of both tables of (doc_id, row, digest).
+    """The rows of both tables (doc_id, row, digest, ...) with keep_id, keep_row, group_size and kept.
 
     The winner is the smallest doc_id of history and new rows together.
     """
     shards = common.buckets(total if total is not None else history.count() + new.count(), SHARD_ROWS)
-    old = common.store(grouped(history), "dedup-history")
-    fresh = common.store(grouped(new), "dedup-new")
-    index = build_index(old, shards)
-    looked = common.store(look_up(index, fresh, shards), "dedup-looked").filter("member").select("digest", F.col("n").alias("old_n"), F.col("doc_id").alias("old_id"), F.col("row").alias("old_row"))
-    place = lambda i, r: F.struct(F.col(i).isNull().alias("none"), F.col(i).alias("doc_id"), F.col(r).alias("row"))
-    with_old = fresh.join(looked, "digest", "left")
-    win = F.when(F.col("old_n").isNull(), place("doc_id", "row")).otherwise(F.least(place("doc_id", "row"), place("old_id", "old_row")))
-    groups = with_old.select("digest", win.alias("w"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"))
-    alone = old.join(fresh, "digest", "left_anti").select("digest", place("doc_id", "row").alias("w"), F.col("n").alias("group_size"))
-    groups = groups.unionByName(alone).select("digest", F.col("w.doc_id").alias("keep_id"), F.col("w.row").alias("keep_row"), "group_size")
-    return history.unionByName(new).join(groups, "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
+    index = build_index(grouped(history), shards)
+    several = common.store(look_up(index, grouped(new), shards).filter("group_size > 1").drop("known"), "dedup-groups")
+    rows = history.unionByName(new).join(common.small(several), "digest", "left")
+    alone = F.col("group_size").isNull()
+    own = {"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), "keep_row": F.coalesce("keep_row", "row"), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
+    return rows.withColumns(own).withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
 def dedup_rows(rows: DataFrame) -> DataFrame:
@@ -185,11 +196,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    numbered = common.store(docs.select(F.struct(*docs.columns).alias("d"), F.monotonically_increasing_id().alias("row")), "dedup-rows")
-    found = common.store(digests(numbered.select(F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"), "row"), row=F.col("row")), "dedup-digests")
-    kept = dedup_rows(found).filter("kept").select("row")
-    return numbered.join(kept, "row", "left_semi").select("d.*")
+    """The rows of ``docs`` that stay, with all their columns; one row of each text."""
+    key = F.xxhash64(common.text_of("text")).alias("th")
+    found = common.store(digests(docs, extra=(key,)), "dedup-digests")
+    return common.kept_rows(docs, dedup_rows(found).select("doc_id", "th", "kept"))
 
 
 #: Groups and sizes come from plain grouping; the hash only decides where a digest is looked up.

@@ -9,7 +9,8 @@ Growth appends shards to regions of their own (:func:`layout`), so the key law h
 shard takes keys only into itself.
 
 Nulls: a null key hashes as a value of its own and lands in one shard; a null text has size 1 and the
-CRC of the empty text. Repeated rows get different slots.
+CRC of the empty text. Repeated rows get different slots and are numbered in several tasks if they are many. An empty table gives
+an empty result; extra columns of any name aren't read.
 """
 
 from __future__ import annotations
@@ -90,9 +91,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
         F.lit("key").alias("law"),
         shard_of(F.col(id_col), layout(shards)).alias("shard"),
         shard_of(F.col(id_col), layout(shards + 1)).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = common.store(rows, "sharding")
-    out = numbered(rows, "shard", ["doc_id", "text_crc32", "size"], rows.count())
+    out = numbered(rows, "shard", ["doc_id", "text_crc32", "size", "row"], rows.count())
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

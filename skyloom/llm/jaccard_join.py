@@ -53,12 +53,13 @@ TABLE_ROOM, TABLE_MOST = 64, 1 << 24
 STEP = 8
 #: Shingles of the partners that one task compares with a pivot at a time.
 HUB_SHINGLES = 1 << 20
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
+#: Rows that a worker takes at a time.
+SLICE = 256
 
 SKETCH = "doc_id long, th long, n long, f1 long, f2 long, pool array<long>"
 #: Shingles of a pool for each that a document must bring.
 POOL = 1.5
-NO_ID = -(2**63)
 
 
 class _Words(dict):
@@ -98,16 +99,26 @@ def prefix_size(n: np.ndarray | int, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that a worker holds few sets at once."""
+    for b in it:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _sketch_batches(it: Iterator[pa.RecordBatch], k: int = WORDS, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     memo = _Words()
-    for b in it:
-        sets = [shingles(t or b"", memo, k) for t in b.column("text").to_pylist()]
-        prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+    for b in _slices(it):
+        sizes, prints, first = [], [], []
+        for t in b.column("text"):
+            s = shingles(t.as_py(), memo, k)
+            sizes.append(len(s))
+            prints.append(xxhash.xxh3_128_intdigest(s.tobytes()))
+            first.append(s[: int(POOL * prefix_size(len(s), percent))].view(np.int64) if len(s) else np.zeros(0, np.int64))
         half = lambda shift: pa.array(np.array([p >> shift & (2**64 - 1) for p in prints], np.uint64).view(np.int64))  # noqa: E731, B023
-        first = [s[: int(POOL * prefix_size(len(s), percent))].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
         at = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32))
         lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), half(64), half(0), lists], ["doc_id", "th", "n", "f1", "f2", "pool"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int64()), half(64), half(0), lists], ["doc_id", "th", "n", "f1", "f2", "pool"])
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -120,7 +131,7 @@ def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, done = _Words(), set()
-        for b in it:
+        for b in _slices(it):
             reps, sets = [], []
             for rep, t in zip(b.column("rep").to_pylist(), b.column("text"), strict=True):
                 if rep not in done:
@@ -129,7 +140,7 @@ def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
                     sets.append(shingles(t.as_py(), memo, k).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "set"])
 
-    src = _source(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), "th", "text")
+    src = _source(docs).select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("id0"), "th", "text")
     return src.join(common.small(needed), ["id0", "th"]).select("rep", "text").mapInArrow(run, "rep long, set binary")
 
 
@@ -169,14 +180,11 @@ def _first(nodes: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
     held, mask = nodes.sparkSession.sparkContext.broadcast(table), np.int64(len(table) - 1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            pools = b.column("pool")
-            ends, values = pools.offsets.to_numpy(), pools.values.to_numpy(zero_copy_only=False)
-            levels = held.value[values & mask]
+        for b in _slices(it):
             out = []
-            for k, n in enumerate(b.column("n").to_pylist()):
-                at, need = slice(ends[k], ends[k + 1]), prefix_size(n, percent)
-                v, lev = values[at], levels[at]
+            for n, pool in zip(b.column("n").to_pylist(), b.column("pool"), strict=True):
+                v, need = np.asarray(pool.values), prefix_size(n, percent)
+                lev = held.value[v & mask]
                 if lev[:need].any():
                     rare = v[lev == 0]
                     v = rare if len(rare) >= need else _ordered(v, lev) if len(v) == n else None
@@ -191,7 +199,7 @@ def _first_of_sets(sets: DataFrame, table: np.ndarray, percent: int) -> DataFram
     held, mask = sets.sparkSession.sparkContext.broadcast(table), np.int64(len(table) - 1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in _slices(it):
             sizes, out = [], []
             for x in b.column("set"):
                 v = np.frombuffer(x.as_py(), "<i8")
@@ -203,7 +211,7 @@ def _first_of_sets(sets: DataFrame, table: np.ndarray, percent: int) -> DataFram
 
 
 def _places(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """((s, rep, id0, th, n, i) of every node's first shingles, whole sets that were read for it).
+    """((s, rep, n, i) of every node's first shingles, whole sets that were read for it).
 
     The pool of a node holds more of its lowest hashes than it must bring, so leaving out the common ones mostly
     leaves enough; only documents made of common text are read again, and what is common among them comes last as well.
@@ -226,8 +234,8 @@ def _places(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> tuple[Da
     if sets:
         held = sets[0] if len(sets) == 1 else sets[0].unionByName(sets[1])
         read = common.store(_first_of_sets(held.join(common.small(again.select("rep")), "rep", "left_semi"), table, percent), "first")
-        out = out.unionByName(again.join(read, "rep").select("rep", "id0", "th", "n", "first"))
-    return out.select("rep", "id0", "th", "n", F.posexplode("first").alias("i", "s")), sets
+        out = out.select("rep", "n", "first").unionByName(read)
+    return out.select("rep", "n", F.posexplode("first").alias("i", "s")), sets
 
 
 def _may_link(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
@@ -237,7 +245,7 @@ def _may_link(n: Column, m: Column, i: Column, j: Column, percent: int) -> Colum
 
 
 def _regions(places: DataFrame, percent: int) -> DataFrame:
-    """Members (s, rep, id0, th, n, i, core) of the regions where two documents meet, one of them at home."""
+    """Members (s, rep, n, i, core) of the regions where two documents meet, one of them at home."""
     placed = places.withColumn("core", F.col("i") * (100 + percent) <= F.col("n") * (100 - percent))
     shared = placed.groupBy("s").agg(F.count("*").alias("c"), F.max("core").alias("home")).filter("c > 1 and home").select("s")
     return placed.join(shared, "s", "left_semi")
@@ -255,7 +263,7 @@ def _measured(held: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, np.uint64)
-        for b in it:
+        for b in _slices(it):
             out = []
             for r, (p, x) in enumerate(zip(b.column("p").to_pylist(), b.column("x").to_pylist(), strict=True)):
                 own = np.frombuffer(b.column("set")[r].as_py(), "<u8")
@@ -285,13 +293,6 @@ def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, percent: int = PERC
     """(a, b): links that connect nodes exactly as all links do. nodes: rep, id0, th, n, pool."""
     places, sets = _places(docs, nodes, k, percent)
     regions = common.store(_regions(places, percent), "regions")
-    reps = regions.select("rep", "id0", "th").distinct()
-    for s in sets:
-        reps = reps.join(common.small(s.select("rep").distinct()), "rep", "left_anti")
-    sets.append(common.store(_sets(docs, common.store(reps, "ends"), k), "sets"))
-    held = sets[0]
-    for s in sets[1:]:
-        held = held.unionByName(s)
     turn = F.struct((F.col("i") / F.col("n")).alias("c"), "rep")
     members = regions.select("s", "rep", "n", "i", "core", turn.alias("turn"), F.col("rep").alias("label"), F.lit(None).cast("long").alias("d"), F.lit(False).alias("done"))
     linked, known, step = [], [], 1
@@ -305,6 +306,15 @@ def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, percent: int = PERC
         for seen in known:
             pairs = pairs.join(common.small(seen.select("a", "b")), ["a", "b"], "left_anti")
         pairs = common.store(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        for s in sets:
+            ends = ends.join(s.select("rep"), "rep", "left_anti")
+        ends = common.store(nodes.select("rep", "id0", "th").join(common.small(common.store(ends, "ends")), "rep", "left_semi"), "ends")
+        if not ends.isEmpty():
+            sets.append(common.store(_sets(docs, ends, k), "sets"))
+        held = nodes.sparkSession.createDataFrame([], "rep long, set binary")
+        for s in sets:
+            held = held.unionByName(s)
         found = common.store(_measured(held, pairs), "measured")
         known.append(found)
         good = found.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent)
@@ -338,7 +348,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     rows = common.store(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
     same = ["f1", "f2", "n"]
     groups = common.store(rows.filter("n > 0").groupBy(*same).agg(F.min("row").alias("rep")), "groups")
-    nodes = rows.join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), "th", "n", "pool")
+    nodes = rows.join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.coalesce("doc_id", F.lit(common.NO_ID)).alias("id0"), "th", "n", "pool")
     nodes = common.store(nodes, "nodes")
     slim = common.store(rows.drop("pool"), "rows")
     common.drop(rows)
@@ -358,12 +368,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = WORDS, per
     """One document of each component stays: the one with the smallest id (of repeated rows, one). All columns stay as they are."""
     found = common.store(jaccard_components(docs, k, percent), "near")
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays")
-    judged = found.join(found.groupBy("label").agg(first), "label").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), "th", (F.col("row") == F.col("stays")).alias("kept"))
-    keys = common.store(judged.groupBy("id0", "th").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept")).filter("kept < rows"), "gone")
-    keyed = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id0"), F.xxhash64(common.text_of("text")).alias("th"))
-    others = keyed.join(common.small(keys.select("id0", "th")), ["id0", "th"], "left_anti").select("d.*")
-    repeated = keyed.join(common.small(keys.filter("kept > 0").select("id0", "th")), ["id0", "th"], "left_semi").groupBy("id0", "th").agg(F.first("d").alias("d"))
-    return others.unionByName(repeated.select("d.*"))
+    judged = found.join(found.groupBy("label").agg(first), "label").select("doc_id", "th", (F.col("row") == F.col("stays")).alias("kept"))
+    return common.kept_rows(docs, judged)
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Profiles are fitted on labelled documents only, on about ``FIT_ROWS`` of them at
 a hash-drawn sample); predictions read the whole text and nothing else.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0. Without any labelled row every document is
-``und``. Null doc_ids and repeated rows are predicted like any other.
+``und``. Null doc_ids and repeated rows are predicted like any other; an empty table gives an empty result. Extra columns of any name
+aren't read; the pipeline's stage returns them as they are.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "th", "lang_pred", "score"])
 
     text = common.text_of(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, lang_pred string, score double")
 
 
 def held_out() -> Column:

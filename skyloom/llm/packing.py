@@ -2,14 +2,15 @@
 
 Documents are tokenized once into a table of 16-bit ids. Document frequencies of the vocabulary's tokens are
 counted over all documents (at most one row a token, so the table that every task gets is bounded by the
-vocabulary). Documents are dealt by a hash to shards of about ``SHARD_ROWS``; each shard builds an inverted
-index of BM25 weights. The next seed is the document that the last window cut, else the first unused one;
+vocabulary). Documents are ordered by their two leading terms (count and rarity) and cut into shards of ``SHARD_ROWS``, so that
+related ones meet; each shard builds an inverted index of BM25 weights and is searched by its own seeds only. The next seed is the document that the last window cut, else the first unused one;
 its highest-weighted terms retrieve the unused documents, best first, which fill the window. Documents
 follow one another without a gap and are cut at every 4096 ids; what a shard leaves over is cut into powers of two, so
 no sequence is padded at all.
 
 Nulls: a null text is empty and has the end id alone. A null doc_id is packed like any other. Repeated rows
-are packed each for itself. Ties in score go to the earlier document of the shard.
+are packed each for itself, in as many shards as they need. Ties in score go to the earlier document of the shard. An empty table
+gives an empty result; extra columns of any name aren't read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ from . import common, word_ids
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 WINDOW = 4096
-#: Documents of a shard, on average.
-SHARD_ROWS = 768
+#: Documents and ids of a shard, at most (a longer document is a shard), and shards that one task packs in turn.
+SHARD_ROWS, SHARD_IDS, PART_SHARDS = 768, 1 << 22, 8
 #: Terms of a seed that retrieve, and the usual constants of BM25.
 QUERY_TERMS, K1, B = 24, 1.2, 0.75
 VOCABULARY = 1 << 16
@@ -144,24 +146,64 @@ def packed(docs: list[np.ndarray], order: list[int], window: int = WINDOW) -> pd
     return pd.DataFrame({"doc": np.array(order)[k], "start": start, "length": length, "ids_crc32": crc, "doc_tokens": sizes[k], "sequence": sequence, "offset": at - ends[sequence]})
 
 
+def leading(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Rows (..., ids) with first and second: the two terms that weigh most in a document, by their counts and how rare they are."""
+    held = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lead = []
+            for x in b.column("ids"):
+                terms, tf = np.unique(np.frombuffer(x.as_py(), "<u2"), return_counts=True)
+                weight = held.value[terms] * tf * (K1 + 1) / (tf + K1)
+                top = terms[np.argsort(-weight, kind="stable")[:2]]
+                lead.append((int(top[0]), int(top[-1])))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in lead], pa.int32()), pa.array([y for _, y in lead], pa.int32())], [*b.schema.names, "first", "second"])
+
+    return rows.mapInArrow(run, "doc_id long, ids binary, n long, row long, first int, second int")
+
+
+def _shards(frames: Iterator[pd.DataFrame], most_rows: int, most_ids: int) -> Iterator[pd.DataFrame]:
+    """The rows that come, cut into shards of so many rows or ids; each is sorted."""
+    held, rows, ids = [], 0, 0
+    for pdf in frames:
+        ends = np.cumsum(pdf["n"].to_numpy())
+        at = 0
+        while at < len(pdf):
+            room = most_ids - ids + (ends[at - 1] if at else 0)
+            to = min(at + max(1, int(np.searchsorted(ends[at:], room, "right"))), at + most_rows - rows, len(pdf))
+            held.append(pdf.iloc[at:to])
+            rows, ids, at = rows + to - at, ids + int(pdf["n"].iloc[at:to].sum()), to
+            if rows >= most_rows or ids >= most_ids:
+                yield pd.concat(held, ignore_index=True)
+                held, rows, ids = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents; see :data:`PIECES`."""
-    rows = common.store(tokenized(docs, id_col, text_col), "token-ids")
+    rows = common.store(tokenized(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "token-ids")
     n, total = rows.agg(F.count("*"), F.sum("n")).first()
     df, mean = document_frequencies(rows), (total or 1) / max(n, 1)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    shards = common.buckets(n, SHARD_ROWS)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n"], kind="stable", ignore_index=True)
-        docs = [np.frombuffer(x, "<u2") for x in pdf["ids"]]
-        out = packed(docs, retrieval_order(docs, idf, mean))
-        out["doc_id"] = pdf["doc_id"].astype("Int64").to_numpy()[out["doc"]]
-        out["sequence_id"] = (np.int64(key[0]) << 32) + out["sequence"]
-        return out[[c.split()[0] for c in PIECES.split(", ")]]
-
-    shard = F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("int").alias("shard")
-    return rows.select("*", shard).groupBy("shard").applyInPandas(run, PIECES)
+    names = [c.split()[0] for c in PIECES.split(", ")]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        for k, pdf in enumerate(_shards(it, SHARD_ROWS, SHARD_IDS)):
+            pdf = pdf.sort_values(["doc_id", "n", "row"], kind="stable", ignore_index=True)
+            docs = [np.frombuffer(x, "<u2") for x in pdf["ids"]]
+            out = packed(docs, retrieval_order(docs, idf, mean))
+            out["doc_id"] = pdf["doc_id"].astype("Int64").to_numpy()[out["doc"]]
+            out["sequence_id"] = (np.int64(part) << 40) + (np.int64(k) << 24) + out["sequence"]
+            yield out[names]
+
+    # documents with the same leading terms come to one shard; the hash spreads those of one term over as many shards as they need
+    order = ["first", "second", F.xxhash64("doc_id", "row")]
+    parts = common.buckets(n, SHARD_ROWS * PART_SHARDS)
+    near = leading(rows, idf).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return near.select("doc_id", "ids", "n", "row").mapInPandas(run, PIECES)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

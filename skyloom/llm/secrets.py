@@ -2,19 +2,23 @@
 
 Base spans come from three patterns. Each base match yields a candidate value (the assigned value, the
 access key, the hex run), which is hashed at once; values never leave this module. Hashes are counted over
-the whole corpus by distinct repositories and owners: a value that many owners carry is a copied example
-(``example`` spans), one that a single owner carries and that looks random is live-looking (``live``).
+the whole corpus by distinct repositories and owners: a value that many owners or many repositories carry is a copied
+example (``example`` spans), one that a single owner carries in few repositories and that looks random is live-looking (``live``).
 Those spans are added to the base ones.
 
 Here a document's repository is its source and language, its owner its source; both are parameters.
 
+A match's place is a running sum over the lengths of the text before each match and of the matches, taken over rows, so
+the work is linear in the matches of a document.
+
 Nulls: a null text is empty; null repositories or owners count as one value. Repeated rows are scanned
-each for itself. A document without matches keeps empty spans. All positions are code points.
+each for itself. A document without matches keeps empty spans, an empty table gives an empty result, extra columns of any name
+aren't read. All positions are code points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -28,37 +32,31 @@ HEX = r"[0-9a-f]{32,}"
 LEAST_ASSIGNED = 8
 KINDS = ("assign", "access", "hex", "live", "example")
 
-#: A value with at least so many owners is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value with at least so many owners, or in so many repositories, is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 4
 #: A live-looking value has at least so many characters and distinct characters, and a digit.
 LIVE_LENGTH, LIVE_DISTINCT = 16, 8
 
 
 def _found(kind: str, pattern: str, group: int) -> Column:
-    """array<struct<kind, start, end, from, value>> of a pattern's leftmost matches; ``from``: where the value starts."""
+    """array<struct<kind, no, gap, n, size, hash, live>> of a pattern's leftmost matches: code points before it, of it and of its value."""
     text = F.col("_text")
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pieces = F.split(text, pattern, -1)
-    # lengths of the text before each match and of the match; their running sum is the match's end
-    steps = F.transform(whole, lambda m, i: F.struct((F.length(F.get(pieces, i))).alias("gap"), F.length(m).alias("n"), F.get(values, i).alias("value")))
-    kind_no = F.lit(KINDS.index(kind))
-
-    def add(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        end = start + s["n"]
-        one = F.struct(start.alias("start"), kind_no.alias("kind"), end.alias("end"), (end - F.length(s["value"])).alias("from"), s["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,from:int,value:string>>)")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(steps, zero, add, lambda acc: acc["out"])).otherwise(empty)
+    # zipped first: inside the function of an array every other array would be made again for each element
+    zipped = F.slice(F.arrays_zip(whole.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("gap")), F.lit(1), F.size(whole))
+    one = lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("no"), F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("n"), F.length(x["v"]).alias("size"), F.sha2(x["v"], 256).alias("hash"), _looks_live(x["v"]).alias("live"))
+    empty = F.expr("cast(array() as array<struct<kind:int,no:int,gap:int,n:int,size:int,hash:string,live:boolean>>)")
+    return F.when(text.rlike(pattern), F.transform(zipped, one)).otherwise(empty)
 
 
-def base_spans() -> Column:
-    """All base spans of ``_text``, by start and kind."""
-    assign = F.filter(_found("assign", ASSIGN, 2), lambda x: F.length(x["value"]) >= LEAST_ASSIGNED)
-    return F.array_sort(F.concat(assign, _found("access", ACCESS, 0), _found("hex", HEX, 0)))
+def matches(rows: DataFrame) -> DataFrame:
+    """Base spans (row, repo, owner, kind, start, end, from, hash, live) of rows (row, repo, owner, found); ``from``: where the value starts."""
+    each = rows.filter(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("x")).select("row", "repo", "owner", "x.*")
+    before = Window.partitionBy("row", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before).cast("int"))
+    each = each.filter((F.col("kind") != KINDS.index("assign")) | (F.col("size") >= LEAST_ASSIGNED))
+    return each.select("row", "repo", "owner", "kind", (F.col("end") - F.col("n")).alias("start"), "end", (F.col("end") - F.col("size")).alias("from"), "hash", "live")
 
 
 def _looks_live(value: Column) -> Column:
@@ -87,19 +85,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo:
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", F.coalesce(owner.cast("string"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if repo is None else repo
     rows = docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("_text"), repo.alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "repo", "owner", base_spans().alias("found"))
-    hashed = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["from"].alias("from"), F.sha2(x["value"], 256).alias("hash"), _looks_live(x["value"]).alias("live")))
-    rows = common.store(rows.select("doc_id", "row", "repo", "owner", hashed.alias("found")), "secrets")
-    each = rows.filter(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("x")).select("row", "repo", "owner", "x.*")
+    found = F.concat(_found("assign", ASSIGN, 2), _found("access", ACCESS, 0), _found("hex", HEX, 0))
+    rows = common.store(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "repo", "owner", found.alias("found")), "secrets")
+    each = common.store(matches(rows), "secret-spans")
     counts = ownership(each.select("hash", "repo", "owner"))
-    kind = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, KINDS.index("example")).when((F.col("n_owners") == 1) & F.col("live"), KINDS.index("live"))
-    judged = each.join(counts, "hash").withColumn("verdict", kind).filter("verdict is not null")
-    span = F.struct(F.col("from").alias("start"), F.col("verdict").cast("int").alias("kind"), "end")
-    verdicts = judged.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("verdicts"))
-    count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    plain = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS)
+    kind = F.when(copied, KINDS.index("example")).when((F.col("n_owners") == 1) & F.col("live"), KINDS.index("live"))
+    judged = each.join(counts, "hash").withColumn("verdict", kind)
+    span = F.struct("start", "kind", "end")
+    added = F.when(F.col("verdict").isNotNull(), F.struct(F.col("from").alias("start"), F.col("verdict").cast("int").alias("kind"), "end"))
+    spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("base"), F.array_sort(F.collect_set(added)).alias("verdicts"))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    return rows.join(verdicts, "row", "left").select("doc_id", count("assign"), count("access"), count("hex"), plain.alias("base"), F.coalesce("verdicts", none).alias("verdicts"))
+    out = rows.select("doc_id", "row").join(spans, "row", "left").withColumns({"base": F.coalesce("base", none), "verdicts": F.coalesce("verdicts", none)})
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), "base", "verdicts")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +127,8 @@ _JOINED = f"array_to_string(list_transform(list_sort({{}}), lambda q: {_NAMES}[q
 SQL5 = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
 base AS ({_found_sql(0, ASSIGN, 2)} WHERE length(v[i]) >= {LEAST_ASSIGNED} UNION ALL {_found_sql(1, ACCESS, 0)} UNION ALL {_found_sql(2, HEX, 0)}),
-own AS (SELECT value, count(DISTINCT owner) AS owners FROM base GROUP BY value),
-judged AS (SELECT DISTINCT doc_id, from_, end_, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN {KINDS.index("example")} WHEN owners = 1 AND length(value) >= {LIVE_LENGTH} AND len(list_distinct(string_split(value, ''))) >= {LIVE_DISTINCT}
+own AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM base GROUP BY value),
+judged AS (SELECT DISTINCT doc_id, from_, end_, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repos >= {EXAMPLE_REPOS} THEN {KINDS.index("example")} WHEN owners = 1 AND length(value) >= {LIVE_LENGTH} AND len(list_distinct(string_split(value, ''))) >= {LIVE_DISTINCT}
   AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '(?i)example|sample|dummy|placeholder|changeme') THEN {KINDS.index("live")} END AS kind FROM base JOIN own USING (value)),
 b AS (SELECT doc_id, list({{'s': start_, 'kind': kind, 'e': end_}}) AS x, sum((kind = 0)::INT) AS a, sum((kind = 1)::INT) AS c, sum((kind = 2)::INT) AS h FROM base GROUP BY doc_id),
 v AS (SELECT doc_id, list({{'s': from_, 'kind': kind, 'e': end_}}) AS y, sum((kind = 3)::INT) AS l, sum((kind = 4)::INT) AS m FROM judged WHERE kind IS NOT NULL GROUP BY doc_id)

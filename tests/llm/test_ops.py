@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from skyloom.llm import chroma_prints, common, components, exact_dedup, hash_tree, jaccard_join, language_id, mixing, packing, secrets, token_counts, warc_revisit, word_ids
@@ -180,13 +183,60 @@ def test_ngrams_by_enumeration():
         want.update(p[k : k + 2] for k in range(len(p) - 1))
         want.update(p[k : k + 3] for k in range(len(p) - 2))
     grams, counts = language_id.ngrams(text, letters)
-    assert sorted(counts.tolist()) == sorted(want.values())
+    assert {named(int(g)): int(n) for g, n in zip(grams, counts, strict=True)} == want
+
+
+def named(gram):
+    out = ""
+    while gram:
+        out, gram = chr(gram & (1 << 21) - 1).replace("\x01", " ") + out, gram >> 21
+    return out
+
+
+def test_language_id_by_brute_force(spark):
+    """Profiles, out-of-place distances and scores by counting n-grams of words in plain Python."""
+    rng = random.Random(9)
+    words = {"aa": "uno due tre casa mare sole città".split(), "bb": "eins zwei drei haus meer grün weiß".split(), "cc": "un deux trois maison été forêt".split()}
+    data = [(i, " ".join(rng.choice(words[lang] if rng.random() < 0.8 else words["aa"]) for _ in range(rng.randint(1, 40))), lang) for i in range(150) for lang in [("aa", "bb", "cc")[i % 3]]]
+
+    def grams(text):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            p = f" {w} "
+            out.update(w)
+            out.update(p[k : k + n] for n in (2, 3) for k in range(len(p) - n + 1))
+        return out
+
+    def ranks(counts, n):  # shorter n-grams have smaller numbers, and so have earlier characters
+        number = lambda g: sum(ord(c.replace(" ", "\x01")) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))][:n]
+
+    n = 60
+    profiles = {}
+    for lang in sorted(words):
+        total = Counter()
+        for i, t, own in data:
+            if own == lang and zlib.crc32(str(i).encode()) % 4 != 2:
+                total.update(grams(t))
+        profiles[lang] = {g: r for r, g in enumerate(ranks(total, n))}
+    docs = spark.createDataFrame(data, "doc_id int, text string, lang string")
+    fitted = language_id.fit(docs.filter(~language_id.held_out()), n)
+    assert {lang: [named(int(g)) for g in p] for lang, p in fitted.items()} == {lang: list(p) for lang, p in profiles.items()}
+    held = language_id.Profiles(fitted, n)
+    for _, t, _ in data:
+        own = ranks(grams(t), n)
+        far = {lang: sum(min(abs(p[g] - r), n) if g in p else n for r, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        assert held.predict(t, language_id._letters()) == (best, pytest.approx(1 - far[best] / (n * len(own))))
+    # an id that is no long is a key like any other
+    assert {r.doc_id for r in language_id.predict(docs, fitted).collect()} == {i for i, *_ in data}
 
 
 def test_language_id_without_labels(empty, spark):
     assert language_id.learned(empty) == {}
     df = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     assert language_id.predict(df, {}).first().lang_pred == "und"
+    assert language_id.predict(empty, {}).collect() == [] and language_id.stage(spark, empty, "").collect() == []
 
 
 # ---------------------------------------------------------------- 3
@@ -200,7 +250,10 @@ def records(spark, rows):
 def test_canonical_urls(spark):
     urls = ["HTTP://WWW.Example.com:80/a/?b=2&a=1&utm_source=x#top", "https://example.com/a?a=1&b=2", "https://example.com/A", None, "junk"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc_revisit.canonical_url(F.col("u"))).collect()]
-    assert got == ["example.com/a?a=1&b=2", "example.com/a?a=1&b=2", "example.com/A", None, ""]
+    assert got == ["example.com/a?a=1&b=2", "example.com/a?a=1&b=2", "example.com/A", None, None]
+    long = "http://h/p?" + "&".join(f"k{i:07}=v" for i in range(120_000))  # over 1,048,576 characters
+    got = spark.createDataFrame([(long,)], "u string").select(F.length(warc_revisit.canonical_url(F.col("u")))).first()[0]
+    assert got == len(long) - len("http://")
 
 
 def test_revisits_against_a_scan(spark, monkeypatch):
@@ -224,6 +277,20 @@ def test_revisits_against_a_scan(spark, monkeypatch):
         assert got[rec].headers == (best[6] | {"date": head["date"]} if ok else None)
 
 
+def test_malformed_urls_resolve_to_nothing(spark):
+    rows = [(1, "response", "not a url A", 1, "x", None, {}), (2, "revisit", "other junk B", 2, "x", None, {}), (3, "revisit", "", 3, "x", None, {}), (4, "revisit", None, 4, "x", None, {})]
+    got = warc_revisit.resolve(records(spark, rows).withColumns({"slot": F.lit(1), "body": F.lit("b"), "own": F.lit(2)})).collect()
+    assert sorted((r.rec, r.status, r.response_rec) for r in got) == [(2, "orphan", None), (3, "orphan", None), (4, "orphan", None)]
+
+
+def test_slots_hold_equal_shares_of_a_skewed_time(spark):
+    ts = [i for i in range(900)] + [10**9 + 1000 * i for i in range(100)]
+    df = spark.createDataFrame([(t,) for t in ts], "ts long")
+    borders = sorted(set(df.agg(F.percentile_approx("ts", [k / 8 for k in range(9)])).first()[0]))
+    got = [(r.ts, r.s) for r in df.select("ts", warc_revisit._slot(F.col("ts"), borders, 3).alias("s")).orderBy("ts").collect()]
+    assert [s for _, s in got] == sorted(s for _, s in got) and max(Counter(s for _, s in got).values()) < 200
+
+
 def test_revisits_of_nothing(spark):
     assert warc_revisit.resolve(records(spark, [])).collect() == []
 
@@ -276,14 +343,60 @@ def test_secrets(spark):
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("*", secrets.joined(F.col("base")).alias("b"), secrets.joined(F.col("verdicts")).alias("v")).collect()}
     for i, t, *_ in rows:
         assert got[i].b == spans_of(t or "")
-    assert got[0].v == f"live:13:{13 + len(live)}" or got[0].v.startswith("live:")
-    assert got[1].v.startswith("example:") and got[3].v.startswith("example:")
+    assert got[0].v == f"live:13:{13 + len(live)}" and got[0].b == f"assign:2:{13 + len(live)}"
+    assert got[1].v == f"example:7:{7 + len(example)}" and got[3].v == f"example:7:{7 + len(example)}"
+
+
+def test_secret_verdicts_by_brute_force(spark):
+    """Owners and repositories of each value, counted in plain Python; every kind of match and verdict occurs."""
+    rng = random.Random(11)
+    make = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    keys = ["AKIA" + make("ABCDEFGH23456789", 16) for _ in range(4)]
+    pool = [f"password = {make(letters, 20)}" for _ in range(6)] + keys + [make("0123456789abcdef", 40) for _ in range(4)] + ["token: exampleexample1", "secret=aaaaaaaaaaaaaaaaaaaa"]
+    spread = {v: rng.choice([1, 1, 2, 3]) if k < 14 else 1 for k, v in enumerate(pool)}
+    rows = []
+    for i in range(120):
+        v = rng.choice(pool)
+        owner = f"o{pool.index(v)}{rng.randrange(spread[v])}"
+        lang = rng.choice(["en", "de", "fr", "es", None]) if pool.index(v) % 2 == 0 and v != pool[14] else rng.choice(["en", "de"])
+        rows.append((i, f"é {v} and {v}; {rng.choice(pool[:2]) if i % 11 == 0 else ''}", lang, owner))
+    of, holders = {}, defaultdict(lambda: (set(), set()))
+    for i, t, lang, owner in rows:
+        of[i] = []
+        for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.ASCII):
+            if len(m[1]) >= 8:
+                of[i].append((m.start(1), m.end(), m[1]))
+        of[i] += [(m.start(), m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", t)]
+        for *_, v in of[i]:
+            holders[v][0].add(owner)
+            holders[v][1].add((owner, lang))
+
+    def verdict(v):
+        owners, repos = map(len, holders[v])
+        if owners >= secrets.EXAMPLE_OWNERS or repos >= secrets.EXAMPLE_REPOS:
+            return "example"
+        looks = len(v) >= 16 and len(set(v)) >= 8 and re.search("[0-9]", v) and not re.search("(?i)example|sample|dummy|placeholder|changeme", v)
+        return "live" if owners == 1 and looks else None
+
+    got = {r.doc_id: r.v for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", secrets.joined(F.col("verdicts")).alias("v")).collect()}
+    want = {i: sorted({(s, secrets.KINDS.index(verdict(v)), e) for s, e, v in found if verdict(v)}) for i, found in of.items()}
+    assert got == {i: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in x) for i, x in want.items()}
+    kinds = Counter((verdict(v), v[:4] == "AKIA") for x in of.values() for *_, v in x)
+    assert {("example", False), ("live", False), (None, False)} <= set(kinds) and any(k[1] and k[0] for k in kinds)
+
+
+def test_secrets_of_a_document_with_many_matches(spark):
+    text = " ".join(f"token={i:016x}" for i in range(16_000))
+    began = time.time()
+    got = secrets.scan(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).select("n_assign", secrets.joined(F.col("base")).alias("b")).first()
+    assert got.n_assign == 16_000 and got.b == spans_of(text) and time.time() - began < 20
 
 
 def test_secret_ownership_counts(spark):
     rows = [("h", f"r{i % 5}", f"o{i % 2}") for i in range(50)] + [("g", "r0", "o0")]
     got = {r.hash: (r.n_docs, r.n_repos, r.n_owners) for r in secrets.ownership(spark.createDataFrame(rows, "hash string, repo string, owner string")).collect()}
-    assert got["g"] == (1, 1, 1) and got["h"][0] == 50 and got["h"][2] == 2
+    assert got["g"] == (1, 1, 1) and got["h"] == (50, 10, 2)
 
 
 def test_secrets_of_nothing(empty):
@@ -359,6 +472,42 @@ def test_retrieval_prefers_neighbours():
     assert order.index(2) == order.index(0) + 1 and sorted(order) == list(range(5))
 
 
+def test_retrieval_order_by_brute_force():
+    """Each window's neighbours by BM25 summed term by term over the documents of a shard."""
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 40, rng.integers(3, 25)).astype("<u2") for _ in range(40)]
+    idf, mean, window = rng.random(packing.VOCABULARY) + 0.1, float(np.mean([len(d) for d in docs])), 60
+
+    def weight(d, t):
+        tf = int((docs[d] == t).sum())
+        return idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean)) if tf else 0.0
+
+    unused, want, room, seed = list(range(40)), [], 0, None
+    while unused:
+        if seed is None or room == 0:
+            seed = unused.pop(0)
+            want.append(seed)
+            room = (room - len(docs[seed])) % window
+            continue
+        terms = sorted(set(docs[seed].tolist()), key=lambda t: (-weight(seed, t), t))[: packing.QUERY_TERMS]
+        for d in sorted(unused, key=lambda d: (-round(sum(weight(d, t) for t in terms), 9), d)):
+            unused.remove(d)
+            want.append(d)
+            if len(docs[d]) >= room:
+                seed, room = d, (room - len(docs[d])) % window
+                break
+            room -= len(docs[d])
+    assert packing.retrieval_order(docs, idf, mean, window) == want
+
+
+def test_packing_deals_repeated_rows_without_ids_to_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 50)
+    df = spark.createDataFrame([(None, "one and the same text")] * 3000 + [(1, None)], "doc_id long, text string")
+    got = packing.pack(df).select("sequence_id", "offset", "doc_tokens", "length").collect()
+    assert sum(r.length for r in got) == 3000 * got[0].doc_tokens + 1 or sum(r.length for r in got) == 3000 * max(r.doc_tokens for r in got) + 1
+    assert len({r.sequence_id >> 24 for r in got}) >= 60
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty).collect() == []
 
@@ -378,6 +527,34 @@ def test_hash_tree(spark, docs, rows):
         assert slots == list(range(len(slots)))
 
 
+def test_hash_tree_by_brute_force(spark):
+    """The descent in plain Python: at each level the smallest exponential draw wins."""
+
+    def draw(key, name):
+        h = xxhash.xxh64_intdigest(name.encode(), seed=xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42))
+        return ((h >> 11) + 0.5) * 2.0**-53
+
+    def descend(key, leaves, level=0, path=""):
+        name = ("region", "rack", "shard")[level]
+        children = defaultdict(list)
+        for x in leaves:
+            children[getattr(x, name)].append(x)
+        won = min(children, key=lambda c: (-np.log(draw(key, f"{path}/{name}{c}")) / sum(x.weight for x in children[c]), c)) if len(children) > 1 else next(iter(children))
+        return children[won][0].shard if level == 2 else descend(key, children[won], level + 1, f"{path}/{won}")
+
+    heavy = [hash_tree.Leaf(x.region, x.rack, x.shard, 1.0 + x.shard % 3) for x in hash_tree.layout(18)]
+    for leaves in (hash_tree.layout(16), hash_tree.layout(17), heavy):
+        got = spark.range(500).select("id", hash_tree.shard_of(F.col("id"), leaves).alias("s")).collect()
+        assert all(r.s == descend(r.id, leaves) for r in got)
+
+
+def test_hash_tree_numbers_repeated_rows_and_nothing(spark, empty, monkeypatch):
+    monkeypatch.setattr(hash_tree, "BUCKET_ROWS", 100)
+    got = hash_tree.assign(spark.createDataFrame([(7, "same", 1)] * 1000, "doc_id long, text string, row int")).collect()
+    assert sorted(r.slot for r in got) == list(range(1000))
+    assert hash_tree.assign(empty).collect() == []
+
+
 def test_hash_tree_moves_little_and_balances(spark):
     ids = spark.range(20000)
     leaves = hash_tree.layout(16)
@@ -415,6 +592,18 @@ def test_exact_dedup_of_repeated_rows(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter({(5, "a b"): 1, (1, "c"): 1, (None, "d"): 1})
 
 
+def test_index_gives_all_groups(spark):
+    """Slots that new digests hit, slots that none hit, and digests that are no members, with the largest id as well."""
+    text = lambda k: f"text {k}"
+    old = [(2**63 - 1, text(0)), (3, text(1)), (9, text(2)), (None, text(3))]
+    new = [(5, text(1)), (1, text(2)), (12, text(4)), (11, text(4)), (7, text(3))]
+    d = lambda rows: exact_dedup.common.store(exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")), "t")
+    index = exact_dedup.build_index(exact_dedup.grouped(d(old)), 3)
+    got = {r.digest.hex(): (r.keep_id, r.group_size, r.known) for r in exact_dedup.look_up(index, exact_dedup.grouped(d(new)), 3).collect()}
+    want = {0: (2**63 - 1, 1, True), 1: (3, 2, True), 2: (1, 2, True), 3: (7, 2, True), 4: (11, 2, False)}
+    assert got == {hashlib.sha256(text(k).encode()).hexdigest(): v for k, v in want.items()}
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(0)
     d = rng.integers(0, 256, (3000, 32), dtype=np.uint8)
@@ -433,26 +622,74 @@ def test_exact_dedup_of_nothing(empty):
 # ---------------------------------------------------------------- 10
 
 
-def test_raking_meets_marginals():
-    rng = np.random.default_rng(1)
-    codes = [rng.integers(0, k, 200) for k in (5, 3, 4)]
-    tokens = rng.integers(1, 1000, 200).astype(float)
-    targets = [mixing.tempered(np.bincount(c, tokens), 0.6) for c in codes]
-    f = mixing.rake(tokens, codes, targets)
-    for c, t in zip(codes, targets, strict=True):
-        assert np.bincount(c, tokens / tokens.sum() * f) == pytest.approx(t, abs=1e-6)
+def brute_mix(rows, shares, budget):
+    """Probabilities by cell from raking one dimension after the other over a dictionary, and a bisected rate."""
+    cells = Counter()
+    for r in rows:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    total = sum(cells.values())
+    goals = []
+    for k, dim in enumerate(mixing.DIMENSIONS):
+        sums = Counter()
+        for c, n in cells.items():
+            sums[c[k]] += n
+        own = shares.get(dim, {})
+        base = {v: n ** mixing.TEMPER[dim] if n and v not in own else 0.0 for v, n in sums.items()}
+        rest = max(0, 1 - sum(own.values())) if sum(base.values()) else 0
+        goal = {v: own[v] if v in own else base[v] * rest / (sum(base.values()) or 1) for v in sums}
+        goals.append({v: g / (rest + sum(own.values())) for v, g in goal.items()})
+    f = [dict.fromkeys(g, 1.0) for g in goals]
+    for _ in range(3000):
+        for k in range(3):
+            now = Counter()
+            for c, n in cells.items():
+                now[c[k]] += n / total * f[0][c[0]] * f[1][c[1]] * f[2][c[2]]
+            for v in f[k]:
+                f[k][v] *= goals[k][v] / now[v] if now[v] > 0 else 1.0
+    factor = {c: f[0][c[0]] * f[1][c[1]] * f[2][c[2]] for c in cells}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * min(1, mid * factor[c]) for c, n in cells.items()) < budget * total else (low, mid)
+    return {c: min(1.0, x * high) for c, x in factor.items()}, {c: x * high for c, x in factor.items()}
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 60))), rng.choice(["en", "en", "en", "de", None]), rng.choice(["a", "a", "a", "b", "c", None, "∅"]), rng.choice("xyz")) for i in range(600)]
+    return spark.createDataFrame(rows + [(900, None, "en", "empty", "x"), (901, "", "fr", "a", "y"), (None, "some text", "en", "a", "x")], "doc_id long, text string, lang string, source string, kind string").cache()
+
+
+@pytest.mark.parametrize("shares", [{}, {"lang": {"en": 0.3, "de": 0.4}, "source": {"a": 0.25}}])
+def test_mixing_by_brute_force(mixed, shares):
+    got = mixing.mix(mixed, shares, 0.5, topic=F.col("kind")).collect()
+    prob, factor = brute_mix(got, shares, 0.5)
+    assert len(got) == 603 and all(r.prob == pytest.approx(prob[r.source, r.lang, r.topic], abs=1e-5) for r in got if r.n_tokens)
+    assert all(r.weight * r.prob == pytest.approx(factor[r.source, r.lang, r.topic], rel=1e-4) for r in got if r.n_tokens)
+    assert got[0].off <= mixing.TOLERANCE and got[0].sweeps < mixing.SWEEPS
+    total = sum(r.n_tokens * r.weight * r.prob for r in got)
+    for dim, named in shares.items():
+        for v, share in named.items():
+            assert sum(r.n_tokens * r.weight * r.prob for r in got if r[dim] == v) / total == pytest.approx(share, abs=1e-6)
+    t = token_counts.tokenizer(mixing.TOKENIZER)
+    texts = {r.doc_id: r.text or "" for r in mixed.collect()}
+    assert all(r.n_tokens == len(t.encode(texts[r.doc_id], add_special_tokens=False)) for r in got)
+
+
+def test_mixing_tells_targets_that_cannot_be_met(spark):
+    # all of b's tokens are en and all of a's are de, so the shares of languages follow from those of sources
+    df = spark.createDataFrame([(i, "some words here", "de" if i % 2 else "en", "a" if i % 2 else "b") for i in range(20)], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}}).first()
+    assert got.sweeps == mixing.SWEEPS and got.off > 0.1
 
 
 def test_mixing(spark, docs, rows):
     got = mixing.mix(docs).collect()
-    assert len(got) == len(rows)
-    texts = {i: t or "" for i, t, *_ in rows}
-    assert all(r.n_tokens == len(texts[r.doc_id].encode().split()) and 0 <= r.prob <= 1 for r in got)
-    spread = mixing.mix(docs, local_cells=0).collect()
-    a, b = ({(r.doc_id, r.source): r.prob for r in x} for x in (got, spread))
-    assert all(a[k] == pytest.approx(b[k], abs=1e-3) for k in a)
-    kept = {r.doc_id for r in mixing.stage(spark, docs, "").collect()}
-    assert kept == {r.doc_id for r in got if r.kept}
+    assert len(got) == len(rows) and all(0 <= r.prob <= 1 for r in got)
+    assert {r.topic for r in got} <= {"table", "figures", "list", "note", "prose"}
+    kept = mixing.stage(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept} and kept.columns == docs.columns
 
 
 def test_mixing_of_nothing(empty):
