@@ -22,13 +22,15 @@ def union_schedule(arrivals: DataFrame, departures: DataFrame) -> DataFrame:
     return rows.withColumn("time", F.when(arrival, F.col("scheduled_arrival")).otherwise(F.col("scheduled_departure"))).withColumn("airport", F.when(arrival, F.col("arrival_airport")).otherwise(F.col("departure_airport")))
 
 
-def with_haul(schedule: DataFrame, airports: DataFrame) -> DataFrame:
+def with_haul(schedule: DataFrame, airports: DataFrame, order: str | None = None) -> DataFrame:
     """distance and haul_type from airports (iata, lat, lon); an unknown airport gives -1 and short haul, unknown coordinates null and long haul.
 
+    Of an airport's rows the first by ``order`` counts, in a file's order where it names none.
     The lookup is a plain left join: Catalyst broadcasts it where the dimension's size allows.
     """
     key = F.upper(F.trim("iata"))
-    dim = airports.select(key.alias("k"), "lat", "lon").groupBy("k").agg(F.min(F.struct("lat", "lon")).alias("at"))
+    no = F.monotonically_increasing_id() if order is None else F.col(order)
+    dim = airports.select(key.alias("k"), "lat", "lon", no.alias("_no")).groupBy("k").agg(F.min_by(F.struct("lat", "lon"), "_no").alias("at"))
     end = lambda p: dim.select(F.col("k").alias(f"{p}_airport"), F.col("at").alias(f"_{p}"))
     rows = schedule.join(end("departure"), "departure_airport", "left").join(end("arrival"), "arrival_airport", "left")
     km = geo.haversine(F.col("_departure.lat"), F.col("_departure.lon"), F.col("_arrival.lat"), F.col("_arrival.lon"))

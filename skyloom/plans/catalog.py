@@ -44,10 +44,10 @@ def _rs(*cols: str, digits: int = 6) -> str:
 # ---------------------------------------------------------------- ingest and stitching
 
 
-@query("snapshot_minute_max", f"WITH {POINTS}, p AS (SELECT *, floor(t / 3600) AS b FROM points WHERE lat BETWEEN 30 AND 60 AND lon BETWEEN -15 AND 30) SELECT event_id, id, t FROM p WHERE t = (SELECT max(t) FROM p q WHERE q.b = p.b)")
+@query("snapshot_minute_max", f"WITH {POINTS}, p AS (SELECT *, max(t) OVER (PARTITION BY floor(t / 3600)) AS m FROM points) SELECT event_id, id, t FROM p WHERE t = m AND lat BETWEEN 30 AND 60 AND lon BETWEEN -15 AND 30")
 def snapshot_minute_max(spark, d):
-    p = stitch.fresh_in_box(views.points(spark, d), (30.0, 60.0), (-15.0, 30.0))
-    return stitch.latest_snapshot(p, 3600.0).select("event_id", "id", "t")
+    # the latest of all rows first, the box afterwards: a bucket whose latest row lies outside gives nothing
+    return stitch.fresh_in_box(stitch.latest_snapshot(views.points(spark, d), 3600.0), (30.0, 60.0), (-15.0, 30.0)).select("event_id", "id", "t")
 
 
 @query("snapshot_per_flight", f"WITH {POINTS} SELECT event_id, id, t FROM points QUALIFY t = max(t) OVER (PARTITION BY id, floor(t / 86400))")
@@ -309,7 +309,7 @@ def entry_exit_points(spark, d):
     return airspace.boundary_points(views.legs(spark, d), REGION).select("leg_id", "kind", *_r("lon", "lat"))
 
 
-@query("time_in_area", f"WITH {POINTS}, {LEGS} SELECT id, round(max(to_time) - min(from_time), 3) AS seconds FROM legs WHERE {_FROM_IN} OR {_TO_IN} GROUP BY id HAVING max(to_time) - min(from_time) >= 300")
+@query("time_in_area", f"WITH {POINTS}, {LEGS} SELECT id, round(max(from_time) - min(from_time), 3) AS seconds FROM legs WHERE {_FROM_IN} OR {_TO_IN} GROUP BY id HAVING max(from_time) - min(from_time) >= 300")
 def time_in_area(spark, d):
     return airspace.time_inside(views.legs(spark, d), REGION).select("id", *_r("seconds", digits=3))
 
