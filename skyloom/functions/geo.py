@@ -73,68 +73,107 @@ def unit(lat: Column, lon: Column) -> Vec:
     return Vec(F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))
 
 
-def _to_segment(px, py, ax, ay, bx, by) -> Column:
-    """Plane distance from a point to a segment; to its start where the segment has no length."""
-    dx, dy = bx - ax, by - ay
-    t = F.coalesce(F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return F.sqrt(F.pow(px - ax - t * dx, 2) + F.pow(py - ay - t * dy, 2))
-
-
-def separation(s: str, t: str) -> Column:
-    """Least plane distance in radians of (lat, lon) between the segments with column prefixes s and t; 0 if they cross."""
-    c = lambda n: F.radians(F.col(n))
-    (ax, ay, bx, by), (cx, cy, dx, dy) = ((c(f"{p}from_lat"), c(f"{p}from_lon"), c(f"{p}to_lat"), c(f"{p}to_lon")) for p in (s, t))
-    left = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px) > 0
-    cross = (left(ax, ay, cx, cy, dx, dy) != left(bx, by, cx, cy, dx, dy)) & (left(ax, ay, bx, by, cx, cy) != left(ax, ay, bx, by, dx, dy))
-    ends = F.least(_to_segment(ax, ay, cx, cy, dx, dy), _to_segment(bx, by, cx, cy, dx, dy), _to_segment(cx, cy, ax, ay, bx, by), _to_segment(dx, dy, ax, ay, bx, by))
-    return F.when(cross, 0.0).otherwise(ends)
+#: What each segment contributes to a comparison, worked out once a segment: ends in radians and as unit vectors, plane normal, lengths.
+FEATURES = ("la0", "lo0", "la1", "lo1", "x0", "y0", "z0", "x1", "y1", "z1", "nx", "ny", "nz", "normal", "chord", "length")
+
 
+def with_features(segments: DataFrame, p: str = "") -> DataFrame:
+    """Adds :data:`FEATURES` of segments (from_lat, from_lon, to_lat, to_lon with prefix p) as columns ``<p>_<feature>``."""
+    c = lambda n: F.col(f"{p}_{n}")
+    df = segments.withColumns({f"{p}_{k}{e}": F.radians(F.col(f"{p}{end}_{n}")) for e, end in enumerate(("from", "to")) for k, n in (("la", "lat"), ("lo", "lon"))})
+    df = df.withColumns({f"{p}_{k}{e}": v for e in (0, 1) for k, v in (("x", F.cos(c(f"la{e}")) * F.cos(c(f"lo{e}"))), ("y", F.cos(c(f"la{e}")) * F.sin(c(f"lo{e}"))), ("z", F.sin(c(f"la{e}"))))})
+    a, b = (Vec(c(f"x{e}"), c(f"y{e}"), c(f"z{e}")) for e in (0, 1))
+    n = a.cross(b)
+    df = df.withColumns({f"{p}_nx": n.x, f"{p}_ny": n.y, f"{p}_nz": n.z, f"{p}_chord": (b - a).norm(), f"{p}_length": F.sqrt(F.pow(c("la0") - c("la1"), 2) + F.pow(c("lo0") - c("lo1"), 2))})
+    return df.withColumn(f"{p}_normal", Vec(c("nx"), c("ny"), c("nz")).norm())
 
-def plane_cosine(s: str, t: str) -> Column:
-    """Cosine between the great-circle planes of two segments; its sign tells whether they flow the same way."""
-    n1, n2 = (unit(F.col(f"{p}from_lat"), F.col(f"{p}from_lon")).cross(unit(F.col(f"{p}to_lat"), F.col(f"{p}to_lon"))) for p in (s, t))
-    return F.try_divide(n1.dot(n2), n1.norm() * n2.norm())
 
+def with_terms(pairs: DataFrame, s: str, t: str) -> DataFrame:
+    """Adds cosine, overlap and separation of segments with features under the prefixes s and t.
 
-def overlap(s: str, t: str) -> Column:
-    """Length of the longest chord between the four ends, projected on the first segment, over both chord lengths."""
-    a, b, c, d = (unit(F.col(f"{p}{e}_lat"), F.col(f"{p}{e}_lon")) for p in (s, t) for e in ("from", "to"))
-    own, other = b - a, d - c
-    chords = [b - a, c - a, d - a, c - b, d - b, d - c]
+    cosine: between the great-circle planes, its sign telling whether they flow the same way. overlap: length of the longest chord between
+    the four ends, projected on the first segment, over both chord lengths. separation: least plane distance in radians of (lat, lon); 0 if they cross.
+    Steps that are used more than once are columns of their own, which the optimizer doesn't merge back.
+    """
+    c = lambda p, n: F.col(f"{p}_{n}")
+    at = {(p, e): Vec(c(p, f"x{e}"), c(p, f"y{e}"), c(p, f"z{e}")) for p in (s, t) for e in (0, 1)}
+    own = at[s, 1] - at[s, 0]
+    chords = [(own, c(s, "chord"))]
+    steps = {}
+    for k, (i, j) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+        v = at[t, j] - at[s, i]
+        steps[f"_c{k}"] = v.norm()
+        chords.append((v, F.col(f"_c{k}")))
+    chords.append((at[t, 1] - at[t, 0], c(t, "chord")))
+    # where on a segment the other's ends fall
+    ends = [(p, q, e) for p, q in ((t, s), (s, t)) for e in (0, 1)]
+    for k, (p, q, e) in enumerate(ends):
+        dx, dy = c(p, "la1") - c(p, "la0"), c(p, "lo1") - c(p, "lo0")
+        u = F.coalesce(F.try_divide((c(q, f"la{e}") - c(p, "la0")) * dx + (c(q, f"lo{e}") - c(p, "lo0")) * dy, dx * dx + dy * dy), F.lit(0.0))
+        steps[f"_u{k}"] = F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))
+    df = pairs.withColumns(steps)
     # of equally long chords the first counts, as with the first maximum of a distance table
-    longest = F.greatest(*[v.norm() for v in chords])
-    projected = None
-    for v in chords:
-        p = F.try_divide(F.abs(v.dot(own)), own.norm())
-        projected = F.when(v.norm() == longest, p) if projected is None else projected.when(v.norm() == longest, p)
-    return F.try_divide(projected, own.norm() + other.norm())
+    df = df.withColumn("_longest", F.greatest(*[n for _, n in chords]))
+    projected = F
+    for v, n in chords:
+        projected = projected.when(n == F.col("_longest"), F.try_divide(F.abs(v.dot(own)), c(s, "chord")))
+    left = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px) > 0
+    (ax, ay, bx, by), (cx, cy, dx, dy) = ((c(p, "la0"), c(p, "lo0"), c(p, "la1"), c(p, "lo1")) for p in (s, t))
+    cross = (left(ax, ay, cx, cy, dx, dy) != left(bx, by, cx, cy, dx, dy)) & (left(ax, ay, bx, by, cx, cy) != left(ax, ay, bx, by, dx, dy))
+
+    def apart(k: int) -> Column:
+        p, q, e = ends[k]
+        u = F.col(f"_u{k}")
+        x, y = c(q, f"la{e}") - c(p, "la0") - u * (c(p, "la1") - c(p, "la0")), c(q, f"lo{e}") - c(p, "lo0") - u * (c(p, "lo1") - c(p, "lo0"))
+        return x * x + y * y
+
+    n1, n2 = (Vec(c(p, "nx"), c(p, "ny"), c(p, "nz")) for p in (s, t))
+    terms = {
+        "cosine": F.try_divide(n1.dot(n2), c(s, "normal") * c(t, "normal")),
+        "overlap": F.try_divide(projected, c(s, "chord") + c(t, "chord")),
+        "separation": F.when(cross, 0.0).otherwise(F.sqrt(F.least(*[apart(k) for k in range(4)]))),
+    }
+    # generated, not projected: a filter on a term would else be pushed below the steps, with all of them written out in it
+    kept = [k for k in df.columns if k != "_longest" and k not in steps]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in terms.items()]))))
 
 
 def chord(p: str = "") -> Column:
     return (unit(F.col(f"{p}to_lat"), F.col(f"{p}to_lon")) - unit(F.col(f"{p}from_lat"), F.col(f"{p}from_lon"))).norm()
 
 
+def leg_features(legs: DataFrame) -> DataFrame:
+    """Adds what a leg contributes to its fitness to any edge: course and length in metres."""
+    f = [F.col(f"{e}_{x}") for e in ("from", "to") for x in ("lat", "lon")]
+    return legs.withColumns({"_course": bearing(*f), "_own": haversine(*f, radius=R_M)})
+
+
+def edge_features(edges: DataFrame) -> DataFrame:
+    """Adds what an edge contributes: course, length in metres and direction from its start, metres a degree of longitude there."""
+    e = [F.col(f"e{e}_{x}") for e in ("from", "to") for x in ("lat", "lon")]
+    ex, ey = local_xy(e[2], e[3], e[0], e[1])
+    df = edges.withColumns({"_ecourse": bearing(*e), "_ex": ex, "_ey": ey, "_east": F.cos(F.radians(e[0])) * R_M})
+    return df.withColumn("_len", F.sqrt(F.col("_ex") * F.col("_ex") + F.col("_ey") * F.col("_ey")))
+
+
 def with_fitness(pairs: DataFrame) -> DataFrame:
     """Adds ``first`` and ``rest``: how well a leg (from_/to_ columns) follows an edge (efrom_/eto_ columns), in [0, 1].
 
-    Both weigh orientation and overlap, ``first`` for the leg that begins a route. Steps are columns of their own,
-    which the optimizer doesn't merge where they are used more than once, so each is worked out once.
+    Both weigh orientation and overlap, ``first`` for the leg that begins a route. Features of legs and edges come from
+    :func:`leg_features` and :func:`edge_features`, before the pairs are made, or are added here.
     """
-    f = [F.col(f"{e}_{x}") for e in ("from", "to") for x in ("lat", "lon")]
-    e = [F.col(f"e{e}_{x}") for e in ("from", "to") for x in ("lat", "lon")]
-    ex, ey = local_xy(e[2], e[3], e[0], e[1])
-    px, py = local_xy(f[0], f[1], e[0], e[1])
-    qx, qy = local_xy(f[2], f[3], e[0], e[1])
-    turn = F.abs(bearing(*f) - bearing(*e))
-    df = pairs.withColumns({"_ex": ex, "_ey": ey, "_px": px, "_py": py, "_qx": qx, "_qy": qy, "_turn": turn, "_own": haversine(*f, radius=R_M)})
-    df = df.withColumn("_len", F.sqrt(F.col("_ex") * F.col("_ex") + F.col("_ey") * F.col("_ey")))
-    along = lambda x, y: F.try_divide(F.col(x) * F.col("_ex") + F.col(y) * F.col("_ey"), F.col("_len"))
-    df = df.withColumns({"_s": along("_px", "_py"), "_t": along("_qx", "_qy"), "_orient": F.greatest(F.lit(0.0), 1.0 - F.least(F.col("_turn"), 360.0 - F.col("_turn")) / 90.0)})
-    covered = F.greatest(F.lit(0.0), F.least(F.col("_len"), F.greatest("_s", "_t")) - F.greatest(F.lit(0.0), F.least("_s", "_t")))
-    df = df.withColumn("_share", F.least(covered / (F.col("_own") + 1e-6), F.lit(1.0)))
-    score = lambda w, v: F.when(F.col("_len") == 0, 0.0).otherwise(w * F.col("_orient") + v * F.col("_share"))
-    return df.withColumns({"first": score(0.8, 0.2), "rest": score(0.5, 0.5)}).select(*pairs.columns, "first", "rest")
+    df = pairs if "_course" in pairs.columns else leg_features(pairs)
+    df = df if "_ecourse" in df.columns else edge_features(df)
+    c = F.col
+    x = lambda p: F.radians(c(f"{p}_lon") - c("efrom_lon")) * c("_east")
+    y = lambda p: F.radians(c(f"{p}_lat") - c("efrom_lat")) * R_M
+    along = lambda p: F.try_divide(x(p) * c("_ex") + y(p) * c("_ey"), c("_len"))
+    df = df.withColumns({"_s": along("from"), "_t": along("to"), "_turn": F.abs(c("_course") - c("_ecourse"))})
+    covered = F.greatest(F.lit(0.0), F.least(c("_len"), F.greatest("_s", "_t")) - F.greatest(F.lit(0.0), F.least("_s", "_t")))
+    df = df.withColumns({"_orient": F.greatest(F.lit(0.0), 1.0 - F.least(c("_turn"), 360.0 - c("_turn")) / 90.0), "_share": F.least(covered / (c("_own") + 1e-6), F.lit(1.0))})
+    score = lambda w, v: F.when(c("_len") == 0, 0.0).otherwise(w * c("_orient") + v * c("_share"))
+    kept = [k for k in pairs.columns if k not in ("_course", "_own", "_ecourse", "_ex", "_ey", "_east", "_len")]
+    return df.withColumns({"first": score(0.8, 0.2), "rest": score(0.5, 0.5)}).select(*kept, "first", "rest")
 
 
 def inside(ring: list[tuple[float, float]], lon: Column, lat: Column) -> Column:

@@ -102,3 +102,14 @@ def fixed2(x: Column) -> Column:
 
 def window_start(t: Column, width: float) -> Column:
     return F.floor(t / width) * F.lit(float(width))
+
+
+def flight_id(icao24: Column, callsign: Column, form: str = "craft_first") -> Column:
+    """A flight's id of aircraft and callsign: ``craft_first`` and ``call_first`` join them as they are, ``underscored`` puts the callsign first with an underscore."""
+    forms = {"craft_first": (icao24, callsign), "call_first": (callsign, icao24), "underscored": (callsign, F.lit("_"), icao24)}
+    return F.concat(*forms[form])
+
+
+def stable_id(*parts: Column, length: int = 10) -> Column:
+    """A short id that depends on its parts only, so a task that runs again gives it again."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, length)

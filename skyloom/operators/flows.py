@@ -34,14 +34,14 @@ class Theta:
 ENDS = ("from_lat", "from_lon", "to_lat", "to_lon")
 
 
-def _length(p: str) -> Column:
-    return F.sqrt(F.pow(F.radians(F.col(f"{p}from_lat") - F.col(f"{p}to_lat")), 2) + F.pow(F.radians(F.col(f"{p}from_lon") - F.col(f"{p}to_lon")), 2))
-
-
 def with_terms(pairs: DataFrame, theta: Theta = Theta()) -> DataFrame:  # noqa: B008
-    """Adds the similarity of a_ and b_ segments and its three terms; 0 for opposite flow and for segments without length."""
-    cos = geo.plane_cosine("a_", "b_")
-    pairs = pairs.withColumns({"cosine": cos, "overlap": geo.overlap("a_", "b_"), "separation": geo.separation("a_", "b_")})
+    """Adds the similarity of a_ and b_ segments and its three terms; 0 for opposite flow and for segments without length.
+
+    Segment features (``geo.with_features``) that the pairs don't bring are added here.
+    """
+    for p in ("a_", "b_"):
+        pairs = pairs if f"{p}_chord" in pairs.columns else geo.with_features(pairs, p)
+    pairs = geo.with_terms(pairs, "a_", "b_")
     bar = 1.0 - F.abs("cosine")
     terms = {
         "term_direction": tdf(bar, theta.psi),
@@ -49,19 +49,22 @@ def with_terms(pairs: DataFrame, theta: Theta = Theta()) -> DataFrame:  # noqa:
         "term_separation": tdf(bar, theta.w_separation) * tdf(F.col("separation"), theta.separation),
     }
     pairs = pairs.withColumns(terms)
-    same = (F.col("cosine") > 0) & (_length("a_") >= SHORT) & (_length("b_") >= SHORT)
+    same = (F.col("cosine") > 0) & (F.col("a__length") >= SHORT) & (F.col("b__length") >= SHORT)
     total = (F.col("term_direction") + F.col("term_overlap") + F.col("term_separation")) / 3.0
-    return pairs.withColumn("similarity", F.when(F.coalesce(same, F.lit(False)), total).otherwise(0.0))
+    pairs = pairs.withColumn("similarity", F.when(F.coalesce(same, F.lit(False)), total).otherwise(0.0))
+    return pairs.drop(*[f"{p}_{f}" for p in ("a_", "b_") for f in geo.FEATURES])
 
 
 def _side(df: DataFrame, p: str, key: str) -> list[Column]:
-    return [F.col(key).alias(f"{p}{key}"), *[F.col(c).alias(f"{p}{c}") for c in ENDS]]
+    """A side's key and ends, and its features where they were worked out before the join."""
+    own = [f"_{f}" for f in geo.FEATURES if f"_{f}" in df.columns]
+    return [F.col(key).alias(f"{p}{key}"), *[F.col(c).alias(f"{p}{c}") for c in (*ENDS, *own)]]
 
 
 def similarity(legs: DataFrame, key: str = "leg_id", group: list[str] | None = None, theta: Theta = Theta()) -> DataFrame:  # noqa: B008
     """Similarities of all pairs a < b inside each group of legs (one group if none is given: a stated, bounded set)."""
     by = group or ["_all"]
-    legs = legs if group else legs.withColumn("_all", F.lit(0))
+    legs = geo.with_features(legs if group else legs.withColumn("_all", F.lit(0)))
     a, b = legs.select(*by, *_side(legs, "a_", key)), legs.select(*by, *_side(legs, "b_", key))
     return with_terms(a.join(b, by).filter(F.col(f"a_{key}") < F.col(f"b_{key}")), theta)
 
@@ -75,8 +78,12 @@ def similar_segments(legs: DataFrame, cell: float = 2.0, least: float = 0.34, ke
     reach = math.degrees(theta.separation.tau + math.log(1e6) / theta.separation.alpha) / 2
     span = lambda c: F.sequence(F.floor((F.least(f"from_{c}", f"to_{c}") - reach) / cell), F.floor((F.greatest(f"from_{c}", f"to_{c}") + reach) / cell))
     cells = legs.select("*", F.explode(span("lon")).alias("cx"), span("lat").alias("_y")).select("*", F.explode("_y").alias("cy")).drop("_y")
-    a, b = (cells.select("cx", "cy", *_side(cells, p, key)) for p in ("a_", "b_"))
-    pairs = a.join(b, ["cx", "cy"]).filter(F.col(f"a_{key}") < F.col(f"b_{key}")).drop("cx", "cy").dropDuplicates([f"a_{key}", f"b_{key}"])
+    # keys alone meet and are made distinct; ends and features join the pairs that are left
+    a, b = (cells.select("cx", "cy", F.col(key).alias(f"{p}{key}")) for p in ("a_", "b_"))
+    pairs = a.join(b, ["cx", "cy"]).filter(F.col(f"a_{key}") < F.col(f"b_{key}")).select(f"a_{key}", f"b_{key}").distinct()
+    whole = geo.with_features(legs)
+    for p in ("a_", "b_"):
+        pairs = pairs.join(whole.select(*_side(whole, p, key)), f"{p}{key}")
     return with_terms(pairs, theta).filter(F.col("similarity") > least)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..sources.tables import written
 from . import kernels
+from .trajectory import checked_broadcast
 
 #: A leg follows an edge if its fitness is over this.
 LEAST_FITNESS = 0.3
@@ -58,18 +59,22 @@ def scored_edges(legs: DataFrame, edges: DataFrame, margin: float = 0.5, least:
     """(flight, k, leg_id, edge_id, a, b, first, rest) of legs (flight, k, ...) and the edges (edge_id, a, b, efrom_/eto_) whose ends both lie in the flight's box.
 
     A flight looks in the cells that its box with its margin touches, an edge stands in the cell of its start, so
-    the crop is an equi join and finds each edge once.
+    the crop is an equi join and finds each edge once. Courses and lengths are worked out once a leg and once an edge; edges
+    are broadcast while their number allows, so the products of legs and edges are never shuffled.
     """
-    box = legs.groupBy("flight").agg(*[f(g(f"from_{c}", f"to_{c}")).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest))])
-    span = lambda c: F.sequence(F.floor((F.col(f"{c}_lo") - margin) / cell), F.floor((F.col(f"{c}_hi") + margin) / cell))
-    cells = box.select("*", F.explode(span("lon")).alias("cx"), span("lat").alias("_ys")).select("*", F.explode("_ys").alias("cy")).drop("_ys")
+    ends = lambda c: (F.least(f"from_{c}", f"to_{c}"), F.greatest(f"from_{c}", f"to_{c}"))
+    box = legs.groupBy("flight").agg(*[f(x).alias(f"_{c}_{n}") for c in ("lat", "lon") for n, f, x in (("lo", F.min, ends(c)[0]), ("hi", F.max, ends(c)[1]))])
+    span = lambda c: F.sequence(F.floor((F.col(f"_{c}_lo") - margin) / cell), F.floor((F.col(f"_{c}_hi") + margin) / cell))
+    boxed = geo.leg_features(legs.select("flight", "k", "leg_id", "from_lat", "from_lon", "to_lat", "to_lon")).join(box, "flight")
+    cells = boxed.select("*", F.explode(span("lon")).alias("cx"), span("lat").alias("_ys")).select("*", F.explode("_ys").alias("cy")).drop("_ys")
     at = lambda c: F.floor(F.col(f"efrom_{c}") / cell)
-    near = cells.join(edges.withColumns({"cx": at("lon"), "cy": at("lat")}), ["cx", "cy"])
+    placed = geo.edge_features(edges).withColumns({"cx": at("lon"), "cy": at("lat")})
+    near = cells.join(checked_broadcast(placed), ["cx", "cy"])
     for e in ("efrom", "eto"):
         for c in ("lat", "lon"):
-            near = near.filter(F.col(f"{e}_{c}").between(F.col(f"{c}_lo") - margin, F.col(f"{c}_hi") + margin))
-    near = legs.join(near.drop("cx", "cy", *[f"{c}_{n}" for c in ("lat", "lon") for n in ("lo", "hi")]), "flight")
-    return geo.with_fitness(near).filter(F.when(F.col("k") == 0, F.col("first")).otherwise(F.col("rest")) > least).select("flight", "k", "leg_id", "edge_id", "a", "b", "first", "rest")
+            near = near.filter(F.col(f"{e}_{c}").between(F.col(f"_{c}_lo") - margin, F.col(f"_{c}_hi") + margin))
+    fit = F.when(F.col("k") == 0, F.col("first")).otherwise(F.col("rest"))
+    return geo.with_fitness(near).filter(fit > least).select("flight", "k", "leg_id", "edge_id", "a", "b", "first", "rest")
 
 
 def routes(scored: DataFrame, n_legs: DataFrame, most: int = 5, exact: bool = False) -> DataFrame:

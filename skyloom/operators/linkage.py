@@ -38,6 +38,36 @@ def with_haul(schedule: DataFrame, airports: DataFrame, order: str | None = None
     return rows.withColumn("distance", km).withColumn("haul_type", scalars.haul_type(F.col("distance"))).drop("_departure", "_arrival")
 
 
+def airline_codes(schedule: DataFrame, airlines: DataFrame, order: str) -> DataFrame:
+    """airline_icao and callsign of flights (airline_iata in lower case, iata_number) from airlines (iata, icao).
+
+    Airlines without either code don't count; of an airline code's rows the last by ``order`` does. The callsign is the ICAO code and
+    the flight number without its first two characters; both are null for an unknown airline.
+    """
+    sound = airlines.filter(F.col("iata").isNotNull() & F.col("icao").isNotNull())
+    dim = sound.groupBy(F.lower("iata").alias("airline_iata")).agg(F.max_by("icao", order).alias("airline_icao"))
+    rows = schedule.join(dim, "airline_iata", "left")
+    return rows.withColumn("callsign", F.concat("airline_icao", F.expr("substring(iata_number, 3)")))
+
+
+def ordered_schedule(rows: DataFrame) -> DataFrame:
+    """By time, airport and flight number, nulls last: a range-partitioned sort."""
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in ("time", "airport", "iata_number")])
+
+
+def schedule_hours(rows: DataFrame, tail_h: int = 5) -> DataFrame:
+    """(hour): the hour stamps from the first movement's hour to ``tail_h`` hours after the last one's."""
+    hour = lambda t: F.date_trunc("hour", t)
+    ends = rows.agg(F.min("time").alias("a"), F.max("time").alias("b")).filter("a is not null")
+    seconds = lambda t: F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t.cast("timestamp_ntz"))
+    return ends.select(F.explode(F.sequence(seconds(hour(F.col("a"))), seconds(hour(F.col("b"))) + tail_h * 3600, F.lit(3600).cast("long"))).alias("hour"))
+
+
+def codes_in_use(schedule: DataFrame) -> DataFrame:
+    """(code): every airport that flights leave or reach, once."""
+    return schedule.select(F.col("departure_airport").alias("code")).union(schedule.select("arrival_airport")).distinct()
+
+
 def codeshare_key(code: Column, dep: Column, arr: Column, sched_dep: Column, sched_arr: Column) -> Column:
     """The concatenated key: null if a code or airport is null, ``nan`` for a missing time."""
     text = lambda t: F.coalesce(t.cast("string"), F.lit("nan"))

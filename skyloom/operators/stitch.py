@@ -27,6 +27,32 @@ def catalogue(points: DataFrame, file: Column) -> DataFrame:
     return points.select("id", file.alias("file")).distinct().groupBy("id").agg(F.array_sort(F.collect_list("file")).alias("files"))
 
 
+def session_files(points: DataFrame, file: Column, gap_s: int, separator: str = "|") -> DataFrame:
+    """(instance, from_file, to_file, files): an id's files cut where more than ``gap_s`` lies between two; those of one file count as well."""
+    days = points.select("id", file.alias("file")).distinct()
+    w = Window.partitionBy("id").orderBy("file")
+    cut = days.withColumn("_new", F.coalesce(F.col("file") - F.lag("file").over(w) > gap_s, F.lit(False)).cast("int"))
+    cut = cut.withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = cut.groupBy("id", "_k").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return out.select(F.concat(F.col("id").cast("string"), F.lit(separator), F.get("files", F.lit(0)).cast("string")).alias("instance"), F.get("files", F.lit(0)).alias("from_file"), F.element_at("files", -1).alias("to_file"), "files")
+
+
+def day_flights(points: DataFrame, file: Column, step: int, first: int, last: int) -> DataFrame:
+    """The points of the flights of a day's files, in one pass: catalogue, unbroken ids, ids that touch the day, their rows, sorted by id and time.
+
+    A flight belongs to the day of its first file; its rows of later files come along.
+    """
+    placed = points.withColumn("file", file)
+    cat = consecutive_only(catalogue(placed, F.col("file")), step)
+    own = cat.filter(F.get("files", F.lit(0)).between(first, last))
+    return by_flight(gathered(placed, own).drop("file"))
+
+
+def by_flight(points: DataFrame) -> DataFrame:
+    """Points dealt by flight and sorted by flight and time inside each part, as a flight's steps need them; no global sort."""
+    return points.repartition("id").sortWithinPartitions("id", "t")
+
+
 def first_files(cat: DataFrame, k: int = 5) -> DataFrame:
     return cat.withColumn("files", F.slice("files", 1, k))
 

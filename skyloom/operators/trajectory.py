@@ -186,3 +186,13 @@ def checked_broadcast(dim: DataFrame, most: int = DIMENSION_ROWS) -> DataFrame:
     return F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim
 
 
+
+
+def of_flight(legs: DataFrame, flight: str) -> DataFrame:
+    """The legs of one flight in order; the filter reaches the scan."""
+    return legs.filter(F.col("id") == F.lit(flight)).orderBy("from_time", "leg_id")
+
+
+def sliced(rows: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """Rows ``first`` up to but not ``last`` of an order; a top-k, never a sort of all."""
+    return rows.orderBy(*order).offset(first).limit(last - first)

@@ -121,6 +121,43 @@ def sessions_5h(spark, d):
     return trajectory.session_table(views.points(spark, d))
 
 
+@query("session_files", f"WITH {_CAT}, c AS (SELECT id, f, coalesce(f - lag(f) OVER (PARTITION BY id ORDER BY f) > 86400, false)::INT AS new FROM days), s AS (SELECT id, f, sum(new) OVER (PARTITION BY id ORDER BY f ROWS UNBOUNDED PRECEDING) AS k FROM c) SELECT id || '|' || min(f) AS instance, min(f) AS from_file, max(f) AS to_file, string_agg(f::VARCHAR, '/' ORDER BY f) AS files FROM s GROUP BY id, k")
+def session_files(spark, d):
+    s = stitch.session_files(views.points(spark, d), (F.floor(F.col("t") / DAY) * DAY).cast("long"), DAY)
+    return s.withColumn("files", F.array_join(F.transform("files", lambda x: x.cast("string")), "/"))
+
+
+_DAY_FILES = f"{POINTS}, fs AS (SELECT DISTINCT id, CAST(floor(t / 172800) AS BIGINT) * 172800 AS f FROM points), g AS (SELECT id, f, f - lag(f) OVER (PARTITION BY id ORDER BY f) AS gap FROM fs), ok AS (SELECT id FROM g GROUP BY id HAVING coalesce(bool_and(gap = 172800), true) AND min(f) BETWEEN 1703980800 AND 1704326400)"
+
+
+@query("day_flights", f"WITH {_DAY_FILES} SELECT event_id, id, t FROM points WHERE id IN (SELECT id FROM ok)")
+def day_flights(spark, d):
+    # files of two days, flights that begin in the first three of them
+    return stitch.day_flights(views.points(spark, d), (F.floor(F.col("t") / (2 * DAY)) * (2 * DAY)).cast("long"), 2 * DAY, 1703980800, 1704326400).select("event_id", "id", "t")
+
+
+@query("flight_legs", f"WITH {POINTS}, {LEGS} SELECT leg_id, from_time, to_time FROM legs WHERE id = 7")
+def flight_legs(spark, d):
+    return trajectory.of_flight(views.legs(spark, d), 7).select("leg_id", "from_time", "to_time")
+
+
+@query("flight_ids", "SELECT event_id, 'a' || user_id || 'F' || (event_id % 90) AS craft_first, 'F' || (event_id % 90) || 'a' || user_id AS call_first, 'F' || (event_id % 90) || '_a' || user_id AS underscored, substr(sha256(user_id || chr(31) || event_id), 1, 10) AS short FROM events")
+def flight_ids(spark, d):
+    craft, call = F.concat(F.lit("a"), F.col("user_id").cast("string")), F.concat(F.lit("F"), (F.col("event_id") % 90).cast("string"))
+    forms = [scalars.flight_id(craft, call, f).alias(f) for f in ("craft_first", "call_first", "underscored")]
+    return table(spark, d, "events").select("event_id", *forms, scalars.stable_id(F.col("user_id"), F.col("event_id")).alias("short"))
+
+
+@query("id_slice", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 20")
+def id_slice(spark, d):
+    return trajectory.sliced(table(spark, d, "customer").select("c_custkey"), ["c_custkey"], 20, 70)
+
+
+@query("sites_shared", "SELECT DISTINCT s_nationkey AS key FROM supplier INTERSECT SELECT DISTINCT c_nationkey FROM customer")
+def sites_shared(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("key")).intersect(table(spark, d, "customer").select("c_nationkey"))
+
+
 @query("session_instances", f"WITH {_SESS}, i AS (SELECT id, session, id || '|' || CAST(trunc(min(t)) AS BIGINT) AS instance, count(*) AS n FROM s GROUP BY id, session HAVING count(*) >= 2) SELECT event_id, instance, n FROM s JOIN i USING (id, session)")
 def session_instances(spark, d):
     s = trajectory.sessions(views.points(spark, d))
@@ -367,6 +404,33 @@ def schedule_union(spark, d):
     return _schedule(spark, d).groupBy("type", "airport", "codeshare_iata").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
 
 
+def _airlines(spark, d) -> DataFrame:
+    n = table(spark, d, "nation")
+    return n.select(F.when(F.col("n_nationkey") % 7 != 3, F.element_at(F.array(*[F.lit(x) for x in "ANRFOP"]), (F.col("n_nationkey") % 6 + 1).cast("int"))).alias("iata"), F.when(F.col("n_nationkey") % 5 != 4, F.upper(F.substring("n_name", 1, 3))).alias("icao"), F.col("n_nationkey").alias("no"))
+
+
+@query("airline_codes", f"WITH {_SCHEDULE}, al AS (SELECT n_nationkey AS no, CASE WHEN n_nationkey % 7 <> 3 THEN substr('ANRFOP', n_nationkey % 6 + 1, 1) END AS iata, CASE WHEN n_nationkey % 5 <> 4 THEN upper(substr(n_name, 1, 3)) END AS icao FROM nation), dim AS (SELECT lower(iata) AS code, arg_max(icao, no) AS airline_icao FROM al WHERE iata IS NOT NULL AND icao IS NOT NULL GROUP BY 1) SELECT flight_key, type, airline_icao, airline_icao || substr(iata_number, 3) AS callsign FROM sched LEFT JOIN dim ON code = lower(airline_iata)")
+def airline_codes(spark, d):
+    rows = _schedule(spark, d).withColumn("airline_iata", F.lower("airline_iata"))
+    return linkage.airline_codes(rows, _airlines(spark, d), "no").select("flight_key", "type", "airline_icao", "callsign")
+
+
+@query("schedule_first", f"WITH {_SCHEDULE} SELECT flight_key, type, time, airport, iata_number FROM sched ORDER BY time NULLS LAST, airport NULLS LAST, iata_number NULLS LAST, flight_key LIMIT 500")
+def schedule_first(spark, d):
+    # the report's first page; ties in flight number go by key
+    return linkage.ordered_schedule(_schedule(spark, d)).select("flight_key", "type", "time", "airport", "iata_number").orderBy(*[F.col(c).asc_nulls_last() for c in ("time", "airport", "iata_number", "flight_key")]).limit(500)
+
+
+@query("schedule_hours", f"WITH {_SCHEDULE}, e AS (SELECT epoch(date_trunc('hour', min(time)))::BIGINT AS a, epoch(date_trunc('hour', max(time)))::BIGINT AS b FROM sched) SELECT unnest(range(a, b + 6 * 3600, 3600)) AS hour FROM e")
+def schedule_hours(spark, d):
+    return linkage.schedule_hours(_schedule(spark, d))
+
+
+@query("codes_in_use", f"WITH {_SCHEDULE} SELECT departure_airport AS code FROM sched UNION SELECT arrival_airport FROM sched")
+def codes_in_use(spark, d):
+    return linkage.codes_in_use(_schedule(spark, d))
+
+
 @query("haul_type", f"WITH {_SCHEDULE}, {_SITES}, j AS (SELECT s.type, a.site_no AS x, b.site_no AS y, {views.haversine('a.site_lat', 'a.site_lon', 'b.site_lat', 'b.site_lon')} AS km FROM sched s LEFT JOIN sites a ON a.site_no::VARCHAR = s.departure_airport LEFT JOIN sites b ON b.site_no::VARCHAR = s.arrival_airport), h AS (SELECT type, CASE WHEN x IS NULL OR y IS NULL THEN -1e0 ELSE km END AS distance FROM j) SELECT type, CASE WHEN distance < 1500 THEN 'short_haul' WHEN distance < 4000 THEN 'medium_haul' ELSE 'long_haul' END AS haul_type, round(distance, 4) AS distance, count(*) AS n FROM h GROUP BY ALL")
 def haul_type(spark, d):
     airports = _sites(spark, d).select(F.col("site_no").cast("string").alias("iata"), F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"))
@@ -524,7 +588,7 @@ def flow_similarity(spark, d):
 _PARTS = ", ".join(f"({j}, {y1}e0, {x1}e0, {y2}e0, {x2}e0)" for j, ((x1, y1), (x2, y2)) in enumerate(zip(LINE, LINE[1:], strict=False)))
 
 
-@query("polyline_similarity", f"WITH {_similarity_sql(f'{POINTS}, {LEGS}, line(part, b_from_lat, b_from_lon, b_to_lat, b_to_lon) AS (VALUES {_PARTS}), pairs AS (SELECT leg_id, part, from_lat AS a_from_lat, from_lon AS a_from_lon, to_lat AS a_to_lat, to_lon AS a_to_lon, b_from_lat, b_from_lon, b_to_lat, b_to_lon FROM legs, line)')} SELECT leg_id, part, round(similarity, 6) AS similarity FROM sims WHERE leg_id IN (SELECT leg_id FROM sims WHERE similarity <> 0)")
+@query("polyline_similarity", f"WITH {_similarity_sql(f'{POINTS}, {LEGS}, line(part, b_from_lat, b_from_lon, b_to_lat, b_to_lon) AS (VALUES {_PARTS}), pairs AS (SELECT leg_id, part, from_lat AS a_from_lat, from_lon AS a_from_lon, to_lat AS a_to_lat, to_lon AS a_to_lon, b_from_lat, b_from_lon, b_to_lat, b_to_lon FROM legs, line)')} SELECT leg_id, part, round(similarity, 6) AS similarity FROM sims QUALIFY max((similarity <> 0)::INT) OVER (PARTITION BY leg_id) = 1")
 def polyline_similarity(spark, d):
     s = flows.polyline_similarity(views.legs(spark, d), LINE)
     kept = Window.partitionBy("a_leg_id")

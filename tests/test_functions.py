@@ -31,10 +31,10 @@ def test_segment_features(spark, name):
     a, b, cosine, overlap, apart = CASES[name]
     names = ("from_lat", "from_lon", "to_lat", "to_lon")
     df = spark.createDataFrame([tuple(map(float, a + b))], [f"{p}{n}" for p in ("a_", "b_") for n in names])
-    row = df.select(geo.plane_cosine("a_", "b_").alias("c"), geo.overlap("a_", "b_").alias("o"), geo.separation("a_", "b_").alias("s")).first()
-    assert row.c == pytest.approx(cosine, abs=1e-6)
-    assert row.o == pytest.approx(overlap, abs=1e-5)
-    assert row.s == pytest.approx(apart, abs=1e-6)
+    row = geo.with_terms(geo.with_features(geo.with_features(df, "a_"), "b_"), "a_", "b_").first()
+    assert row.cosine == pytest.approx(cosine, abs=1e-6)
+    assert row.overlap == pytest.approx(overlap, abs=1e-5)
+    assert row.separation == pytest.approx(apart, abs=1e-6)
 
 
 def test_drift_rate(spark):

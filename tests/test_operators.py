@@ -229,6 +229,29 @@ def test_haul(spark):
     assert got[1][0] == "medium_haul" and got[2] == ("short_haul", -1.0) and got[3] == ("long_haul", None)
 
 
+def test_haul_takes_an_airports_first_row(spark):
+    s = spark.createDataFrame([(1, "AA", "BB")], "n int, departure_airport string, arrival_airport string")
+    air = spark.createDataFrame([("AA", 0.0, 0.0, 1), ("BB", 40.0, 40.0, 1), ("BB", 0.0, 5.0, 2), ("AA", -50.0, -50.0, 3)], "iata string, lat double, lon double, no int").coalesce(1)
+    want = 6371 * 2 * np.arcsin(np.sqrt((1 - np.cos(np.radians(40)) ** 2) / 2))
+    for order in (None, "no"):
+        assert linkage.with_haul(s, air, order).first().distance == pytest.approx(want, rel=1e-6)
+
+
+def test_the_latest_snapshot_comes_before_the_box(spark):
+    # the minute's latest row lies outside the box, so its earlier row inside is no snapshot either
+    df = spark.createDataFrame([(1, 10.0, 50.0, 5.0), (2, 20.0, 10.0, 5.0), (3, 70.0, 50.0, 5.0)], "n int, t double, lat double, lon double")
+    got = stitch.fresh_in_box(stitch.latest_snapshot(df), (30.0, 72.0), (-15.0, 40.0)).collect()
+    assert [r.n for r in got] == [3]
+
+
+def test_time_inside_runs_from_start_to_start(spark):
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    rows = [("a", 0.0, 400.0, 5.0, 5.0, 6.0, 6.0), ("a", 400.0, 900.0, 6.0, 6.0, 7.0, 7.0), ("b", 0.0, 5000.0, 5.0, 5.0, 6.0, 6.0)]
+    legs = spark.createDataFrame(rows, "id string, from_time double, to_time double, from_lat double, from_lon double, to_lat double, to_lon double")
+    assert {r.id: r.seconds for r in airspace.time_inside(legs, ring).collect()} == {"a": 400.0}
+    assert {r.id: r.seconds for r in airspace.time_inside(legs, ring, to_end=True).collect()} == {"a": 900.0, "b": 5000.0}
+
+
 def test_tails(spark):
     rows = [(" BA1 ", "x", 0, 1), ("ba1", "y", 0, 2), ("BA1", "z", 1, 1), ("BA2", "q", 0, 1)]
     seen = spark.createDataFrame(rows, "callsign string, icao24 string, file int, row int")
