@@ -6,7 +6,8 @@ of a text is the sum over its pieces. Pieces seen before are looked up in a boun
 encoded in batches that hold about equal numbers of bytes, so one very long text never makes a batch of
 its own size and a batch of short ones isn't mostly overhead. Only lengths come back.
 
-Nulls: a null text is empty and has 0 tokens. Ties, repeated rows and extra columns don't matter.
+Nulls: a null text is empty and has 0 tokens; a null doc_id is counted like any other. Repeated rows are counted each for itself, an empty table
+gives an empty result, extra columns of any name aren't read.
 """
 
 from __future__ import annotations
@@ -55,12 +56,16 @@ def pieces(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def batches(parts: list[str], size: int = BATCH_BYTES) -> Iterator[list[str]]:
     """Batches of about equal bytes; longer parts first, so that padding to the longest is small."""
     batch, held = [], 0
     for p in sorted(parts, key=len, reverse=True):
         batch.append(p)
-        held += len(p)
+        held += n_bytes(p)
         if held >= size:
             yield batch
             batch, held = [], 0
@@ -111,16 +116,18 @@ def held(name: str) -> Counter:
     return _HELD[name]
 
 
-def _by_bytes(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``size`` characters."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _by_bytes(texts: pa.Array, size: int) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts, and their bytes, in lots of about ``size`` bytes; only one lot is held as Python strings."""
+    lot, held, total = [], [], 0
+    for t in texts:
+        lot.append(t.as_py())
+        held.append(n_bytes(lot[-1]))
+        total += held[-1]
+        if total >= size:
+            yield lot, held
+            lot, held, total = [], [], 0
+    if lot:
+        yield lot, held
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = TOKENIZER) -> DataFrame:
@@ -130,9 +137,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(name)
         for b in it:
-            texts = b.column("text").to_pylist()
-            n = [x for i, j in _by_bytes(texts, 4 * BATCH_BYTES) for x in counter.counts(texts[i:j])]
-            size = [len(t.encode()) for t in texts]
+            n, size = [], []
+            for lot, held_bytes in _by_bytes(b.column("text"), 4 * BATCH_BYTES):
+                n += counter.counts(lot)
+                size += held_bytes
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

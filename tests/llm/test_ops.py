@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -422,9 +423,19 @@ def test_token_counts_with_a_small_memo(monkeypatch):
 
 
 def test_batches_hold_equal_bytes():
-    parts = ["x" * k for k in range(1, 200)]
-    sizes = [sum(map(len, b)) for b in token_counts.batches(parts, 1000)]
-    assert sum(sizes) == sum(map(len, parts)) and all(1000 <= s < 1200 for s in sizes[:-1])
+    parts = ["x" * k for k in range(1, 200)] + ["日" * k for k in range(1, 60)]
+    sizes = [sum(len(p.encode()) for p in b) for b in token_counts.batches(parts, 1000)]
+    assert sum(sizes) == sum(len(p.encode()) for p in parts) and all(1000 <= s < 1200 for s in sizes[:-1])
+    lots = list(token_counts._by_bytes(pa.array(parts), 1000))
+    assert [t for lot, _ in lots for t in lot] == parts and all(n == len(t.encode()) for lot, held in lots for t, n in zip(lot, held, strict=True))
+
+
+def test_token_counts_of_nothing(empty):
+    assert token_counts.count_tokens(empty).collect() == []
+
+
+def test_fingerprints_of_nothing(spark):
+    assert chroma_prints.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
 # ---------------------------------------------------------------- 7
