@@ -289,13 +289,29 @@ def _pairs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("a", "b", "la", "lb", "sum").agg(one).select("a", "b", "la", "lb", "sum", "o.p", "o.size")
 
 
-def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links that connect nodes exactly as all links do. nodes: rep, id0, th, n, pool."""
+def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, sets: list[DataFrame], k: int) -> DataFrame:
+    """:func:`_measured` of the pairs; whole sets that ``sets`` lacks are read and added to it."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b", "la", "lb", "sum", F.lit(0).cast("long").alias("both"))
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    for s in sets:
+        ends = ends.join(s.select("rep"), "rep", "left_anti")
+    ends = common.small(common.store(ends, "ends"))
+    sets.append(common.store(_sets(docs, common.store(nodes.select("rep", "id0", "th").join(ends, "rep", "left_semi"), "ends"), k), "sets"))
+    held = sets[0]
+    for s in sets[1:]:
+        held = held.unionByName(s)
+    return _measured(held, pairs)
+
+
+def joined(docs: DataFrame, nodes: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(rep, label) of every node with a link: its component's smallest node. nodes: rep, id0, th, n, pool."""
     places, sets = _places(docs, nodes, k, percent)
     regions = common.store(_regions(places, percent), "regions")
     turn = F.struct((F.col("i") / F.col("n")).alias("c"), "rep")
     members = regions.select("s", "rep", "n", "i", "core", turn.alias("turn"), F.col("rep").alias("label"), F.lit(None).cast("long").alias("d"), F.lit(False).alias("done"))
-    linked, known, step = [], [], 1
+    known, step = [], 1
+    labels = nodes.sparkSession.createDataFrame([], "rep long, label long")
     while True:
         ready = F.col("core") & ~F.col("done")
         top = Window.partitionBy("s").orderBy("turn")
@@ -306,16 +322,7 @@ def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, percent: int = PERC
         for seen in known:
             pairs = pairs.join(common.small(seen.select("a", "b")), ["a", "b"], "left_anti")
         pairs = common.store(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-        for s in sets:
-            ends = ends.join(s.select("rep"), "rep", "left_anti")
-        ends = common.store(nodes.select("rep", "id0", "th").join(common.small(common.store(ends, "ends")), "rep", "left_semi"), "ends")
-        if not ends.isEmpty():
-            sets.append(common.store(_sets(docs, ends, k), "sets"))
-        held = nodes.sparkSession.createDataFrame([], "rep long, set binary")
-        for s in sets:
-            held = held.unionByName(s)
-        found = common.store(_measured(held, pairs), "measured")
+        found = common.store(_compared(docs, nodes, pairs, sets, k), "measured")
         known.append(found)
         good = found.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent)
         last = pivots.groupBy("s").agg(F.max("turn").alias("last"), F.min_by("rep", "turn").alias("first"))
@@ -326,17 +333,17 @@ def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, percent: int = PERC
             members = members.select("*", *ends).join(common.small(away), ["a", "b"], "left").withColumn("d", F.when(F.col("rep") == F.col("first"), F.lit(0)).otherwise(F.col("away"))).drop("a", "b", "away")
         members = members.drop("last", "first")
         if not good.isEmpty():
-            linked.append(good.select("a", "b"))
+            # components of this round's links between the labels so far
             now = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-            members = members.join(common.small(now.select(F.col("node").alias("label"), F.col("label").alias("now"))), "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+            renamed = common.small(now.select(F.col("node").alias("label"), F.col("label").alias("now")))
+            members = members.join(renamed, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+            fresh = now.withColumnRenamed("node", "rep").join(labels.select("rep"), "rep", "left_anti")
+            labels = common.store(labels.join(renamed, "label", "left").select("rep", F.coalesce("now", "label").alias("label")).unionByName(fresh), "labels")
         members = common.store(members, "members")
         still = members.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(ready).alias("ready")).filter("x < y and ready").select("s")
         members = common.store(members.join(still, "s", "left_semi"), "members")
         step *= STEP
-    out = regions.sparkSession.createDataFrame([], "a long, b long")
-    for x in linked:
-        out = out.unionByName(x)
-    return out
+    return labels
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -352,8 +359,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     nodes = common.store(nodes, "nodes")
     slim = common.store(rows.drop("pool"), "rows")
     common.drop(rows)
-    labels = components(links(docs, nodes, k, percent))
-    named = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("label"))
+    named = groups.join(joined(docs, nodes, k, percent), "rep", "left").select(*same, F.coalesce("label", "rep").alias("label"))
     at = slim.join(named, same, "left")
     at = common.store(at.withColumn("label", F.coalesce("label", "row")), "labelled")
     least = at.groupBy("label").agg(F.min("doc_id").alias("component_id"))
