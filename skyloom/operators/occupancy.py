@@ -101,10 +101,22 @@ def reaggregate(counts: DataFrame, window: float, cell: float, fine: Grid = Grid
     return sums.groupBy(F.col("coarse").alias("window_start"), "trench", "lat_idx", "lon_idx").agg(F.max("s").alias("max_count"))
 
 
+def _meets(start: Column, end: Column) -> Column:
+    f, t = F.col("from_time"), F.col("to_time")
+    return ((f >= start) & (f < end)) | ((t > start) & (t <= end)) | ((f < start) & (t > end))
+
+
 def in_window(legs: DataFrame, start: float, end: float) -> DataFrame:
     """Legs that start in, end in or span a window."""
-    f, t = F.col("from_time"), F.col("to_time")
-    return legs.filter(((f >= start) & (f < end)) | ((t > start) & (t <= end)) | ((f < start) & (t > end)))
+    return legs.filter(_meets(F.lit(start), F.lit(end)))
+
+
+def window_flights(legs: DataFrame, width: int, first: int, count: int) -> DataFrame:
+    """(window_start, flights, n) of ``count`` windows from ``first``: each leg goes to the windows it touches, so they meet without a range join."""
+    number = lambda t: F.floor((F.col(t) - first) / width)
+    rows = legs.withColumn("_k", F.explode(F.sequence(number("from_time"), number("to_time")))).filter(F.col("_k").between(0, count - 1))
+    start = F.col("_k") * width + first
+    return rows.filter(_meets(start, start + width)).groupBy(start.alias("window_start")).agg(F.countDistinct("id").alias("flights"), F.count("*").alias("n"))
 
 
 def dense_grid(counts: DataFrame, window_start: int, trench: int, grid: Grid = Grid()) -> DataFrame:  # noqa: B008

@@ -66,10 +66,10 @@ def listed(files: Column, file: Column) -> Column:
     return F.array_contains(files, file)
 
 
-def consecutive_only(cat: DataFrame, step: int = 3600) -> DataFrame:
-    """Ids whose files follow one another at exactly ``step``."""
+def consecutive_only(cat: DataFrame, step: int = 3600, at_most: bool = False) -> DataFrame:
+    """Ids whose files follow one another at exactly ``step``, or at no more than it."""
     gaps = F.zip_with(F.slice("files", 2, F.greatest(F.size("files") - 1, F.lit(0))), F.slice("files", 1, F.greatest(F.size("files") - 1, F.lit(0))), lambda a, b: a - b)
-    return cat.filter(F.forall(gaps, lambda g: g == step))
+    return cat.filter(F.forall(gaps, lambda g: g <= step if at_most else g == step))
 
 
 def truncated(cat: DataFrame, gap: int = 4000, least: int = 2) -> DataFrame:
@@ -162,13 +162,16 @@ def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
     return out
 
 
-def hour_range(low: int, high: int, step: int = 3600) -> Column:
+def hour_range(low: Column | int, high: Column | int, step: int = 3600) -> Column:
     """Stamps from low to high, high included even where the steps miss it."""
-    return F.array_distinct(F.concat(F.sequence(F.lit(low), F.lit(high), F.lit(step)), F.array(F.lit(high))))
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+    low, high = low.cast("long"), high.cast("long")
+    return F.array_distinct(F.concat(F.sequence(low, high, F.lit(step).cast("long")), F.array(high)))
 
 
-def day_range(low: Column, high: Column) -> Column:
-    return F.sequence(low, high, F.expr("interval 1 day"))
+def day_range(low: Column, high: Column, days: int = 1) -> Column:
+    """Days from low to high, both included; every seventh with ``days=7``."""
+    return F.sequence(low, high, F.expr(f"interval {days} day"))
 
 
 def gap_audit(stamps: DataFrame, step: int, keys: list[str]) -> DataFrame:

@@ -66,6 +66,19 @@ def session_table(points: DataFrame, gap_s: float = 18_000.0, least: int = 1) ->
     return rows.filter(F.col("n") >= least).select(F.concat_ws("|", "id", F.col("from_t").cast("long")).alias("instance"), "from_t", "to_t", "n")
 
 
+def session_points(points: DataFrame, gap_s: float = 18_000.0, least: int = 2, order: str = "event_id") -> DataFrame:
+    """Points with their session's instance id and its number of points; sessions of fewer than ``least`` go."""
+    w = Window.partitionBy("id", "session")
+    rows = sessions(points, gap_s, order).select("*", F.min("t").over(w).alias("_t0"), F.count("*").over(w).alias("n")).filter(F.col("n") >= least)
+    return rows.withColumn("instance", F.concat_ws("|", "id", F.col("_t0").cast("long"))).drop("_t0")
+
+
+def leg_stats(legs_: DataFrame) -> DataFrame:
+    """Per id: mean and deviations of the speed, and the slope of altitude over time."""
+    aggs = [F.avg("speed").alias("mean"), F.stddev_samp("speed").alias("std_sample"), F.stddev_pop("speed").alias("std_population"), F.regr_slope("from_alt", "from_time").alias("slope")]
+    return legs_.groupBy("id").agg(*aggs)
+
+
 def drift_heading(points: DataFrame, order: str = "event_id") -> DataFrame:
     """Heading less the drift that great circles add since the first point; the first point's is 0. Also the speed to the next point in km/s."""
     w = by_time(order)

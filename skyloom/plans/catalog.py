@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import airspace, flows, graph, linkage, occupancy, scenario, stitch, trajectory
+from ..sources import tables
 from . import views
 from .views import LEGS, POINTS, table
 
@@ -76,11 +77,8 @@ def catalogue_inverted(spark, d):
 
 @query("gap_filter", f"WITH {_CAT}, g AS (SELECT id, f, f - lag(f) OVER (PARTITION BY id ORDER BY f) AS gap FROM days) SELECT id, count(*) AS n FROM g GROUP BY id HAVING coalesce(bool_and(gap <= 2 * 86400), true)")
 def gap_filter(spark, d):
-    # on these sparse points "consecutive" is a gap of at most two days; the operator itself asks for one step
-    days = _catalogue(spark, d).select("id", F.explode("files").alias("f"))
-    w = Window.partitionBy("id").orderBy("f")
-    bad = days.withColumn("gap", F.col("f") - F.lag("f").over(w)).filter(F.col("gap") > 2 * DAY).select("id").distinct()
-    return days.join(bad, "id", "left_anti").groupBy("id").agg(F.count("*").alias("n"))
+    # on these sparse points "consecutive" is a gap of at most two days
+    return stitch.consecutive_only(_catalogue(spark, d), 2 * DAY, at_most=True).select("id", F.size("files").cast("long").alias("n"))
 
 
 @query("gap_consecutive", f"WITH {_CAT}, g AS (SELECT id, f, f - lag(f) OVER (PARTITION BY id ORDER BY f) AS gap FROM days WHERE f < 1704067200 + 4 * 86400) SELECT id, count(*) AS n FROM g GROUP BY id HAVING coalesce(bool_and(gap = 86400), true)")
@@ -160,9 +158,7 @@ def sites_shared(spark, d):
 
 @query("session_instances", f"WITH {_SESS}, i AS (SELECT id, session, id || '|' || CAST(trunc(min(t)) AS BIGINT) AS instance, count(*) AS n FROM s GROUP BY id, session HAVING count(*) >= 2) SELECT event_id, instance, n FROM s JOIN i USING (id, session)")
 def session_instances(spark, d):
-    s = trajectory.sessions(views.points(spark, d))
-    i = s.groupBy("id", "session").agg(F.min("t").alias("t0"), F.count("*").alias("n")).filter("n >= 2")
-    return s.join(i, ["id", "session"]).select("event_id", F.concat_ws("|", "id", F.col("t0").cast("long")).alias("instance"), "n")
+    return trajectory.session_points(views.points(spark, d)).select("event_id", "instance", "n")
 
 
 @query("keep_first", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
@@ -293,13 +289,7 @@ def reaggregate(spark, d):
 
 @query("window_overlap_distinct", f"WITH {POINTS}, {LEGS}, w AS (SELECT 1704067200 + unnest(range(0, 30)) * 86400 AS s) SELECT s AS window_start, count(DISTINCT id) AS flights, count(*) AS n FROM w JOIN legs ON (from_time >= s AND from_time < s + 86400) OR (to_time > s AND to_time <= s + 86400) OR (from_time < s AND to_time > s + 86400) GROUP BY s")
 def window_overlap_distinct(spark, d):
-    # each leg goes to the days it touches, so legs and windows meet without a range join
-    days = F.sequence(F.floor(F.col("from_time") / DAY), F.floor(F.col("to_time") / DAY))
-    rows = views.legs(spark, d).withColumn("k", F.explode(days)).filter(F.col("k").between(1704067200 // DAY, 1704067200 // DAY + 29))
-    start = F.col("k") * DAY
-    f, t = F.col("from_time"), F.col("to_time")
-    hit = ((f >= start) & (f < start + DAY)) | ((t > start) & (t <= start + DAY)) | ((f < start) & (t > start + DAY))
-    return rows.filter(hit).groupBy(start.alias("window_start")).agg(F.countDistinct("id").alias("flights"), F.count("*").alias("n"))
+    return occupancy.window_flights(views.legs(spark, d), DAY, 1704067200, 30)
 
 
 @query("dense_cells", f"WITH {_PEAK}, g AS (SELECT CAST(a AS INT) AS lat_idx, CAST(b AS INT) AS lon_idx FROM range(0, 9) x(a), range(0, 11) y(b)) SELECT g.lat_idx, g.lon_idx, coalesce(max_count, 0) AS max_count FROM g LEFT JOIN peak p ON p.lat_idx = g.lat_idx AND p.lon_idx = g.lon_idx AND window_start = 1705276800 AND trench = 1")
@@ -507,8 +497,7 @@ def hour_hist(spark, d):
 
 @query("speed_stats", f"WITH {POINTS}, {LEGS} SELECT id, round(avg(speed), 7) AS mean, round(stddev_samp(speed), 7) AS std_sample, round(stddev_pop(speed), 7) AS std_population, round(regr_slope(from_alt, from_time), 9) AS slope FROM legs GROUP BY id")
 def speed_stats(spark, d):
-    g = views.legs(spark, d).groupBy("id").agg(F.avg("speed").alias("mean"), F.stddev_samp("speed").alias("std_sample"), F.stddev_pop("speed").alias("std_population"), F.regr_slope("from_alt", "from_time").alias("slope"))
-    return g.select("id", *_r("mean", "std_sample", "std_population", digits=7), *_r("slope", digits=9))
+    return trajectory.leg_stats(views.legs(spark, d)).select("id", *_r("mean", "std_sample", "std_population", digits=7), *_r("slope", digits=9))
 
 
 # ---------------------------------------------------------------- flows
@@ -718,6 +707,22 @@ def json_flatten(spark, d):
     return e.select("event_id", "p.k", "p.missing")
 
 
+@query("flight_json", "SELECT o_orderkey AS key, upper(CASE WHEN o_orderkey % 2 = 0 THEN 'ba' ELSE 'af' END || o_orderkey) AS iata_number, CASE WHEN o_orderkey % 2 = 0 THEN 'BA' ELSE 'AF' END AS airline_iata, CASE WHEN o_orderkey % 3 = 0 THEN 'KL' END AS codeshare_iata, 'A' || (o_custkey % 30) AS departure_airport, o_orderdate::TIMESTAMP AS scheduled_departure, 'B' || (o_orderkey % 30) AS arrival_airport FROM orders")
+def flight_json(spark, d):
+    # the orders as flight JSON lines, parsed and flattened as the reader does
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    line = F.when(k % 2 == 0, "ba").otherwise("af")
+    code = lambda x, n: F.struct(F.concat(F.lit(x), (n % 30).cast("string")).alias("iataCode"))
+    times = F.lower(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    out = F.to_json(F.struct(
+        F.struct(line.alias("iataCode")).alias("airline"), F.struct(F.concat(line, k).alias("iataNumber")).alias("flight"),
+        F.when(k % 3 == 0, F.struct(F.struct(F.lit("kl").alias("iataCode")).alias("airline"))).alias("codeshared"),
+        code("a", F.col("o_custkey")).withField("scheduledTime", times).alias("departure"), code("b", k).alias("arrival"),
+    ))
+    flights = o.select(k.alias("key"), F.from_json(out, tables.FLIGHT_JSON).alias("f")).select("key", "f.*")
+    return tables.flat_flights(flights, "key").select("key", "iata_number", "airline_iata", "codeshare_iata", "departure_airport", "scheduled_departure", "arrival_airport")
+
+
 _DMS = "(CASE WHEN {x} < 0 AND floor(abs({x})) > 0 THEN '-' ELSE '' END || CAST(floor(abs({x})) AS BIGINT) || '''' || CAST(floor((abs({x}) - floor(abs({x}))) * 60) AS BIGINT) || '''' || CAST(round_even(((abs({x}) - floor(abs({x}))) * 60 - floor((abs({x}) - floor(abs({x}))) * 60)) * 60, 0) AS BIGINT))"
 
 
@@ -762,8 +767,7 @@ def attenuations(spark, d):
 
 @query("file_ranges", "SELECT o_orderkey, list_distinct(list_append(range(0, (o_orderkey % 9) * 1800 + 1, 3600), (o_orderkey % 9) * 1800)).list_sort().list_transform(lambda x: x::VARCHAR).array_to_string(',') AS files FROM orders")
 def file_ranges(spark, d):
-    end = (F.col("o_orderkey") % 9) * 1800
-    files = F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), end, F.lit(3600).cast("long")), F.array(end))))
+    files = F.array_sort(stitch.hour_range(0, (F.col("o_orderkey") % 9) * 1800))
     return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(files, lambda x: x.cast("string")), ",").alias("files"))
 
 

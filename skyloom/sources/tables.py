@@ -75,12 +75,12 @@ def paired_files(flows: DataFrame, segments: DataFrame) -> DataFrame:
     return found.select("prefix", "flow", one.alias("segment"))
 
 
-def flat_flights(flights: DataFrame) -> DataFrame:
-    """Schedule rows of flight JSON: codes in upper case, times parsed, absent parts null."""
+def flat_flights(flights: DataFrame, *keep: str) -> DataFrame:
+    """Schedule rows of flight JSON: codes in upper case, times parsed, absent parts null; ``keep``: other columns that stay."""
     t = lambda c: F.expr(f"try_to_timestamp(upper({c}))").cast("timestamp_ntz")
     up = lambda c: F.upper(F.col(c))
     return flights.select(
-        "type", "status", up("flight.iataNumber").alias("iata_number"), up("airline.iataCode").alias("airline_iata"), up("codeshared.airline.iataCode").alias("codeshare_iata"),
+        *keep, "type", "status", up("flight.iataNumber").alias("iata_number"), up("airline.iataCode").alias("airline_iata"), up("codeshared.airline.iataCode").alias("codeshare_iata"),
         up("departure.iataCode").alias("departure_airport"), t("departure.scheduledTime").alias("scheduled_departure"), t("departure.actualTime").alias("actual_departure"),
         up("arrival.iataCode").alias("arrival_airport"), t("arrival.scheduledTime").alias("scheduled_arrival"), t("arrival.actualTime").alias("actual_arrival"),
     )
