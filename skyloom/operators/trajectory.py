@@ -184,10 +184,20 @@ def relative_time(points: DataFrame) -> DataFrame:
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, keep: list[str]) -> DataFrame:
-    """The site (site, site_lat, site_lon, site_no) nearest in degrees to each point; ties to the smaller number. Sites: a bounded dimension."""
-    d = F.sqrt(F.pow(F.col("lat") - F.col("site_lat"), 2) + F.pow(F.col("lon") - F.col("site_lon"), 2))
-    best = F.min(F.struct(d.alias("error"), "site_no", "site")).alias("b")
-    return points.crossJoin(checked_broadcast(sites)).groupBy(*keep).agg(best).select(*keep, F.col("b.site").alias("site"), F.col("b.error").alias("error"))
+    """The site (site, site_lat, site_lon, site_no) nearest in degrees to each point; ties to the smaller number. Repeated points stay.
+
+    Sites travel as arrays of at most ``DIMENSION_ROWS``, each to every task; a point scans them in place, so nothing is shuffled. More sites are
+    scanned one array after the other.
+    """
+    blocks = -(-max(sites.count(), 1) // DIMENSION_ROWS)
+    out = points.withColumn("_best", F.lit(None).cast("struct<error:double,site_no:long,site:string>"))
+    for k in range(blocks):
+        own = sites.filter((F.pmod(F.xxhash64("site_no"), F.lit(blocks)) == k) & F.col("site_lat").isNotNull() & F.col("site_lon").isNotNull())
+        block = own.agg(F.collect_list(F.struct("site_lat", "site_lon", F.col("site_no").cast("long").alias("site_no"), F.col("site").cast("string").alias("site"))).alias("_sites"))
+        away = lambda s: F.sqrt(F.pow(F.col("lat") - s["site_lat"], 2) + F.pow(F.col("lon") - s["site_lon"], 2))
+        near = F.array_min(F.transform("_sites", lambda s: F.struct(away(s).alias("error"), s["site_no"].alias("site_no"), s["site"].alias("site"))))  # noqa: B023
+        out = out.crossJoin(F.broadcast(block)).withColumn("_best", F.least("_best", near)).drop("_sites")
+    return out.select(*keep, F.col("_best.site").alias("site"), F.col("_best.error").alias("error"))
 
 
 #: Rows of a dimension that may be broadcast.

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from skyloom.functions import scalars
 from skyloom.operators import airspace, flows, graph, kernels, linkage, occupancy, scenario, stitch, trajectory
 from skyloom.sources import tables
 from skyloom.streaming import twins
@@ -97,6 +98,49 @@ def test_nearest_site_ties(spark):
     assert (r.site, r.error) == ("y", 1.0)
 
 
+def test_nearest_site_in_several_arrays_for_repeated_points(spark, monkeypatch):
+    monkeypatch.setattr(trajectory, "DIMENSION_ROWS", 7)
+    rng = np.random.default_rng(5)
+    at = rng.random((30, 2)) * 10
+    sites = spark.createDataFrame([(f"s{i}", i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [("none", 99, None, 1.0)], "site string, site_no int, site_lat double, site_lon double")
+    where = [(float(x), float(y)) for x, y in rng.random((20, 2)) * 10] * 2
+    p = spark.createDataFrame(where, "lat double, lon double")
+    got = sorted((r.lat, r.lon, r.site) for r in trajectory.nearest_site(p, sites, ["lat", "lon"]).collect())
+    assert got == sorted((x, y, f"s{int(np.hypot(*(at - (x, y)).T).argmin())}") for x, y in where)
+
+
+def test_airline_codes_take_the_last_row(spark):
+    s = spark.createDataFrame([("ba", "BA123"), ("zz", "ZZ9"), (None, "QQ1")], "airline_iata string, iata_number string")
+    a = spark.createDataFrame([("BA", "OLD", 1), ("BA", "BAW", 2), ("BA", None, 3), (None, "XXX", 4)], "iata string, icao string, no int")
+    got = {r.iata_number: (r.airline_icao, r.callsign) for r in linkage.airline_codes(s, a, "no").collect()}
+    assert got == {"BA123": ("BAW", "BAW123"), "ZZ9": (None, None), "QQ1": (None, None)}
+
+
+def test_session_files_keep_single_files_and_gaps_of_exactly_the_limit(spark):
+    df = spark.createDataFrame([("a", h * 3600) for h in (0, 1, 2, 8, 13, 1)] + [("b", 7200)], "id string, f long")
+    got = {r.instance: (r.from_file, r.to_file, r.files) for r in stitch.session_files(df, F.col("f"), 5 * 3600).collect()}
+    assert got == {"a|0": (0, 7200, [0, 3600, 7200]), "a|28800": (28800, 46800, [28800, 46800]), "b|7200": (7200, 7200, [7200])}
+
+
+def test_day_flights(spark):
+    rows = [("a", h * 3600.0) for h in (0, 1, 2)] + [("b", 0.0), ("b", 7200.0)] + [("c", 3600.0 * 30)]
+    df = spark.createDataFrame(rows, "id string, t double")
+    got = stitch.day_flights(df, (F.floor(F.col("t") / 3600) * 3600).cast("long"), 3600, 0, 82_800)
+    assert sorted((r.id, r.t) for r in got.collect()) == [("a", 0.0), ("a", 3600.0), ("a", 7200.0)]
+
+
+def test_ids_slices_and_hours(spark):
+    df = spark.createDataFrame([("abc", "XY1")], "i string, c string")
+    assert [df.select(scalars.flight_id(F.col("i"), F.col("c"), f)).first()[0] for f in ("craft_first", "call_first", "underscored")] == ["abcXY1", "XY1abc", "XY1_abc"]
+    assert [r.id for r in trajectory.sliced(spark.range(50), ["id"], 10, 13).collect()] == [10, 11, 12]
+    s = spark.createDataFrame([("1970-01-01 01:20:00",), ("1970-01-01 02:59:00",), (None,)], "t string").select(F.col("t").cast("timestamp_ntz").alias("time"))
+    assert [r.hour for r in linkage.schedule_hours(s).collect()] == [3600 * k for k in range(1, 8)]
+    empty = s.filter("time is null")
+    assert linkage.schedule_hours(empty).collect() == []
+    o = spark.createDataFrame([(None, "B", "1"), (2, "A", None), (2, "A", "9"), (1, None, "3")], "time int, airport string, iata_number string")
+    assert [tuple(r) for r in linkage.ordered_schedule(o).collect()] == [(1, None, "3"), (2, "A", "9"), (2, "A", None), (None, "B", "1")]
+
+
 # ---------------------------------------------------------------- stitching
 
 
