@@ -57,11 +57,11 @@ def empty(spark):
 # ---------------------------------------------------------------- 1
 
 
-def brute_components(rows):
+def brute_components(rows, words=4, percent=85):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+        sets[i] = frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
     root = {i: i for i in sets}
 
     def find(i):
@@ -73,7 +73,7 @@ def brute_components(rows):
     for n, i in enumerate(keys):
         for j in keys[n + 1 :]:
             x, y = sets[i], sets[j]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in sets}
