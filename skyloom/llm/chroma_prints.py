@@ -11,7 +11,8 @@ with noise. Recordings with equal fingerprints are one class, and so are probes:
 vector with its classes, and a row for each aligned pair of a probe class and a recording class.
 
 Nulls: a null or empty vector, or silence, has an empty fingerprint: such rows form one class that aligns with
-nothing; nulls inside a vector count as 0. Ties between offsets go to more hits, then the smaller offset.
+nothing; nulls inside a vector count as 0. A class is named by its smallest id, null if it has none. Repeated rows are in one class. An empty table gives
+an empty result, extra columns of any name aren't read. Ties between offsets go to more hits, then the smaller offset.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def _frames(classes: DataFrame, name: str) -> DataFrame:
 
 def _classes(found: DataFrame, col: str) -> DataFrame:
     """(c, p): the smallest id of each fingerprint."""
-    return found.filter(F.col(col).isNotNull()).groupBy(F.sha2(col, 256).alias("digest")).agg(F.coalesce(F.min("id"), F.lit(-1)).alias("c"), F.first(col).alias("p"))
+    return found.filter(F.col(col).isNotNull()).groupBy(F.sha2(col, 256).alias("digest")).agg(F.coalesce(F.min("id"), F.lit(common.NO_ID)).alias("c"), F.first(col).alias("p"))
 
 
 def align(probes: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -177,7 +178,9 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     aligned = align(probes, recordings)
     own = found.select("id", F.sha2("print", 256).alias("digest"), F.sha2("probe", 256).alias("pd"))
     member = own.join(recordings.select("digest", F.col("c").alias("class_id")), "digest", "left").join(probes.select(F.col("digest").alias("pd"), F.col("c").alias("probe_id")), "pd", "left")
-    return member.select(F.lit("member").alias("kind"), F.col("id").alias("vec_id"), "class_id", "probe_id").unionByName(aligned.withColumn("kind", F.lit("match")), allowMissingColumns=True)
+    out = member.select(F.lit("member").alias("kind"), F.col("id").alias("vec_id"), "class_id", "probe_id").unionByName(aligned.withColumn("kind", F.lit("match")), allowMissingColumns=True)
+    # a class of rows without ids has none either
+    return out.withColumns({c: F.nullif(F.col(c), F.lit(common.NO_ID)) for c in ("class_id", "probe_id", "match_id")})
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,6 +321,12 @@ def test_fingerprints_find_their_recording(spark):
     assert len(want & set(pairs)) >= 0.9 * len(want) and set(pairs) <= want | {(q, 200) for q in (0, 50, 100)}
 
 
+def test_fingerprint_classes_of_rows_without_ids(spark):
+    v, w = [0.01 * i for i in range(64)], [0.3 - 0.007 * i for i in range(64)]
+    got = chroma_prints.search(spark.createDataFrame([(None, v, 1), (-1, w, 1), (None, v, 1)], "vec_id long, embedding array<float>, c int")).collect()
+    assert sorted(((r.vec_id, r.class_id) for r in got if r.kind == "member"), key=str) == sorted([(None, None), (None, None), (-1, -1)], key=str)
+
+
 def test_fingerprint_area_filters():
     assert chroma_prints.fingerprint(np.zeros((40, 12))).size == 0
     assert all(0 <= y and y + h <= 12 and 1 <= w <= chroma_prints.SPAN for _, y, h, w in chroma_prints.filters())
