@@ -70,6 +70,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+#: Rows of an Arrow batch of whole texts; ten thousand, as by default, would hold much of a worker's memory.
+BATCH_ROWS = 1024
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches hold few texts; a batch size that isn't Spark's default is left alone."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

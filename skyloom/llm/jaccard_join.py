@@ -123,7 +123,7 @@ def _sketch_batches(it: Iterator[pa.RecordBatch], k: int = WORDS, percent: int =
 
 def _source(docs: DataFrame) -> DataFrame:
     text = common.text_of("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    return common.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
 
 
 def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:

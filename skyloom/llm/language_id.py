@@ -76,7 +76,7 @@ def fit(rows: DataFrame, n: int = RANKS) -> dict[str, np.ndarray]:
                 counts = np.bincount(at, np.concatenate([c for _, c in found])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
-    counts = rows.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = common.text_batches(rows).select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n).toPandas()
     return {lang: x.sort_values("r")["gram"].to_numpy(np.uint64) for lang, x in sorted(top.groupby("lang"))}
@@ -121,7 +121,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "th", "lang_pred", "score"])
 
     text = common.text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, lang_pred string, score double")
+    return common.text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, lang_pred string, score double")
 
 
 def held_out() -> Column:
@@ -154,4 +154,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             found = [profiles.predict(t.as_py() or "", letters) for t in b.column("text")]
             yield b.filter(pa.array([x[0] != "und" and x[1] >= LEAST_SCORE for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema).select(*names)
+    return common.text_batches(docs).mapInArrow(run, docs.schema).select(*names)

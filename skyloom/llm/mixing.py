@@ -77,7 +77,7 @@ def counted(docs: DataFrame, topic: Column | None = None) -> DataFrame:
 
     text = common.text_of("text")
     named = F.lit(None).cast("string") if topic is None else topic.cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), named.alias("topic"), text.alias("text"))
+    rows = common.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), named.alias("topic"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, th long, source string, lang string, topic string, n_tokens long")
 
 
