@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..sources.tables import written
+from ..sources.tables import drop, written
 from . import kernels
 from .trajectory import checked_broadcast
 
@@ -30,9 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("j"))
         nxt = written(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("j", "label")).alias("label")), "labels")
         total = lambda df: df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total(nxt) == total(now):
-            return nxt
+        same = total(nxt) == total(now)
+        drop(now)
         now = nxt
+        if same:
+            drop(both)
+            return now
 
 
 def communities(edges: DataFrame, gamma: float = 0.7, seed: int = 1) -> DataFrame:

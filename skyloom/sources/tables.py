@@ -6,7 +6,7 @@ import atexit
 import json
 import tempfile
 import uuid
-from pathlib import Path
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,26 +199,48 @@ def label_json(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- written intermediates
 
-_FOLDER: dict[str, str] = {}
+#: Folder of this session's written tables, by session.
+_FOLDERS: weakref.WeakKeyDictionary[SparkSession, str] = weakref.WeakKeyDictionary()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back. The folder is the session's ``spark.checkpoint.dir``; a temporary one only in local mode without it."""
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDER:
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this session under ``spark.checkpoint.dir``, removed at exit.
+
+    Where that is unset, a cluster gets a folder in the warehouse (shared as well) and local mode,
+    as in tests, a temporary one.
+    """
+    if spark not in _FOLDERS:
         get = lambda k: spark.conf.get(k, None) or spark.sparkContext.getConf().get(k, None)
         top = get("spark.checkpoint.dir")
         if not top and (get("spark.master") or "").startswith("local["):
             top = tempfile.mkdtemp(prefix="skyloom-")
-            atexit.register(_forget, top)
-        _FOLDER[app] = f"{(top or get('spark.sql.warehouse.dir') + '/_tables').rstrip('/')}/engine-{uuid.uuid4().hex[:12]}"
-    path = f"{_FOLDER[app]}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        elif not top:
+            top = f"{get('spark.sql.warehouse.dir')}/_tables"
+        _FOLDERS[spark] = f"{top.rstrip('/')}/skyloom-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _FOLDERS[spark])
+    return _FOLDERS[spark]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # at exit the JVM may be gone already
+        return
+
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skyloom_path = path
+    return out
 
-def _forget(path: str) -> None:
-    import shutil
 
-    shutil.rmtree(Path(path), ignore_errors=True)
+def drop(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`written` that nothing lazy reads any more."""
+    for t in tables:
+        if path := getattr(t, "_skyloom_path", None):
+            _remove(t.sparkSession, path)
