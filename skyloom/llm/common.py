@@ -2,64 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
-import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder of this session's written tables, by session.
-_FOLDERS: weakref.WeakKeyDictionary[SparkSession, str] = weakref.WeakKeyDictionary()
-
-
-def _setting(spark: SparkSession, key: str) -> str | None:
-    return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this session under ``spark.checkpoint.dir``.
-
-    Where that is unset, a cluster gets a folder in the warehouse (shared as well) and local mode,
-    as in tests, a temporary one.
-    """
-    if spark not in _FOLDERS:
-        top = _setting(spark, "spark.checkpoint.dir")
-        if not top and (_setting(spark, "spark.master") or "").startswith("local["):
-            top = tempfile.mkdtemp(prefix="skyloom-")
-        elif not top:
-            top = f"{_setting(spark, 'spark.sql.warehouse.dir')}/_tables"
-        _FOLDERS[spark] = f"{top.rstrip('/')}/skyloom-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _FOLDERS[spark])
-    return _FOLDERS[spark]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # at exit the JVM may be gone already
-        return
-
-
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._skyloom_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Remove tables made by :func:`store` that nothing lazy reads any more."""
-    for t in tables:
-        if path := getattr(t, "_skyloom_path", None):
-            _remove(t.sparkSession, path)
+from ..sources.tables import drop, shared_dir
+from ..sources.tables import written as store
 
+__all__ = ["NO_ID", "buckets", "documents", "drop", "kept_rows", "shared_dir", "small", "store", "text_batches", "text_of", "uniform"]
 
 #: Rows of a few numbers each that every task may hold.
 SMALL_ROWS = 300_000
