@@ -81,10 +81,11 @@ def gap_filter(spark, d):
     return stitch.consecutive_only(_catalogue(spark, d), 2 * DAY, at_most=True).select("id", F.size("files").cast("long").alias("n"))
 
 
-@query("gap_consecutive", f"WITH {_CAT}, g AS (SELECT id, f, f - lag(f) OVER (PARTITION BY id ORDER BY f) AS gap FROM days WHERE f < 1704067200 + 4 * 86400) SELECT id, count(*) AS n FROM g GROUP BY id HAVING coalesce(bool_and(gap = 86400), true)")
+@query("gap_consecutive", f"WITH {POINTS}, files AS (SELECT DISTINCT id, CAST(floor(t / 259200) AS BIGINT) * 259200 AS f FROM points), g AS (SELECT id, f, f - lag(f) OVER (PARTITION BY id ORDER BY f) AS gap FROM files) SELECT id, count(*) AS n FROM g GROUP BY id HAVING coalesce(bool_and(gap = 259200), true)")
 def gap_consecutive(spark, d):
-    early = stitch.catalogue(views.points(spark, d).filter(F.col("t") < 1704067200 + 4 * DAY), (F.floor(F.col("t") / DAY) * DAY).cast("long"))
-    return stitch.consecutive_only(early, DAY).select("id", F.size("files").cast("long").alias("n"))
+    # the whole catalogue in files of three days
+    cat = stitch.catalogue(views.points(spark, d), (F.floor(F.col("t") / (3 * DAY)) * (3 * DAY)).cast("long"))
+    return stitch.consecutive_only(cat, 3 * DAY).select("id", F.size("files").cast("long").alias("n"))
 
 
 @query("gap_consecutive_all", f"WITH {POINTS}, files AS (SELECT DISTINCT id, CAST(floor(t / 172800) AS BIGINT) * 172800 AS f FROM points), g AS (SELECT id, f, f - lag(f) OVER (PARTITION BY id ORDER BY f) AS gap FROM files) SELECT id, count(*) AS n FROM g GROUP BY id HAVING coalesce(bool_and(gap = 172800), true)")
