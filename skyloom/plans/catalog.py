@@ -611,7 +611,7 @@ def spectral(spark, d):
 
 @query("dbscan")
 def dbscan(spark, d):
-    # the spectral coordinates of each hour's legs, as in the reference; two legs alone have one
+    # the spectral coordinates of each hour's legs; two legs alone have one
     e = flows.spectral(_sims(spark, d)).select("grp", F.col("node").alias("id"), F.slice(F.concat("coords", F.array(F.lit(0.0))), 1, 2).alias("x"))
     return flows.dbscan(e, 0.02, 4, 2, group=["grp"])
 
