@@ -86,13 +86,12 @@ def test_jaccard_join(spark, docs, rows):
     assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(2, None)]
 
 
-@pytest.mark.parametrize("small", [0, 300_000])
-def test_jaccard_join_of_many_near_copies_and_a_common_passage(spark, monkeypatch, small):
-    # small bounds, so that common shingles, poor pools, further rounds and hubs in several parts all happen
+def test_jaccard_join_of_many_near_copies_and_a_common_passage(spark, monkeypatch):
+    # small bounds, so that common shingles, poor pools, further rounds, hubs in several parts and joins without broadcasts all happen
     monkeypatch.setattr(jaccard_join, "COMMON", 4)
-    monkeypatch.setattr(jaccard_join, "STEP", 2)
+    monkeypatch.setattr(jaccard_join, "STEP", 4)
     monkeypatch.setattr(jaccard_join, "HUB_SHINGLES", 200)
-    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
     rng = random.Random(3)
     say = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
     line, seed = say(12), say(60)
