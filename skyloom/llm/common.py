@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import drop, shared_dir
 from ..sources.tables import written as store
 
-__all__ = ["NO_ID", "buckets", "documents", "drop", "kept_rows", "shared_dir", "small", "store", "text_batches", "text_of", "uniform"]
+__all__ = ["NO_ID", "buckets", "documents", "drop", "kept_rows", "lots", "named", "row_key", "shared_dir", "small", "store", "text_of", "uniform"]
 
 #: Rows of a few numbers each that every task may hold.
 SMALL_ROWS = 300_000
@@ -21,16 +24,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-#: Rows of an Arrow batch of whole texts; ten thousand, as by default, would hold much of a worker's memory.
-BATCH_ROWS = 1024
+#: Rows and bytes of texts that a worker takes from an Arrow batch at a time.
+LOT_ROWS, LOT_BYTES = 1024, 8 << 20
 
 
-def text_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, in a session whose Arrow batches hold few texts; a batch size that isn't Spark's default is left alone."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
-    return docs
+def lots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, so that few texts and results are held at once whatever the session's batch size is."""
+    for b in it:
+        n = max(1, min(LOT_ROWS, b.num_rows * LOT_BYTES // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,19 +54,30 @@ def buckets(rows: int, per_bucket: int, least: int = 1) -> int:
 NO_ID = -(2**63)
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots included; Spark refuses names with backticks."""
+    return F.col(f"`{name}`")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row; together with the id it tells rows apart that differ in any column."""
+    plain = lambda f: F.to_json(F.struct(named(f.name))) if re.search(r"map<|variant", f.dataType.simpleString()) else named(f.name)
+    return F.xxhash64(*[plain(f) for f in docs.schema])
+
+
 def kept_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) that stay, with all their columns whatever their names.
 
-    judged: (doc_id, th, kept) for every row, th being xxhash64 of the text. Rows are found by id and text, so what
-    moves is the keys of the rows that go; of rows with the same id and text as many stay as are kept, at most one if not all.
+    judged: (doc_id, th, kept) for every row, th being its :func:`row_key`. Rows are found by id and key, so what
+    moves is the keys of the rows that go; of rows that are equal in every column as many stay as are kept.
     """
     own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias("id0")
     counts = judged.groupBy(own("doc_id"), "th").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"))
     keys = store(counts.filter("kept < rows"), "gone")
-    keyed = docs.select(F.struct(*docs.columns).alias("d"), own("doc_id"), F.xxhash64(text_of("text")).alias("th"))
+    keyed = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("d"), own("doc_id"), row_key(docs).alias("th"))
     others = keyed.join(small(keys.select("id0", "th")), ["id0", "th"], "left_anti").select("d.*")
-    repeated = keyed.join(small(keys.filter("kept > 0").select("id0", "th")), ["id0", "th"], "left_semi").groupBy("id0", "th").agg(F.first("d").alias("d"))
-    return others.unionByName(repeated.select("d.*"))
+    repeated = keyed.join(small(keys.filter("kept > 0")), ["id0", "th"]).groupBy("id0", "th").agg(F.first("d").alias("d"), F.first("kept").alias("n"))
+    return others.unionByName(repeated.select(F.explode(F.array_repeat("d", F.col("n").cast("int"))).alias("d")).select("d.*"))
 
 
 def uniform(*cols: Column | str) -> Column:

@@ -197,7 +197,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row of each text."""
-    key = F.xxhash64(common.text_of("text")).alias("th")
+    key = common.row_key(docs).alias("th")
     found = common.store(digests(docs, extra=(key,)), "dedup-digests")
     return common.kept_rows(docs, dedup_rows(found).select("doc_id", "th", "kept"))
 

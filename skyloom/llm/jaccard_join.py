@@ -123,7 +123,7 @@ def _sketch_batches(it: Iterator[pa.RecordBatch], k: int = WORDS, percent: int =
 
 def _source(docs: DataFrame) -> DataFrame:
     text = common.text_of("text")
-    return common.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(docs).alias("th"), text.cast("binary").alias("text"))
 
 
 def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
@@ -347,7 +347,7 @@ def joined(docs: DataFrame, nodes: DataFrame, k: int = WORDS, percent: int = PER
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, and label: the component's first row, row: the row's number, th: a hash of its text.
+    """doc_id, n_shingles, component_id, and label: the component's first row, row: the row's number, th: its key.
 
     Documents link where their k-word shingles have a Jaccard similarity of ``percent`` hundredths or more.
     """
@@ -367,7 +367,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(common.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(common.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

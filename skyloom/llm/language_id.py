@@ -67,7 +67,7 @@ def fit(rows: DataFrame, n: int = RANKS) -> dict[str, np.ndarray]:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
-        for b in it:
+        for b in common.lots(it):
             by: dict[str, list] = {}
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(ngrams(t, letters))
@@ -76,7 +76,7 @@ def fit(rows: DataFrame, n: int = RANKS) -> dict[str, np.ndarray]:
                 counts = np.bincount(at, np.concatenate([c for _, c in found])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
-    counts = common.text_batches(rows).select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n).toPandas()
     return {lang: x.sort_values("r")["gram"].to_numpy(np.uint64) for lang, x in sorted(top.groupby("lang"))}
@@ -116,12 +116,12 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
-        for b in it:
+        for b in common.lots(it):
             found = [held.predict(t.as_py(), letters) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "th", "lang_pred", "score"])
 
     text = common.text_of(text_col)
-    return common.text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, lang_pred string, score double")
 
 
 def held_out() -> Column:
@@ -145,13 +145,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without letters or unlike every language go."""
-    profiles = Profiles(learned(docs))
-    names = docs.columns
+    profiles, text = Profiles(learned(docs)), docs.columns.index("text")
+    # by position: mapInArrow looks columns up by names in which a dot means a field
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
-        for b in it:
-            found = [profiles.predict(t.as_py() or "", letters) for t in b.column("text")]
+        for b in common.lots(it):
+            found = [profiles.predict(t.as_py() or "", letters) for t in b.column(text)]
             yield b.filter(pa.array([x[0] != "und" and x[1] >= LEAST_SCORE for x in found], pa.bool_()))
 
-    return common.text_batches(docs).mapInArrow(run, docs.schema).select(*names)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -60,12 +60,12 @@ def form(text: str) -> str:
 
 
 def counted(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """(doc_id, th, source, lang, topic, n_tokens); th: a hash of the text."""
+    """(doc_id, th, source, lang, topic, n_tokens); th: the row's key."""
     given = topic is not None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids.held(TOKENIZER)
-        for b in it:
+        for b in common.lots(it):
             n, topics = [], []
             for t in b.column("text"):
                 t = t.as_py()
@@ -77,7 +77,7 @@ def counted(docs: DataFrame, topic: Column | None = None) -> DataFrame:
 
     text = common.text_of("text")
     named = F.lit(None).cast("string") if topic is None else topic.cast("string")
-    rows = common.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), named.alias("topic"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(docs).alias("th"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), named.alias("topic"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, th long, source string, lang string, topic string, n_tokens long")
 
 
@@ -212,7 +212,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float =
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.documents(spark, sf_dir)).drop("th")
+    return mix(common.documents(spark, sf_dir).select("doc_id", "source", "lang", "text")).drop("th")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

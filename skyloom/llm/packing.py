@@ -44,12 +44,12 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids.held(name)
-        for b in it:
-            # a batch holds few rows at a time as ids: long texts are taken one by one
+        for b in common.lots(it):
+            # a lot holds few rows at a time as ids: long texts are taken one by one
             ids = [words.ids(t.as_py()) + last for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["doc_id", "ids", "n"])
 
-    rows = common.text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, n long")
 
 

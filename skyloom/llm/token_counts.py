@@ -132,11 +132,11 @@ def _by_bytes(texts: pa.Array, size: int) -> Iterator[tuple[list[str], list[int]
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every whole text."""
-    rows = common.text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(name)
-        for b in it:
+        for b in common.lots(it):
             n, size = [], []
             for lot, held_bytes in _by_bytes(b.column("text"), 4 * BATCH_BYTES):
                 n += counter.counts(lot)

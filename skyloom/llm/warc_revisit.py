@@ -42,7 +42,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def merged_headers(stored: Column, update: Column) -> Column:
-    """The stored headers, with the permitted ones of the update."""
+    """The stored headers, with the permitted ones of the update; null headers are none."""
+    stored, update = (F.coalesce(c, F.create_map().cast("map<string,string>")) for c in (stored, update))
     allowed = F.map_filter(update, lambda k, v: k.isin(*PERMITTED))
     kept = F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
     return F.map_concat(kept, allowed)

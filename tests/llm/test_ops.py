@@ -710,3 +710,53 @@ def test_mixing(spark, docs, rows):
 
 def test_mixing_of_nothing(empty):
     assert mixing.mix(empty).collect() == []
+
+
+# ---------------------------------------------------------------- rows that stay, in all stages
+
+
+def stages():
+    return {"language_id": language_id.stage, "exact_dedup": exact_dedup.stage, "jaccard": jaccard_join.pipeline_stage, "mixing": mixing.stage}
+
+
+@pytest.mark.parametrize("name", sorted(stages()))
+def test_stages_take_columns_with_dots_blanks_and_maps(spark, name):
+    data = [(i, f"the of and to in that with for this from word{i} word{i + 1}", "en", "s", 1, i, {"k": i}) for i in range(8)]
+    docs = spark.createDataFrame(data, ["doc_id", "text", "lang", "source", "a.b", "c d,e", "m"])
+    got = stages()[name](spark, docs, "")
+    assert got.columns == docs.columns
+    kept = {r[0]: tuple(r) for r in got.collect()}
+    assert kept and all(kept[i] == data[i] for i in kept)
+
+
+def test_of_rows_with_one_id_and_text_the_judged_one_stays(spark):
+    docs = spark.createDataFrame([(1, "one text", "en", s) for s in "abcd"] + [(1, "one text", "en", "b")] * 2, "doc_id long, text string, lang string, source string")
+    judged = docs.select("doc_id", common.row_key(docs).alias("th"), (F.col("source") == "b").alias("kept"))
+    assert sorted(r.source for r in common.kept_rows(docs, judged).collect()) == ["b"] * 3
+    row = judged.withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() % 2 == 1))
+    wanted = row.filter("kept").count()
+    assert [r.source for r in common.kept_rows(docs, row).collect()] == ["b"] * wanted
+
+
+def test_mixing_stage_keeps_the_sampled_source_of_an_id(spark):
+    data = [(i, f"text of row {i % 50}", "en", s) for i in range(200) for s in ("a", "b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    want = sorted((r.doc_id, r.source) for r in mixing.mix(docs).filter("kept").collect())
+    assert sorted((r.doc_id, r.source) for r in mixing.stage(spark, docs, "").collect()) == want
+
+
+def test_operators_leave_the_session_as_it_is(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a text here", "en", "s")], "doc_id long, text string, lang string, source string")
+    for stage in stages().values():
+        stage(spark, docs, "").collect()
+    token_counts.count_tokens(docs).collect()
+    assert spark.conf.get(key) == before
+
+
+def test_warc_null_headers_lose_no_update(spark):
+    rows = [(0, "response", "http://x/a", 1, "t", None, None), (1, "revisit", "http://x/a", 5, "t", None, {"date": "x", "connection": "close"}), (2, "revisit", "http://x/a", 6, "t", None, None)]
+    records = spark.createDataFrame(rows, "rec long, kind string, url string, ts long, etag string, last_modified long, headers map<string,string>")
+    got = {r.rec: r for r in warc_revisit.resolve(records).collect()}
+    assert got[1].status == "resolved" and got[1].headers == {"date": "x"} and got[2].headers == {}
