@@ -12,11 +12,6 @@ KMS_TO_KNOTS = 1943.844
 SHORT_KM, LONG_KM = 1500.0, 4000.0
 
 
-def flight_id(icao24: Column, callsign: Column) -> Column:
-    """Upper-case address and trimmed call sign; null if either is null."""
-    return F.concat(F.upper(icao24), F.upper(F.trim(callsign)))
-
-
 def haul_type(km: Column) -> Column:
     """Haul by distance; a negative distance means that an airport is unknown."""
     return F.when(km < SHORT_KM, "short_haul").when(km < LONG_KM, "medium_haul").otherwise("long_haul")
@@ -104,9 +99,13 @@ def window_start(t: Column, width: float) -> Column:
     return F.floor(t / width) * F.lit(float(width))
 
 
-def flight_id(icao24: Column, callsign: Column, form: str = "craft_first") -> Column:
-    """A flight's id of aircraft and callsign: ``craft_first`` and ``call_first`` join them as they are, ``underscored`` puts the callsign first with an underscore."""
-    forms = {"craft_first": (icao24, callsign), "call_first": (callsign, icao24), "underscored": (callsign, F.lit("_"), icao24)}
+def flight_id(icao24: Column, callsign: Column, form: str = "clean") -> Column:
+    """A flight's id of aircraft and callsign; null if either is null.
+
+    ``clean``: both in upper case, the callsign trimmed. ``craft_first`` and ``call_first`` join them as they are,
+    ``underscored`` puts the callsign first with an underscore.
+    """
+    forms = {"clean": (F.upper(icao24), F.upper(F.trim(callsign))), "craft_first": (icao24, callsign), "call_first": (callsign, icao24), "underscored": (callsign, F.lit("_"), icao24)}
     return F.concat(*forms[form])
 
 

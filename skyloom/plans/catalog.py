@@ -140,11 +140,12 @@ def flight_legs(spark, d):
     return trajectory.of_flight(views.legs(spark, d), 7).select("leg_id", "from_time", "to_time")
 
 
-@query("flight_ids", "SELECT event_id, 'a' || user_id || 'F' || (event_id % 90) AS craft_first, 'F' || (event_id % 90) || 'a' || user_id AS call_first, 'F' || (event_id % 90) || '_a' || user_id AS underscored, substr(sha256(user_id || chr(31) || event_id), 1, 10) AS short FROM events")
+@query("flight_ids", "SELECT event_id, 'a' || user_id || 'F' || (event_id % 90) AS craft_first, 'F' || (event_id % 90) || 'a' || user_id AS call_first, 'F' || (event_id % 90) || '_a' || user_id AS underscored, 'A' || user_id || 'F' || (event_id % 90) AS clean, substr(sha256(user_id || chr(31) || event_id), 1, 10) AS short FROM events")
 def flight_ids(spark, d):
     craft, call = F.concat(F.lit("a"), F.col("user_id").cast("string")), F.concat(F.lit("F"), (F.col("event_id") % 90).cast("string"))
     forms = [scalars.flight_id(craft, call, f).alias(f) for f in ("craft_first", "call_first", "underscored")]
-    return table(spark, d, "events").select("event_id", *forms, scalars.stable_id(F.col("user_id"), F.col("event_id")).alias("short"))
+    clean = scalars.flight_id(craft, F.concat(F.lit(" "), F.lower(call), F.lit("  "))).alias("clean")
+    return table(spark, d, "events").select("event_id", *forms, clean, scalars.stable_id(F.col("user_id"), F.col("event_id")).alias("short"))
 
 
 @query("id_slice", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 20")
