@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import drop, shared_dir
 from ..sources.tables import written as store
 
-__all__ = ["NO_ID", "buckets", "documents", "drop", "kept_rows", "lots", "named", "row_key", "shared_dir", "small", "store", "text_of", "uniform"]
+__all__ = ["NO_ID", "buckets", "documents", "drop", "kept_rows", "lots", "named", "row_key", "shared_dir", "small", "small_batches", "store", "text_of", "uniform"]
 
 #: Rows of a few numbers each that every task may hold.
 SMALL_ROWS = 300_000
@@ -28,6 +28,17 @@ def small(df: DataFrame) -> DataFrame:
 LOT_ROWS, LOT_BYTES = 1024, 8 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Asks for Arrow batches of few texts, where the session has no batch size of its own.
+
+    Queries and stages call this, operators don't. A batch of ten thousand texts, as by default, takes memory on both sides of the pipe, and
+    Spark has no setting by call; a session that names a batch size, the default's included, keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(LOT_ROWS))
+
+
 def lots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches, so that few texts and results are held at once whatever the session's batch size is."""
     for b in it:

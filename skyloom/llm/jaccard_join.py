@@ -367,11 +367,13 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return jaccard_components(common.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component stays: the one with the smallest id (of repeated rows, one). All columns stay as they are."""
+    common.small_batches(spark)
     found = common.store(jaccard_components(docs, k, percent), "near")
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays")
     judged = found.join(found.groupBy("label").agg(first), "label").select("doc_id", "th", (F.col("row") == F.col("stays")).alias("kept"))

@@ -139,12 +139,14 @@ def learned(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     docs = common.documents(spark, sf_dir)
     return predict(docs, learned(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without letters or unlike every language go."""
+    common.small_batches(spark)
     profiles, text = Profiles(learned(docs)), docs.columns.index("text")
     # by position: mapInArrow looks columns up by names in which a dot means a field
     rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])

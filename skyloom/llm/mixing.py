@@ -212,9 +212,11 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float =
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return mix(common.documents(spark, sf_dir).select("doc_id", "source", "lang", "text")).drop("th")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled documents. A draw depends on the id alone, so rows with one id and cell stay or go together."""
+    common.small_batches(spark)
     return common.kept_rows(docs, mix(docs).select("doc_id", "th", "kept"))

@@ -207,8 +207,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return pack(common.documents(spark, sf_dir))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return pack(docs)

@@ -147,4 +147,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return count_tokens(common.documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -745,14 +745,23 @@ def test_mixing_stage_keeps_the_sampled_source_of_an_id(spark):
     assert sorted((r.doc_id, r.source) for r in mixing.stage(spark, docs, "").collect()) == want
 
 
-def test_operators_leave_the_session_as_it_is(spark):
+def test_batch_size_of_the_session(spark):
+    """Operators leave it alone; stages set it only where it is unset."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
     docs = spark.createDataFrame([(1, "a text here", "en", "s")], "doc_id long, text string, lang string, source string")
-    for stage in stages().values():
-        stage(spark, docs, "").collect()
-    token_counts.count_tokens(docs).collect()
-    assert spark.conf.get(key) == before
+    before = spark.conf.getAll.get(key)
+    try:
+        spark.conf.unset(key)
+        assert token_counts.count_tokens(docs).count() == mixing.mix(docs).count() == 1
+        assert key not in spark.conf.getAll
+        mixing.stage(spark, docs, "")
+        assert spark.conf.get(key) == str(common.LOT_ROWS)
+        spark.conf.set(key, "10000")
+        for stage in stages().values():
+            stage(spark, docs, "").collect()
+        assert spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 def test_warc_null_headers_lose_no_update(spark):
