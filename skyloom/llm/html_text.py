@@ -7,8 +7,7 @@ the like by element or by the words of class, id and role; an article or main el
 First pass, each block by itself: what stands in a menu, footer, form, notice, advert, sidebar or among comments is
 boilerplate, and so are link lists and, on a page that marks its article, whatever stands outside it. Long blocks with
 enough stop words are text, and so are all long ones of a marked article. Short blocks, and ones in whose words no known language shows, are
-left open. Second pass: an open block takes the label of the nearest decided block of its region (the article, or the
-rest), then of the page; at equal distance text wins inside an article and boilerplate elsewhere. A heading looks at what follows it. A page on which nothing is decided as text
+left open. Second pass: an open block takes the label of the nearest decided block of the innermost container that has one, the page at last; at equal distance text wins inside an article and for blocks without links. A heading looks at what follows it. A page on which nothing is decided as text
 keeps its open blocks.
 
 Null and empty pages give an empty text. Character references are decoded once, white space inside a block becomes one space, blocks
@@ -96,6 +95,8 @@ class Block:
     aside: bool
     article: int
     heading: bool
+    #: Number of the innermost container that it stands in, 0 for the page.
+    inside: int = 0
 
 
 def content(attributes: str) -> bool:
@@ -124,6 +125,8 @@ class _Reader:
         self.blocks: list[Block] = []
         #: Open elements as (name, not main text, strongest mark of an article).
         self.open: list[tuple[str, bool, int]] = []
+        #: Of each container the one around it, and the containers that are open.
+        self.around, self.inside = [0], [0]
         self.parts: list[str] = []
         self.links, self.anchor, self.heading = 0, 0, False
 
@@ -131,7 +134,7 @@ class _Reader:
         text = " ".join("".join(self.parts).split())
         if text:
             aside, article = self.open[-1][1:] if self.open else (False, 0)
-            self.blocks.append(Block(text, self.links, aside, article, self.heading))
+            self.blocks.append(Block(text, self.links, aside, article, self.heading, self.inside[len(self.open)]))
         self.parts, self.links, self.heading = [], 0, False
 
     def _text(self, raw: str) -> None:
@@ -145,6 +148,7 @@ class _Reader:
         aside, article = self.open[-1][1:] if self.open else (False, 0)
         if name == "p" and self.open and self.open[-1][0] == "p":
             self.open.pop()
+            self.inside.pop()
             aside, article = self.open[-1][1:] if self.open else (False, 0)
         if name in BLOCKS:
             self._end()
@@ -158,6 +162,7 @@ class _Reader:
             return
         if name == "body":
             self.open.clear()
+            del self.inside[1:]
             aside, article = False, 0
         if len(self.open) < DEEPEST and (name in BLOCKS or name in ASIDE or attributes and hinted(attributes)):
             whole = name in ("html", "body")
@@ -166,6 +171,9 @@ class _Reader:
                 self._end()
             mark = 0 if aside or own else max(article, ARTICLE.get(name, 0), int(not whole and content(attributes)))
             self.open.append((name, aside or own, mark))
+            if name in _STRONG:
+                self.around.append(self.inside[-1])
+            self.inside.append(len(self.around) - 1 if name in _STRONG else self.inside[-1])
 
     def _close(self, name: str) -> None:
         if name == "a":
@@ -177,7 +185,7 @@ class _Reader:
             self._end()
             # a stray end of an inner element doesn't close an article or what lies outside it
             if at is not None and (name in _STRONG or not any(x in _STRONG for x, *_ in self.open[at + 1 :])):
-                del self.open[at:]
+                del self.open[at:], self.inside[at + 1 :]
 
     def read(self, page: str) -> list[Block]:
         at, n = 0, len(page)
@@ -228,35 +236,35 @@ def first_pass(b: Block, marked: bool) -> int | None:
     return TEXT if stop >= STOP_HIGH else OPEN
 
 
-def decided(blocks: list[Block]) -> list[int]:
-    """The label of every block, after both passes."""
+def decided(blocks: list[Block], around: list[int]) -> list[int]:
+    """The label of every block, after both passes; around: the container around each container."""
     marked = max((b.article for b in blocks), default=0)
     for b in blocks:
         b.article = int(b.article == marked > 0)
     labels = [first_pass(b, marked > 0) for b in blocks]
     if TEXT not in labels:
         return [TEXT if x is None else x for x in labels]
-    nearest = _neighbours(labels, blocks)
-    return [x if x is not None else nearest[k] for k, x in enumerate(labels)]
-
-
-def _neighbours(labels: list[int | None], blocks: list[Block]) -> dict[int, int]:
-    """For each open block the label that it inherits."""
-    regions: dict[tuple, list[int]] = {}
+    # of each container, the decided blocks in it; what is boilerplate by its place says nothing about its neighbours
+    inside: dict[int, list[int]] = {}
     for k, b in enumerate(blocks):
-        if labels[k] is not None:
-            regions.setdefault((b.article, b.aside), []).append(k)
-    every = [k for k, x in enumerate(labels) if x is not None]
-    out = {}
+        if labels[k] is not None and not b.aside:
+            c = b.inside
+            while True:
+                inside.setdefault(c, []).append(k)
+                if not c:
+                    break
+                c = around[c]
+    out = []
     for k, b in enumerate(blocks):
-        if labels[k] is None:
-            out[k] = _inherit(labels, regions.get((b.article, b.aside)) or every, k, b)
+        c = b.inside
+        while labels[k] is None and c and c not in inside:
+            c = around[c]
+        out.append(_inherit(labels, inside[c], k, b) if labels[k] is None else labels[k])
     return out
 
 
 def _inherit(labels: list[int | None], at: list[int], k: int, b: Block) -> int:
-    if not at:
-        return TEXT
+    """The label of the nearest of the decided blocks ``at``; a heading looks ahead."""
     j = bisect(at, k)
     before, after = at[j - 1] if j else None, at[j] if j < len(at) else None
     if before is None or after is None:
@@ -264,14 +272,15 @@ def _inherit(labels: list[int | None], at: list[int], k: int, b: Block) -> int:
     if b.heading:
         return labels[after]
     if k - before == after - k:
-        return max(labels[before], labels[after]) if b.article else min(labels[before], labels[after])
+        return max(labels[before], labels[after]) if b.article or not b.links else min(labels[before], labels[after])
     return labels[before if k - before < after - k else after]
 
 
 def main_text(page: str) -> str:
     """The text of a page's article."""
-    blocks = _Reader().read(page)
-    return " ".join(b.text for b, label in zip(blocks, decided(blocks), strict=True) if label == TEXT)
+    reader = _Reader()
+    blocks = reader.read(page)
+    return " ".join(b.text for b, label in zip(blocks, decided(blocks, reader.around), strict=True) if label == TEXT)
 
 
 def extract(pages: DataFrame) -> DataFrame:

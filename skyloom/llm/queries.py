@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chroma_prints, exact_dedup, filter_audit, hash_tree, html_text, jaccard_join, language_id, mixing, packing, secrets, token_counts, warc_revisit
+from . import chroma_prints, conversation_repair, exact_dedup, filter_audit, hash_tree, html_text, jaccard_join, language_id, mixing, packing, secrets, token_counts, warc_revisit
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_hash_tree_sharding": hash_tree.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op10_mixing": mixing.op10,
+    "op11_conversation_repair": conversation_repair.op11,
     "op12_html_extraction": html_text.op12,
     "op13_filter_audit": filter_audit.op13,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op3_warc_revisits": warc_revisit.SQL3,
     "op5_secret_scan": secrets.SQL5,
     "op9_exact_dedup": exact_dedup.SQL9,
+    "op11_conversation_repair": conversation_repair.SQL11,
     "op13_filter_audit": filter_audit.SQL13,
 }
