@@ -124,26 +124,6 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return nodes, m
 
 
-def base_graphs(sims: DataFrame, share: float = 0.75, steps: int = 10) -> DataFrame:
-    """(graph, a, b) of pairs (grp, a, b, similarity): edges over each of the climbing thresholds; equal graphs once.
-
-    The connected threshold comes from the maximum spanning tree, one task a group of at most MATRIX_ROWS nodes.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, m = _matrix(pdf)
-        seen, out = set(), []
-        for t in kernels.base_thresholds(kernels.connected_threshold(m), float(m.max()), share, steps):
-            edges = pdf.loc[pdf["similarity"] > t, ["a", "b"]]
-            key = tuple(sorted(map(tuple, edges.to_numpy())))
-            if key not in seen:
-                out.append(edges.assign(graph=len(seen), threshold=t))
-                seen.add(key)
-        return pd.concat(out).assign(grp=pdf["grp"].iloc[0])[["grp", "graph", "threshold", "a", "b"]]
-
-    return sims.groupBy("grp").applyInPandas(run, "grp long, graph int, threshold double, a long, b long")
-
-
 def spectral(sims: DataFrame, dims: int = 2) -> DataFrame:
     """(grp, node, coordinates) of each group's similarity matrix, one task a group of at most MATRIX_ROWS nodes."""
 

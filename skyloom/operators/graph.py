@@ -1,9 +1,11 @@
-"""Graphs: components, communities and their quality, routes of legs along an airway graph."""
+"""Graphs: components, quality of communities, routes of legs along an airway graph."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -26,30 +28,19 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = both.join(now.select(F.col("node").alias("b"), F.col("label").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
         step = now.join(seen, now["node"] == seen["a"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        # where a node's label has a label of its own, follow it
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("j"))
-        nxt = written(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("j", "label")).alias("label")), "labels")
+        step = written(step, "labels")
+        # where a node's label has a label of its own, follow it; each label is looked up once, and sent along while labels are few
+        jump = step.select("label").distinct().join(step.select(F.col("node").alias("label"), F.col("label").alias("j")), "label")
+        nxt = written(step.join(checked_broadcast(jump), "label", "left").select("node", F.least("label", F.coalesce("j", "label")).alias("label")), "labels")
         total = lambda df: df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         same = total(nxt) == total(now)
-        drop(now)
+        drop(now, step)
         now = nxt
         if same:
             drop(both)
             return now
 
 
-def communities(edges: DataFrame, gamma: float = 0.7, seed: int = 1) -> DataFrame:
-    """(node, community) of weighted edges (u, v, w). Components are found natively; each is one task's local moves."""
-    labels = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    parts = edges.join(labels, edges["u"] == labels["node"]).select("label", "u", "v", "w")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.cpm_communities(list(pdf[["u", "v", "w"]].itertuples(index=False, name=None)), gamma, seed)
-        return pd.DataFrame({"node": list(found), "community": list(found.values())})
-
-    return parts.groupBy("label").applyInPandas(run, "node long, community long")
-
-
 def cpm_quality(edges: DataFrame, homes: DataFrame, gamma: float = 0.7) -> DataFrame:
     """(community, quality): inner weight less gamma for each pair of members."""
     u, v = homes.select(F.col("node").alias("u"), F.col("community").alias("cu")), homes.select(F.col("node").alias("v"), F.col("community").alias("cv"))
@@ -80,8 +71,8 @@ def scored_edges(legs: DataFrame, edges: DataFrame, margin: float = 0.5, least:
     return geo.with_fitness(near).filter(fit > least).select("flight", "k", "leg_id", "edge_id", "a", "b", "first", "rest")
 
 
-def routes(scored: DataFrame, n_legs: DataFrame, most: int = 5, exact: bool = False) -> DataFrame:
-    """(flight, rank, edges, fitness): routes of connected edges, a leg each. ``exact``: the best by total; else the first found in greedy order."""
+def greedy_routes(scored: DataFrame, n_legs: DataFrame, most: int = 5) -> DataFrame:
+    """(flight, rank, edges, fitness): the first routes of connected edges, a leg each, that a depth-first search finds in greedy order. A flight is one task's."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
@@ -89,9 +80,43 @@ def routes(scored: DataFrame, n_legs: DataFrame, most: int = 5, exact: bool = Fa
         by: list[dict[int, float]] = [{} for _ in range(n)]
         for r in pdf.itertuples():
             by[int(r.k)][int(r.edge_id)] = r.first if r.k == 0 else r.rest
-        search = kernels.top_routes if exact else kernels.route_search
-        found = search(by[1:], by[0], ends, most, LEAST_FITNESS)
+        found = kernels.route_search(by[1:], by[0], ends, most, LEAST_FITNESS)
         return pd.DataFrame([(pdf["flight"].iloc[0], i + 1, e, t) for i, (e, t) in enumerate(found)], columns=["flight", "rank", "edges", "fitness"])
 
     kind = scored.schema["flight"].dataType.simpleString()
     return scored.join(n_legs, "flight").groupBy("flight").applyInPandas(run, f"flight {kind}, rank int, edges array<long>, fitness double")
+
+
+def best_routes(scored: DataFrame, n_legs: DataFrame, most: int = 5, least: float = LEAST_FITNESS) -> DataFrame:
+    """(flight, rank, edges, fitness): the ``most`` routes of connected edges with the highest totals, a leg each; of equal ones the smaller edges.
+
+    Leg by leg, for all flights at once: the best partial routes of each last edge meet the edges that start where it ends, and
+    itself. ``most`` of each new last edge go on, which loses none of the best. Rounds are the legs of the longest
+    flight; a round's joins are on flight and node, so neither a flight nor a node gathers in a task beyond its own candidates.
+    """
+    fit = F.when(F.col("k") == 0, F.col("first")).otherwise(F.col("rest"))
+    edges = scored.join(n_legs, "flight").select("flight", "n", "k", "edge_id", "a", "b", fit.alias("s")).filter(F.col("s") > least)
+    edges = written(edges.dropDuplicates(["flight", "k", "edge_id"]), "route-edges")
+    last = edges.agg(F.max("n")).first()[0] or 0
+    held = edges.filter("k = 0").select("flight", "n", F.col("edge_id").alias("e"), F.col("b").alias("at"), F.col("s").alias("total"), F.array("edge_id").alias("route"))
+    done = []
+    for k in range(1, last + 1):
+        held = written(held, "routes")
+        done.append(held.filter(F.col("n") == k).select("flight", "total", "route"))
+        if k == last:
+            break
+        here = edges.filter(F.col("k") == k).select("flight", "edge_id", "a", "b", "s")
+        open_ = held.filter(F.col("n") > k)
+        on = open_.withColumn("a", F.col("at")).join(here, ["flight", "a"]).filter("edge_id <> e")
+        stay = open_.join(here.withColumnRenamed("edge_id", "e"), ["flight", "e"]).withColumn("edge_id", F.col("e"))
+        both = on.unionByName(stay.select(on.columns)).select("flight", "n", F.col("edge_id").alias("e"), F.col("b").alias("at"), (F.col("total") + F.col("s")).alias("total"), F.concat("route", F.array("edge_id")).alias("route"))
+        held = _first_routes(both, ["flight", "e"], most)
+    if not done:
+        return edges.select("flight", F.lit(1).alias("rank"), F.array("edge_id").alias("edges"), F.col("s").alias("fitness")).limit(0)
+    return _first_routes(reduce(DataFrame.unionByName, done), ["flight"], most, keep=True).select("flight", "rank", F.col("route").alias("edges"), F.col("total").alias("fitness"))
+
+
+def _first_routes(routes: DataFrame, keys: list[str], most: int, keep: bool = False) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.desc("total"), "route")
+    out = routes.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return out if keep else out.drop("rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 
 
@@ -135,6 +137,126 @@ def max_matching(weight: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m - n + 1) if owner[j] and w[owner[j] - 1, j - 1] > 0)
 
 
+def sparse_matching(rows: np.ndarray, columns: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Positions of the pairs of a maximum-weight matching of (row, column, weight); weights of 0 or less never match.
+
+    Rows are taken one by one; each looks along the pairs, by least reduced cost first, for the cheapest way to a free column or to a row that may stay alone
+    instead. Memory grows with the pairs.
+    """
+    near: dict[int, dict[int, int]] = {}
+    for k in np.argsort(-weight, kind="stable"):
+        if weight[k] > 0:
+            near.setdefault(int(rows[k]), {}).setdefault(int(columns[k]), int(k))
+    cost = -np.asarray(weight, float)
+    at: dict[int, int] = {}  # pair of each matched row
+    owner: dict[int, int] = {}  # row of each matched column
+    # reduced costs cost - u(row) - v(column) never fall below 0 and are 0 on matched pairs
+    u = {r: min(cost[k] for k in ks.values()) for r, ks in near.items()}
+    v: dict[int, float] = {}
+    for start in near:
+        far, via, done, queue = {start: 0.0}, {}, set(), [(0.0, start)]
+        reached: dict[int, float] = {}
+        # the way may end at a row that gives up its column (cost 0 for it), the start included, or at a free column
+        best, end = -u[start], ("row", start)
+        while queue:
+            d, r = heappop(queue)
+            if r in done or d >= best:
+                continue
+            done.add(r)
+            if d - u[r] < best:
+                best, end = d - u[r], ("row", r)
+            for c, k in near[r].items():
+                if at.get(r) == k:
+                    continue
+                to = d + max(0.0, cost[k] - u[r] - v.get(c, 0.0))
+                if to >= reached.get(c, np.inf) or to >= best:
+                    continue
+                reached[c], via[c] = to, (r, k)
+                if c not in owner:
+                    best, end = to, ("column", c)
+                else:
+                    nxt = owner[c]
+                    if to < far.get(nxt, np.inf):
+                        far[nxt] = to
+                        heappush(queue, (to, nxt))
+        # potentials: what lies nearer than the end moves by the rest of the way
+        for r in done:
+            u[r] += best - far[r]
+        for c, d in reached.items():
+            if c in owner and owner[c] in done:
+                v[c] = v.get(c, 0.0) - (best - d)
+        kind, x = end
+        if kind == "row":
+            if x == start:
+                continue
+            c = int(columns[at.pop(x)])
+        else:
+            c = x
+        while True:
+            r, k = via[c]
+            old = at.get(r)
+            at[r], owner[c] = k, r
+            if r == start:
+                break
+            c = int(columns[old])
+    return np.array(sorted(at.values()), np.int64)
+
+
+class Tree:
+    """A k-d tree over points of the plane: each node halves its points by the wider extent, leaves hold a few."""
+
+    LEAF = 16
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, no: np.ndarray):
+        self.xy, self.no = np.column_stack([x, y]).astype(float), np.asarray(no)
+        self.order = np.arange(len(self.xy))
+        ranges, children = [(0, len(self.xy))] if len(self.xy) else [], []
+        low, high, k = [], [], 0
+        while k < len(ranges):
+            a, b = ranges[k]
+            own = self.xy[self.order[a:b]]
+            low.append(own.min(axis=0))
+            high.append(own.max(axis=0))
+            children.append((-1, -1))
+            if b - a > self.LEAF and (high[-1] > low[-1]).any():
+                axis, mid = int(np.argmax(high[-1] - low[-1])), (b - a) // 2
+                self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], mid)]
+                children[-1] = (len(ranges), len(ranges) + 1)
+                ranges += [(a, a + mid), (a + mid, b)]
+            k += 1
+        #: Of each node its range of the order, its children (-1 in leaves), and its box.
+        self.ranges, self.children, self.low, self.high = np.array(ranges), np.array(children), np.array(low), np.array(high)
+
+    def _off(self, node: int, asked: np.ndarray) -> np.ndarray:
+        """Squared distances to a node's box."""
+        gap = np.maximum(np.maximum(self.low[node] - asked, asked - self.high[node]), 0.0)
+        return (gap * gap).sum(axis=1)
+
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distance, position) of the point nearest to each asked one; ties to the smaller number, -1 where there is none."""
+        asked = np.column_stack([x, y]).astype(float)
+        best, at = np.full(len(asked), np.inf), np.full(len(asked), -1)
+        stack = [(0, np.flatnonzero(np.isfinite(asked).all(axis=1)))] if len(self.ranges) else []
+        while stack:
+            node, who = stack.pop()
+            who = who[np.sqrt(self._off(node, asked[who])) <= best[who]]
+            if not len(who):
+                continue
+            left, right = map(int, self.children[node])
+            if left >= 0:
+                # the nearer half comes first; the other one is looked at with what is known then
+                first = self._off(left, asked[who]) <= self._off(right, asked[who])
+                stack += [(left, who[~first]), (right, who[first]), (right, who[~first]), (left, who[first])]
+                continue
+            own = self.order[slice(*self.ranges[node])]
+            d = np.sqrt(((asked[who, None] - self.xy[own][None]) ** 2).sum(axis=2))
+            least = d.min(axis=1)
+            pick = own[np.where(d == least[:, None], self.no[own], np.iinfo(np.int64).max).argmin(axis=1)]
+            better = (least < best[who]) | ((least == best[who]) & (self.no[pick] < self.no[at[who]]))
+            best[who[better]], at[who[better]] = least[better], pick[better]
+        return best, at
+
+
 def spectral_embedding(sim: np.ndarray, dims: int = 2) -> np.ndarray:
     """Coordinates from the first nontrivial eigenvectors of the normalised Laplacian; the largest entry of each is positive."""
     degree = sim.sum(axis=1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
+from ..sources.tables import written
 from . import kernels
 
 #: What an arrival without a departure costs, and the longest connection in hours.
@@ -100,45 +101,32 @@ def connection_scores(candidates: DataFrame) -> DataFrame:
 
 
 def assign(scores: DataFrame, keys: list[str], slack: float = SLACK) -> DataFrame:
-    """The best one-to-one assignment (a_key, d_key) of each group: as many as feasible, then the highest scores."""
+    """The best one-to-one assignment (a_key, d_key) of each group: as many as feasible, then the highest scores.
+
+    Rows that share an arrival or a departure are connected; connected parts are labelled on Spark, and each is solved by itself, so a
+    group spreads over as many tasks as it has parts. A part holds its pairs, never a matrix. Of repeated pairs the best score counts.
+    """
+    from .graph import components
+
     cols = [*keys, "a_key", "d_key", "score"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scores.select(*cols).schema)
+    node = lambda side: F.xxhash64(*keys, F.lit(side), f"{side}_key")
+    pairs = written(scores.filter(F.col("score").isNotNull() & (F.col("score") + slack > 0)).select(*cols, node("a").alias("_a"), node("d").alias("_d")), "scores")
+    part = components(pairs.select(F.col("_a").alias("a"), F.col("_d").alias("b")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, rows = np.unique(pdf["a_key"], return_inverse=True)
-        d, columns = np.unique(pdf["d_key"], return_inverse=True)
-        value = pdf["score"].to_numpy()
+        # nodes are hashes: should two groups share one, each is solved for itself
         out = []
-        for part in _parts(rows, columns):
-            r, ri = np.unique(rows[part], return_inverse=True)
-            c, ci = np.unique(columns[part], return_inverse=True)
-            w = np.full((len(r), len(c)), -np.inf)
-            np.maximum.at(w, (ri, ci), value[part] + slack)
-            if len(r) <= len(c):
-                pairs = kernels.max_matching(w)
-            else:
-                pairs = [(i, j) for j, i in kernels.max_matching(w.T)]
-            out += [(a[r[i]], d[c[j]], w[i, j] - slack) for i, j in pairs]
-        found = pd.DataFrame(out, columns=["a_key", "d_key", "score"])
-        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[cols]
-
-    return scores.select(*cols).groupBy(*keys).applyInPandas(run, schema)
-
-
-def _parts(rows: np.ndarray, columns: np.ndarray) -> list[np.ndarray]:
-    """Positions of the connected parts of a bipartite edge list."""
-    label = np.arange(rows.max() + 1)
-    while True:
-        of = np.full(columns.max() + 1, len(label))
-        np.minimum.at(of, columns, label[rows])
-        new = label.copy()
-        np.minimum.at(new, rows, of[columns])
-        if (new == label).all():
-            break
-        label = new
-    part = label[rows]
-    order = np.argsort(part, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+        for _, own in pdf.groupby(keys, dropna=False, sort=False):
+            a, rows = np.unique(own["a_key"], return_inverse=True)
+            d, columns = np.unique(own["d_key"], return_inverse=True)
+            value = own["score"].to_numpy()
+            found = kernels.sparse_matching(rows, columns, value + slack)
+            out.append(pd.DataFrame({"a_key": a[rows[found]], "d_key": d[columns[found]], "score": value[found], **{k: own[k].iloc[0] for k in keys}})[cols])
+        return pd.concat(out)
+
+    labelled = pairs.join(part, F.col("_a") == F.col("node")).select("label", *cols)
+    return labelled.groupBy("label").applyInPandas(lambda pdf: run(pdf), schema)
 
 
 def connection_times(arrivals: DataFrame, pairs: DataFrame, departures: DataFrame) -> DataFrame:

@@ -5,8 +5,13 @@ Points: id, t (seconds), lat, lon, and where needed hdg, alt. ``order`` breaks t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,22 +189,47 @@ def relative_time(points: DataFrame) -> DataFrame:
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, keep: list[str]) -> DataFrame:
-    """The site (site, site_lat, site_lon, site_no) nearest in degrees to each point; ties to the smaller number. Repeated points stay.
+    """``keep``, site and error: the site (site, site_lat, site_lon, site_no) nearest in degrees to each point; ties to the smaller number. Repeated points stay.
 
-    Sites travel as arrays of at most ``DIMENSION_ROWS``, each to every task; a point scans them in place, so nothing is shuffled. More sites are
-    scanned one array after the other.
+    Sites become a k-d tree of at most ``TREE_ROWS``, which is built once and sent to every executor; a batch of points goes down
+    the tree together, so a point sees a few sites and nothing is shuffled. More sites are several trees, one after the other. Sites or points without a
+    place meet nothing; a point without a site has null.
     """
-    blocks = -(-max(sites.count(), 1) // DIMENSION_ROWS)
-    out = points.withColumn("_best", F.lit(None).cast("struct<error:double,site_no:long,site:string>"))
+    sc = sites.sparkSession.sparkContext
+    placed = sites.filter("site_lat is not null and site_lon is not null and not isnan(site_lat) and not isnan(site_lon)")
+    placed = placed.select(F.col("site_lat").cast("double"), F.col("site_lon").cast("double"), F.col("site_no").cast("long"), F.col("site").cast("string"))
+    blocks = -(-max(placed.count(), 1) // TREE_ROWS)
+    out = points.select(*keep, F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("long").alias("_no"), F.lit(None).cast("string").alias("site"))
     for k in range(blocks):
-        own = sites.filter((F.pmod(F.xxhash64("site_no"), F.lit(blocks)) == k) & F.col("site_lat").isNotNull() & F.col("site_lon").isNotNull())
-        block = own.agg(F.collect_list(F.struct("site_lat", "site_lon", F.col("site_no").cast("long").alias("site_no"), F.col("site").cast("string").alias("site"))).alias("_sites"))
-        away = lambda s: F.sqrt(F.pow(F.col("lat") - s["site_lat"], 2) + F.pow(F.col("lon") - s["site_lon"], 2))
-        near = F.array_min(F.transform("_sites", lambda s: F.struct(away(s).alias("error"), s["site_no"].alias("site_no"), s["site"].alias("site"))))  # noqa: B023
-        out = out.crossJoin(F.broadcast(block)).withColumn("_best", F.least("_best", near)).drop("_sites")
-    return out.select(*keep, F.col("_best.site").alias("site"), F.col("_best.error").alias("error"))
-
-
+        own = placed.filter(F.pmod(F.xxhash64("site_no"), F.lit(blocks)) == k).toArrow()
+        col = lambda c: own.column(c).to_numpy()  # noqa: B023, E731
+        sent = sc.broadcast((kernels.Tree(col("site_lat"), col("site_lon"), col("site_no")), own.column("site").combine_chunks()))
+        out = out.mapInArrow(_nearest(sent, keep), out.schema)
+    return out.select(*keep, "site", "error")
+
+
+def _nearest(sent: Broadcast, keep: list[str]):
+    """Batches of points with the nearest of the tree's sites, where it is nearer than the one so far."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, names = sent.value
+        for b in it:
+            col = lambda c: b.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            far, at = tree.nearest(col("_lat").astype(float), col("_lon").astype(float))
+            no = pa.array(tree.no[at] if len(tree.no) else np.zeros(len(at), np.int64), pa.int64(), mask=at < 0)
+            site = names.take(pa.array(at, mask=at < 0)) if len(tree.no) else pa.nulls(len(at), pa.string())
+            error = pa.array(far, pa.float64(), mask=at < 0)
+            old = np.where(b.column("error").is_valid(), col("error"), np.inf)
+            tie = (far == old) & (np.where(no.is_valid(), tree.no[at] if len(tree.no) else 0, np.iinfo(np.int64).max) < np.where(b.column("_no").is_valid(), b.column("_no").fill_null(0).to_numpy(), np.iinfo(np.int64).max))
+            new = pa.array((at >= 0) & ((far < old) | tie))
+            pick = lambda c, x: pc.if_else(new, x, b.column(c))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*keep, "_lat", "_lon")), pick("error", error), pick("_no", no), pick("site", site)], schema=b.schema)
+
+    return run
+
+
+#: Sites of one tree.
+TREE_ROWS = 1_000_000
 #: Rows of a dimension that may be broadcast.
 DIMENSION_ROWS = 200_000
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import airspace, flows, graph, linkage, occupancy, scenario, stitch, trajectory
+from ..operators import airspace, flows, graph, linkage, networks, occupancy, polygons, scenario, stitch, trajectory
 from ..sources import tables
 from . import views
 from .views import LEGS, POINTS, table
@@ -242,6 +242,44 @@ def nearest_site(spark, d):
     return trajectory.nearest_site(views.points(spark, d), _sites(spark, d), ["event_id"]).select("event_id", "site", *_r("error"))
 
 
+@query("id_chunks", "WITH r AS (SELECT l_partkey, dense_rank() OVER (ORDER BY l_partkey) - 1 AS r FROM lineitem) SELECT CAST(r // 100 AS BIGINT) AS chunk, count(DISTINCT l_partkey) AS ids, count(*) AS n, min(l_partkey) AS first FROM r GROUP BY 1")
+def id_chunks(spark, d):
+    rows = tables.chunked(table(spark, d, "lineitem").select("l_partkey"), 100, "l_partkey")
+    return rows.groupBy("chunk").agg(F.count_distinct("l_partkey").alias("ids"), F.count("*").alias("n"), F.min("l_partkey").alias("first"))
+
+
+def _polygons(spark, d) -> DataFrame:
+    """A region for each nation: shared borders, a notch, and a hole in every other one."""
+    n = F.col("n_nationkey")
+    x, y = -15.0 + 11.0 * (n % 5), 30.0 + 8.4 * F.floor(n / 5)
+    outer = [(0.0, 0.0), (11.0, 0.0), (11.0, 8.4), (5.5, 6.0), (0.0, 8.4)]
+    hole = [(3.0, 2.0), (5.0, 2.0), (5.0, 4.0), (3.0, 4.0)]
+    corner = lambda ring, k, p: F.struct(F.lit(ring).alias("ring"), F.lit(k).alias("k"), (x + p[0]).alias("lon"), (y + p[1]).alias("lat"))
+    rings = F.concat(F.array(*[corner(0, k, p) for k, p in enumerate(outer)]), F.when(n % 2 == 0, F.array(*[corner(1, k, p) for k, p in enumerate(hole)])).otherwise(F.array()))
+    return table(spark, d, "nation").select(F.col("n_name").alias("designator"), F.explode(rings).alias("v")).select("designator", "v.*")
+
+
+_RINGS = """base AS (SELECT n_name AS designator, n_nationkey AS n, -15e0 + 11e0 * (n_nationkey % 5) AS x, 30e0 + 8.4e0 * (n_nationkey // 5) AS y FROM nation),
+pedges AS (SELECT designator, x + dx1 AS x1, y + dy1 AS y1, x + dx2 AS x2, y + dy2 AS y2 FROM base, (VALUES (0e0, 0e0, 11e0, 0e0, 0), (11e0, 0e0, 11e0, 8.4e0, 0), (11e0, 8.4e0, 5.5e0, 6e0, 0), (5.5e0, 6e0, 0e0, 8.4e0, 0), (0e0, 8.4e0, 0e0, 0e0, 0),
+  (3e0, 2e0, 5e0, 2e0, 1), (5e0, 2e0, 5e0, 4e0, 1), (5e0, 4e0, 3e0, 4e0, 1), (3e0, 4e0, 3e0, 2e0, 1)) r(dx1, dy1, dx2, dy2, ring) WHERE ring = 0 OR n % 2 = 0)"""
+
+
+def _located_sql(lon: str, lat: str, key: str, rows: str) -> str:
+    hit = f"(y1 > {lat}) <> (y2 > {lat}) AND {lon} < (x2 - x1) * ({lat} - y1) / (y2 - y1) + x1"
+    on = f"(x2 - x1) * ({lat} - y1) = (y2 - y1) * ({lon} - x1) AND {lon} BETWEEN least(x1, x2) AND greatest(x1, x2) AND {lat} BETWEEN least(y1, y2) AND greatest(y1, y2)"
+    return f"SELECT {key}, designator FROM {rows}, pedges GROUP BY ALL HAVING count_if({hit}) % 2 = 1 AND count_if({on}) = 0"
+
+
+@query("points_in_polygons", f"WITH {POINTS}, {_RINGS} {_located_sql('lon', 'lat', 'event_id', 'points')}")
+def points_in_polygons(spark, d):
+    return polygons.located(views.points(spark, d), _polygons(spark, d)).select("event_id", "designator")
+
+
+@query("legs_in_polygons", f"WITH {POINTS}, {LEGS}, {_RINGS}, e AS (SELECT leg_id, from_lon AS lon, from_lat AS lat, 0 AS e FROM legs UNION ALL SELECT leg_id, to_lon, to_lat, 1 FROM legs), i AS ({_located_sql('lon', 'lat', 'leg_id, e', 'e')}) SELECT leg_id, designator, count(DISTINCT e) = 2 AS both FROM i GROUP BY ALL")
+def legs_in_polygons(spark, d):
+    return polygons.legs_by_polygon(views.legs(spark, d), _polygons(spark, d))
+
+
 # ---------------------------------------------------------------- counts
 
 
@@ -602,7 +640,7 @@ def _flight_sims(spark, d) -> DataFrame:
 
 @query("base_graph_edges")
 def base_graph_edges(spark, d):
-    return flows.base_graphs(_sims(spark, d))
+    return networks.base_graphs(_sims(spark, d))
 
 
 @query("spectral")
@@ -623,7 +661,7 @@ def _weighted(sims: DataFrame) -> DataFrame:
 
 @query("communities")
 def communities(spark, d):
-    return graph.communities(_weighted(_sims(spark, d)), 0.5)
+    return networks.communities(_weighted(_sims(spark, d)), 0.5).select("node", "community")
 
 
 @query("cpm_quality", f"WITH {_SIMS}, e AS (SELECT a AS u, b AS v, similarity AS w FROM sims WHERE similarity > 0.5), n AS (SELECT leg_id AS node, id % 40 AS community FROM legs), i AS (SELECT x.community, sum(w) AS w FROM e JOIN n x ON x.node = u JOIN n y ON y.node = v WHERE x.community = y.community GROUP BY 1) SELECT n.community, round(coalesce(any_value(i.w), 0) - 0.7e0 * count(*) * (count(*) - 1) / 2e0, 4) AS quality FROM n LEFT JOIN i ON i.community = n.community GROUP BY n.community")
@@ -648,6 +686,23 @@ def flow_components(spark, d):
     return graph.components(_sims(spark, d).filter(F.col("similarity") > 0.6).select("a", "b"))
 
 
+#: Items of an order point at two of its items, by part and by supplier.
+_ARCS = "o AS (SELECT *, l_orderkey * 8 + l_linenumber AS a, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), arcs AS (SELECT a, l_orderkey * 8 + l_partkey % n + 1 AS b FROM o UNION SELECT a, l_orderkey * 8 + l_suppkey % n + 1 FROM o)"
+
+
+@query("strong_components", f"WITH RECURSIVE {_ARCS}, r AS (SELECT a AS node, a AS seen FROM arcs UNION SELECT b, b FROM arcs UNION SELECT r.node, arcs.b FROM r JOIN arcs ON arcs.a = r.seen) SELECT x.node, min(y.node) AS label FROM r x JOIN r y ON x.node = y.seen AND x.seen = y.node GROUP BY x.node")
+def strong_components(spark, d):
+    n = F.count("*").over(Window.partitionBy("l_orderkey"))
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("a"), (F.col("l_orderkey") * 8).alias("o"), F.array(F.col("l_partkey") % n, F.col("l_suppkey") % n).alias("to"))
+    return networks.strong_components(rows.select("a", F.explode("to").alias("t"), "o").select("a", (F.col("o") + F.col("t") + 1).alias("b")))
+
+
+@query("spanning_forest")
+def spanning_forest(spark, d):
+    sims = _flight_sims(spark, d)
+    return networks.spanning_forest(sims.filter("similarity > 0").select("a", "b", F.col("similarity").alias("w"))).select("a", "b", *_r("w"))
+
+
 # ---------------------------------------------------------------- routes
 
 
@@ -684,20 +739,19 @@ def route_candidates(spark, d):
     return s.select("flight", F.col("k").cast("long").alias("k"), "edge_id", F.round(fitness, 6).alias("fitness"))
 
 
-def _routes(spark, d, exact: bool) -> DataFrame:
+def _routes(spark, d) -> tuple[DataFrame, DataFrame]:
     f = _flights(spark, d)
-    n = f.groupBy("flight").agg(F.count("*").cast("int").alias("n"))
-    return graph.routes(graph.scored_edges(f, _airways(spark, d)), n, exact=exact)
+    return graph.scored_edges(f, _airways(spark, d)), f.groupBy("flight").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("routes_greedy")
 def routes_greedy(spark, d):
-    return _routes(spark, d, False)
+    return graph.greedy_routes(*_routes(spark, d))
 
 
 @query("routes_exact")
 def routes_exact(spark, d):
-    return _routes(spark, d, True)
+    return graph.best_routes(*_routes(spark, d))
 
 
 # ---------------------------------------------------------------- formats

@@ -176,10 +176,26 @@ def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def dense_ranks(df: DataFrame, col: str) -> DataFrame:
+    """(value, rank): every distinct value of ``col`` and its place in their order, from 0, nulls first; no task sorts more than its range.
+
+    Ranges of values are numbered where they lie; what comes before a range is a sum over a row for each range.
+    """
+    ordered = df.select(F.col(col).alias("value")).distinct().repartitionByRange("value").sortWithinPartitions("value")
+    own = written(ordered.select("value", F.monotonically_increasing_id().alias("m")), "ranks")
+    part, place = F.shiftrightunsigned("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
+    before, offsets = 0, []
+    for p, n in sorted(own.groupBy(part.alias("p")).count().collect()):
+        offsets.append((p, before))
+        before += n
+    base = df.sparkSession.createDataFrame(offsets, "p long, base long")
+    return own.withColumn("p", part).join(F.broadcast(base), "p").select("value", (F.col("base") + place).alias("rank"))
+
+
 def chunked(df: DataFrame, ids: int, id_col: str = "id") -> DataFrame:
-    """Adds ``chunk``: about ``ids`` whole ids each, by hash, so no global order is needed."""
-    n = df.select(id_col).distinct().count()
-    return df.withColumn("chunk", F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // ids)))))
+    """Adds ``chunk``: exactly ``ids`` whole ids each in the order of ids, the last one the rest."""
+    rank = dense_ranks(df, id_col).select(F.col("value").alias("_id"), F.floor(F.col("rank") / ids).alias("chunk"))
+    return df.join(rank, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def write_id_lists(df: DataFrame, path: str, by: str, id_col: str = "id") -> None:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalars
-from skyloom.operators import airspace, flows, graph, kernels, linkage, occupancy, scenario, stitch, trajectory
+from skyloom.operators import airspace, flows, graph, kernels, linkage, networks, occupancy, scenario, stitch, trajectory
 from skyloom.sources import tables
 from skyloom.streaming import twins
 
@@ -99,7 +99,7 @@ def test_nearest_site_ties(spark):
 
 
 def test_nearest_site_in_several_arrays_for_repeated_points(spark, monkeypatch):
-    monkeypatch.setattr(trajectory, "DIMENSION_ROWS", 7)
+    monkeypatch.setattr(trajectory, "TREE_ROWS", 7)
     rng = np.random.default_rng(5)
     at = rng.random((30, 2)) * 10
     sites = spark.createDataFrame([(f"s{i}", i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [("none", 99, None, 1.0)], "site string, site_no int, site_lat double, site_lon double")
@@ -317,7 +317,7 @@ def test_similarity_of_four_segments(spark):
 
 def test_base_graphs(spark):
     sims = spark.createDataFrame([(0, 0, 1, 0.5), (0, 0, 2, 0.3), (0, 1, 2, 0.2)], "grp long, a long, b long, similarity double")
-    got = flows.base_graphs(sims).groupBy("graph").agg(F.count("*").alias("n")).orderBy("graph").collect()
+    got = networks.base_graphs(sims).groupBy("graph").agg(F.count("*").alias("n")).orderBy("graph").collect()
     assert kernels.connected_threshold(np.array([[1, 0.5, 0.3], [0.5, 1, 0.2], [0.3, 0.2, 1]])) == 0.2
     assert [r.n for r in got] == [2, 1]  # a third graph has no edges
     assert kernels.base_thresholds(0.2, 1.0)[:4] == pytest.approx([0.2, 0.266667, 0.388889, 0.541667], abs=1e-5)
@@ -329,7 +329,7 @@ TRIANGLES = [(a, b, 1.0) for t in range(4) for a, b in ((3 * t + 1, 3 * t + 2),
 def test_communities_and_quality(spark):
     bridges = [(3, 4, 0.1), (6, 7, 0.1), (9, 10, 0.1)]
     e = spark.createDataFrame(TRIANGLES + bridges, "u long, v long, w double")
-    homes = graph.communities(e, 0.7)
+    homes = networks.communities(e, 0.7)
     by = {r.node: r.community for r in homes.collect()}
     assert {frozenset(n for n in by if by[n] == c) for c in set(by.values())} == {frozenset({3 * t + 1, 3 * t + 2, 3 * t + 3}) for t in range(4)}
     assert graph.cpm_quality(e, homes, 0.7).agg(F.sum("quality")).first()[0] == pytest.approx(3.6)
@@ -433,8 +433,10 @@ def test_idempotent_partitions_and_chunks(spark, tmp_path):
         tables.write_by(df, str(tmp_path / "out"), "day")
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 20 and tables.not_done(df, back.filter("day = 0"), ["day"]).count() == 10
-    chunks = tables.chunked(df, 5)
-    assert chunks.groupBy("id").agg(F.countDistinct("chunk").alias("c")).filter("c > 1").count() == 0
+    rows = df.union(df).union(spark.createDataFrame([(None, 0)], df.schema))
+    chunks = tables.chunked(rows.repartition(5), 4).collect()
+    order = [None, *sorted(f"i{k}" for k in range(20))]
+    assert len(chunks) == 41 and all(r.chunk == order.index(r.id) // 4 for r in chunks)
 
 
 def test_file_pairs(spark):
