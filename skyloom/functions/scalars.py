@@ -109,6 +109,12 @@ def flight_id(icao24: Column, callsign: Column, form: str = "clean") -> Column:
     return F.concat(*forms[form])
 
 
+def window_range(no: Column, width: float, first: float = 0.0) -> tuple[Column, Column]:
+    """Start and end of the window of a number, from ``first``."""
+    start = no * F.lit(float(width)) + F.lit(float(first))
+    return start, start + F.lit(float(width))
+
+
 def stable_id(*parts: Column, length: int = 10) -> Column:
     """A short id that depends on its parts only, so a task that runs again gives it again."""
     return F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, length)

@@ -1,4 +1,4 @@
-"""Flows: segment similarity, neighbourhoods of polylines, base graphs, spectral embedding, density clusters."""
+"""Flows: segment similarity, neighbourhoods of polylines, density clusters."""
 
 from __future__ import annotations
 
@@ -6,18 +6,14 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.scalars import Tail, tdf
-from . import kernels
 
 #: Legs shorter than this, in radians of (lat, lon), resemble nothing.
 SHORT = 1e-6
-#: The largest group of segments whose matrix one task may hold.
-MATRIX_ROWS = 4_000
 
 
 @dataclass(frozen=True)
@@ -107,6 +103,13 @@ def long_enough(legs: DataFrame, least: float = 0.5, strict: bool = False) -> Da
     return legs.filter(d > least if strict else d >= least)
 
 
+def along(points: DataFrame, keys: list[str], order: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Adds ``along``: the length in degrees of each polyline up to the point, 0 at its first."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    step = F.hypot(F.col(lon) - F.lag(lon).over(w), F.col(lat) - F.lag(lat).over(w))
+    return points.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("along", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_step")
+
+
 def resample(line: list[tuple[float, float]], step: float = 0.5) -> list[tuple[float, float]]:
     """Points spread evenly along a polyline, about ``step`` degrees apart."""
     p = np.asarray(line, float)
@@ -115,28 +118,6 @@ def resample(line: list[tuple[float, float]], step: float = 0.5) -> list[tuple[f
     return list(zip(np.interp(at, far, p[:, 0]).tolist(), np.interp(at, far, p[:, 1]).tolist(), strict=True))
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, symmetric matrix with unit diagonal) of pairs a, b, similarity."""
-    nodes = np.unique(pdf[["a", "b"]].to_numpy())
-    m = np.eye(len(nodes))
-    i, j = np.searchsorted(nodes, pdf["a"]), np.searchsorted(nodes, pdf["b"])
-    m[i, j] = m[j, i] = pdf["similarity"]
-    return nodes, m
-
-
-def spectral(sims: DataFrame, dims: int = 2) -> DataFrame:
-    """(grp, node, coordinates) of each group's similarity matrix, one task a group of at most MATRIX_ROWS nodes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, m = _matrix(pdf)
-        if len(nodes) > MATRIX_ROWS:
-            raise ValueError(f"{len(nodes)} nodes in one group; the matrix is built for {MATRIX_ROWS}")
-        xy = kernels.spectral_embedding(m, min(dims, max(len(nodes) - 1, 1)))
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "node": nodes, "coords": list(xy)})
-
-    return sims.groupBy("grp").applyInPandas(run, "grp long, node long, coords array<double>")
-
-
 def dbscan(points: DataFrame, eps: float, least: int, dims: int, group: list[str] | None = None) -> DataFrame:
     """(id, cluster) of points (id, x: array): density clusters, -1 for noise, each named by its smallest core id; a border point goes to its smallest neighbouring core's cluster.
 

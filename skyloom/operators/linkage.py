@@ -76,9 +76,10 @@ def codeshare_key(code: Column, dep: Column, arr: Column, sched_dep: Column, sch
 
 
 def collapse_codeshares(rows: DataFrame, key: Column, order: list) -> DataFrame:
-    """The first row of each key; all rows without a key are one group."""
-    w = Window.partitionBy("_key").orderBy(*order)
-    return rows.withColumn("_key", key).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_key", "_n")
+    """The first row of each key by the columns ``order``; all rows without a key are one group, of which tasks send one row each."""
+    names = rows.columns
+    first = rows.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*names), F.struct(*order)).alias("r"))
+    return first.select("r.*")
 
 
 def connection_candidates(arrivals: DataFrame, departures: DataFrame, keys: list[str], longest_h: int = LONGEST_H) -> DataFrame:
@@ -147,6 +148,16 @@ def tails(sightings: DataFrame, wanted: DataFrame) -> DataFrame:
     return per_file.groupBy("callsign").agg(F.max_by("icao24", "file").alias("icao24"))
 
 
+def with_tails(schedule: DataFrame, airlines: DataFrame, sightings: DataFrame, order: str) -> DataFrame:
+    """Flights with airline_icao, callsign and the address that was seen under it, from airlines and sightings in one call; null where a step finds nothing.
+
+    schedule: airline_iata in any case, iata_number; the other tables as in :func:`airline_codes` and :func:`tails`.
+    """
+    coded = airline_codes(schedule.withColumn("airline_iata", F.lower(F.trim("airline_iata"))), airlines, order)
+    seen = tails(sightings, coded.select("callsign").filter("callsign is not null")).select(F.col("callsign").alias("_key"), "icao24")
+    return coded.withColumn("_key", F.lower(F.trim("callsign"))).join(seen, "_key", "left").drop("_key")
+
+
 def od_pairs(rows: DataFrame, dep: str, arr: str, dim: DataFrame) -> DataFrame:
     """Distinct origin-destination pairs in the dimension's second code (code, name); unknown codes are null."""
     look = lambda p, c: dim.select(F.lower(F.trim("code")).alias(f"_{p}"), F.col("name").alias(c))

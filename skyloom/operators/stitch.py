@@ -15,7 +15,7 @@ def latest_snapshot(points: DataFrame, bucket_s: float = 60.0, keys: list[str] |
 
 
 def fresh_in_box(points: DataFrame, lat: tuple[float, float] = (30.0, 72.0), lon: tuple[float, float] = (-15.0, 40.0), max_age_s: float | None = None) -> DataFrame:
-    """Rows in a box, and seen not longer ago than ``max_age_s`` (needs ``lastcontact``). Pushed to the scan."""
+    """Rows in a box, and seen not longer ago than ``max_age_s`` (needs ``lastcontact``)."""
     cond = F.col("lat").between(*lat) & F.col("lon").between(*lon)
     if max_age_s is not None:
         cond &= F.col("t") - F.col("lastcontact") <= max_age_s
@@ -93,6 +93,28 @@ def across_days(cat: DataFrame, day_s: int = 86_400) -> DataFrame:
     return cat.join(joined.select("id", "day", "more"), ["id", "day"], "left").withColumn("files", F.when(F.col("more").isNotNull(), F.concat("files", "more")).otherwise(F.col("files"))).drop("more")
 
 
+def day_catalogue(points: DataFrame, slot_s: int = 3600, day_s: int = 86_400) -> DataFrame:
+    """(id, day, files, starts, ends): the sorted files of each id and day; whether they hold the first and the last file that the day has at all."""
+    stamp = lambda w: (F.floor(F.col("t") / w) * w).cast("long")
+    placed = points.select("id", stamp(day_s).alias("day"), stamp(slot_s).alias("file")).distinct()
+    bounds = placed.groupBy("day").agg(F.min("file").alias("_first"), F.max("file").alias("_last"))
+    cat = placed.groupBy("id", "day").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    marked = cat.join(bounds, "day").withColumns({"starts": F.array_contains("files", F.col("_first")), "ends": F.array_contains("files", F.col("_last"))})
+    return marked.select("id", "day", "files", "starts", "ends")
+
+
+def full_days(points: DataFrame, slot_s: int = 3600, day_s: int = 86_400, gap: int = 4000, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The flights of each day in one pass, those that go on past midnight included: their catalogue (id, day, files), and their points with the day.
+
+    A day's files of an id are joined with the next day's where it is in the last file of the one and the first of the other, cut at the first gap larger than
+    ``gap``, and dropped if fewer than ``least`` are left. Points come dealt and sorted by flight.
+    """
+    cat = truncated(across_days(day_catalogue(points, slot_s, day_s), day_s), gap, least).select("id", "day", "files")
+    placed = points.withColumn("file", (F.floor(F.col("t") / slot_s) * slot_s).cast("long"))
+    rows = placed.join(cat.select("id", "day", F.explode("files").alias("file")), ["id", "file"])
+    return cat, rows.repartition("id").sortWithinPartitions("id", "day", "t")
+
+
 def gathered(points: DataFrame, cat: DataFrame) -> DataFrame:
     """Points (id, file, ...) of the files that the catalogue lists for their id."""
     return points.join(cat.select("id", F.explode("files").alias("file")), ["id", "file"], "left_semi")
@@ -123,17 +145,28 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def sample_ids(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """``n`` ids, the same for the same seed."""
-    return df.select(id_col).distinct().orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(n)
+    return df.select(id_col).distinct().orderBy(_draw([id_col], seed), id_col).limit(n)
+
+
+def sample_per_file(df: DataFrame, n: int, file: str = "file", seed: int = 42, id_col: str = "id") -> DataFrame:
+    """(file, id): ``n`` ids of each file, or all it has; the same for the same seed."""
+    w = Window.partitionBy(file).orderBy(_draw([file, id_col], seed), id_col)
+    return df.select(file, id_col).distinct().withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def _draw(keys: list[str], seed: int) -> Column:
+    """A draw of the keys' values, as hexadecimal digits; null is a value of its own."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys], F.lit(str(seed))).cast("binary"))
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """``n`` rows by a hash of their keys: the same for the same seed."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(_draw(keys, seed), *keys).limit(n)
 
 
 def bernoulli(df: DataFrame, share: float, keys: list[str], seed: int = 42) -> DataFrame:
     """Each row with a probability, by a hash of its keys."""
-    return df.filter(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df.filter(F.conv(F.substring(_draw(keys, seed), 1, 8), 16, 10).cast("long") < int(share * 2**32))
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

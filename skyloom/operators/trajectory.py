@@ -246,6 +246,11 @@ def of_flight(legs: DataFrame, flight: str) -> DataFrame:
     return legs.filter(F.col("id") == F.lit(flight)).orderBy("from_time", "leg_id")
 
 
+def flight_route(points: DataFrame, flight: str | int, low_kmh: float = 100.0, high_kmh: float = 1000.0) -> DataFrame:
+    """The legs between turning points of one flight, in order, from its points; the other flights are never read beyond the scan's filter."""
+    return route_legs(points.filter(F.col("id") == F.lit(flight)), low_kmh, high_kmh).orderBy("from_time")
+
+
 def sliced(rows: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
     """Rows ``first`` up to but not ``last`` of an order; a top-k, never a sort of all."""
     return rows.orderBy(*order).offset(first).limit(last - first)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import scalars, sql_tables
 from ..operators import airspace, flows, graph, linkage, networks, occupancy, polygons, scenario, stitch, trajectory
-from ..sources import tables
+from ..operators import spectral as spectra
+from ..sources import grids, tables
 from . import views
 from .views import LEGS, POINTS, table
 
@@ -51,6 +53,12 @@ def snapshot_minute_max(spark, d):
     return stitch.fresh_in_box(stitch.latest_snapshot(views.points(spark, d), 3600.0), (30.0, 60.0), (-15.0, 30.0)).select("event_id", "id", "t")
 
 
+@query("fresh_points", f"WITH {POINTS} SELECT event_id, id FROM points WHERE lat BETWEEN 30 AND 60 AND lon BETWEEN -15 AND 30 AND event_id % 120 <= 60")
+def fresh_points(spark, d):
+    p = views.points(spark, d).withColumn("lastcontact", F.col("t") - F.col("event_id") % 120)
+    return stitch.fresh_in_box(p, (30.0, 60.0), (-15.0, 30.0), 60.0).select("event_id", "id")
+
+
 @query("snapshot_per_flight", f"WITH {POINTS} SELECT event_id, id, t FROM points QUALIFY t = max(t) OVER (PARTITION BY id, floor(t / 86400))")
 def snapshot_per_flight(spark, d):
     return stitch.latest_snapshot(views.points(spark, d), float(DAY), ["id"]).select("event_id", "id", "t")
@@ -135,6 +143,17 @@ def day_flights(spark, d):
     return stitch.day_flights(views.points(spark, d), (F.floor(F.col("t") / (2 * DAY)) * (2 * DAY)).cast("long"), 2 * DAY, 1703980800, 1704326400).select("event_id", "id", "t")
 
 
+@query("full_days", f"""WITH {POINTS}, f AS (SELECT DISTINCT id, CAST(floor(t / 86400) AS BIGINT) * 86400 AS day, CAST(floor(t / 21600) AS BIGINT) * 21600 AS file FROM points), b AS (SELECT day, min(file) AS lo, max(file) AS hi FROM f GROUP BY day),
+c AS (SELECT id, day, bool_or(file = lo) AS starts, bool_or(file = hi) AS ends FROM f JOIN b USING (day) GROUP BY id, day),
+x AS (SELECT id, day, file FROM f UNION ALL SELECT c.id, c.day, f.file FROM c JOIN c n ON n.id = c.id AND n.day = c.day + 86400 AND c.ends AND n.starts JOIN f ON f.id = n.id AND f.day = n.day),
+g AS (SELECT *, coalesce(file - lag(file) OVER (PARTITION BY id, day ORDER BY file) > 43200, false) AS brk FROM x), s AS (SELECT *, sum(brk::INT) OVER (PARTITION BY id, day ORDER BY file) AS k FROM g), k AS (SELECT * FROM s WHERE k = 0 QUALIFY count(*) OVER (PARTITION BY id, day) >= 2)
+SELECT k.id, k.day, count(DISTINCT k.file) AS files, count(*) AS n, max(k.file) AS last FROM k JOIN points p ON p.id = k.id AND CAST(floor(p.t / 21600) AS BIGINT) * 21600 = k.file GROUP BY ALL""")
+def full_days(spark, d):
+    # on these sparse points a file is six hours, and a gap of two files no break
+    _, rows = stitch.full_days(views.points(spark, d), 21_600, DAY, 43_200, 2)
+    return rows.groupBy("id", "day").agg(F.count_distinct("file").alias("files"), F.count("*").alias("n"), F.max("file").alias("last"))
+
+
 @query("flight_legs", f"WITH {POINTS}, {LEGS} SELECT leg_id, from_time, to_time FROM legs WHERE id = 7")
 def flight_legs(spark, d):
     return trajectory.of_flight(views.legs(spark, d), 7).select("leg_id", "from_time", "to_time")
@@ -215,6 +234,18 @@ def route_legs(spark, d):
     return trajectory.route_legs(views.points(spark, d), 50.0, 1000.0)
 
 
+@query("change_points_sql")
+def change_points_sql(spark, d):
+    sql_tables.register(spark)
+    trajectory.drift_heading(views.points(spark, d).dropna(subset=["t", "lat", "lon", "hdg", "alt"])).createOrReplaceTempView("skyloom_flown")
+    return spark.sql("SELECT * FROM change_points(TABLE(skyloom_flown) PARTITION BY id ORDER BY (t, event_id))")
+
+
+@query("flight_route")
+def flight_route(spark, d):
+    return trajectory.flight_route(views.points(spark, d), 7, 50.0, 1000.0)
+
+
 @query("flight_turns_regrouped")
 def flight_turns_regrouped(spark, d):
     turns = trajectory.turns_and_rises(views.points(spark, d))
@@ -445,6 +476,19 @@ def airline_codes(spark, d):
     return linkage.airline_codes(rows, _airlines(spark, d), "no").select("flight_key", "type", "airline_icao", "callsign")
 
 
+_AL = "al AS (SELECT n_nationkey AS no, CASE WHEN n_nationkey % 7 <> 3 THEN substr('ANRFOP', n_nationkey % 6 + 1, 1) END AS iata, CASE WHEN n_nationkey % 5 <> 4 THEN upper(substr(n_name, 1, 3)) END AS icao FROM nation), dim AS (SELECT lower(iata) AS code, arg_max(icao, no) AS airline_icao FROM al WHERE iata IS NOT NULL AND icao IS NOT NULL GROUP BY 1)"
+
+
+@query("schedule_tails", f"""WITH {_SCHEDULE}, {_AL}, c AS (SELECT flight_key, type, airline_icao || substr(iata_number, 3) AS callsign FROM sched LEFT JOIN dim ON code = lower(airline_iata)),
+seen AS (SELECT lower(upper(substr(n_name, 1, 3)) || user_id) AS callsign, 'a' || (event_id % 7) AS icao24, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS file, event_id FROM events JOIN nation ON n_nationkey = event_id % 25),
+f AS (SELECT callsign, file, arg_min(icao24, event_id) AS icao24 FROM seen GROUP BY ALL), t AS (SELECT callsign AS k, arg_max(icao24, file) AS icao24 FROM f GROUP BY 1) SELECT flight_key, type, callsign, icao24 FROM c LEFT JOIN t ON k = lower(callsign)""")
+def schedule_tails(spark, d):
+    nation = table(spark, d, "nation").select((F.col("n_nationkey").cast("long")).alias("k"), F.upper(F.substring("n_name", 1, 3)).alias("icao"))
+    e = table(spark, d, "events").withColumn("k", F.col("event_id") % 25).join(nation, "k")
+    seen = e.select(F.concat(F.lit(" "), "icao", "user_id", F.lit(" ")).alias("callsign"), F.concat(F.lit("a"), (F.col("event_id") % 7)).alias("icao24"), F.floor(views.seconds(F.col("ts")) / DAY).alias("file"), F.col("event_id").alias("row"))
+    return linkage.with_tails(_schedule(spark, d), _airlines(spark, d), seen, "no").select("flight_key", "type", "callsign", "icao24")
+
+
 @query("schedule_first", f"WITH {_SCHEDULE} SELECT flight_key, type, time, airport, iata_number FROM sched ORDER BY time NULLS LAST, airport NULLS LAST, iata_number NULLS LAST, flight_key LIMIT 500")
 def schedule_first(spark, d):
     # the report's first page; ties in flight number go by key
@@ -628,6 +672,12 @@ def polyline_similarity(spark, d):
 _NEAR = " OR ".join(f"sqrt(pow({x}e0 - {lon}, 2) + pow({y}e0 - {lat}, 2)) <= 3" for x, y in LINE for lon, lat in (("from_lon", "from_lat"), ("to_lon", "to_lat")))
 
 
+@query("flight_length", f"WITH {POINTS}, s AS (SELECT event_id, coalesce(sqrt(pow(lon - lag(lon) OVER w, 2) + pow(lat - lag(lat) OVER w, 2)), 0e0) AS step, id, t FROM points WINDOW w AS (PARTITION BY id ORDER BY t)) SELECT id, count(*) AS n, round(sum(step), 5) AS length FROM s GROUP BY id")
+def flight_length(spark, d):
+    rows = flows.along(views.points(spark, d), ["id"], "t")
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.round(F.max("along"), 5).alias("length"))
+
+
 @query("eps_neighbours", f"WITH {POINTS}, {LEGS} SELECT leg_id, id FROM legs WHERE ({_NEAR}) AND sqrt(pow(from_lat - to_lat, 2) + pow(from_lon - to_lon, 2)) >= 5")
 def eps_neighbours(spark, d):
     return flows.long_enough(flows.near_polyline(views.legs(spark, d), LINE, 3.0), 5.0).select("leg_id", "id")
@@ -645,13 +695,18 @@ def base_graph_edges(spark, d):
 
 @query("spectral")
 def spectral(spark, d):
-    return flows.spectral(_sims(spark, d))
+    return spectra.embedding(_sims(spark, d))
+
+
+@query("spectral_clusters")
+def spectral_clusters(spark, d):
+    return spectra.clusters(_flight_sims(spark, d))
 
 
 @query("dbscan")
 def dbscan(spark, d):
     # the spectral coordinates of each hour's legs; two legs alone have one
-    e = flows.spectral(_sims(spark, d)).select("grp", F.col("node").alias("id"), F.slice(F.concat("coords", F.array(F.lit(0.0))), 1, 2).alias("x"))
+    e = spectra.embedding(_sims(spark, d)).select("grp", F.col("node").alias("id"), F.slice(F.concat("coords", F.array(F.lit(0.0))), 1, 2).alias("x"))
     return flows.dbscan(e, 0.02, 4, 2, group=["grp"])
 
 
@@ -815,6 +870,19 @@ def weather_gaps(spark, d):
     return stitch.gap_audit(stamps, DAY, ["latitude"]).select("latitude", "ts", "gap")
 
 
+@query("grid_messages", "WITH g AS (SELECT CAST(epoch(date_trunc('month', o_orderdate)) AS BIGINT) AS hour, CASE WHEN o_orderkey % 2 = 0 THEN 250 ELSE 500 END AS level, 30e0 + o_custkey % 85 * 0.5e0 AS latitude, -15e0 + o_orderkey % 111 * 0.5e0 AS longitude, o_totalprice / 1e4 AS value FROM orders) SELECT level, hour, count(*) AS n, round(sum(value), 4) AS total, max(latitude) AS north FROM g WHERE level = 250 GROUP BY ALL")
+def grid_messages(spark, d):
+    # both winds written as messages by level and month; one wind of one level read back
+    g = _grid(spark, d)
+    month = views.seconds(F.date_trunc("month", F.timestamp_seconds("ts"))).cast("long")
+    level = F.when(F.col("o_orderkey") % 2 == 0, 250).otherwise(500)
+    field = lambda name: g.select(F.lit(name[0]).alias("name"), level.alias("level"), month.alias("hour"), "latitude", "longitude", F.col(name).alias("value"))
+    path = f"{tables.shared_dir(spark)}/grid-{uuid.uuid4().hex[:12]}"
+    grids.write_grid(field("u_wind").unionByName(field("v_wind")), path)
+    kept = grids.read_grid(spark, path).filter("name = 'u' and level = 250")
+    return kept.groupBy("level", "hour").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("latitude").alias("north"))
+
+
 @query("attenuations", f"WITH {POINTS} SELECT event_id, round(CASE WHEN alt / 2e4 <= 0.3e0 THEN 1e0 ELSE exp(-4e0 * (alt / 2e4 - 0.3e0)) END, 7) AS tdf, round(CASE WHEN alt / 2e4 <= 0.4e0 THEN exp(-1e0 * alt / 2e4) ELSE exp(-0.4e0) * exp(-5e0 * (alt / 2e4 - 0.4e0)) END, 7) AS dsa FROM points")
 def attenuations(spark, d):
     x = F.col("alt") / 2e4
@@ -827,12 +895,17 @@ def file_ranges(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(files, lambda x: x.cast("string")), ",").alias("files"))
 
 
-@query("sampled_ids")
+@query("sampled_ids", f"WITH {POINTS} SELECT id FROM (SELECT DISTINCT id FROM points) ORDER BY md5(id || ':42'), id LIMIT 50")
 def sampled_ids(spark, d):
     return stitch.sample_ids(views.points(spark, d), 50)
 
 
-@query("sampled_rows")
+@query("sampled_per_file", f"WITH {POINTS}, f AS (SELECT DISTINCT CAST(floor(t / 86400) AS BIGINT) AS file, id FROM points) SELECT file, id FROM f QUALIFY row_number() OVER (PARTITION BY file ORDER BY md5(file || ':' || id || ':42'), id) <= 5")
+def sampled_per_file(spark, d):
+    return stitch.sample_per_file(views.points(spark, d).withColumn("file", F.floor(F.col("t") / DAY)), 5)
+
+
+@query("sampled_rows", f"WITH {POINTS} SELECT * FROM points WHERE CAST('0x' || substr(md5(event_id || ':42'), 1, 8) AS BIGINT) < 2147483648 ORDER BY md5(event_id || ':42'), event_id LIMIT 100")
 def sampled_rows(spark, d):
     return stitch.sample_rows(stitch.bernoulli(views.points(spark, d), 0.5, ["event_id"]), 100, ["event_id"])
 

@@ -31,13 +31,31 @@ FLIGHT_JSON = f"type string, status string, airline struct<name:string,iataCode:
 ROUTE_PLAN_JSON = "fromICAO string, toICAO string, fromName string, toName string, distance double, maxAltitude double, waypoints int, route struct<nodes:array<struct<type:string,ident:string,lat:double,lon:double,alt:double>>>, _corrupt_record string"
 
 
+POINT = "struct<time:double,lat:double,lon:double,alt:double,vel:double>"
+TURN_AND_RISE = f"id string, landed boolean, tp array<{POINT}>, dp array<{POINT}>"
+
+
 def _files(spark: SparkSession, **options: str):
     return spark.read.options(recursiveFileLookup="true", **options)
 
 
-def read_headerless(spark: SparkSession, path: str, schema: T.StructType = STATE_VECTORS, glob: str = "*.csv*") -> DataFrame:
-    """Typed CSV without a header, at any depth, gzip or plain; hidden files are skipped."""
-    return _files(spark, pathGlobFilter=glob).schema(schema).csv(path, header=False)
+def read_headerless(spark: SparkSession, path: str, schema: T.StructType = STATE_VECTORS, glob: str = "*.csv*", without: list[str] | None = None) -> DataFrame:
+    """Typed CSV without a header, at any depth, gzip or plain; hidden files are skipped, and so are files of the names ``without``."""
+    rows = _files(spark, pathGlobFilter=glob).schema(schema).csv(path, header=False)
+    return rows.filter(~F.col("_metadata.file_name").isin(without)) if without else rows
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of Parquet files at any depth; columns that are missing are null, others stay away."""
+    return _files(spark).schema(SEGMENTS).parquet(path)
+
+
+def read_turns(spark: SparkSession, path: str) -> DataFrame:
+    """Turns and rises, a row a flight, as ``trajectory.turns_and_rises`` gives them; raises if there are none."""
+    rows = _files(spark).schema(TURN_AND_RISE).parquet(path)
+    if rows.isEmpty():
+        raise ValueError(f"no flights below {path}")
+    return rows
 
 
 def read_renamed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -67,6 +85,16 @@ def file_day(path: Column | None = None) -> Column:
     return F.to_date(F.regexp_extract(F.col("_metadata.file_path") if path is None else path, r"/(\d{4}-\d{2}-\d{2})/[^/]+$", 1))
 
 
+def day_folder(stamp: Column) -> Column:
+    """The date folder of a Unix time, in UTC whatever the session's zone is."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(stamp / 86_400).cast("int")), "yyyy-MM-dd")
+
+
+def folder_start(folder: Column) -> Column:
+    """The Unix time at which the day of a date folder begins, in UTC."""
+    return F.datediff(F.to_date(folder), F.lit("1970-01-01").cast("date")).cast("long") * 86_400
+
+
 def paired_files(flows: DataFrame, segments: DataFrame) -> DataFrame:
     """(prefix, flow, segment) of file names; fails if a flow has no or several segment files of its prefix."""
     key = lambda df, c: df.select(F.substring_index("name", "_", 2).alias("prefix"), F.col("name").alias(c))
@@ -208,6 +236,18 @@ def write_lines(df: DataFrame, path: str, line: str = "line") -> None:
     df.select(line).write.mode("overwrite").text(path)
 
 
+def label_yaml(df: DataFrame) -> DataFrame:
+    """(value): label rows (segment, label) as the lines of a label file, in order: all segments, then the labelled ones, then their labels; numbers are plain."""
+    part = lambda no, title: df.sparkSession.createDataFrame([(no, None, 0, f"{title}:")], "part int, segment long, k int, value string")
+    line = lambda no, value, rows: rows.select(F.lit(no).alias("part"), F.col("segment").cast("long"), F.lit(1).alias("k"), F.concat(F.lit("- "), value).alias("value"))
+    named = df.filter("label is not null")
+    quoted = F.concat(F.lit("'"), F.col("label"), F.lit("'"))
+    lines = part(0, "admitted_indices").unionByName(line(0, F.col("segment").cast("string"), df))
+    lines = lines.unionByName(part(1, "labelled_indices")).unionByName(line(1, F.col("segment").cast("string"), named))
+    lines = lines.unionByName(part(2, "label")).unionByName(line(2, quoted, named))
+    return lines.orderBy("part", "k", "segment").select("value")
+
+
 def label_json(df: DataFrame) -> DataFrame:
     """Label rows (segment, label) as one JSON line each."""
     return df.select(F.to_json(F.struct("segment", "label")).alias("value"))

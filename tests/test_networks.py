@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skyloom.operators import graph, kernels, linkage, networks, polygons, trajectory
+from skyloom.operators import graph, kernels, linkage, networks, polygons, spectral, trajectory
 
 
 def reached(arcs):
@@ -94,8 +94,10 @@ def quality(edges, homes, gamma, sizes):
 
 @pytest.mark.parametrize(("gamma", "by"), [(0.3, "nodes"), (0.02, "degrees")])
 def test_communities(spark, gamma, by):
+    # eight groups of ten, dense inside and sparse between
     rng = random.Random(6)
-    edges = [(rng.randrange(80), rng.randrange(80), rng.random()) for _ in range(320)]
+    edges = [(a, b, rng.random()) for a, b in itertools.combinations(range(80), 2) if rng.random() < (0.7 if a // 10 == b // 10 else 0.04)]
+    edges += edges[:9] + [(3, 3, 5.0)]
     got = networks.communities(spark.createDataFrame(edges, "u long, v long, w double"), gamma, by, levels=2).collect()
     homes = {r.node: r.community for r in got}
     strength = {n: sum(w for a, b, w in edges if a != b and n in (a, b)) for n in homes}
@@ -104,7 +106,7 @@ def test_communities(spark, gamma, by):
     found = quality(edges, homes, gamma, sizes)
     assert found > quality(edges, {n: n for n in homes}, gamma, sizes)
     if by == "nodes":
-        assert found >= 0.99 * quality(edges, kernels.cpm_communities(edges, gamma), gamma, sizes)
+        assert found >= 0.98 * quality(edges, kernels.cpm_communities(edges, gamma), gamma, sizes)
     for c in set(homes.values()):  # each is connected
         inside = [(a, b) for a, b, _ in edges if homes[a] == homes[b] == c]
         assert reached(inside + [(b, a) for a, b in inside] + [(c, c)])[c] == {n for n in homes if homes[n] == c}
@@ -219,3 +221,36 @@ def test_polygons_with_holes_parts_and_borders(spark):
     legs = spark.createDataFrame([(i, *p[1:], *q[1:]) for i, (p, q) in enumerate(zip(pts, pts[1:], strict=False))], "leg_id long, from_lon double, from_lat double, to_lon double, to_lat double")
     want = {(i, n): inside(n, *p[1:]) and inside(n, *q[1:]) for i, (p, q) in enumerate(zip(pts, pts[1:], strict=False)) for n in edges if inside(n, *p[1:]) or inside(n, *q[1:])}
     assert {(r.leg_id, r.designator): r.both for r in polygons.legs_by_polygon(legs, table).collect()} == want
+
+
+def test_spectral_coordinates_equal_the_dense_ones(spark):
+    rng = random.Random(1)
+    rows, base, mats = [], 0, {}
+    for g, n in enumerate([2, 3, 5, 9, 30]):
+        m = np.eye(n)
+        for i, j in itertools.combinations(range(n), 2):
+            w = rng.random() * (1 if (i < n // 3) == (j < n // 3) else 0.15) if rng.random() < 0.8 else 0.0
+            m[i, j] = m[j, i] = w
+            rows.append((g, base + i, base + j, w) if rng.random() < 0.5 else (g, base + j, base + i, w))
+        mats[g] = (base, m)
+        base += n
+    rows += [(g, b, a, w) for g, a, b, w in rows[:20]]  # given both ways
+    got = {r.node: r.coords for r in spectral.embedding(spark.createDataFrame(rows, "grp long, a long, b long, similarity double")).collect()}
+    for b, m in mats.values():
+        n = len(m)
+        want = kernels.spectral_embedding(m, min(2, n - 1)) * np.sqrt(m.sum(axis=1))[:, None]
+        x = np.array([got[b + i] for i in range(n)]) * np.sqrt(m.sum(axis=1))[:, None]
+        assert x.shape == want.shape and np.abs(x @ x.T - want @ want.T).max() < 1e-3
+
+
+def test_spectral_clusters_and_symmetry(spark):
+    rows = [(0, a, b, 0.9 if a // 5 == b // 5 else 0.01) for a, b in itertools.combinations(range(15), 2)]
+    by = {}
+    for r in spectral.clusters(spark.createDataFrame(rows, "grp long, a long, b long, similarity double"), 3).collect():
+        by.setdefault(r.cluster, set()).add(r.node)
+    assert sorted(map(sorted, by.values())) == [list(range(k, k + 5)) for k in (0, 5, 10)]
+    with pytest.raises(ValueError, match="symmetric"):
+        spectral.embedding(spark.createDataFrame([(0, 1, 2, 0.5), (0, 2, 1, 0.6)], "grp long, a long, b long, similarity double"))
+    pts = spark.createDataFrame([(0, i, [float(i > 5) * 3 + 0.01 * i, 0.0]) for i in range(12)] + [(1, 100, [1.0]), (2, 7, [0.0, 0.0]), (2, 8, [0.0, 0.0])], "grp long, node long, coords array<double>")
+    got = {(r.grp, r.node): r.cluster for r in spectral.k_means(pts).collect()}
+    assert [got[0, i] for i in range(12)] == [1] * 6 + [0] * 6 and got[1, 100] == got[2, 7] == got[2, 8] == 0

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalars
-from skyloom.operators import airspace, flows, graph, kernels, linkage, networks, occupancy, scenario, stitch, trajectory
+from skyloom.operators import airspace, flows, graph, kernels, linkage, networks, occupancy, scenario, spectral, stitch, trajectory
 from skyloom.sources import tables
 from skyloom.streaming import twins
 
@@ -353,7 +353,7 @@ def test_dbscan(spark):
 
 def test_spectral_separates(spark):
     rows = [(0, a, b, 0.9 if (a < 4) == (b < 4) else 0.01) for a in range(8) for b in range(a + 1, 8)]
-    got = flows.spectral(spark.createDataFrame(rows, "grp long, a long, b long, similarity double")).orderBy("node").collect()
+    got = spectral.embedding(spark.createDataFrame(rows, "grp long, a long, b long, similarity double")).orderBy("node").collect()
     side = [r.coords[0] > 0 for r in got]
     assert len(set(side[:4])) == 1 and len(set(side[4:])) == 1 and side[0] != side[7]
 
