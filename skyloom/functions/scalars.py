@@ -48,9 +48,9 @@ class Wait:
 
 # By (arrival is long haul, departure is long haul).
 WAITS = {
-    (False, False): Wait(1.96, 5 / 28, 0.65, 0.8),
+    (False, False): Wait(1.96, 0.17857142857142858, 0.65, 0.8),
     (False, True): Wait(2.56, 0.15625, 1.85, 0.2),
-    (True, False): Wait(361 / 81, 81 / 760, 1.25, 0.4),
+    (True, False): Wait(4.45679012345679, 0.10657894736842105, 1.25, 0.4),
     (True, True): Wait(4.0, 0.25, 2.25, 0.6),
 }
 

@@ -157,6 +157,7 @@ def base_graphs(sims: DataFrame, share: float = 0.75, steps: int = 10) -> DataFr
 
     Thresholds climb from the connected one towards 1, each step from the last one. A higher one gives a part of the edges, so two graphs of a group are equal if they have as many.
     """
+    sims = written(sims.select("grp", "a", "b", "similarity"), "sims")
     low = connected_thresholds(sims)
     climb = F.col("threshold")
     all_ = []

@@ -447,17 +447,6 @@ def test_file_pairs(spark):
         tables.paired_files(name("f_9_x"), name("f_1_seg")).collect()
 
 
-def test_streaming_sessions_match_batch(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rows = spark.range(200).select((F.col("id") % 7).cast("string").alias("id"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("id") * 5 % 97)).alias("ts"))
-    rows.write.parquet(src)
-    s = twins.gap_sessions(twins.new_files(spark, src, rows.schema), gap="3 hours")
-    twins.run_available(s, out, str(tmp_path / "cp")).awaitTermination(120)
-    got = spark.read.parquet(out).count()
-    t = rows.select("id", F.col("ts").cast("long").cast("double").alias("t"), F.monotonically_increasing_id().alias("event_id"))
-    assert 0 < got <= trajectory.session_table(t, 3 * 3600.0).count()
-
-
 def test_streaming_windows(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = spark.range(60).select((F.col("id") % 3).cast("string").alias("id"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("id"))).alias("ts"))
