@@ -5,7 +5,7 @@ neighbouring blocks; each filter's value is cut into four levels, in Gray code,
 32-bit integer a frame. An inverted index of these integers gives hits between a probe and a recording; the
 histogram of their offsets proposes alignments, and the share of differing bits over the overlap decides.
 
-The tables have no sound, so the query renders each vector as a melody (a note a dimension). Every row is a
+``sound_prints`` takes a column of sound (PCM or samples at any rate) and ``find`` aligns two tables of prints. The tables here have no sound, so the query renders each vector as a melody (a note a dimension). Every row is a
 recording; every row whose id is divisible by 50 is also a probe, played with its first notes cut off and
 with noise. Recordings with equal fingerprints are one class, and so are probes: the result has a row for each
 vector with its classes, and a row for each aligned pair of a probe class and a recording class.
@@ -136,6 +136,39 @@ def prints(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "id long, print binary, probe binary")
 
 
+def samples(cell: bytes | list | None, rate: int = RATE) -> np.ndarray:
+    """A sound cell as samples at ``RATE``: bytes are 16-bit little-endian mono PCM, lists are samples in -1 to 1; null is silence of no length, null samples are 0."""
+    if cell is None or len(cell) == 0:
+        return np.zeros(0)
+    if isinstance(cell, (bytes, bytearray)):
+        sound = np.frombuffer(bytes(cell[: len(cell) // 2 * 2]), "<i2") / 32768.0
+    else:
+        sound = np.nan_to_num(np.array([x or 0.0 for x in cell], float))
+    if rate == RATE or not len(sound):
+        return sound
+    if rate > RATE:
+        # what the lower rate can't hold goes before samples are left out
+        wide = -(-rate // RATE)
+        sound = np.convolve(sound, np.ones(wide) / wide, "same")
+    return np.interp(np.arange(int(len(sound) * RATE / rate)) * rate / RATE, np.arange(len(sound)), sound)
+
+
+def sound_prints(rows: DataFrame, id_col: str, sound_col: str, rate: int = RATE) -> DataFrame:
+    """(id, print) of a column of sound, binary PCM or arrays of samples, recorded at ``rate``."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.lots(it):
+            own = [fingerprint(chroma(samples(x.as_py(), rate))).astype("<u4").tobytes() for x in b.column("sound")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(own, pa.binary())], ["id", "print"])
+
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(sound_col).alias("sound")).mapInArrow(run, "id long, print binary")
+
+
+def find(probes: DataFrame, recordings: DataFrame) -> DataFrame:
+    """(probe_id, match_id, offset, hits, frames, bit_error) of fingerprints (id, print); equal fingerprints are one class, named by its smallest id."""
+    return align(common.store(_classes(probes, "print"), "probes"), common.store(_classes(recordings, "print"), "recordings"))
+
+
 def _frames(classes: DataFrame, name: str) -> DataFrame:
     """(key, at, name): every integer of each class's fingerprint."""
 

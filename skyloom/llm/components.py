@@ -1,7 +1,7 @@
 """Connected components of an edge list by alternating large and small stars.
 
-Every round rewires edges to smaller neighbours by grouping and joining, so no node's neighbours meet in one task and
-the rounds grow with the logarithm of the component size, not with its diameter. Each round is written, the last one's edges go.
+Every round rewires edges to smaller neighbours by grouping and joining. A hub's edges share the key of a join, whose other side has one row for it;
+adaptive execution splits such keys. The rounds grow with the logarithm of the component size, not with its diameter. Each round is written, the last one's edges go.
 """
 
 from __future__ import annotations

@@ -712,6 +712,22 @@ def test_mixing_of_nothing(empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_chroma_of_sound_columns(spark):
+    """Recordings as samples at 8 kHz, probes as PCM at 16 kHz with their first notes cut off and noise; each finds its recording."""
+    rng = np.random.default_rng(3)
+    tunes = [chroma_prints.melody(v) for v in rng.normal(0, 0.3, (6, 64))]
+    recordings = spark.createDataFrame([(k, list(map(float, t))) for k, t in enumerate(tunes)] + [(90, None), (91, []), (92, [0.0] * 20_000)], "rec int, sound array<double>")
+    pcm = []
+    for k in (1, 4):
+        cut = tunes[k][chroma_prints.CUT_NOTES * chroma_prints.HOP :]
+        twice = np.interp(np.arange(2 * len(cut)) / 2, np.arange(len(cut)), cut) + 0.01 * rng.standard_normal(2 * len(cut))
+        pcm.append((1000 + k, bytearray((np.clip(twice / 2, -1, 1) * 32767).astype("<i2").tobytes() + b"x")))
+    probes = spark.createDataFrame([*pcm, (2000, None), (2001, bytearray())], "id long, clip binary")
+    found = chroma_prints.find(chroma_prints.sound_prints(probes, "id", "clip", 16_000), chroma_prints.sound_prints(recordings, "rec", "sound")).collect()
+    assert {(r.probe_id, r.match_id) for r in found} == {(1001, 1), (1004, 4)}
+    assert all(abs(r.offset - chroma_prints.CUT_NOTES) <= 1 and r.bit_error <= chroma_prints.MOST_ERROR for r in found)
+
+
 # ---------------------------------------------------------------- rows that stay, in all stages
 
 
