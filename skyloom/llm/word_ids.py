@@ -20,6 +20,8 @@ RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 #: ASCII but for controls, and Latin letters that are composed already and have a lower case of one letter.
 PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ſ]*")
 
+MARKS = ".,;:!?"
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter for each byte, as byte-level vocabularies write it: printable Latin-1 stays, the rest follows from U+0100."""
@@ -54,8 +56,11 @@ class WordIds:
         return found
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self._run(word.lower())
+        # letters and the marks behind them are a run each; most words are that
+        core = word.rstrip(MARKS)
+        if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):
+            run = self._run(core.lower())
+            return run if len(core) == len(word) else run + self._run(word[len(core) :])
         if not PLAIN.fullmatch(word):
             return self._whole(word)
         return b"".join([self._run(r) for r in RUNS.findall(word.lower())])
