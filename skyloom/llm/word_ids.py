@@ -8,6 +8,8 @@ special token, goes through the library whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import regex
 
@@ -33,13 +35,27 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+class _Memo(dict):
+    """Words and their ids; a word that is missing is worked out, and kept unless it is long."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.make(word)
+        if len(word) <= MEMO_CHARS:
+            self[word] = found
+        return found
+
+
 class WordIds:
     def __init__(self, name: str):
         self.tokenizer = tokenizer(name)
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {"": b""}
+        self.words = _Memo(self._word)
+        self.words[""] = b""
         self.runs: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -69,17 +85,11 @@ class WordIds:
         """The text's ids, as little-endian 16-bit numbers."""
         if any(s in text for s in self.special):
             return self._whole(text)
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         memo = self.words
         if len(memo) > MEMO_WORDS:
             memo.clear()
             memo[""] = b""
-        long = {}
-        for w in set(words).difference(memo):
-            (memo if len(w) <= MEMO_CHARS else long)[w] = self._word(w)
-        if long:
-            return b"".join([long[w] if w in long else memo[w] for w in words])
-        return b"".join(map(memo.__getitem__, words))
+        return b"".join(map(memo.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 _HELD: dict[str, WordIds] = {}
