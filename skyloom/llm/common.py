@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import drop, shared_dir
 from ..sources.tables import written as store
 
-__all__ = ["NO_ID", "buckets", "documents", "drop", "kept_rows", "lots", "named", "row_key", "shared_dir", "small", "small_batches", "store", "text_of", "uniform"]
+__all__ = ["NO_ID", "buckets", "documents", "drop", "kept_rows", "lots", "named", "row_key", "shared_dir", "small", "small_batches", "spread_join", "store", "text_of", "uniform"]
 
 #: Rows of a few numbers each that every task may hold.
 SMALL_ROWS = 300_000
@@ -24,6 +24,26 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+#: A key of more rows than this is not sent to one task by :func:`spread_join`.
+HOT_ROWS = 10_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has one row for a ``key`` and in ``count`` how many of ``rows`` have it at least.
+
+    A small table is sent to every task. Of a larger one only the keys of very many rows are: as the counts add up to their sum, fewer than
+    ``SMALL_ROWS`` keys can have more than the sum's part of that, however large the table is. So no task gets all rows of a hot key.
+    Both inputs are read more than once and should be written tables. Null keys match nothing and stay, with nulls.
+    """
+    n, total = table.agg(F.count("*"), F.sum(count)).first()
+    if n <= SMALL_ROWS:
+        return rows.join(F.broadcast(table), key, "left")
+    most = max(HOT_ROWS, math.ceil(total / SMALL_ROWS))
+    hot = F.broadcast(table.filter(F.col(count) > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col(count) <= most), key, "left")
+    return rest.unionByName(rows.join(hot, key))
+
+
 #: Rows and bytes of texts that a worker takes from an Arrow batch at a time.
 LOT_ROWS, LOT_BYTES = 1024, 8 << 20
 

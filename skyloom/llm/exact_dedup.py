@@ -176,7 +176,7 @@ def exact_dedup(history: DataFrame, new: DataFrame, total: int | None = None) ->
     shards = common.buckets(total if total is not None else history.count() + new.count(), SHARD_ROWS)
     index = build_index(grouped(history), shards)
     several = common.store(look_up(index, grouped(new), shards).filter("group_size > 1").drop("known"), "dedup-groups")
-    rows = history.unionByName(new).join(common.small(several), "digest", "left")
+    rows = common.spread_join(history.unionByName(new), several, "digest", "group_size")
     alone = F.col("group_size").isNull()
     own = {"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), "keep_row": F.coalesce("keep_row", "row"), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
     return rows.withColumns(own).withColumn("kept", F.col("row") == F.col("keep_row"))

@@ -9,7 +9,8 @@ Those spans are added to the base ones.
 Here a document's repository is its source and language, its owner its source; both are parameters.
 
 A match's place is a running sum over the lengths of the text before each match and of the matches, taken over rows, so
-the work is linear in the matches of a document.
+the work is linear in the matches of a document. A value's counts reach its matches by :func:`common.spread_join`, so those of a value that a third of
+the corpus carries stay spread over all tasks.
 
 Nulls: a null text is empty; null repositories or owners count as one value. Repeated rows are scanned
 each for itself. A document without matches keeps empty spans, an empty table gives an empty result, extra columns of any name
@@ -70,7 +71,7 @@ def joined(spans: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(hash, n_docs, n_repos, n_owners) from rows (hash, repo, owner).
+    """(hash, n_docs, n_repos, n_owners), n_docs being the rows, from rows (hash, repo, owner).
 
     Each value's rows collapse to one a repository before the distinct counts, so a value that a third
     of the corpus carries moves as few rows as there are repositories.
@@ -88,10 +89,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo:
     found = F.concat(_found("assign", ASSIGN, 2), _found("access", ACCESS, 0), _found("hex", HEX, 0))
     rows = common.store(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "repo", "owner", found.alias("found")), "secrets")
     each = common.store(matches(rows), "secret-spans")
-    counts = ownership(each.select("hash", "repo", "owner"))
+    counts = common.store(ownership(each.select("hash", "repo", "owner")), "secret-owners")
     copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS)
     kind = F.when(copied, KINDS.index("example")).when((F.col("n_owners") == 1) & F.col("live"), KINDS.index("live"))
-    judged = each.join(counts, "hash").withColumn("verdict", kind)
+    judged = common.spread_join(each, counts, "hash", "n_docs").withColumn("verdict", kind)
     span = F.struct("start", "kind", "end")
     added = F.when(F.col("verdict").isNotNull(), F.struct(F.col("from").alias("start"), F.col("verdict").cast("int").alias("kind"), "end"))
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("base"), F.array_sort(F.collect_set(added)).alias("verdicts"))

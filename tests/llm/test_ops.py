@@ -405,6 +405,30 @@ def test_secret_ownership_counts(spark):
     assert got["g"] == (1, 1, 1) and got["h"] == (50, 10, 2)
 
 
+def test_spread_join_sends_only_hot_keys_to_all_tasks(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 50 + ["a", "a", "b", "gone"] + [None] * 3)], "key string, i int")
+    table = spark.createDataFrame([("hot", 50, "x"), ("a", 2, "y"), ("b", 1, None), ("unused", 9, "z")], "key string, n long, v string")
+    want = sorted(map(str, rows.join(table, "key", "left").collect()))
+    for most, hot in ((300_000, 10_000), (3, 10), (1, 1), (3, 1_000)):
+        monkeypatch.setattr(common, "SMALL_ROWS", most)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = common.spread_join(rows, table, "key", "n")
+        assert sorted(map(str, got.select("key", "i", "n", "v").collect())) == want
+    plain = table.limit(0)
+    assert common.spread_join(rows, plain, "key", "n").filter("v is null").count() == rows.count()
+
+
+def test_hot_values_change_no_result(spark, monkeypatch):
+    texts = ["password = AKIAABCDEFGHIJKL12", "token: 0123456789abcdef0123456789abcdef"] * 20 + ["secret=only1here2now3x4y", None, ""]
+    docs = spark.createDataFrame([(i, t, f"s{i % 5}", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    scan = lambda: sorted(map(str, secrets.scan(docs).collect()))
+    dedup = lambda: sorted(map(str, exact_dedup.dedup_rows(common.store(exact_dedup.digests(docs), "test-digests")).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    want = scan(), dedup()
+    monkeypatch.setattr(common, "SMALL_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    assert (scan(), dedup()) == want
+
+
 def test_secrets_of_nothing(empty):
     assert secrets.scan(empty).collect() == []
 
