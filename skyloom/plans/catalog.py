@@ -12,7 +12,7 @@ from ..functions import scalars, sql_tables
 from ..operators import airspace, flows, graph, linkage, networks, occupancy, polygons, scenario, stitch, trajectory
 from ..operators import spectral as spectra
 from ..sources import grids, tables
-from . import views
+from . import stepwise_sql, views
 from .views import LEGS, POINTS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,36 +223,61 @@ def forward_fill(spark, d):
     return trajectory.forward_fill(views.points(spark, d).withColumn("hdg", F.when(F.col("hdg") < 180, F.col("hdg"))), ["hdg"]).select("event_id", "hdg")
 
 
-@query("change_points")
+def _flown(points: str) -> str:
+    """CTEs ending in ``flown``: points with the compensated heading and the speed to the next one, by position."""
+    return f"""l AS (SELECT *, lag(lat) OVER w AS a0, lag(lon) OVER w AS o0, lag(hdg) OVER w AS h0, t - lag(t) OVER w AS dt, row_number() OVER w AS rn FROM {points} WHERE t + lat + lon + hdg + alt IS NOT NULL WINDOW w AS (PARTITION BY id ORDER BY t, event_id)),
+km AS (SELECT *, {views.haversine("a0", "o0", "lat", "lon")} AS km FROM l), dr AS (SELECT *, hdg - sum(coalesce({_DRIFT} * km, 0e0)) OVER (PARTITION BY id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS x, coalesce(lead(km / nullif(dt, 0)) OVER (PARTITION BY id ORDER BY rn), 0e0) AS vel FROM km),
+flown AS (SELECT CAST(id AS VARCHAR) AS id, rn AS k, t AS time, lat, lon, alt, vel, CASE WHEN rn = 1 THEN 0e0 ELSE ((x % 360) + 360) % 360 END AS hdg FROM dr)"""
+
+
+_CHANGES = f"{POINTS}, {_flown('points')}, {stepwise_sql.change_points('flown')}"
+_CLEANED = f"""{POINTS}, pace AS (SELECT *, (t - lag(t) OVER w) / 3600 AS h, {views.haversine("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon", "6371.0088e0")} AS leg_km FROM points WINDOW w AS (PARTITION BY id ORDER BY t, event_id)),
+cleaned AS (SELECT event_id, id, t, lat, lon, hdg, alt FROM pace WHERE NOT coalesce(h <= 0 AND leg_km IS NOT NULL OR leg_km / nullif(h, 0) > 1000 OR leg_km / nullif(h, 0) < 50, false))"""
+_TURNED = (("time", "time", 3), ("lat", "lat", 6), ("lon", "lon", 6), ("alt", "alt", 6), ("speed", "vel", 6))
+
+
+def _route_sql(where: str) -> str:
+    pairs = ", ".join(f"round({c}, {n}) AS from_{x}, round(lead({c}) OVER w, {n}) AS to_{x}" for x, c, n in _TURNED)
+    return f"WITH RECURSIVE {_CLEANED}, {_flown('cleaned')}, {stepwise_sql.change_points('flown')} SELECT id, {pairs} FROM points_of WHERE kind = 'turn' AND {where} WINDOW w AS (PARTITION BY id ORDER BY k) QUALIFY lead(time) OVER w IS NOT NULL"
+
+
+def _rounded_route(route: DataFrame) -> DataFrame:
+    return route.select("id", *[F.round(f"{end}_{x}", n).alias(f"{end}_{x}") for x, _, n in _TURNED for end in ("from", "to")])
+
+
+@query("change_points", f"WITH RECURSIVE {_CHANGES} SELECT id, id || '_' || k AS waypoint_name, {', '.join(f'round({c}, {n}) AS waypoint_{x}' for x, c, n in _TURNED)}, k, kind FROM points_of")
 def change_points(spark, d):
     turns = trajectory.turns_and_rises(views.points(spark, d))
-    return trajectory.waypoints(turns).withColumn("kind", F.lit("turn")).unionByName(trajectory.waypoints(turns, "dp").withColumn("kind", F.lit("rise")))
+    both = trajectory.waypoints(turns).withColumn("kind", F.lit("turn")).unionByName(trajectory.waypoints(turns, "dp").withColumn("kind", F.lit("rise")))
+    return both.select("id", "waypoint_name", *[F.round(f"waypoint_{x}", n).alias(f"waypoint_{x}") for x, _, n in _TURNED], "k", "kind")
 
 
-@query("route_legs")
+@query("route_legs", _route_sql("true"))
 def route_legs(spark, d):
-    return trajectory.route_legs(views.points(spark, d), 50.0, 1000.0)
+    return _rounded_route(trajectory.route_legs(views.points(spark, d), 50.0, 1000.0))
 
 
-@query("change_points_sql")
+@query("change_points_sql", f"WITH RECURSIVE {_CHANGES} SELECT CAST(id AS BIGINT) AS id, CASE kind WHEN 'turn' THEN 'tp' ELSE 'dp' END AS kind, k, {', '.join(f'round({c}, {n}) AS {c}' for _, c, n in _TURNED)} FROM points_of")
 def change_points_sql(spark, d):
     sql_tables.register(spark)
     trajectory.drift_heading(views.points(spark, d).dropna(subset=["t", "lat", "lon", "hdg", "alt"])).createOrReplaceTempView("skyloom_flown")
-    return spark.sql("SELECT * FROM change_points(TABLE(skyloom_flown) PARTITION BY id ORDER BY (t, event_id))")
+    return spark.sql(f"SELECT id, kind, k, {', '.join(f'round({c}, {n}) AS {c}' for _, c, n in _TURNED)} FROM change_points(TABLE(skyloom_flown) PARTITION BY id ORDER BY (t, event_id))")
 
 
-@query("flight_route")
+@query("flight_route", _route_sql("id = '7'"))
 def flight_route(spark, d):
-    return trajectory.flight_route(views.points(spark, d), 7, 50.0, 1000.0)
+    return _rounded_route(trajectory.flight_route(views.points(spark, d), 7, 50.0, 1000.0))
 
 
-@query("flight_turns_regrouped")
+@query("flight_turns_regrouped", f"""WITH RECURSIVE {_CHANGES},
+ends AS (SELECT id, kind, count(*) AS n, arg_max(alt, (time, lat, lon, alt, vel)) AS alt FROM points_of GROUP BY id, kind)
+SELECT x.id, x.alt < 1000 OR y.alt < 1000 AS landed, CAST(x.n AS INT) AS turns, CAST(y.n AS INT) AS rises FROM ends x JOIN ends y ON x.id = y.id AND x.kind = 'turn' AND y.kind = 'rise'""")
 def flight_turns_regrouped(spark, d):
     turns = trajectory.turns_and_rises(views.points(spark, d))
     return trajectory.regrouped(trajectory.waypoints(turns), trajectory.waypoints(turns, "dp")).select("id", "landed", F.size("tp").alias("turns"), F.size("dp").alias("rises"))
 
 
-@query("tola")
+@query("tola", f"WITH {POINTS}, {stepwise_sql.slopes('points')} SELECT id, kind, time, lat, lon FROM tola")
 def tola(spark, d):
     # the points are hours apart: they are taken as one sample a second
     w = trajectory.by_time()
@@ -688,9 +713,9 @@ def _flight_sims(spark, d) -> DataFrame:
     return s.select(F.col("id").cast("long").alias("grp"), F.col("a_leg_id").alias("a"), F.col("b_leg_id").alias("b"), "similarity")
 
 
-@query("base_graph_edges")
+@query("base_graph_edges", f"WITH {_HOUR_SIMS}, hs AS (SELECT hour AS grp, a, b, similarity FROM sims), {stepwise_sql.base_graphs('hs')} SELECT grp, graph, round(threshold, 6) AS threshold, a, b FROM based")
 def base_graph_edges(spark, d):
-    return networks.base_graphs(_sims(spark, d))
+    return networks.base_graphs(_sims(spark, d)).select("grp", "graph", *_r("threshold"), "a", "b")
 
 
 @query("spectral")
@@ -752,7 +777,7 @@ def strong_components(spark, d):
     return networks.strong_components(rows.select("a", F.explode("to").alias("t"), "o").select("a", (F.col("o") + F.col("t") + 1).alias("b")))
 
 
-@query("spanning_forest")
+@query("spanning_forest", f"WITH {_SIMS}, pairs_ AS (SELECT id AS grp, a, b, similarity AS w FROM sims WHERE similarity > 0), {stepwise_sql.forest('pairs_')} SELECT a, b, round(w, 6) AS w FROM forest")
 def spanning_forest(spark, d):
     sims = _flight_sims(spark, d)
     return networks.spanning_forest(sims.filter("similarity > 0").select("a", "b", F.col("similarity").alias("w"))).select("a", "b", *_r("w"))
@@ -804,9 +829,14 @@ def routes_greedy(spark, d):
     return graph.greedy_routes(*_routes(spark, d))
 
 
-@query("routes_exact")
+@query("routes_exact", f"""WITH RECURSIVE {_ROUTE}, g AS (SELECT flight, k, edge_id, CASE WHEN k = 0 THEN 0.8e0 * ori + 0.2e0 * cov ELSE 0.5e0 * ori + 0.5e0 * cov END AS s FROM ft),
+n AS (SELECT flight, count(*) AS n FROM fl GROUP BY flight), fit AS (SELECT * FROM g WHERE s > 0.3),
+r AS (SELECT flight, 0 AS k, edge_id AS e, s AS total, [edge_id] AS route FROM fit WHERE k = 0
+  UNION ALL SELECT r.flight, r.k + 1, f.edge_id, total + s, list_append(route, f.edge_id) FROM r JOIN fit f ON f.flight = r.flight AND f.k = r.k + 1 WHERE f.edge_id = r.e OR f.edge_id // 100 = r.e % 100),
+best AS (SELECT flight, route, total, CAST(row_number() OVER (PARTITION BY flight ORDER BY total DESC, route) AS INT) AS rank FROM r JOIN n USING (flight) WHERE r.k + 1 = n)
+SELECT flight, rank, route AS edges, round(total, 6) AS fitness FROM best WHERE rank <= 5""")
 def routes_exact(spark, d):
-    return graph.best_routes(*_routes(spark, d))
+    return graph.best_routes(*_routes(spark, d)).select("flight", "rank", "edges", *_r("fitness"))
 
 
 # ---------------------------------------------------------------- formats
@@ -845,10 +875,23 @@ def dms(spark, d):
     return p.select("event_id", scalars.dms(lat.cast("double")).alias("lat"), scalars.dms(lon).alias("lon"))
 
 
-@query("scenario_text")
+_ARC = "CAST(floor(abs({x})) * 3600 + floor((abs({x}) - floor(abs({x}))) * 60) * 60 + round_even(((abs({x}) - floor(abs({x}))) * 60 - floor((abs({x}) - floor(abs({x}))) * 60)) * 60, 0) AS BIGINT)"
+_ARC_TEXT = "(CASE WHEN {x} < 0 AND {s} >= 3600 THEN '-' ELSE '' END || concat_ws(chr(39), {s} // 3600, {s} % 3600 // 60, {s} % 60))"
+
+
+@query("scenario_text", f"""WITH {POINTS}, hop AS (SELECT *, {views.haversine("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} / nullif(t - lag(t) OVER w, 0) AS kms, row_number() OVER w - 1 AS k FROM points WINDOW w AS (PARTITION BY id ORDER BY t, event_id)),
+q AS (SELECT *, 'F' || id AS acid, coalesce(lead(kms) OVER (PARTITION BY id ORDER BY k), 0e0) * {scalars.KMS_TO_KNOTS}e0 AS knots, {_ARC.format(x="lat")} AS las, {_ARC.format(x="lon")} AS los FROM hop),
+x AS (SELECT *, {_ARC_TEXT.format(x="lat", s="las")} || ',' || {_ARC_TEXT.format(x="lon", s="los")} AS place FROM q),
+y(part, id, k, j, rest) AS (SELECT 0, NULL::BIGINT, 0, 0, 'ASAS OFF'
+  UNION ALL SELECT 1, id, k, 0, 'CRE ' || acid || ',A320,' || lat || ',' || lon || ',' || alt || ',' || hdg || ',' || printf('%.2f', knots) FROM x WHERE k = 0
+  UNION ALL SELECT 1, id, k, 1, 'SPD ' || acid || ' ' || CAST(round_even(knots, 0) AS BIGINT) FROM x WHERE k = 0
+  UNION ALL SELECT 1, id, k, 2, 'ALT ' || acid || ' ' || alt FROM x WHERE k = 0
+  UNION ALL SELECT 1, id, k, 0, acid || ' ADDWPT ' || place || ', ' || alt FROM x WHERE k > 0
+  UNION ALL SELECT 1, id, k, 1, acid || ' AT ' || place || ' STACK ' || acid || ' VNAV ON' FROM x WHERE k = 1)
+SELECT CAST(part AS INT) AS part, coalesce(CAST(id AS VARCHAR), '') AS id, CAST(k AS INT) AS k, CAST(j AS INT) AS j, '00:00:00.00>' || rest AS line FROM y""")
 def scenario_text(spark, d):
     p = trajectory.drift_heading(views.points(spark, d)).withColumn("callsign", F.concat(F.lit("F"), "id")).withColumn("speed", F.col("vel"))
-    return scenario.scenario_lines(p)
+    return scenario.scenario_lines(p).withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("")))
 
 
 _GRIDSQL = "grid AS (SELECT CAST(epoch(o_orderdate) AS BIGINT) AS ts, 30e0 + o_custkey % 85 * 0.5e0 AS latitude, -15e0 + o_orderkey % 111 * 0.5e0 AS longitude, o_totalprice / 1e4 AS u, (o_orderkey % 40) * 1e0 AS v FROM orders)"
