@@ -580,6 +580,15 @@ def assignment(spark, d):
     return linkage.assign(_scores(spark, d), ["airport", "airline"])
 
 
+@query("likeliest_connections", f"""WITH {_SCORES}, best AS (SELECT a_key, d_key FROM scores WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a_key ORDER BY round(score, 9) DESC, d_key) = 1)
+SELECT a.event_id AS a_key, coalesce(d.event_id, -1) AS d_key, round((d.t - a.t) / 3600, 6) AS connection_time FROM m a LEFT JOIN best ON a_key = a.event_id LEFT JOIN m d ON d.event_id = d_key WHERE a.event_type = 'view'""")
+def likeliest_connections(spark, d):
+    # each arrival's likeliest departure, whoever else takes it; -1 if it has none
+    a, dep = _movements(spark, d)
+    best = stitch.top_per_key(_scores(spark, d).withColumn("_s", F.round("score", 9)), ["a_key"], [F.desc("_s"), "d_key"], 1)
+    return linkage.connection_times(a, best, dep).select("a_key", F.coalesce("d_key", F.lit(-1)).alias("d_key"), *_r("connection_time"))
+
+
 @query("connection_times")
 def connection_times(spark, d):
     a, dep = _movements(spark, d)
@@ -735,6 +744,22 @@ def dbscan(spark, d):
     return flows.dbscan(e, 0.02, 4, 2, group=["grp"])
 
 
+#: In degrees; no two points are at just this distance, as they lie on hundredths.
+_DENSE = 5.005
+
+
+@query("density_clusters", f"""WITH RECURSIVE {POINTS}, p AS (SELECT event_id AS id, floor(t / 3600) AS grp, lat, lon FROM points),
+near AS (SELECT x.id AS p, y.id AS q FROM p x JOIN p y ON x.grp = y.grp AND sqrt(pow(x.lat - y.lat, 2) + pow(x.lon - y.lon, 2)) <= {_DENSE}),
+core AS (SELECT p AS id FROM near GROUP BY p HAVING count(*) >= 4), links AS (SELECT p, q FROM near WHERE p IN (FROM core) AND q IN (FROM core)),
+met AS (SELECT id, id AS seen FROM core UNION SELECT met.id, q FROM met JOIN links ON p = seen), named AS (SELECT id, min(seen) AS cluster FROM met GROUP BY id),
+edge AS (SELECT q AS id, min(p) AS p FROM near WHERE p IN (FROM core) AND q NOT IN (FROM core) GROUP BY q)
+SELECT p.id, coalesce(a.cluster, b.cluster, -1) AS cluster FROM p LEFT JOIN named a ON a.id = p.id LEFT JOIN edge ON edge.id = p.id LEFT JOIN named b ON b.id = edge.p""")
+def density_clusters(spark, d):
+    # where the points of an hour crowd
+    rows = views.points(spark, d).select(F.col("event_id").alias("id"), F.floor(F.col("t") / 3600).alias("grp"), F.array("lat", "lon").alias("x"))
+    return flows.dbscan(rows, _DENSE, 4, 2, group=["grp"])
+
+
 def _weighted(sims: DataFrame) -> DataFrame:
     return sims.filter(F.col("similarity") > 0.5).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("similarity").alias("w"))
 
@@ -824,13 +849,21 @@ def _routes(spark, d) -> tuple[DataFrame, DataFrame]:
     return graph.scored_edges(f, _airways(spark, d)), f.groupBy("flight").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("routes_greedy")
+_FITS = f"""{_ROUTE}, g AS (SELECT flight, k, edge_id, CASE WHEN k = 0 THEN 0.8e0 * ori + 0.2e0 * cov ELSE 0.5e0 * ori + 0.5e0 * cov END AS s FROM ft),
+n AS (SELECT flight, count(*) AS n FROM fl GROUP BY flight), fit AS (SELECT * FROM g WHERE s > 0.3)"""
+
+
+# depth first, best score first, of equal ones the smaller edge and staying last: the order of the lists of (-score, stays, edge)
+@query("routes_greedy", f"""WITH RECURSIVE {_FITS},
+r AS (SELECT flight, 0 AS k, edge_id AS e, s AS total, [edge_id] AS route, [-s, 0e0, edge_id] AS turn FROM fit WHERE k = 0
+  UNION ALL SELECT r.flight, r.k + 1, f.edge_id, total + s, list_append(route, f.edge_id), list_concat(turn, [-s, (f.edge_id = r.e)::INT, f.edge_id]) FROM r JOIN fit f ON f.flight = r.flight AND f.k = r.k + 1 WHERE f.edge_id = r.e OR f.edge_id // 100 = r.e % 100),
+met AS (SELECT flight, route, total, turn FROM r JOIN n USING (flight) WHERE r.k + 1 = n QUALIFY row_number() OVER (PARTITION BY flight ORDER BY turn) <= 5)
+SELECT flight, CAST(row_number() OVER (PARTITION BY flight ORDER BY total DESC, turn) AS INT) AS rank, route AS edges, round(total, 6) AS fitness FROM met""")
 def routes_greedy(spark, d):
-    return graph.greedy_routes(*_routes(spark, d))
+    return graph.greedy_routes(*_routes(spark, d)).select("flight", "rank", "edges", *_r("fitness"))
 
 
-@query("routes_exact", f"""WITH RECURSIVE {_ROUTE}, g AS (SELECT flight, k, edge_id, CASE WHEN k = 0 THEN 0.8e0 * ori + 0.2e0 * cov ELSE 0.5e0 * ori + 0.5e0 * cov END AS s FROM ft),
-n AS (SELECT flight, count(*) AS n FROM fl GROUP BY flight), fit AS (SELECT * FROM g WHERE s > 0.3),
+@query("routes_exact", f"""WITH RECURSIVE {_FITS},
 r AS (SELECT flight, 0 AS k, edge_id AS e, s AS total, [edge_id] AS route FROM fit WHERE k = 0
   UNION ALL SELECT r.flight, r.k + 1, f.edge_id, total + s, list_append(route, f.edge_id) FROM r JOIN fit f ON f.flight = r.flight AND f.k = r.k + 1 WHERE f.edge_id = r.e OR f.edge_id // 100 = r.e % 100),
 best AS (SELECT flight, route, total, CAST(row_number() OVER (PARTITION BY flight ORDER BY total DESC, route) AS INT) AS rank FROM r JOIN n USING (flight) WHERE r.k + 1 = n)

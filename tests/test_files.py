@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalars
-from skyloom.operators import flows, stitch
+from skyloom.operators import flows, linkage, scenario, stitch
 from skyloom.sources import tables
 from skyloom.streaming import twins
 
@@ -111,3 +111,36 @@ def test_streamed_files_name_their_hours(spark, tmp_path):
     rows = [("a", 0), ("a", 3600), ("b", 7200)]
     got = streamed(spark, tmp_path, rows, lambda s: twins.sliding_files(s))
     assert max(len(r.hours) for r in got.filter("id = 'a'").collect()) == 2 and all(len(r.hours) == 1 for r in got.filter("id = 'b'").collect())
+
+
+def test_csv_with_header_and_label_lines(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", 0), ("s2", None), (None, 2)], "segment string, label int")
+    tables.write_csv(rows, str(tmp_path / "csv"))
+    assert sorted(map(str, spark.read.csv(str(tmp_path / "csv"), header=True, schema="segment string, label int").collect())) == sorted(map(str, rows.collect()))
+    tables.write_csv(rows.limit(0), str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), schema="segment string, label int", header=True).count() == 0
+    assert sorted(r.value for r in tables.label_json(rows).collect()) == ['{"label":2}', '{"segment":"s1","label":0}', '{"segment":"s2"}']
+
+
+def test_ranges_of_days_and_hours(spark):
+    span = spark.sql("SELECT date '2024-01-30' AS a, date '2024-02-14' AS b, 0 AS low, 9000 AS high")
+    got = span.select(F.size(stitch.day_range(F.col("a"), F.col("b"))).alias("days"), stitch.day_range(F.col("a"), F.col("b"), 7).alias("weeks"), stitch.hour_range(F.col("low"), F.col("high")).alias("hours")).first()
+    assert got.days == 16 and [str(d) for d in got.weeks] == ["2024-01-30", "2024-02-06", "2024-02-13"] and got.hours == [0, 3600, 7200, 9000]
+
+
+def test_commands_of_short_flights_and_small_negative_degrees(spark):
+    schema = "id string, callsign string, t double, event_id long, lat double, lon double, alt double, hdg double, speed double"
+    points = spark.createDataFrame([("b", " B1 ", 0.0, 1, 1.5, -0.25, 100.0, 90.0, 0.1), ("a", "A1", 5.0, 3, 2.0, 3.0, 50.0, 10.0, 0.2), ("a", "other", 9.0, 4, -1.5, -0.25, 60.0, 11.0, 0.3), ("a", None, 9.0, 5, 1.0, 1.0, 70.0, 12.0, None)], schema)
+    lines = lambda rows: [r.line.split(">", 1)[1] for r in rows.orderBy("id", "k", "j").collect()]
+    got = lines(scenario.commands(points))
+    assert got[3:] == ["A1 ADDWPT -1'30'0,0'15'0, 60.0", "A1 AT -1'30'0,0'15'0 STACK A1 VNAV ON", "A1 ADDWPT 1'0'0,1'0'0, 70.0", "CRE B1,A320,1.5,-0.25,100.0,90.0,194.38", "SPD B1 194", "ALT B1 100.0"]
+    assert "A1 ADDWPT -1'30'0,-0'15'0, 60.0" in lines(scenario.commands(points, keep_sign=True))
+    assert [r.line for r in scenario.scenario_lines(points.limit(0)).collect()] == ["00:00:00.00>ASAS OFF"]
+
+
+def test_connection_times_of_linked_and_single_arrivals(spark):
+    a = spark.createDataFrame([(1, 0.0), (2, 1800.0), (3, None), (None, 5.0)], "a_key long, a_t double")
+    d = spark.createDataFrame([(7, 7200.0), (8, 9000.0), (9, 1.0)], "d_key long, d_t double")
+    pairs = spark.createDataFrame([(1, 8), (3, 7), (5, 9)], "a_key long, d_key long")
+    got = {r.a_key: (r.d_key, r.connection_time) for r in linkage.connection_times(a, pairs, d).collect()}
+    assert got == {1: (8, 2.5), 2: (None, None), 3: (7, None), None: (None, None)}
