@@ -94,3 +94,12 @@ def test_gamma_parameters(spark):
 def test_flight_id(spark):
     assert one(spark, scalars.flight_id(F.lit("ab1"), F.lit(" ba12 ")))[0] == "AB1BA12"
     assert one(spark, scalars.flight_id(F.lit(None).cast("string"), F.lit("x")))[0] is None
+
+
+def test_rounding_goes_by_the_product_as_sql_does(spark):
+    import duckdb
+
+    x = [-4.1859375, 1.005, 2.5, -2.5, 0.1234565, -0.0, None, 8.3e17, 484418.0921875]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").select(*[scalars.rounded(F.col("x"), n).alias(f"r{n}") for n in (0, 2, 6)]).collect()
+    for v, r in zip(x, rows, strict=True):
+        assert tuple(r) == duckdb.execute("SELECT round(?::DOUBLE, 0), round(?::DOUBLE, 2), round(?::DOUBLE, 6)", [v] * 3).fetchall()[0]

@@ -227,6 +227,13 @@ def test_entry_and_exit(spark):
     assert got == [(1, "entry", 0.0), (1, "exit", 10.0), (2, "entry", 0.0), (3, "exit", 10.0)]
 
 
+def test_a_corner_is_one_meeting(spark):
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    rows = [(str(k), k, x, y, x + dx, y + dy) for k, (x, y, dx, dy) in enumerate((x, y, dx, dy) for x, y in ring for dx, dy in ((-3.0, -2.0), (-3.0, 2.0), (3.0, -2.0), (3.0, 2.0)) if not (0 < x + dx < 10 and 0 < y + dy < 10))]
+    legs = spark.createDataFrame(rows, "id string, leg_id long, from_lon double, from_lat double, to_lon double, to_lat double")
+    assert sorted(r.leg_id for r in airspace.boundary_points(legs, ring).collect()) == [r[1] for r in rows]
+
+
 # ---------------------------------------------------------------- schedules
 
 
