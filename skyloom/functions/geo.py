@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,17 +143,43 @@ def chord(p: str = "") -> Column:
     return (unit(F.col(f"{p}to_lat"), F.col(f"{p}to_lon")) - unit(F.col(f"{p}from_lat"), F.col(f"{p}from_lon"))).norm()
 
 
+def _c_track(lat1: float, lon1: float, lat2: float, lon2: float) -> tuple[float, float, float]:
+    """Course, length in metres and cosine of the first latitude, by the C library's functions."""
+    p1, p2, d = (v * (math.pi / 180.0) for v in (lat1, lat2, lon2 - lon1))
+    near, far = math.cos(p1), math.cos(p2)
+    course = math.atan2(math.sin(d) * far, near * math.sin(p2) - math.sin(p1) * far * math.cos(d)) * (180.0 / math.pi)
+    a = math.pow(math.sin((p2 - p1) / 2), 2.0) + near * far * math.pow(math.sin(d / 2), 2.0)
+    length = 2.0 * R_M * math.atan2(math.sqrt(a), math.sqrt(max(1.0 - a, 0.0)))
+    return math.fmod(math.fmod(course, 360.0) + 360.0, 360.0), length, near
+
+
+def _c_tracks(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.DataFrame:
+    rows = zip(*(c.astype(float).tolist() for c in (lat1, lon1, lat2, lon2)), strict=True)
+    sound = [_c_track(*r) if all(map(math.isfinite, r)) else (None, None, None) for r in rows]
+    return pd.DataFrame(sound, columns=["course", "length", "cosine"], dtype=float)
+
+
+def c_track(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Course, length in metres and cosine of the first latitude of a track, as a struct; null where an end has no place.
+
+    The JVM's sines differ from the C library's in the last bit. Routes are ranked by sums of scores, many of which are equal but for that bit, so
+    what is worked out once a leg and once an edge comes from the C library, and the order is that of engines that use it.
+    """
+    return F.pandas_udf(_c_tracks, "course double, length double, cosine double")(lat1, lon1, lat2, lon2)
+
+
 def leg_features(legs: DataFrame) -> DataFrame:
     """Adds what a leg contributes to its fitness to any edge: course and length in metres."""
-    f = [F.col(f"{e}_{x}") for e in ("from", "to") for x in ("lat", "lon")]
-    return legs.withColumns({"_course": bearing(*f), "_own": haversine(*f, radius=R_M)})
+    df = legs.withColumn("_track", c_track(*[F.col(f"{e}_{x}") for e in ("from", "to") for x in ("lat", "lon")]))
+    return df.withColumns({"_course": F.col("_track.course"), "_own": F.col("_track.length")}).drop("_track")
 
 
 def edge_features(edges: DataFrame) -> DataFrame:
-    """Adds what an edge contributes: course, length in metres and direction from its start, metres a degree of longitude there."""
+    """Adds what an edge contributes: course, length in metres and direction from its start, the cosine of the latitude there."""
     e = [F.col(f"e{e}_{x}") for e in ("from", "to") for x in ("lat", "lon")]
-    ex, ey = local_xy(e[2], e[3], e[0], e[1])
-    df = edges.withColumns({"_ecourse": bearing(*e), "_ex": ex, "_ey": ey, "_east": F.cos(F.radians(e[0])) * R_M})
+    df = edges.withColumn("_track", c_track(*e))
+    df = df.withColumns({"_ecourse": F.col("_track.course"), "_ecos": F.col("_track.cosine"), "_ey": F.radians(e[2] - e[0]) * R_M})
+    df = df.withColumn("_ex", F.radians(e[3] - e[1]) * F.col("_ecos") * R_M).drop("_track")
     return df.withColumn("_len", F.sqrt(F.col("_ex") * F.col("_ex") + F.col("_ey") * F.col("_ey")))
 
 
@@ -165,14 +192,14 @@ def with_fitness(pairs: DataFrame) -> DataFrame:
     df = pairs if "_course" in pairs.columns else leg_features(pairs)
     df = df if "_ecourse" in df.columns else edge_features(df)
     c = F.col
-    x = lambda p: F.radians(c(f"{p}_lon") - c("efrom_lon")) * c("_east")
+    x = lambda p: F.radians(c(f"{p}_lon") - c("efrom_lon")) * c("_ecos") * R_M
     y = lambda p: F.radians(c(f"{p}_lat") - c("efrom_lat")) * R_M
     along = lambda p: F.try_divide(x(p) * c("_ex") + y(p) * c("_ey"), c("_len"))
     df = df.withColumns({"_s": along("from"), "_t": along("to"), "_turn": F.abs(c("_course") - c("_ecourse"))})
     covered = F.greatest(F.lit(0.0), F.least(c("_len"), F.greatest("_s", "_t")) - F.greatest(F.lit(0.0), F.least("_s", "_t")))
     df = df.withColumns({"_orient": F.greatest(F.lit(0.0), 1.0 - F.least(c("_turn"), 360.0 - c("_turn")) / 90.0), "_share": F.least(covered / (c("_own") + 1e-6), F.lit(1.0))})
     score = lambda w, v: F.when(c("_len") == 0, 0.0).otherwise(w * c("_orient") + v * c("_share"))
-    kept = [k for k in pairs.columns if k not in ("_course", "_own", "_ecourse", "_ex", "_ey", "_east", "_len")]
+    kept = [k for k in pairs.columns if k not in ("_course", "_own", "_ecourse", "_ex", "_ey", "_ecos", "_len")]
     return df.withColumns({"first": score(0.8, 0.2), "rest": score(0.5, 0.5)}).select(*kept, "first", "rest")
 
 
