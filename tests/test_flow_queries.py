@@ -56,3 +56,15 @@ def test_dbscan_takes_every_spectral_coordinate_and_stays_in_its_group(spark):
     rows = [(g, 10 * g + i, [0.001 * i, 0.0]) for g in range(2) for i in range(4)]
     apart = flows.dbscan(spark.createDataFrame(rows, "grp long, id long, x array<double>"), 0.02, 4, 2, group=["grp"])
     assert {r.id: r.cluster for r in apart.collect()} == {i: 10 * g for g, i, _ in rows}
+
+
+def test_pairs_spread_over_tasks_whatever_the_size_of_the_legs(spark):
+    s = flows.similarity(views.legs(spark, DATA), group=["id"])
+    assert s.rdd.getNumPartitions() == flows.TASKS_A_CORE * spark.sparkContext.defaultParallelism  # at most the 4 shuffle partitions before
+
+
+def test_terms_of_legs_without_an_end_or_a_length(spark):
+    rows = [(1, 1.0, 1.0, 2.0, 2.0), (2, 1.0, 1.0, None, 2.0), (3, 1.0, 1.0, 1.0, 1.0)]
+    legs = spark.createDataFrame([("x", *r) for r in rows], "id string, leg_id long, from_lat double, from_lon double, to_lat double, to_lon double")
+    got = {(r.a_leg_id, r.b_leg_id): (r.cosine, r.separation, r.similarity) for r in flows.similarity(legs, group=["id"]).collect()}
+    assert got == {(1, 2): (None, None, 0.0), (1, 3): (None, 0.0, 0.0), (2, 3): (None, None, 0.0)}
