@@ -139,7 +139,7 @@ def with_terms(pairs: DataFrame, s: str, t: str) -> DataFrame:
 
     cosine: between the great-circle planes, its sign telling whether they flow the same way. overlap: length of the longest chord between
     the four ends, projected on the first segment, over both chord lengths. separation: least plane distance in radians of (lat, lon); 0 if they cross.
-    As columns these steps are one generated method that the JVM never compiles, so they are worked out on Arrow batches. The function counts as not deterministic, as a filter on a
+    The steps are worked out on Arrow batches. The function counts as not deterministic, as a filter on a
     term would else work it out twice.
     """
     kinds = "cosine double, overlap double, separation double"
