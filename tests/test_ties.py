@@ -1,6 +1,8 @@
-"""Routes whose totals are equal but for the last bit: flights of the larger tables whose order differed from DuckDB's."""
+"""Totals that are equal but for the last bit, and slopes at a limit: flights whose rows differed from DuckDB's."""
 
+import datetime
 import os
+import random
 
 import duckdb
 import pytest
@@ -27,3 +29,29 @@ def test_equal_totals_stand_as_in_sql(spark, few, name):
     want = c.sql(f"SELECT flight, rank, edges FROM ({catalog.ORACLES[name]})").fetchall()
     got = [(r.flight, r.rank, r.edges) for r in catalog.QUERIES[name](spark, few).collect()]
     assert sorted(got) == sorted(want)
+
+
+def _climbs(n, at):
+    """Values (alt / 40, in hundredths) of ``n`` flights whose first ``at`` altitudes climb by 10 a sample but for rounding."""
+    draw, out = random.Random(15), []
+    step = [2 * i - (at - 1) for i in range(at)]
+    while len(out) < n:
+        k = [draw.randrange(2900) for _ in range(at - 1)]
+        rest = 25 * sum(s * s for s in step) / 2 - sum(s * x for s, x in zip(step, k))
+        if rest % step[-1] == 0 and 0 <= rest // step[-1] < 2900:
+            out.append([*k, int(rest // step[-1])])
+    return out
+
+
+def test_slopes_at_the_limit_count_as_in_sql(spark, tmp_path):
+    c = duckdb.connect()
+    flights = [[*k, 3200, 100, 100] for at in (3, 4, 6) for k in _climbs(40, at)]
+    flights += [[x, None, y, None, 3200, None, 5] for x, y in ((0, 50), (0, 49), (7, 900))]
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(hours=i), f, None if x is None else x / 100) for i, (f, x) in enumerate((f, x) for f, xs in enumerate(flights) for x in xs)]
+    c.sql("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, value DOUBLE)")
+    c.executemany("INSERT INTO events VALUES (?, ?, ?, ?)", rows)
+    c.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = c.sql(catalog.ORACLES["tola"]).fetchall()
+    assert 20 < len(want) < 2 * len(flights)
+    assert sorted(map(tuple, catalog.QUERIES["tola"](spark, str(tmp_path)).collect())) == sorted(want)
