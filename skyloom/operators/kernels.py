@@ -18,6 +18,10 @@ except ImportError:  # before Python 3.13
 
 
 
+#: Stretches that are open at once from which on a step works on arrays.
+FEW = 24
+
+
 def pelt_mean(x: np.ndarray, variance: float, penalty: float | None = None) -> list[int]:
     """Change points of a normal mean with known variance, by pruned exact search; the first is 0.
 
@@ -27,32 +31,44 @@ def pelt_mean(x: np.ndarray, variance: float, penalty: float | None = None) -> l
     if n == 0:
         return []
     beta = np.log(n) if penalty is None else penalty
-    s1, s2 = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(np.square(x))])
-    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-    best[0] = -beta
-    open_ = np.array([0])
+    sums, squares = (np.concatenate([[0.0], np.cumsum(v)]) for v in (np.asarray(x, float), np.square(x, dtype=float)))
+    s1, s2, beta = sums.tolist(), squares.tolist(), float(beta)
+    best, least = [-beta], np.full(n + 1, -beta)
+    last, open_ = [0], [0]
     for t in range(1, n + 1):
-        m = s1[t] - s1[open_]
-        cost = best[open_] + (s2[t] - s2[open_] - m * m / (t - open_)) / variance
-        k = int(np.argmin(cost))
-        best[t], last[t] = cost[k] + beta, open_[k]
-        open_ = np.append(open_[cost <= best[t]], t)
+        if len(open_) > FEW:
+            j = np.asarray(open_)
+            m = s1[t] - sums[j]
+            cost = least[j] + (s2[t] - squares[j] - m * m / (t - j)) / variance
+            k = int(np.argmin(cost))
+            best.append(float(cost[k]) + beta)
+            last.append(int(j[k]))
+            open_ = np.append(j[cost <= best[t]], t)
+            open_ = open_ if len(open_) > FEW else open_.tolist()
+        else:
+            cost = [best[j] + (s2[t] - s2[j] - (s1[t] - s1[j]) * (s1[t] - s1[j]) / (t - j)) / variance for j in open_]
+            low = min(cost)
+            best.append(low + beta)
+            last.append(open_[cost.index(low)])
+            open_ = [j for j, c in zip(open_, cost, strict=True) if c <= best[t]]
+            open_.append(t)
+        least[t] = best[t]
     found, t = set(), n
     while t > 0:
-        t = int(last[t])
+        t = last[t]
         found.add(t)
     return sorted(found)
 
 
 def merge_close(rows: np.ndarray, gap: float) -> list[tuple]:
     """Folds a row into its predecessor as their mean while the first column's gap stays under ``gap``."""
-    out: list[np.ndarray] = []
-    for r in rows:
+    out: list[tuple] = []
+    for r in np.asarray(rows, float).tolist():
         if out and r[0] - out[-1][0] < gap:
-            out[-1] = (out[-1] + r) / 2
+            out[-1] = tuple((x + y) / 2 for x, y in zip(out[-1], r, strict=True))
         else:
-            out.append(np.array(r, float))
-    return [tuple(map(float, r)) for r in out]
+            out.append(tuple(r))
+    return out
 
 
 def airborne(alt: np.ndarray, limit: float) -> tuple[int, int]:

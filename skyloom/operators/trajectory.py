@@ -105,26 +105,30 @@ def airborne_edges(points: DataFrame, limit: float = AIRBORNE_M, order: str = "e
     return rows.groupBy("id").agg(first(F.col("up") & ~F.col("was")).alias("takeoff"), first(~F.col("up") & F.col("was")).alias("landing"))
 
 
-TURNS = "id string, landed boolean, tp array<struct<time:double,lat:double,lon:double,alt:double,vel:double>>, dp array<struct<time:double,lat:double,lon:double,alt:double,vel:double>>"
+POINT = ("time", "lat", "lon", "alt", "vel")
+TURNS = ", ".join(["landed boolean", *(f"{c} array<struct<{','.join(f'{x}:double' for x in POINT)}>>" for c in ("tp", "dp"))])
 
 
 def turns_and_rises(points: DataFrame) -> DataFrame:
     """Turning points and altitude change points of each id, by change-point search on the compensated heading and the altitude.
 
-    Everything up to the search is window functions; one task sees one flight at a time.
+    Everything up to the search is window functions; one task sees one flight at a time. Flights are grouped by the id as it is, so they meet as the windows left them.
     """
-    ready = drift_heading(points.dropna(subset=["t", "lat", "lon", "hdg", "alt"]))
-    ready = ready.select(F.col("id").cast("string").alias("id"), "t", "event_id", "lat", "lon", "alt", "vel", "hdg_comp")
+    ready = drift_heading(points.dropna(subset=["t", "lat", "lon", "hdg", "alt"])).select("id", "t", "event_id", "lat", "lon", "alt", "vel", "hdg_comp")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"], kind="stable")
-        cols = pdf[["t", "lat", "lon", "alt", "vel"]].to_numpy()
-        tp, landed = kernels.turning_points(cols, pdf["hdg_comp"].to_numpy(), AIRBORNE_M)
-        dp = kernels.altitude_points(cols)
-        names = ("time", "lat", "lon", "alt", "vel")
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "landed": [landed], "tp": [[dict(zip(names, r, strict=True)) for r in tp]], "dp": [[dict(zip(names, r, strict=True)) for r in dp]]})
+    def listed(found: list[tuple]) -> pa.Array:
+        own = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in np.array(found).T], POINT)
+        return pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), own)
+
+    def run(flight: pa.Table) -> pa.Table:
+        flight = flight.sort_by([("t", "ascending"), ("event_id", "ascending")])
+        col = lambda c: flight.column(c).to_numpy().astype(float)
+        cols = np.column_stack([col(c) for c in ("t", *POINT[1:])])
+        tp, landed = kernels.turning_points(cols, col("hdg_comp"), AIRBORNE_M)
+        return pa.table([flight.column("id").slice(0, 1), pa.array([landed]), listed(tp), listed(kernels.altitude_points(cols))], names=["id", "landed", "tp", "dp"])
 
-    return ready.groupBy("id").applyInPandas(run, TURNS)
+    found = ready.groupBy("id").applyInArrow(run, f"id {ready.schema['id'].dataType.simpleString()}, {TURNS}")
+    return found.withColumn("id", F.col("id").cast("string"))
 
 
 def waypoints(turns: DataFrame, which: str = "tp") -> DataFrame:

@@ -461,3 +461,11 @@ def test_streaming_windows(spark, tmp_path):
     q = twins.tumbling_counts(twins.new_files(spark, src, rows.schema)).writeStream.format("memory").queryName("tumbling").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.n for r in spark.table("tumbling").collect()) == [15, 15, 15, 15]
+
+
+def test_change_points_meet_as_the_windows_left_them(spark):
+    rows = spark.range(200).selectExpr("id % 3 AS id", "CAST(id AS DOUBLE) * 30 AS t", "id AS event_id", "50D AS lat", "id / 10D AS lon", "CAST(id * 37 % 360 AS DOUBLE) AS hdg", "id * 40D AS alt")
+    turns = trajectory.turns_and_rises(rows)
+    plan = turns._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert dict(turns.dtypes)["id"] == "string" and turns.count() == 3
