@@ -101,6 +101,15 @@ def connection_scores(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("score", score).filter(F.col("score").isNotNull())
 
 
+def likeliest(scores: DataFrame) -> DataFrame:
+    """(a_key, d_key): each arrival's departure of the highest score, of equal ones the smallest.
+
+    Whole hours give few scores, so tasks keep a departure for each score of an arrival, and pairs are neither shuffled nor sorted.
+    """
+    each = scores.groupBy("a_key", "score").agg(F.min("d_key").alias("d_key"))
+    return each.groupBy("a_key").agg(F.max_by("d_key", "score").alias("d_key"))
+
+
 def assign(scores: DataFrame, keys: list[str], slack: float = SLACK) -> DataFrame:
     """The best one-to-one assignment (a_key, d_key) of each group: as many as feasible, then the highest scores.
 

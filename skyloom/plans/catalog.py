@@ -585,7 +585,7 @@ SELECT a.event_id AS a_key, coalesce(d.event_id, -1) AS d_key, round((d.t - a.t)
 def likeliest_connections(spark, d):
     # each arrival's likeliest departure, whoever else takes it; -1 if it has none
     a, dep = _movements(spark, d)
-    best = stitch.top_per_key(_scores(spark, d).withColumn("_s", F.round("score", 9)), ["a_key"], [F.desc("_s"), "d_key"], 1)
+    best = linkage.likeliest(_scores(spark, d).withColumn("score", F.round("score", 9)))
     return linkage.connection_times(a, best, dep).select("a_key", F.coalesce("d_key", F.lit(-1)).alias("d_key"), *_r("connection_time"))
 
 

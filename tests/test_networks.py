@@ -295,3 +295,12 @@ def test_what_components_write_grows_with_the_nodes(spark):
     assert graph.contracted(pairs.coalesce(2)).count() <= 2 * n  # 79,800 before
     w = pairs.withColumn("w", F.rand(1)).coalesce(2)
     assert graph.thinned_forest(w).count() < 2 * n
+
+
+def test_likeliest_sends_no_pairs(spark):
+    rows = spark.createDataFrame([(a, d, float((a * d) % 3)) for a in range(7) for d in range(40)], "a_key long, d_key long, score double")
+    got = linkage.likeliest(rows)
+    assert {r.a_key: r.d_key for r in got.collect()} == {a: min(range(40), key=lambda d: (-((a * d) % 3), d)) for a in range(7)}
+    # pairs are combined before the first shuffle, without a sort or a window
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and plan.count("HashAggregate") >= 2
