@@ -263,6 +263,57 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = _hooked(parent)[label]
 
 
+def strong_parts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, label): every node of arcs (a, b) once, and the smallest node of its strongly connected component in them.
+
+    Sources and sinks leave first, for a few rounds; the rest is Tarjan's search.
+    """
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, n = at[: len(a)], at[len(a) :], len(nodes)
+    label = np.arange(n)
+    for _ in range(8):
+        open_ = (np.bincount(i, minlength=n)[j] > 0) & (np.bincount(j, minlength=n)[i] > 0) & (i != j)
+        if open_.all():
+            break
+        i, j = i[open_], j[open_]
+    order = np.argsort(i, kind="stable")
+    to, first = j[order].tolist(), np.searchsorted(i[order], np.arange(n + 1)).tolist()
+    number, low, stack, on, count = {}, {}, [], set(), 0
+    for start in np.unique(i).tolist():
+        if start in number:
+            continue
+        path = [(start, first[start])]
+        number[start] = low[start] = count
+        count += 1
+        stack.append(start)
+        on.add(start)
+        while path:
+            x, k = path.pop()
+            if k < first[x + 1]:
+                path.append((x, k + 1))
+                y = to[k]
+                if y not in number:
+                    number[y] = low[y] = count
+                    count += 1
+                    stack.append(y)
+                    on.add(y)
+                    path.append((y, first[y]))
+                elif y in on:
+                    low[x] = min(low[x], number[y])
+                continue
+            if path:
+                low[path[-1][0]] = min(low[path[-1][0]], low[x])
+            if low[x] == number[x]:
+                k = len(stack) - 1
+                while stack[k] != x:
+                    k -= 1
+                own = stack[k:]
+                del stack[k:]
+                on.difference_update(own)
+                label[own] = min(own)
+    return nodes, nodes[label]
+
+
 def forest_rows(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Positions of the edges of the maximum spanning forest of (a, b, w); of equal weights that of the smaller ends, by Boruvka's rounds."""
     order = np.lexsort((b, a, np.where(np.isnan(w), -np.inf, -w)))

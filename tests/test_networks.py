@@ -304,3 +304,26 @@ def test_likeliest_sends_no_pairs(spark):
     # pairs are combined before the first shuffle, without a sort or a window
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "Window" not in plan and plan.count("HashAggregate") >= 2
+
+
+def test_strong_components_across_gatherings(spark, monkeypatch):
+    began = []
+    trimmed = networks._trimmed
+    monkeypatch.setattr(networks, "_trimmed", lambda arcs: (began.append(arcs.count()), trimmed(arcs))[1])
+    draw = np.random.default_rng(4)
+    for n, m, parts in ((12, 20, 5), (30, 45, 7), (25, 26, 3)):
+        arcs = [(int(a), int(b)) for a, b in draw.integers(0, n, (m, 2))]
+        reach = np.eye(n, dtype=bool)
+        for a, b in arcs:
+            reach[a, b] = True
+        for k in range(n):
+            reach |= reach[:, k : k + 1] & reach[k]
+        want = {x: int(np.flatnonzero(reach[x] & reach[:, x])[0]) for x in {e for arc in arcs for e in arc}}
+        node, label = kernels.strong_parts(*np.array(arcs).T)
+        assert dict(zip(node.tolist(), label.tolist(), strict=True)) == want
+        df = spark.createDataFrame(arcs, "a long, b long").repartition(parts)
+        assert {r.node: r.label for r in networks.strong_components(df).collect()} == want
+    # rings that a task gathers whole need no round
+    began.clear()
+    rings = spark.createDataFrame([(4 * k + i, 4 * k + (i + 1) % 4) for k in range(50) for i in range(4)], "a long, b long").coalesce(1)
+    assert {r.label for r in networks.strong_components(rings).collect()} == set(range(0, 200, 4)) and began == [0]
