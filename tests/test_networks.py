@@ -327,3 +327,55 @@ def test_strong_components_across_gatherings(spark, monkeypatch):
     began.clear()
     rings = spark.createDataFrame([(4 * k + i, 4 * k + (i + 1) % 4) for k in range(50) for i in range(4)], "a long, b long").coalesce(1)
     assert {r.label for r in networks.strong_components(rings).collect()} == set(range(0, 200, 4)) and began == [0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 9), st.integers(0, 9), st.integers(0, 10**6))
+def test_matching_by_time_equals_matching_of_pairs(n, m, seed):
+    rng = np.random.default_rng(seed)
+    # whole hours and ties in time come often
+    at, dt = rng.integers(0, 40, n) * 900.0, rng.integers(0, 60, m) * 900.0
+    al, dl = rng.random(n) < 0.3, rng.random(m) < 0.3
+    worth = rng.choice([np.nan, -1.0, 2000.25, 1999.5, 1990.125, 3.0], (2, 2, 4))
+    x, y = kernels.timed_matching(at, al, dt, dl, worth)
+    full = np.full((n, m), -np.inf)
+    for i in range(n):
+        for j in range(m):
+            h = int((dt[j] - at[i]) // 3600)
+            if 0 <= h < 4 and worth[int(al[i]), int(dl[j]), h] > 0:
+                full[i, j] = worth[int(al[i]), int(dl[j]), h]
+    r, c = np.nonzero(np.isfinite(full))
+    k = kernels.sparse_matching(r, c, full[r, c])
+    assert len(set(x)) == len(x) == len(set(y)) and full[x, y].sum() == full[r[k], c[k]].sum()
+
+
+def test_matching_by_time_of_a_busy_group_is_not_cubic():
+    # 4,068 arrivals of which each has some 36 departures took 7 s pair by pair
+    rng = np.random.default_rng(3)
+    at, dt = rng.random(4000) * 30 * 86_400, rng.random(3700) * 30 * 86_400
+    worth = np.array([[[np.nan, *(2000.0 - 5 * h for h in range(7))]] * 2] * 2)
+    none = lambda x: np.zeros(len(x), bool)
+    tracked = []
+    real = kernels.heappop
+    try:
+        kernels.heappop = lambda q: tracked.append(1) or real(q)
+        x, _ = kernels.timed_matching(at, none(at), dt, none(dt), worth)
+    finally:
+        kernels.heappop = real
+    assert len(x) > 3000 and len(tracked) < 40 * 4000
+
+
+def test_assignment_by_time_equals_that_of_pairs(spark):
+    rng = random.Random(4)
+    kinds = "k string, {0}_key long, {0}_t double, {0}_long boolean"
+    day = lambda: rng.choice([0, 3]) * 86_400.0 + rng.random() * 90_000
+    a = [(k, i, day(), rng.random() < 0.3) for k in ("x", "y", None) for i in range(30)] + [("x", 90, None, False), ("x", 91, float("nan"), True), ("x", 92, 5.0, None)]
+    d = [(k, i, day(), rng.random() < 0.3) for k in ("x", "y", None) for i in range(30)]
+    for more in ([], [("x", 7, 86_400 * 3.5, False)]):  # a key at two times is still one arrival
+        left, right = spark.createDataFrame([*a, *more, a[0]], kinds.format("a")), spark.createDataFrame(d, kinds.format("d"))
+        got = linkage.assign_by_time(left, right, ["k"]).collect()
+        want = linkage.assign(linkage.connection_scores(linkage.connection_candidates(left, right, ["k"])), ["k"]).collect()
+        total = lambda rows: sum(r.score + linkage.SLACK for r in rows)
+        assert len(got) == len(want) > 20 and total(got) == pytest.approx(total(want), abs=1e-6)
+        assert len({(r.k, r.a_key) for r in got}) == len(got) == len({(r.k, r.d_key) for r in got})
+    assert linkage.assign_by_time(left.limit(0), right, ["k"]).collect() == []
