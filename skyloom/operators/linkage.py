@@ -15,6 +15,8 @@ from . import kernels
 SLACK, LONGEST_H = 2000.0, 8
 #: Tasks over which the parts of an assignment by time are spread.
 PART_TASKS = 128
+#: Keys over which rows that match nothing are spread.
+NULL_KEYS = 4096
 
 
 def union_schedule(arrivals: DataFrame, departures: DataFrame) -> DataFrame:
@@ -203,7 +205,9 @@ def with_tails(schedule: DataFrame, airlines: DataFrame, sightings: DataFrame, o
     """
     coded = airline_codes(schedule.withColumn("airline_iata", F.lower(F.trim("airline_iata"))), airlines, order)
     seen = tails(sightings, coded.select("callsign").filter("callsign is not null")).select(F.col("callsign").alias("_key"), "icao24")
-    return coded.withColumn("_key", F.lower(F.trim("callsign"))).join(seen, "_key", "left").drop("_key")
+    # flights without a call sign would all meet in one task: they get keys with a blank in front, which no trimmed call sign has
+    apart = F.concat(F.lit(" "), F.monotonically_increasing_id() % NULL_KEYS)
+    return coded.withColumn("_key", F.coalesce(F.lower(F.trim("callsign")), apart)).join(seen, "_key", "left").drop("_key")
 
 
 def od_pairs(rows: DataFrame, dep: str, arr: str, dim: DataFrame) -> DataFrame:

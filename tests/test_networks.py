@@ -379,3 +379,20 @@ def test_assignment_by_time_equals_that_of_pairs(spark):
         assert len(got) == len(want) > 20 and total(got) == pytest.approx(total(want), abs=1e-6)
         assert len({(r.k, r.a_key) for r in got}) == len(got) == len({(r.k, r.d_key) for r in got})
     assert linkage.assign_by_time(left.limit(0), right, ["k"]).collect() == []
+
+
+def test_flights_without_a_call_sign_are_spread(spark):
+    schedule = spark.range(4000).select(F.col("id").alias("flight_key"), F.when(F.col("id") % 4 == 0, "A").otherwise("?").alias("airline_iata"), F.concat(F.lit("XX"), F.col("id") % 5).alias("iata_number"))
+    airlines = spark.createDataFrame([("A", "AAA", 1)], "iata string, icao string, no int")
+    seen = spark.createDataFrame([(" aaa0 ", "a1", 1, 1), ("aaa0", "a2", 2, 2), ("", "a9", 1, 3)], "callsign string, icao24 string, file int, row int")
+    for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(c, "false" if c.endswith("enabled") else "-1")
+    try:
+        df = linkage.with_tails(schedule, airlines, seen, "no")
+        rows = df.withColumn("_p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 4000
+    assert all(r.icao24 == ("a2" if r.callsign == "AAA0" else None) for r in rows) and sum(r.callsign is None for r in rows) == 3000
+    assert len({r._p for r in rows if r.callsign is None}) > 1
