@@ -7,6 +7,7 @@ array of positions along the leg, and consecutive positions become pieces whose
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,21 +44,34 @@ def _bands(a: str, b: str, trenches: tuple) -> Column:
     return F.when(F.col(a) != F.col(b), F.transform(inside, lambda x: (x - F.col(a)) / (F.col(b) - F.col(a)))).otherwise(F.expr("cast(array() as array<double>)"))
 
 
+def _along(c: str, share: Column) -> Column:
+    """A coordinate at a share of the leg."""
+    return F.col(f"from_{c}") + share * (F.col(f"to_{c}") - F.col(f"from_{c}"))
+
+
+def _meets_bands(a: Column, b: Column, trenches: tuple) -> Column:
+    """Whether altitudes between a and b may lie in a band; the margin is more than any rounding between them."""
+    margin = (F.abs(a) + F.abs(b)) * 1e-9 + 1e-6
+    low, high = F.least(a, b) - margin, F.greatest(a, b) + margin
+    return reduce(lambda x, y: x | y, [(low < hi) & (high >= lo) for lo, hi in trenches])
+
+
 def pieces(legs: DataFrame, grid: Grid = Grid()) -> DataFrame:  # noqa: B008
     """(id, window_start, trench, lat_idx, lon_idx, t0, t1): the parts of legs inside one cell and window."""
     w = F.lit(grid.window)
-    legs = legs.filter(F.col("to_time") > F.col("from_time"))
+    # most legs fly below the bands: they and their windows go before they are cut into pieces
+    legs = legs.filter((F.col("to_time") > F.col("from_time")) & _meets_bands(F.col("from_alt"), F.col("to_alt"), grid.trenches))
     dur = F.col("to_time") - F.col("from_time")
     first, last = F.floor(F.col("from_time") / w), F.ceil(F.col("to_time") / w) - 1
     cross = F.concat(_lines("from_lat", "to_lat", *grid.lat, grid.cell), _lines("from_lon", "to_lon", *grid.lon, grid.cell), _bands("from_alt", "to_alt", grid.trenches))
     rows = legs.select("*", dur.alias("dur"), cross.alias("cross"), F.explode(F.sequence(first, F.greatest(first, last))).alias("k"))
     start = F.col("k") * w
     rows = rows.withColumns({"window_start": start.cast("long"), "a": (F.greatest("from_time", start) - F.col("from_time")) / F.col("dur"), "b": (F.least(F.col("to_time"), start + w) - F.col("from_time")) / F.col("dur")}).filter("b > a")
+    rows = rows.filter(_meets_bands(_along("alt", F.col("a")), _along("alt", F.col("b")), grid.trenches))
     taus = F.array_sort(F.array_distinct(F.concat(F.array("a", "b"), F.filter("cross", lambda x: (F.col("a") < x) & (x < F.col("b"))))))
     rows = rows.withColumn("taus", taus).withColumn("p", F.explode(F.zip_with(F.slice("taus", 1, F.size("taus") - 1), F.slice("taus", 2, F.size("taus") - 1), lambda x, y: F.struct(x.alias("a"), y.alias("b")))))
     mid = (F.col("p.a") + F.col("p.b")) / 2.0
-    at = lambda c: F.col(f"from_{c}") + mid * (F.col(f"to_{c}") - F.col(f"from_{c}"))
-    rows = rows.select("id", "window_start", "from_time", "dur", "p", at("lat").alias("lat"), at("lon").alias("lon"), at("alt").alias("alt"))
+    rows = rows.select("id", "window_start", "from_time", "dur", "p", *[_along(c, mid).alias(c) for c in ("lat", "lon", "alt")])
     trench = None
     for i, (lo, hi) in enumerate(grid.trenches):
         cond = (F.col("alt") >= lo) & (F.col("alt") < hi)

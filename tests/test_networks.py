@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skyloom.operators import graph, kernels, linkage, networks, polygons, spectral, trajectory
+from skyloom.operators import graph, kernels, linkage, networks, occupancy, polygons, spectral, trajectory
 
 
 def reached(arcs):
@@ -396,3 +396,18 @@ def test_flights_without_a_call_sign_are_spread(spark):
     assert len(rows) == 4000
     assert all(r.icao24 == ("a2" if r.callsign == "AAA0" else None) for r in rows) and sum(r.callsign is None for r in rows) == 3000
     assert len({r._p for r in rows if r.callsign is None}) > 1
+
+
+def test_legs_outside_the_bands_are_not_cut_into_pieces(spark, capsys):
+    leg = lambda i, a, b: (i, 0.0, 7200.0, 40.1, 44.9, 0.1, 4.9, a, b)
+    high, nan = occupancy.TRENCHES[0][0], float("nan")
+    rows = [leg(1, 100.0, high), leg(2, 100.0, high - 1), leg(3, high, high), leg(4, 5000.0, 9000.0), leg(5, 21_243.0, 30_000.0), leg(6, 30_000.0, 20_000.0), leg(7, nan, 9000.0), leg(8, None, 9000.0)]
+    legs = spark.createDataFrame(rows, "id int, from_time double, to_time double, from_lat double, to_lat double, from_lon double, to_lon double, from_alt double, to_alt double")
+    got = occupancy.pieces(legs)
+    span = {r.id: (r.a, r.b) for r in got.groupBy("id").agg(F.min("t0").alias("a"), F.max("t1").alias("b")).collect()}
+    assert set(span) == {3, 4, 6} and span[3] == (0.0, 7200.0)
+    assert span[4] == pytest.approx((7200 * 2315.2 / 4000, 7200.0)) and span[6] == pytest.approx((7200 * 0.8757, 7200.0))
+    # of the legs, and of their windows, only those that may meet a band are left before the cutting
+    got.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("1.0E-9") >= 4
