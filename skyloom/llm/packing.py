@@ -53,14 +53,29 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     return rows.mapInArrow(run, "doc_id long, ids binary, n long")
 
 
+def term_counts(joined: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, term, tf) of the ids of fewer than 65,536 documents that follow one another, by document and term."""
+    key = np.repeat(np.arange(len(sizes), dtype=np.uint32) << 16, sizes) | joined
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return (key[first] >> 16).astype(np.int64), (key[first] & 0xFFFF).astype(np.int64), np.diff(np.append(first, len(key)))
+
+
+def _counted(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`term_counts` of a lot's ids, so that the steps of numpy are few for many short documents."""
+    own = ids.to_pylist()
+    return term_counts(np.frombuffer(b"".join(own), "<u2"), np.array([len(x) // 2 for x in own], np.int64))
+
+
 def document_frequencies(rows: DataFrame) -> np.ndarray:
     """In how many documents each id occurs, over all rows (ids)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(VOCABULARY, np.int64)
-        for b in it:
-            for x in b.column("ids"):
-                df[np.unique(np.frombuffer(x.as_py(), "<u2"))] += 1
+        for b in common.lots(it):
+            df += np.bincount(_counted(b.column("ids"))[1], minlength=VOCABULARY)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["id", "n"])
 
@@ -76,12 +91,10 @@ class Index:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = len(docs)
         sizes = np.array([len(d) for d in docs])
-        key = np.repeat(np.arange(self.n, dtype=np.int64) << 16, sizes) | np.concatenate(docs).astype(np.int64)
-        key, tf = np.unique(key, return_counts=True)
-        doc, term = key >> 16, key & 0xFFFF
+        doc, term, tf = term_counts(np.concatenate(docs), sizes)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
         self.terms, self.weights, self.ends = term, weight, np.searchsorted(doc, np.arange(self.n + 1))
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16), kind="stable")
         self.posted, self.posted_weights = doc[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
 
@@ -146,19 +159,26 @@ def packed(docs: list[np.ndarray], order: list[int], window: int = WINDOW) -> pd
     return pd.DataFrame({"doc": np.array(order)[k], "start": start, "length": length, "ids_crc32": crc, "doc_tokens": sizes[k], "sequence": sequence, "offset": at - ends[sequence]})
 
 
+def _heaviest(doc: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Where each document's greatest weight stands first; documents are numbered from 0 and follow one another."""
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))
+    at = np.flatnonzero(weight == np.maximum.reduceat(weight, starts)[doc])
+    return at[np.flatnonzero(np.diff(doc[at], prepend=-1))]
+
+
 def leading(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     """Rows (..., ids) with first and second: the two terms that weigh most in a document, by their counts and how rare they are."""
     held = rows.sparkSession.sparkContext.broadcast(idf)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            lead = []
-            for x in b.column("ids"):
-                terms, tf = np.unique(np.frombuffer(x.as_py(), "<u2"), return_counts=True)
-                weight = held.value[terms] * tf * (K1 + 1) / (tf + K1)
-                top = terms[np.argsort(-weight, kind="stable")[:2]]
-                lead.append((int(top[0]), int(top[-1])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in lead], pa.int32()), pa.array([y for _, y in lead], pa.int32())], [*b.schema.names, "first", "second"])
+        for b in common.lots(it):
+            doc, term, tf = _counted(b.column("ids"))
+            weight = held.value[term] * tf * (K1 + 1) / (tf + K1)
+            first = _heaviest(doc, weight)
+            left = weight.copy()
+            left[first] = -np.inf
+            second = np.where(np.bincount(doc) > 1, _heaviest(doc, left), first)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(term[at], pa.int32()) for at in (first, second))], [*b.schema.names, "first", "second"])
 
     return rows.mapInArrow(run, "doc_id long, ids binary, n long, row long, first int, second int")
 

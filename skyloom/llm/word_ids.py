@@ -8,6 +8,7 @@ special token, goes through the library whole.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -64,7 +65,9 @@ class WordIds:
     def _run(self, run: str) -> bytes:
         found = self.runs.get(run)
         if found is None:
-            found = np.array([t.id for t in self.merge(run.encode().decode("latin-1").translate(self.letters))], "<u2").tobytes()
+            # the vocabulary writes printable ASCII as it is
+            ids = [t.id for t in self.merge(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))]
+            found = struct.pack(f"<{len(ids)}H", *ids)
             if len(run) <= MEMO_CHARS:
                 if len(self.runs) > MEMO_WORDS:
                     self.runs.clear()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from skyloom.llm import conversation_repair, filter_audit, html_text
+from skyloom.llm import conversation_repair, filter_audit, html_text, packing
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -283,3 +283,20 @@ def test_distinct_words_whatever_the_hash():
         if hashed is None or hashed(np.arange(2), None)[1] == 0:
             words, distinct, _ = filter_audit.distinct_words(data, space, np.array([0, 14, len(data)]), hashed)
             assert words.tolist() == [5, 4] and distinct.tolist() == [3, 3]
+
+
+def test_terms_are_counted_for_many_documents_at_once(spark):
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.integers(0, 40, rng.integers(0, 60)) * 1600, 2).astype("<u2") for _ in range(200)]
+    idf = np.round(rng.random(packing.VOCABULARY), 1)  # weights tie often
+    rows = spark.createDataFrame([(i, bytearray(d.tobytes()), len(d), i) for i, d in enumerate(docs)], "doc_id long, ids binary, n long, row long")
+    got = {r.doc_id: (r.first, r.second) for r in packing.leading(rows, idf).collect()}
+    df = np.zeros(packing.VOCABULARY, np.int64)
+    for i, d in enumerate(docs):
+        terms, tf = np.unique(d, return_counts=True)
+        df[terms] += 1
+        top = terms[np.argsort(-(idf[terms] * tf * (packing.K1 + 1) / (tf + packing.K1)), kind="stable")[:2]]
+        assert got[i] == (top[0], top[-1])
+    assert (packing.document_frequencies(rows) == df).all()
+    doc, term, tf = packing.term_counts(np.concatenate(docs), np.array([len(d) for d in docs]))
+    assert [(a, b, c) for a, b, c in zip(doc, term, tf, strict=True)] == [(i, t, n) for i, d in enumerate(docs) for t, n in zip(*np.unique(d, return_counts=True), strict=True)]
