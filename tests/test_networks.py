@@ -411,3 +411,21 @@ def test_legs_outside_the_bands_are_not_cut_into_pieces(spark, capsys):
     got.explain("extended")
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert plan.count("1.0E-9") >= 4
+
+
+def test_quality_of_legs_compared_inside_communities(spark, tmp_path, monkeypatch):
+    from skyloom.plans import catalog
+
+    rng = random.Random(6)
+    rows = [(i, i % 7, float(i), rng.random(), rng.random(), rng.random() + 1, rng.random() + 1, i % 7) for i in range(90)]
+    names = "leg_id long, id long, from_time double, from_lat double, from_lon double, to_lat double, to_lon double, grp long"
+    asked = []
+    weighted = catalog._weighted
+    monkeypatch.setattr(catalog, "_weighted", lambda legs: asked.append(1) or weighted(legs))
+    for more in ([], [rows[3]]):
+        legs = spark.createDataFrame([*rows, *more], names).withColumn("community", F.col("id") % 3)
+        homes = legs.select(F.col("leg_id").alias("node"), "community")
+        want = {r.community: r.quality for r in graph.cpm_quality(weighted(legs), homes, 0.7).collect()}
+        got = {r.community: r.quality for r in catalog._quality(legs).collect()}
+        assert set(got) == {0, 1, 2} and got == pytest.approx(want, abs=1e-4)
+        assert len(asked) == len(more)
