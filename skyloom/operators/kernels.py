@@ -556,6 +556,49 @@ def cpm_communities(edges: list[tuple[int, int, float]], gamma: float, seed: int
     return out
 
 
+def settled_homes(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, gamma: float, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(node, community) of the nodes 0 to n - 1 that edges (i, j, w) touch, by the moves of :func:`cpm_communities` on arrays, until no node gains.
+
+    Between two passes over all nodes only those are looked at again that have a neighbour which moved.
+    """
+    order = np.argsort(np.concatenate([i, j]), kind="stable")
+    to, weight = np.concatenate([j, i])[order], np.concatenate([w, w])[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=n) + np.bincount(j, minlength=n))])
+    del order
+    ends = np.flatnonzero(np.diff(first))
+    turn = np.random.default_rng(seed).permutation(ends)
+    home, size = np.arange(n), np.ones(n)
+    first_of = first.tolist()
+    open_, whole = turn, True
+    while True:
+        again = np.zeros(n, bool)
+        for v in open_.tolist():
+            near = slice(first_of[v], first_of[v + 1])
+            into = np.bincount(home[to[near]], weight[near], n)
+            own = home[v]
+            stay = into[own] - gamma * (size[own] - 1)
+            worth = np.where(into > 0, into - gamma * size, -np.inf)
+            worth[own] = -np.inf
+            best = int(worth.argmax())
+            if worth[best] - stay > 1e-9:
+                size[own] -= 1
+                size[best] += 1
+                home[v] = best
+                again[to[near]] = True
+        if again.any():
+            open_, whole = turn[again[turn]], False
+        elif whole:
+            break
+        else:
+            open_, whole = turn, True
+    inner = home[i] == home[j]
+    label = np.arange(n)
+    if inner.any():
+        node, least = stars(i[inner], j[inner])
+        label[node] = least
+    return ends, label[ends]
+
+
 def route_search(scores: list[dict[int, float]], first: dict[int, float], ends: dict[int, tuple[int, int]], most: int = 5, least: float = 0.3) -> list[tuple[list[int], float]]:
     """Routes of edges that match the legs in order, best score first at each step; the first ``most`` found, by total.
 

@@ -780,7 +780,7 @@ def _quality(legs: DataFrame) -> DataFrame:
 
 @query("communities")
 def communities(spark, d):
-    return networks.communities(_weighted(_hourly(spark, d)), 0.5).select("node", "community")
+    return networks.leg_communities(_hourly(spark, d), 0.5, 0.5)
 
 
 @query("cpm_quality", f"WITH {_SIMS}, e AS (SELECT a AS u, b AS v, similarity AS w FROM sims WHERE similarity > 0.5), n AS (SELECT leg_id AS node, id % 40 AS community FROM legs), i AS (SELECT x.community, sum(w) AS w FROM e JOIN n x ON x.node = u JOIN n y ON y.node = v WHERE x.community = y.community GROUP BY 1) SELECT n.community, round(coalesce(any_value(i.w), 0) - 0.7e0 * count(*) * (count(*) - 1) / 2e0, 4) AS quality FROM n LEFT JOIN i ON i.community = n.community GROUP BY n.community")
