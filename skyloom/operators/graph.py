@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql.types import IntegralType
 from ..functions import geo
 from ..sources.tables import drop, written
 from . import kernels
+from .flows import whole_tiles
 from .trajectory import checked_broadcast
 
 #: A leg follows an edge if its fitness is over this.
@@ -150,19 +150,33 @@ def scored_edges(legs: DataFrame, edges: DataFrame, margin: float = 0.5, least:
 
 
 def greedy_routes(scored: DataFrame, n_legs: DataFrame, most: int = 5) -> DataFrame:
-    """(flight, rank, edges, fitness): the first routes of connected edges, a leg each, that a depth-first search finds in greedy order. A flight is one task's."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: dict[int, tuple[int, int]] = {}
-        by: list[dict[int, float]] = [{} for _ in range(int(pdf["n"].iloc[0]))]
-        for k, e, a, b, first, rest in zip(*(pdf[c].tolist() for c in ("k", "edge_id", "a", "b", "first", "rest")), strict=True):
-            ends[e] = (a, b)
-            by[k][e] = rest if k else first
-        found = kernels.route_search(by[1:], by[0], ends, most, LEAST_FITNESS)
-        return pd.DataFrame([(pdf["flight"].iloc[0], i + 1, e, t) for i, (e, t) in enumerate(found)], columns=["flight", "rank", "edges", "fitness"])
-
-    kind = scored.schema["flight"].dataType.simpleString()
-    return scored.join(n_legs, "flight").groupBy("flight").applyInPandas(run, f"flight {kind}, rank int, edges array<long>, fitness double")
+    """(flight, rank, edges, fitness): the first routes of connected edges, a leg each, that a depth-first search finds in greedy order. A flight is one task's.
+
+    Flights come one after the other in a task's batches, as the window that numbers their rows leaves them, so neither a job's plan nor Python sets up anything for a single flight.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in whole_tiles(it, ["flight"]):
+            rows = list(zip(*(t.column(c).to_numpy().tolist() for c in ("k", "edge_id", "a", "b", "s")), strict=True))
+            n, ends_at = t.column("n").to_numpy()[first].tolist(), [*first[1:].tolist(), t.num_rows]
+            out: list[tuple[int, int, list[int], float]] = []
+            for at, begin, end, legs in zip(range(len(n)), first.tolist(), ends_at, n, strict=True):
+                ends: dict[int, tuple[int, int]] = {}
+                by: list[dict[int, float]] = [{} for _ in range(legs)]
+                for k, e, a, b, s in rows[begin:end]:
+                    ends[e] = (a, b)
+                    by[k][e] = s
+                if all(by):
+                    out += [(at, i + 1, e, s) for i, (e, s) in enumerate(kernels.route_search(by[1:], by[0], ends, most, LEAST_FITNESS))]
+            if out:
+                at, rank, edges, fitness = zip(*out, strict=True)
+                flights = t.column("flight").take(pa.array(first[list(at)])).combine_chunks()
+                yield from pa.table([flights, pa.array(rank, pa.int32()), pa.array(edges, pa.list_(pa.int64())), pa.array(fitness, pa.float64())], names=["flight", "rank", "edges", "fitness"]).to_batches(max_chunksize=10_000)
+
+    fit = F.when(F.col("k") == 0, F.col("first")).otherwise(F.col("rest"))
+    turn = F.row_number().over(Window.partitionBy("flight").orderBy("k", "edge_id"))
+    rows = scored.join(n_legs, "flight").select("flight", "n", "k", "edge_id", "a", "b", fit.alias("s"), turn.alias("turn"))
+    return rows.mapInArrow(run, f"flight {scored.schema['flight'].dataType.simpleString()}, rank int, edges array<long>, fitness double")
 
 
 def best_routes(scored: DataFrame, n_legs: DataFrame, most: int = 5, least: float = LEAST_FITNESS) -> DataFrame:
