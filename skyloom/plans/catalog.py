@@ -800,7 +800,7 @@ def components(spark, d):
 
 @query("flow_components", f"WITH RECURSIVE {_HOUR_SIMS}, e AS (SELECT a, b FROM sims WHERE similarity > 0.6 UNION SELECT b, a FROM sims WHERE similarity > 0.6), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS label FROM r GROUP BY node")
 def flow_components(spark, d):
-    return graph.components(flows.similar(_hourly(spark, d), 0.6, group=["grp"], thin=graph.joining_rows).select("a", "b"))
+    return flows.leg_parts(_hourly(spark, d), 0.6, group=["grp"])
 
 
 #: Items of an order point at two of its items, by part and by supplier.
