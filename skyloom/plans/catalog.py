@@ -726,9 +726,7 @@ def _flown_legs(spark, d) -> DataFrame:
 
 @query("base_graph_edges", f"WITH {_HOUR_SIMS}, hs AS (SELECT hour AS grp, a, b, similarity FROM sims), {stepwise_sql.base_graphs('hs')} SELECT grp, graph, round(threshold, 6) AS threshold, a, b FROM based")
 def base_graph_edges(spark, d):
-    h = _hourly(spark, d)
-    thinned = flows.similar(h, group=["grp"], thin=graph.forest_rows)
-    return networks.base_graphs(flows.similar(h, 0.0, group=["grp"]), thinned=thinned).select("grp", "graph", *_r("threshold"), "a", "b")
+    return networks.leg_base_graphs(_hourly(spark, d)).select("grp", "graph", *_r("threshold"), "a", "b")
 
 
 @query("spectral")
